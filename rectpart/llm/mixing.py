@@ -57,14 +57,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
     return shares.select("source", "source_size", target.alias("target"), rate.alias("rate"), offset.alias("offset"))
 
 
-def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies of every row: how often the mix takes it.
+def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, carry: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies of every row: how often the mix takes it; carry: also `row`, a struct of all its columns.
 
     Null sources are a source of their own, null texts have size 0. Rows that repeat, also with the same id, each take part; ids
     that tie stand in any order, which changes no total. An empty table gives no rows. A source's size is the words of its documents; no document is taken more
     than `most` times. A source of empty documents is never taken. Other columns aren't read. The same rows give the same copies again.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    if carry:
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     salts = 8 + docs.count() // ROWS_PER_SALT
     bits = F.length(F.bin("size"))
     size_class = F.when(F.col("size") < 16, F.col("size")).otherwise(bits * 8 + F.expr("shiftright(size, cast(length(bin(size)) as int) - 4)") % 8)
@@ -82,4 +84,4 @@ def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     placed = rows.withColumn("place", place).join(starts, F.col("s2").eqNullSafe(F.col("source")) & (F.col("c2") == F.col("size_class")) & (F.col("k2") == F.col("salt")))
     upto = lambda n: F.floor(n * F.col("rate") + F.col("offset"))
     n = F.col("start") + F.col("place")
-    return placed.select("doc_id", "source", "size", "source_size", "target", F.least(F.lit(most), upto(n) - upto(n - 1)).cast("int").alias("copies"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", F.least(F.lit(most), upto(n) - upto(n - 1)).cast("int").alias("copies"), *(["row"] if carry else []))

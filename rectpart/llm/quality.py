@@ -84,4 +84,5 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (F.size("_q_lines") - F.size(F.array_distinct("_q_lines"))).cast("long").alias("n_dup_lines"), F.col("_q_repeat").cast("long").alias("n_repeat_words"),
         failed.alias("base_failed"), (~failed & (F.col("_q_left") >= F.col("_q_chars") * LEAST_LEFT)).alias("kept"), F.col("_q_left").cast("long").alias("left_chars"), F.array_join("_q_prose", "\n").alias("clean"),
     )
-    return step.withColumn("_q", result).drop("_q_words", "_q_lines", "_q_chars", "_q_symbols", "_q_repeat", "_q_prose", "_q_left")
+    # one array element: a filter on the result then isn't pushed below the steps, where each would be evaluated within the next
+    return step.withColumn("_q", F.explode(F.array(result))).drop("_q_words", "_q_lines", "_q_chars", "_q_symbols", "_q_repeat", "_q_prose", "_q_left")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rectpart.llm import binpack, html, langid, maxscore, mixing, packing, quality, toxicity
+from rectpart.llm import binpack, html, jaccard, langid, maxscore, mixing, packing, quality, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,15 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(docs, model).select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", *(F.col(f"_q.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "left_chars"))
@@ -63,10 +72,17 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_language": op3_language, "op6_quality": op6_quality, "op7_mixing": op7_mixing,
+        "op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_language": op3_language, "op4_substrings": op4_substrings, "op5_jaccard": op5_jaccard, "op6_quality": op6_quality, "op7_mixing": op7_mixing,
         "op8_matrices": op8_matrices, "op9_main_text": op9_main_text, "op10_maxscore": op10_maxscore,
+        "pipeline": pipeline,
     }
 
 
