@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import gc
+import uuid
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
 
 
+def _folder(frame: DataFrame) -> str:
+    return frame.sparkSession.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that spark.checkpoint.dir names; one of our own where it names none."""
+    """Cuts the lineage in the folder that spark.checkpoint.dir names; one of our own where it names none. For small tables."""
     context = frame.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(frame.sparkSession.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR)
+        context.setCheckpointDir(_folder(frame))
     return frame.checkpoint()
 
 
+def saved(frame: DataFrame) -> DataFrame:
+    """Cuts the lineage by a Parquet table in the same folder, which is smaller than a checkpoint; deleted when the driver's JVM ends."""
+    spark, path = frame.sparkSession, f"{_folder(frame)}/{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def tidy(frame: DataFrame) -> None:
+    """Lets Spark's cleaner drop the shuffle files of steps that nothing refers to any more."""
+    gc.collect()
+    frame.sparkSession.sparkContext._jvm.System.gc()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: the smallest node reachable, for every node of the links. Repeated links and loops do no harm; no links give no rows."""
     edges = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
@@ -32,6 +54,3 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             return step.select("node", F.col("next").alias("component"))
         label = step.select("node", F.col("next").alias("component"))
 
-
-def empty_links(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "a long, b long")

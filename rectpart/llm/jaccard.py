@@ -58,6 +58,11 @@ def ordered_tokens(h: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return ranks[cell_of(h)] << np.uint64(56) | (h & np.uint64((1 << 56) - 1))
 
 
+def set_key(tokens: np.ndarray) -> bytes:
+    """128 bits of a set of tokens."""
+    return np.array([textops.mix(tokens).sum(), textops.mix(tokens ^ _STEPS).sum()], np.uint64).tobytes()
+
+
 def sketch(docs: DataFrame) -> np.ndarray:
     """Counts of all shingles of the corpus by cell, as ranks 0..255 (log scale)."""
 
@@ -85,27 +90,29 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """doc_id, n, key (16 bytes, the same for equal sets only), prefix (tokens, ascending, 8 bytes each) of every row."""
+    """doc_id, n, key (16 bytes, the same for equal sets only), group_key (the same for prefixes), prefix (tokens, ascending, 8 bytes each) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(ranks.astype(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = sent.value.astype(np.uint64)
         for batch in batches:
             data, offsets = textops.buffers(batch.column(1))
-            sizes, keys, prefixes = [], [], []
+            sizes, keys, group_keys, prefixes = [], [], [], []
             for i, j in textops.slices(offsets, SLICE_BYTES):
                 h, upto = shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 tokens = ordered_tokens(h, local)
                 for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
                     own = np.unique(tokens[a:b])
                     n = len(own)
-                    x = textops.mix(own)
+                    prefix = own[: n - -(-PART * n // WHOLE) + 1] if n else own
                     sizes.append(n)
-                    keys.append(np.array([x.sum(), textops.mix(x ^ _STEPS).sum()], np.uint64).tobytes())
-                    prefixes.append(own[: n - -(-PART * n // WHOLE) + 1].tobytes() if n else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.binary())], names=["doc_id", "n", "key", "prefix"])
+                    keys.append(set_key(own))
+                    group_keys.append(set_key(prefix))
+                    prefixes.append(prefix.tobytes())
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, group_keys, prefixes))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "group_key", "prefix"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, prefix binary")
+    return docs.mapInArrow(run, "doc_id long, n long, key binary, group_key binary, prefix binary")
 
 
 def postings_of(groups: DataFrame) -> DataFrame:
@@ -156,26 +163,27 @@ def _sizes_fit(x: Column, y: Column) -> Column:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest id reachable by links of similarity 0.8 or more.
 
-    Null text and texts without words have an empty set, link with nothing and are their own component. Equal sets always link. Rows that repeat with the same
-    id each give a row and link like others. A null id is left as it is and doesn't become a component's id unless alone. An empty table gives no
-    rows; other columns aren't read.
+    Null text and texts without words have an empty set, link with nothing and are their own component. Equal sets always link. Rows that repeat each give a row; of
+    rows with one id and different texts, the join looks at one text, and each keeps its own set's size. A null id links with nothing and its component is null.
+    An empty table gives no rows; other columns aren't read.
     """
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    sets = graph.checkpointed(document_sets(base, sketch(base)))
+    sets = graph.saved(document_sets(base, sketch(base)))
     full = sets.filter("n > 0 and doc_id is not null")
-    classes = full.groupBy("n", "key").agg(F.min("doc_id").alias("cid"), F.first("prefix").alias("prefix"))
+    classes = full.groupBy("n", "key").agg(F.min("doc_id").alias("cid"), F.first("group_key").alias("group_key"))
     # classes of one size and one prefix are a group, named by its smallest class
-    group_key = F.struct("n", F.xxhash64("prefix").alias("p"), F.md5("prefix").alias("q"))
-    grouped = classes.withColumn("g", group_key)
-    groups = grouped.groupBy("g").agg(F.min("cid").alias("gid"), F.first("prefix").alias("prefix"), F.count("*").alias("members"))
-    groups = groups.select("gid", F.col("g.n").alias("n"), "prefix", "members", "g")
-    members = graph.checkpointed(grouped.select("g", "cid").join(groups.filter("members > 1").select("g", "gid"), "g").select("gid", "cid"))
+    groups = classes.groupBy("n", "group_key").agg(F.min("cid").alias("gid"), F.count("*").alias("members"))
+    joint = groups.filter("members > 1").select("n", "group_key", "gid")
+    members = graph.checkpointed(classes.join(joint, ["n", "group_key"]).select("gid", "cid"))
     by_token = Window.partitionBy("token")
-    shared = graph.checkpointed(postings_of(groups).withColumn("times", F.count("*").over(by_token)).filter("times > 1").drop("times"))
+    chosen = full.join(groups.select("gid"), F.col("doc_id") == F.col("gid"), "left_semi").select(F.col("doc_id").alias("gid"), "n", "prefix")
+    shared = graph.saved(postings_of(chosen).withColumn("times", F.count("*").over(by_token)).filter("times > 1").drop("times"))
+    graph.tidy(shared)
     # texts of all classes that can be in a candidate pair
     wanted = shared.select("gid").distinct()
-    wanted = wanted.withColumnRenamed("gid", "cid").unionAll(members.select("cid")).unionAll(members.join(wanted, "gid").select("cid")).distinct()
-    texts = graph.checkpointed(base.join(wanted, base.doc_id == wanted.cid, "left_semi").groupBy(F.col("doc_id").alias("cid")).agg(F.first("text").alias("text")))
+    wanted = graph.checkpointed(wanted.withColumnRenamed("gid", "cid").unionAll(members.select("cid")).unionAll(members.join(wanted, "gid").select("cid")).distinct())
+    texts = graph.saved(base.join(wanted, base.doc_id == wanted.cid, "left_semi").groupBy(F.col("doc_id").alias("cid")).agg(F.first("text").alias("text")))
+    graph.tidy(texts)
 
     # first links: along each token's list and to its first group, and within groups
     order = Window.partitionBy("token").orderBy("n", "gid")
@@ -184,6 +192,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chained = chained.filter((F.col("o.g") != F.col("gid")) & _sizes_fit(F.col("n"), F.col("o.m"))).select(*_ordered(F.col("gid"), F.col("o.g")))
     inner = members.filter("gid != cid").select(*_ordered(F.col("gid"), F.col("cid")))
     tested = graph.checkpointed(verified(chained.unionAll(inner).distinct(), texts))
+    graph.tidy(tested)
     links = tested.filter("linked").select("a", "b")
     parts = graph.components(links)
 
@@ -194,7 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups_part = shared.join(parts, F.col("gid") == F.col("node"), "left").select("token", "gid", "n", "pos", label("gid").alias("part")).join(several, "gid", "left")
     rest = groups_part.withColumns({"low": F.coalesce("low", "part"), "high": F.coalesce("high", "part")}).drop("part")
     rest = rest.withColumns({"lowest": F.min("low").over(by_token), "highest": F.max("high").over(by_token)}).filter("lowest < highest").drop("lowest", "highest")
-    rest = graph.checkpointed(rest)
+    rest = graph.saved(rest)
     other = rest.select("token", *(F.col(c).alias(f"{c}_") for c in rest.columns if c != "token"))
     # with a common token at these places, at most so many can be common
     most = F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_")) + F.least("pos", "pos_")
@@ -208,8 +217,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     twin = within.select("gid", F.col("cid").alias("cid_"), F.col("part").alias("part_"))
     within = within.join(twin, "gid").filter("cid < cid_ and part != part_").select(F.col("cid").alias("a"), F.col("cid_").alias("b"))
     to_test = expanded.unionAll(within).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = verified(graph.checkpointed(to_test), texts).filter("linked").select("a", "b")
+    more = graph.checkpointed(verified(graph.checkpointed(to_test), texts).filter("linked").select("a", "b"))
     final = graph.components(links.unionAll(more))
+    graph.tidy(final)
 
     classed = full.select("doc_id", "n", "key").join(classes.select("n", "key", "cid"), ["n", "key"]).join(final, F.col("cid") == F.col("node"), "left")
     linked = classed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cid").alias("component_id"))

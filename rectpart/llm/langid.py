@@ -162,10 +162,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
 
     Null or empty texts and null languages are left out; without any, no language is learned and every prediction is `und`.
     """
-    picked = docs.filter(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0)).select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("y"))
-    n, step = F.octet_length("t"), F.greatest(F.lit(0), F.octet_length("t") - WINDOW)
-    cut = [F.substring(F.col("t").cast("binary"), (step * F.lit(i) / F.lit(max(1, SAMPLE_WINDOWS - 1))).cast("int") + 1, F.lit(WINDOW)).alias(f"w{i}") for i in range(SAMPLE_WINDOWS)]
-    rows = picked.orderBy(F.xxhash64("k"), "k", "t").limit(SAMPLE_ROWS).select("y", n.alias("n"), *cut).collect()
+    known = docs.filter(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0))
+    # the ids are picked without their texts, and of the texts only the windows move
+    keys = known.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("k")).orderBy("h", "k").limit(SAMPLE_ROWS).collect()
+    few = docs.sparkSession.createDataFrame([(k,) for k in {r.k for r in keys}], "k long")
+    n, step = F.octet_length(text_col), F.greatest(F.lit(0), F.octet_length(text_col) - WINDOW)
+    cut = [F.substring(F.col(text_col).cast("binary"), (step * F.lit(i) / F.lit(max(1, SAMPLE_WINDOWS - 1))).cast("int") + 1, F.lit(WINDOW)).alias(f"w{i}") for i in range(SAMPLE_WINDOWS)]
+    rows = known.join(F.broadcast(few), F.col(id_col) == F.col("k")).select("k", F.col(lang_col).alias("y"), n.alias("n"), *cut).collect()
+    rows = sorted(rows, key=lambda r: (r.k, r.y, r.n, bytes(r.w0)))[: 2 * SAMPLE_ROWS]
     if not rows:
         return Model([], np.zeros((2, 256, 3 * HIDDEN), np.float32), np.zeros((2, HIDDEN, 3 * HIDDEN), np.float32), np.zeros((2 * HIDDEN, 0), np.float32), np.zeros(0, np.float32))
     langs = sorted({r.y for r in rows})

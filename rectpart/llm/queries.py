@@ -20,7 +20,7 @@ def fold(n: int) -> Column:
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.train(docs.filter(fold(4) != 2).join(labels.select("doc_id", "toxic"), "doc_id"))
+    model = toxicity.train(docs, labels.filter(fold(4) != 2))
     scored = toxicity.score_documents(docs, model)
     return scored.select("doc_id", (fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

@@ -20,7 +20,7 @@ from rectpart.llm import textops
 SIZES = (3, 4, 5)
 BITS = 22
 #: Bounds of the fit: labelled documents that are collected, characters of them, and features that are kept.
-SAMPLE_ROWS, SAMPLE_CHARS, FEATURES = 8_000, 30_000_000, 6_000
+SAMPLE_ROWS, SAMPLE_CHARS, LONGEST_CHARS, FEATURES = 8_000, 30_000_000, 50_000, 6_000
 SLICE_BYTES = 1 << 20
 
 
@@ -109,22 +109,25 @@ def scores(model: Model, texts: list[str | None], place: np.ndarray) -> np.ndarr
     return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Model:
-    """Fits on the SAMPLE_ROWS labelled rows whose ids have the smallest hashes, and of these on the first SAMPLE_CHARS characters' worth of whole texts.
+def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Model:
+    """Fits on the labelled documents with the smallest hashes of their ids: SAMPLE_ROWS of them, and of these as many whole texts, in that order, as fit SAMPLE_CHARS characters.
 
-    Rows with a null label are left out, null texts count as empty; no labelled rows: a score of 0.5.
+    Texts of over LONGEST_CHARS characters aren't learned from. Null labels are left out, null texts count as empty; no labelled rows: a score of 0.5. The ids are
+    picked without their texts, so the texts of the sample alone move.
     """
-    picked = labelled.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(label_col).cast("double").alias("y"))
-    order = [F.xxhash64("k"), "k", "t"]
-    n = picked.select("k", F.char_length("t").alias("n"), "t", "y").orderBy(*order).limit(SAMPLE_ROWS)
-    texts, labels, chars = [], [], 0
-    for row in n.toLocalIterator(prefetchPartitions=False):
-        chars += row.n or 0
+    known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(label_col).cast("double").alias("y"))
+    picked = known.join(docs.select(F.col(id_col).alias("k")), "k", "left_semi").withColumn("h", F.xxhash64("k")).orderBy("h", "k", "y").limit(SAMPLE_ROWS).collect()
+    few = docs.sparkSession.createDataFrame([(r.k, r.y, r.h) for r in picked], "k long, y double, h long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.filter(F.char_length(text) <= LONGEST_CHARS).join(F.broadcast(few), F.col(id_col) == F.col("k")).select("h", "k", text.alias("t"), "y").collect()
+    texts, ys, chars = [], [], 0
+    for r in sorted(rows, key=lambda r: (r.h, r.k, r.t, r.y)):
+        chars += len(r.t)
         if chars > SAMPLE_CHARS and texts:
             break
-        texts.append(row.t)
-        labels.append(row.y)
-    return fit(texts, np.array(labels))
+        texts.append(r.t)
+        ys.append(r.y)
+    return fit(texts, np.array(ys))
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
