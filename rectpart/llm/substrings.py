@@ -7,12 +7,12 @@ anchors, so suffixes need comparing only within an anchor's group:
 1. Documents are dealt into batches of about BATCH_BYTES. Each batch sends its distinct anchors, packed by bucket.
 2. Buckets answer which anchors occur in two documents; all others can't be in a repeated string.
 3. Batches send the distinct stretches of repeated anchors (bytes, least document id).
-4. Buckets group the suffixes of these stretches by their first SPAN bytes and answer, for each stretch, which windows start in a smaller document.
+4. Buckets order the suffixes of each anchor's stretches by linear grouping over Lyndon prefixes (``suffixes``), take neighbours with the same first SPAN bytes as
+   one group, and answer, for each stretch, which windows start in a smaller document. Beforehand, equal stretches become one, and what lies outside
+   a stretch's first and last window whose fingerprint comes twice is left out: it can't be in a group of two.
 5. Batches add up the covered bytes of each document.
 
 Copies cost one stretch a batch, whatever their number, so that no group grows with a hot passage. The batches' exchange is used three times.
-
-Why the groups aren't ordered by a Lyndon-prefix construction: see ``suffix_array`` and the README's figures.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rectpart.llm import textops
+from rectpart.llm import suffixes, textops
 
 SPAN, GRAM = 50, 16
 #: Bytes of text in a batch, and about how many anchors a bucket should get.
@@ -32,11 +32,6 @@ BATCH_BYTES, BUCKET_ANCHORS, LEAST_BUCKETS = 1_500_000, 2_000_000, 128
 _ALL = np.uint64(2**64 - 1)
 
 
-def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """first[0], first[0]+1, ... (n[0] of them), first[1], ..."""
-    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-
 def _least(a: np.ndarray, n: int) -> np.ndarray:
     """Minimum over each n neighbours."""
     size, out = 1, a
@@ -51,8 +46,7 @@ class Batch:
 
     def __init__(self, table: pa.Table, buckets: int):
         self.doc_ids = table["doc_id"]
-        ids = self.doc_ids.to_numpy().astype(float) if self.doc_ids.null_count else self.doc_ids.to_numpy()
-        self.ids = np.where(np.isnan(ids), np.iinfo(np.int64).max, ids).astype(np.int64) if self.doc_ids.null_count else ids
+        self.ids = self.doc_ids.fill_null(np.iinfo(np.int64).max).to_numpy()
         self.data, self.offsets = textops.buffers(table["text"])
         self.prefix = textops.prefix_hash(self.data)
         n = len(self.data)
@@ -111,7 +105,7 @@ class Batch:
         np.add.at(edge, self.start[whole], 1)
         np.add.at(edge, self.start[whole] + self.count[whole] + SPAN - 1, -1)
         part = np.flatnonzero(~whole & (masks[self.entry] != 0))
-        window, n = _ranges(np.zeros(len(part), np.int64), self.count[part]), self.count[part]
+        window, n = suffixes.ranges(np.zeros(len(part), np.int64), self.count[part]), self.count[part]
         hit = (np.repeat(masks[self.entry[part]], n) >> window.astype(np.uint64) & np.uint64(1)).astype(bool)
         at = (np.repeat(self.start[part], n) + window)[hit]
         np.add.at(edge, at, 1)
@@ -134,24 +128,41 @@ def resolve(keys: np.ndarray, counts: np.ndarray, docs: np.ndarray, content: np.
     firsts = order[new]
     masks = np.zeros(len(keys), np.uint64)
     masks[order[docs[order] > docs[firsts][distinct]]] = _ALL
-    # suffix groups: the windows of anchors with two different stretches, by their first SPAN bytes
+    # candidates: of anchors with two different stretches, the runs from the first to the last window whose fingerprint comes twice
     of_key = np.cumsum(new_key)[new] - 1
-    several = firsts[(np.bincount(of_key) > 1)[of_key]]
+    several = firsts[(np.bincount(of_key) > 1)[of_key]] if len(firsts) else firsts
     n = counts[several]
-    at = _ranges(start[several], n)
-    group = textops.span_hash(prefix, at, at + SPAN)
-    owner = np.repeat(docs[several], n)
-    order = np.lexsort((owner, group))
-    g = group[order]
-    least = owner[order][np.maximum.accumulate(np.where(np.concatenate([[True], g[1:] != g[:-1]]), np.arange(len(g)), 0))] if len(g) else owner
-    bit = np.zeros(len(at), np.uint64)
-    bit[order] = (least < owner[order]).astype(np.uint64)
-    bit <<= _ranges(np.zeros(len(n), np.int64), n).astype(np.uint64)
-    if len(several):
-        masks[several] |= np.bitwise_or.reduceat(bit, np.cumsum(n) - n)
+    at = suffixes.ranges(start[several], n)
+    _, which, times = np.unique(textops.span_hash(prefix, at, at + SPAN), return_inverse=True, return_counts=True)
+    again = np.flatnonzero(times[which] > 1)
+    owner = np.repeat(np.arange(len(several)), n)[again]
+    begin, length = suffixes.runs(owner)
+    low, high = at[again[begin]], at[again[begin + length - 1]]
+    _, of_set = np.unique(keys[several[owner[begin]]], return_inverse=True)
+    # the order of all suffixes of an anchor's runs; neighbours in it with the same first SPAN bytes are one group
+    order = suffixes.suffix_order(content, low, high - low + SPAN, of_set)
+    ends = np.zeros(len(content) + 1, np.int64)
+    ends[suffixes.ranges(low, high - low + SPAN)] = np.repeat(high + SPAN, high - low + SPAN)
+    order = order[order + SPAN <= ends[order]]
+    group = np.cumsum(_differ(content, order)) - 1
+    stretch = np.searchsorted(start, order, "right") - 1
+    least = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
+    np.minimum.at(least, group, docs[stretch])
+    hit = least[group] < docs[stretch]
+    np.bitwise_or.at(masks, stretch[hit], np.uint64(1) << (order[hit] - start[stretch[hit]]).astype(np.uint64))
     return masks
 
 
+def _differ(content: np.ndarray, at: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """Of each window, whether its bytes are others than those of the one before it; the first is True."""
+    out = np.ones(len(at), bool)
+    for i in range(1, len(at), block):
+        k = np.arange(i, min(len(at), i + block))
+        two = content[at[k[0] - 1 : k[-1] + 1, None] + np.arange(SPAN)]
+        out[k] = (two[1:] != two[:-1]).any(1)
+    return out
+
+
 def _six(keys: np.ndarray) -> bytes:
     return np.ascontiguousarray((keys & ((1 << 48) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
@@ -215,7 +226,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for bucket in np.unique(x.entry_bucket).tolist():
             a, b = np.searchsorted(x.entry_bucket, [bucket, bucket + 1])
             k = x.first[a:b]
-            content = x.data[_ranges(x.start[k], x.count[k] + SPAN - 1)]
+            content = x.data[suffixes.ranges(x.start[k], x.count[k] + SPAN - 1)]
             rows.append((batch, bucket, _six(x.code[k]), x.count[k].astype(np.uint8).tobytes(), x.ids[x.doc[k]].astype("<i8").tobytes(), content.tobytes()))
         return _table(_STRETCHES, rows)
 

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from rectpart.llm import jaccard, substrings, textops
+from rectpart.llm import jaccard, substrings, suffixes, textops
 
 SCHEMA = "doc_id long, text string, kept string, row string"  # extra columns with clashing names
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -83,6 +83,33 @@ def test_least_of_neighbours(values, n):
         assert substrings._least(a, n).tolist() == [int(a[i : i + n].min()) for i in range(len(a) - n + 1)]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.text("ab\x00", max_size=40)), max_size=8))
+def test_suffix_order(strings):
+    strings = sorted(strings, key=lambda x: x[0])
+    size = np.array([len(t) for _, t in strings], np.int64)
+    raw, start = "".join(t for _, t in strings).encode(), np.cumsum(size) - size
+    got = suffixes.suffix_order(np.frombuffer(raw, np.uint8), start, size, np.array([k for k, _ in strings], np.int64))
+    want = sorted((k, raw[p : a + n], a, p) for (k, _), a, n in zip(strings, start.tolist(), size.tolist()) for p in range(a, a + n))
+    assert got.tolist() == [p for *_, p in want]
+
+
+def test_resolve_takes_the_smallest_document():
+    """Stretches of one anchor that share windows at different places, one of them repeated within itself."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(97, 123, 84).astype(np.uint8)
+    parts = [(7, base[:70]), (3, base[5:80]), (9, base[10:84]), (3, base[20:75]), (1, rng.integers(97, 123, 60).astype(np.uint8)), (2, np.full(60, 97, np.uint8))]
+    content, counts = np.concatenate([b for _, b in parts]), np.array([len(b) - substrings.SPAN + 1 for _, b in parts])
+    masks = substrings.resolve(np.zeros(len(parts), np.int64), counts, np.array([d for d, _ in parts]), content)
+    first = {}
+    for d, b in parts:
+        for i in range(len(b) - substrings.SPAN + 1):
+            w = b[i : i + substrings.SPAN].tobytes()
+            first[w] = min(d, first.get(w, d))
+    want = [sum((first[b[i : i + substrings.SPAN].tobytes()] < d) << i for i in range(len(b) - substrings.SPAN + 1)) for d, b in parts]
+    assert masks.tolist() == want
+
+
 def shingles(text):
     w = WORD.findall((text or "").translate(LOW))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
