@@ -3,7 +3,8 @@
 1. Every document becomes the set of hashes of its 5-word shingles, in one order for all: rare ones first, by counts in a fixed-size sketch of the whole
    corpus, then by hash. Equal sets are one class.
 2. Two sets that link share one of their first n - ceil(0.8 n) + 1 shingles (the prefix). Classes with the same size and prefix are one group.
-3. Groups that share a prefix shingle are candidates if their sizes allow the similarity, and their first common shingle stands early enough in both.
+3. Groups that share a prefix shingle are candidates if their sizes allow the similarity, the shingle stands early enough in both to be the first common one of
+   linked sets, and the parity bitmaps of two single classes differ in no more places than linked sets can.
 4. Candidate pairs are expanded to classes and verified on their whole sets.
 
 Links only matter for components. So each shingle's list of groups is first linked along its order and to its first group; pairs in one component by then need no
@@ -13,6 +14,8 @@ test. All other pairs are then tested, without exception: only pairs that are al
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,9 @@ PART, WHOLE = 4, 5
 #: Counters of the sketch: 4 bytes each, the same for every corpus; sent to the executors.
 SKETCH_BITS, SKETCH_BLOCKS = 20, 32
 SLICE_BYTES = 1 << 20
+#: 64-bit words of a set's parity bitmap.
+BITMAP_WORDS = 8
+BITMAP = [f"bits{i}" for i in range(BITMAP_WORDS)]
 _STEPS = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,6 +69,12 @@ def set_key(tokens: np.ndarray) -> bytes:
     return np.array([textops.mix(tokens).sum(), textops.mix(tokens ^ _STEPS).sum()], np.uint64).tobytes()
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Of each bit, whether an odd number of tokens falls on it. Two sets differ in at least as many tokens as their bitmaps do in bits."""
+    odd = np.bincount((textops.mix(tokens) % np.uint64(64 * BITMAP_WORDS)).astype(np.int64), minlength=64 * BITMAP_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def sketch(docs: DataFrame) -> np.ndarray:
     """Counts of all shingles of the corpus by cell, as ranks 0..255 (log scale)."""
 
@@ -77,11 +89,11 @@ def sketch(docs: DataFrame) -> np.ndarray:
             parts = [x.astype("<i8").tobytes() for x in np.split(total, SKETCH_BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=["block", "counts"])
 
-    def add(table: pa.Table) -> pa.Table:
+    def total_of(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x, "<i8") for x in table["counts"].to_pylist())
         return pa.table({"block": table["block"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
-    rows = docs.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
+    rows = docs.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(total_of, "block int, counts binary").collect()
     counts = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS))
     for r in rows:
         counts[r.block] = np.frombuffer(r.counts, "<i8")
@@ -90,14 +102,14 @@ def sketch(docs: DataFrame) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """doc_id, n, key (16 bytes, the same for equal sets only), group_key (the same for prefixes), prefix (tokens, ascending, 8 bytes each) of every row."""
+    """doc_id, n, key (16 bytes, the same for equal sets only), group_key (the same for prefixes), prefix (tokens, ascending, 8 bytes each), bitmap words of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(ranks.astype(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = sent.value.astype(np.uint64)
         for batch in batches:
             data, offsets = textops.buffers(batch.column(1))
-            sizes, keys, group_keys, prefixes = [], [], [], []
+            sizes, keys, group_keys, prefixes, maps = [], [], [], [], [np.zeros((0, BITMAP_WORDS), np.int64)]
             for i, j in textops.slices(offsets, SLICE_BYTES):
                 h, upto = shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 tokens = ordered_tokens(h, local)
@@ -109,10 +121,11 @@ def document_sets(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                     keys.append(set_key(own))
                     group_keys.append(set_key(prefix))
                     prefixes.append(prefix.tobytes())
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, group_keys, prefixes))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "group_key", "prefix"])
+                    maps.append(bitmap(own)[None])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, group_keys, prefixes)), *map(pa.array, np.concatenate(maps).T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "group_key", "prefix", *BITMAP])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, group_key binary, prefix binary")
+    return docs.mapInArrow(run, "doc_id long, n long, key binary, group_key binary, prefix binary, " + ", ".join(f"{b} long" for b in BITMAP))
 
 
 def postings_of(groups: DataFrame) -> DataFrame:
@@ -201,15 +214,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member_parts = members.join(parts, F.col("cid") == F.col("node"), "left").select("gid", "cid", label("cid").alias("part"))
     several = member_parts.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     groups_part = shared.join(parts, F.col("gid") == F.col("node"), "left").select("token", "gid", "n", "pos", label("gid").alias("part")).join(several, "gid", "left")
-    rest = groups_part.withColumns({"low": F.coalesce("low", "part"), "high": F.coalesce("high", "part")}).drop("part")
+    rest = groups_part.withColumns({"single": F.col("low").isNull(), "low": F.coalesce("low", "part"), "high": F.coalesce("high", "part")}).drop("part")
     rest = rest.withColumns({"lowest": F.min("low").over(by_token), "highest": F.max("high").over(by_token)}).filter("lowest < highest").drop("lowest", "highest")
-    rest = graph.saved(rest)
+    bitmaps = full.select(F.col("doc_id").alias("gid"), *BITMAP).dropDuplicates(["gid"])
+    rest = graph.saved(rest.join(bitmaps, "gid"))
     other = rest.select("token", *(F.col(c).alias(f"{c}_") for c in rest.columns if c != "token"))
-    # with a common token at these places, at most so many can be common
-    most = F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_")) + F.least("pos", "pos_")
+    # if this is the first common token, at most so many can be common; a linked pair passes at its first one
+    most = F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_"))
     needed = (F.col("n") + F.col("n_")) * PART <= most * (PART + WHOLE)
+    # n + n_ - 2 * common <= (WHOLE - PART) / (WHOLE + PART) * (n + n_) for linked sets; a group of several classes has no bitmap of its own
+    apart = reduce(add, (F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_"))) for b in BITMAP))
+    near = ~F.col("single") | ~F.col("single_") | (apart * (WHOLE + PART) <= (F.col("n") + F.col("n_")) * (WHOLE - PART))
     open_ = ~((F.col("low") == F.col("high")) & (F.col("low_") == F.col("high_")) & (F.col("low") == F.col("low_")))
-    crossing = rest.join(other, (rest.token == other.token) & (F.col("gid") < F.col("gid_")) & _sizes_fit(F.col("n"), F.col("n_")) & needed & open_).select("gid", "gid_").distinct()
+    crossing = rest.join(other, (rest.token == other.token) & (F.col("gid") < F.col("gid_")) & _sizes_fit(F.col("n"), F.col("n_")) & needed & open_ & near).select("gid", "gid_").distinct()
     one = members.select(F.col("gid").alias("m1"), F.col("cid").alias("c1"))
     two = members.select(F.col("gid").alias("m2"), F.col("cid").alias("c2"))
     expanded = crossing.join(one, F.col("gid") == F.col("m1"), "left").join(two, F.col("gid_") == F.col("m2"), "left").select(*_ordered(F.coalesce("c1", "gid"), F.coalesce("c2", "gid_")))

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -138,6 +139,26 @@ def test_near_duplicates(spark, seed):
     assert got == components_brute(docs)
 
 
+def test_near_duplicates_of_many_near_copies(spark):
+    """A large group of which only some pairs link, so that later candidates count; the bitmaps never differ in more bits than the sets do in shingles."""
+    rng = np.random.default_rng(8)
+    base, docs = words_like(rng, 150, 10**6).split(), {}
+    for k in range(120):
+        own = list(base)
+        for at in rng.integers(0, len(own), int(rng.integers(1, 9))):
+            own[int(at)] = f"z{int(rng.integers(0, 3))}"
+        docs[k] = " ".join(own)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame(spark, docs)).collect()}
+    assert got == components_brute(docs)
+    sets = []
+    for k in range(20):
+        sets.append(np.unique(jaccard.shingle_hashes(*textops.buffers(pa.array([docs[k]])))[0]))
+    for a in sets:
+        for b in sets:
+            bits = np.unpackbits((jaccard.bitmap(a) ^ jaccard.bitmap(b)).view(np.uint8)).sum()
+            assert bits <= len(np.setxor1d(a, b))
+
+
 def test_near_duplicates_on_the_border(spark):
     """Sets of 9 with 8 in common link at 0.8 = 8 / 10; of 8 with 7 in common they don't."""
     rng = np.random.default_rng(4)
