@@ -36,7 +36,7 @@ def hashed(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     pad = "\0" * (max(SIZES) - 1)
     texts = [(t or "").lower() for t in texts]
     codes = np.frombuffer((pad + pad.join(texts) + pad).encode("utf-32-le", "surrogatepass"), np.uint32)
-    ends = np.cumsum([len(t) + len(pad) for t in texts]) + len(pad)
+    ends = np.cumsum([len(t) + len(pad) for t in texts])  # n-grams that begin in the padding before a text are that text's
     h = codes.copy()
     for n in range(2, max(SIZES) + 1):
         h = h[:-1] * np.uint32(0x01000193) + codes[n - 1 :]
