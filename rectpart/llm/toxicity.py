@@ -48,6 +48,17 @@ def hashed(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield x, ends
 
 
+def occurring(texts: list[str | None], step: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row and hash of every n-gram that occurs in a row, once, a few rows at a time; made anew in each pass, as they take more memory than the texts."""
+    for at in range(0, len(texts), step):
+        part = []
+        for x, ends in hashed(texts[at : at + step]):
+            row = np.searchsorted(ends, np.arange(len(x)), "right")
+            part.append(np.minimum(row, len(ends) - 1).astype(np.uint64) << np.uint64(32) | x)
+        distinct = np.unique(np.concatenate(part))
+        yield (distinct >> np.uint64(32)).astype(np.int32) + at, distinct.astype(np.uint32)
+
+
 def fit(texts: list[str | None], labels: np.ndarray, l2: float = 2.0, steps: int = 300) -> Model:
     """labels: 0 or 1. Without both classes among them the score is the share of ones everywhere."""
     y = np.asarray(labels, float)
@@ -55,18 +66,10 @@ def fit(texts: list[str | None], labels: np.ndarray, l2: float = 2.0, steps: int
     flat = Model(np.zeros(0, np.uint32), np.zeros(0), float(np.log(prior / (1 - prior))))
     if not 0 < y.sum() < len(y):
         return flat
-    pairs, with_it = [], np.zeros((2, 1 << BITS), np.int32)
-    step = 256
-    for at in range(0, len(texts), step):
-        part = []
-        for x, ends in hashed(texts[at : at + step]):
-            row = np.searchsorted(ends, np.arange(len(x)), "right")
-            part.append(np.minimum(row, len(ends) - 1).astype(np.uint64) << np.uint64(32) | x)
-        distinct = np.unique(np.concatenate(part))
-        row, x = (distinct >> np.uint64(32)).astype(np.int32) + at, distinct.astype(np.uint32)
+    with_it = np.zeros((2, 1 << BITS), np.int32)
+    for row, x in occurring(texts):
         for c in (0, 1):
             with_it[c] += np.bincount(x[y[row] == c], minlength=1 << BITS).astype(np.int32)
-        pairs.append((row, x))
     ones, zeros = y.sum(), len(y) - y.sum()
     p, q = (with_it[1] + 1) / (ones + 2), (with_it[0] + 1) / (zeros + 2)
     ratio = np.log(p / q)
@@ -75,8 +78,8 @@ def fit(texts: list[str | None], labels: np.ndarray, l2: float = 2.0, steps: int
     features = np.sort(np.argsort(-evidence, kind="stable")[: min(FEATURES, np.count_nonzero(evidence))]).astype(np.uint32)
     place = np.full(1 << BITS, -1, np.int32)
     place[features] = np.arange(len(features))
-    rows = np.concatenate([r[place[x] >= 0] for r, x in pairs])
-    cols = np.concatenate([place[x[place[x] >= 0]] for _, x in pairs])
+    kept = [(row[place[x] >= 0], place[x[place[x] >= 0]]) for row, x in occurring(texts)]
+    rows, cols = (np.concatenate(c) for c in zip(*kept, strict=True))
     r = ratio[features]
     values = r[cols]
     # logistic regression by accelerated gradient steps; the curvature bound by power iteration
