@@ -2,8 +2,9 @@
 
 Markup is stripped and every block element starts a line. Lines of menus, headers, footers, sidebars, notices, adverts, forms and comments,
 known by their elements or by the names of their classes and ids, and lines that are mostly links have no weight. Over a sliding window of
-WINDOW lines the weights (characters) are summed: the text surges where the sum reaches a share of its peak and dives where
-it falls to nothing. What lies between a surge and its dive is kept.
+WINDOW lines the weights (characters) are summed: a stretch begins where the sum rises from nothing and ends where it dives to nothing again, and
+it is text if the sum surges to SURGE in between, or to the page's peak if that is less. Lines with weight in such a stretch are kept. Lines in an article or main element weigh SURGE
+more, so that they always surge; text elsewhere on the page is chosen in the same way.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Lines in a window, and the share of the highest window sum that makes a surge.
-WINDOW, SURGE_SHARE = 3, 0.05
+#: Lines in a window, and the window sum (characters) that makes a surge.
+WINDOW, SURGE = 3, 25
 
 # Elements of HTML by what they mean here.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -90,31 +91,23 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, float]]:
 def main_text(page: str | None) -> str:
     """The main text: its blocks in page order, joined by two line feeds; empty if there is none."""
     lines = lines_of(page or "")
-    if any(main and not aside for _, aside, main, _ in lines):
-        lines = [(t, aside or not main, main, share) for t, aside, main, share in lines]
-        share_of_peak = 0.0
-    else:
-        share_of_peak = SURGE_SHARE
-    weight = [0 if aside or share > 0.5 else len(t) for t, aside, _, share in lines]
+    weight = [0 if aside or share > 0.5 else len(t) + SURGE * main for t, aside, main, share in lines]
     n = len(weight)
     upto = [0]
     for w in weight:
         upto.append(upto[-1] + w)
     half = WINDOW // 2
     sums = [upto[min(n, i + half + 1)] - upto[max(0, i - half)] for i in range(n)]
-    surge = max(1.0, share_of_peak * max(sums, default=0))
+    surge = min(SURGE, max(sums, default=0))
     kept: list[str] = []
     i = 0
     while i < n:
-        if not weight[i]:
-            i += 1
-            continue
         j = i
-        while j < n and weight[j]:
-            j += 1  # a dive: the next line has no weight
-        if max(sums[i:j]) >= surge:
-            kept += [t for t, *_ in lines[i:j]]
-        i = j
+        while j < n and sums[j]:
+            j += 1  # up to the dive
+        if j > i and max(sums[i:j]) >= surge:
+            kept += [t for (t, *_), w in zip(lines[i:j], weight[i:j], strict=True) if w]
+        i = max(j, i + 1)
     return "\n\n".join(kept)
 
 

@@ -106,6 +106,13 @@ def test_main_text():
     assert html.main_text("just text") == "just text" and html.main_text("<p>cut off <b") .startswith("cut off")
 
 
+def test_main_text_beside_a_teaser():
+    """The windows choose the text on pages with an article, too: a teaser in an <article> doesn't replace a plain div's text."""
+    story = "".join(f"<p>Paragraph {k} of the story, which stands in a plain div.</p>" for k in range(5))
+    page = f"<body><nav><a href='/'>Home</a></nav><div>{story}</div><nav><a href='/1'>One</a></nav>{'<nav>x</nav>' * 3}<article><h2>Teaser</h2></article>{'<nav>x</nav>' * 3}<p>Hi.</p></body>"
+    assert html.main_text(page) == "\n\n".join([*(f"Paragraph {k} of the story, which stands in a plain div." for k in range(5)), "Teaser"])
+
+
 def test_pages(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, "t"), (3, "v", "<p>" + "long " * 50_000, "t")], "page_id long, url string, html string, text string")
     got = html.extract_pages(rows).collect()
