@@ -1,7 +1,8 @@
 """Main text of web pages by the distribution of text over lines.
 
 Markup is stripped and every block element starts a line. Lines of menus, headers, footers, sidebars, notices, adverts, forms and comments,
-known by their elements or by the names of their classes and ids, and lines that are mostly links have no weight. Over a sliding window of
+known by their elements or by their classes and ids as whole tokens, and lines outside an article that are mostly links have no weight. A form with most of the page's text, and
+an aside around an article with more text than the rest of the page, don't count. Over a sliding window of
 WINDOW lines the weights (characters) are summed: a stretch begins where the sum rises from nothing and ends where it dives to nothing again, and
 it is text if the sum surges to SURGE in between, or to the page's peak if that is less. Lines with weight in such a stretch are kept. Lines in an article or main element weigh SURGE
 more, so that they always surge; text elsewhere on the page is chosen in the same way.
@@ -22,35 +23,49 @@ WINDOW, SURGE = 3, 25
 # Elements of HTML by what they mean here.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed frame hr img input keygen link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|textarea|select|svg|math|object|canvas|title|button"
-ASIDE = frozenset("nav header footer aside form menu dialog fieldset head".split())
+RAW = "script|style|noscript|template|iframe|textarea|select|object|canvas|title|desc|metadata|annotation-xml|annotation"
+#: Dropped elements that end a line; the others stand within one.
+SPLITS = ("iframe", "textarea", "select", "object", "canvas")
+ASIDE = frozenset("nav header footer aside menu dialog head".split())
+FORMS = frozenset(("form", "fieldset"))
 MAIN = frozenset(("article", "main"))
-_NAMES = re.compile(
-    r"(?:^|[\s_\-])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|copyright|sidebar|aside|widget|related|recommended|ads?|adv|advert|advertisement|banner|sponsored|promo|promotion|"
-    r"cookies?|consent|gdpr|notice|notices|alert|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|comments?|commentlist|disqus|replies|reply|respond|pagination|pager|tags|toolbar|search)(?:$|[\s_\-])",
-    re.I,
-)
-_DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))", re.I | re.S)
+_NAMES = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer copyright sidebar aside widget widgets related recommended ad ads adv advert advertisement banner sponsored promo promotion "
+    "cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup login share sharing social comment comments commentlist disqus replies reply respond pagination pager tags toolbar search".split()
+)
+#: Words that may stand beside a name in a token, as in site-header; any other, as in has-sidebar or entry-header, makes it no aside.
+_BESIDE = frozenset("site global main primary secondary top bottom left right box bar list links section area wrap wrapper container block inner form buttons icons item items posts".split())
+_DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))", re.I | re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/][^>]*>")
 _NAMED = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _ROLES = re.compile(r"(?:^|\s)(?:navigation|banner|contentinfo|complementary|search|alert|dialog)(?:$|\s)", re.I)
 
 
+def names_aside(named: str, main: bool) -> bool:
+    """Whether a token of classes and ids means an aside by all its words. An article's header is its own heading."""
+    for token in named.lower().split():
+        words = [x for x in re.split(r"[-_\d]+", token) if x]
+        if not (_NAMES.isdisjoint(words) or (main and "header" in words)) and all(x in _NAMES or x in _BESIDE for x in words):
+            return True
+    return False
+
+
 def lines_of(page: str) -> list[tuple[str, bool, bool, float]]:
     """Text, whether it stands in an aside, whether in the main element, and share of link text of each line that isn't blank."""
-    page = _DROP.sub(lambda m: " " if m[0].startswith("<!") else "<hr>", page)
-    out: list[tuple[str, bool, bool, float]] = []
-    stack: list[tuple[str, bool, bool]] = []
+    page = _DROP.sub(lambda m: "<hr>" if (m[1] or "").lower() in SPLITS else " ", page)
+    out: list[tuple[str, bool, bool, bool, int, float]] = []
+    # of each open block: whether it's an aside outside of an article, inside of one, whether in the main element, and the number of its form
+    stack: list[tuple[str, bool, bool, bool, int]] = []
     text: list[str] = []
-    linked = at = 0
+    linked = at = forms = 0
     in_link = False
 
     def end_line() -> None:
         nonlocal linked
         line = " ".join(entities.unescape("".join(text)).split())
         if line:
-            aside, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append((line, aside, main, min(1.0, linked / len(line))))
+            around, aside, main, form = stack[-1][1:] if stack else (False, False, False, 0)
+            out.append((line, around, aside, main, form, min(1.0, linked / len(line))))
         text.clear()
         linked = 0
 
@@ -60,7 +75,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, float]]:
         text.append(piece)
         linked += len(piece.strip()) if in_link else 0
         name = (m[2] or "").lower()
-        if name == "a":
+        if name in ("a", "button"):
             in_link = not m[1]
         elif name == "br":
             text.append(" ")
@@ -77,21 +92,43 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, float]]:
         else:
             if name in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
                 stack.pop()  # their end tags may be left out
-            aside, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            around, aside, main, form = stack[-1][1:] if stack else (False, False, False, 0)
             named = " ".join(a or b or c for a, b, c in _NAMED.findall(m[3] or ""))
-            main = main or name in MAIN
+            if name in MAIN and not main:
+                # the page's main element lies in no aside; a form around an article holds more than controls
+                main, around, form = True, around and name != "main", 0
             inner = name in ("header", "footer") and main  # an article's own heading
-            aside = aside or (name in ASIDE and not inner) or bool(named and name not in ("body", "html", "article", "main") and (_NAMES.search(named) or _ROLES.search(named)))
-            stack.append((name, aside, main))
+            if (name in ASIDE and not inner) or bool(named and name not in ("body", "html", "article", "main") and (names_aside(named, main) or _ROLES.search(named))):
+                around, aside = around or not main, aside or main
+            if name in FORMS and not form:
+                forms += 1
+                form = forms
+            stack.append((name, around, aside, main, form))
     text.append(page[at:])
     end_line()
-    return out
+    return _weighed(out)
+
+
+def _weighed(lines: list[tuple[str, bool, bool, bool, int, float]]) -> list[tuple[str, bool, bool, float]]:
+    """Settles which forms and which asides around an article count as asides."""
+    held: dict[int, int] = {}
+    swallowed = 0
+    for line, around, aside, main, form, _ in lines:
+        if not aside:
+            if around:
+                swallowed += len(line) * main
+            else:
+                held[form] = held.get(form, 0) + len(line)
+    most = sum(held.values()) / 2
+    wide = {0, *(f for f, n in held.items() if n > most)}
+    freed = swallowed > sum(n for f, n in held.items() if f in wide)
+    return [(line, aside or (around and not (freed and main)) or form not in wide, main, share) for line, around, aside, main, form, share in lines]
 
 
 def main_text(page: str | None) -> str:
     """The main text: its blocks in page order, joined by two line feeds; empty if there is none."""
     lines = lines_of(page or "")
-    weight = [0 if aside or share > 0.5 else len(t) + SURGE * main for t, aside, main, share in lines]
+    weight = [0 if aside or (share > 0.5 and not main) else len(t) + SURGE * main for t, aside, main, share in lines]
     n = len(weight)
     upto = [0]
     for w in weight:

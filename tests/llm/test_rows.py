@@ -113,6 +113,29 @@ def test_main_text_beside_a_teaser():
     assert html.main_text(page) == "\n\n".join([*(f"Paragraph {k} of the story, which stands in a plain div." for k in range(5)), "Teaser"])
 
 
+STORY = "<h1>The heading</h1><p>A paragraph of the story that is long enough.</p><p>And one more of them, as long as that.</p>"
+KEPT = ["The heading", "A paragraph of the story that is long enough.", "And one more of them, as long as that."]
+
+
+def test_main_text_keeps_the_story():
+    """Size of other passages, links in an article, layout classes, page-wide forms and inline elements drop nothing."""
+    got = lambda page: html.main_text(page).split("\n\n")
+    short, long = "A passage of some sixty characters, cut off by an advert.", "word " * 8000
+    assert got(f"<p>{short}</p><div class=ad>Buy</div><div class=ad>Buy</div><div class=ad>Buy</div><p>{long}</p>") == [short, long.strip()]
+    assert got(f"<article>{STORY}<ul><li><a href=x>A linked reference</a></li></ul></article>") == [*KEPT, "A linked reference"]
+    for around in ("content has-sidebar", "no-sidebar", "entry-header", "sidebar-left", "ad-free"):
+        assert got(f'<div class="{around}"><article>{STORY}</article></div><p>Bye.</p>')[:3] == KEPT
+    for around in ("content has-sidebar", "no-sidebar", "entry-header"):
+        assert got(f'<div class="{around}">{STORY}</div>') == KEPT
+    assert got(f"<article><div class='header'><h1>The heading</h1></div>{STORY[len('<h1>The heading</h1>'):]}</article>") == KEPT
+    assert got(f"<form id=all>{STORY}<fieldset>Name</fieldset></form>")[:3] == KEPT and got(f"<form><article>{STORY}</article></form>") == KEPT
+    assert got(f"{STORY}<form><p>Your name</p></form>") == KEPT
+    assert got("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='t'>x = 2</annotation></math> be so, <svg><title>i</title><text>two</text></svg> or <script>x</script>not.</p>") == ["Let x=2 be so, two or not."]
+    assert got(f"<article>{STORY}<h2><button>A question?</button></h2></article>") == [*KEPT, "A question?"]
+    for name in ("sidebar", "site-header", "cookie-notice", "ad", "main-nav", "footer-widget", "related posts", "comments"):
+        assert got(f"{STORY}<div class='{name}'><p>Something else that is long enough to count as text.</p></div>") == KEPT
+
+
 def test_pages(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, "t"), (3, "v", "<p>" + "long " * 50_000, "t")], "page_id long, url string, html string, text string")
     got = html.extract_pages(rows).collect()
