@@ -65,8 +65,11 @@ def parse(text: str) -> Objective:
     return Objective(terms, dims, axes)
 
 
-def evaluate(objective: Objective, matrices: list[SparseMatrix], cuts: list[list[int]]) -> DataFrame:
-    """(dim, part, cost): for each part of each cut vector, the heaviest task that touches it. Tile tables have P x Q rows, tasks one for each combination of parts."""
+def evaluate(objective: Objective, matrices: list[SparseMatrix], cuts: list[list[int]], held: list[DataFrame] | None = None) -> DataFrame:
+    """(dim, part, cost): for each part of each cut vector, the heaviest task that touches it. Tile tables have P x Q rows, tasks one for each combination of parts.
+
+    held: takes the cached tile tables, for the caller to unpersist.
+    """
     made: dict[tuple[int, int, int], DataFrame] = {}
     tasks = None
     for n, (m, x, y) in enumerate(objective.terms):
@@ -75,6 +78,8 @@ def evaluate(objective: Objective, matrices: list[SparseMatrix], cuts: list[list
         table = table.filter("u = v").select(F.col("u").alias(x), F.col("load").alias(f"l{n}")) if x == y else table.select(F.col("u").alias(x), F.col("v").alias(y), F.col("load").alias(f"l{n}"))
         shared = [c for c in {x, y} if tasks is not None and c in tasks.columns]
         tasks = table if tasks is None else tasks.join(table, shared) if shared else tasks.crossJoin(table)
+    if held is not None:
+        held.extend(made.values())
     task = tasks.withColumn("task", reduce(lambda p, q: p + q, (F.col(f"l{n}") for n in range(len(objective.terms)))))
     touched = F.explode(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(x).alias("part")) for x, d in objective.dims.items())))
     return task.select("task", touched.alias("t")).groupBy("t.dim", "t.part").agg(F.max("task").alias("cost"))
@@ -118,10 +123,24 @@ def descend(places: list[np.ndarray], costs: Callable[[list[np.ndarray]], list[n
     return best
 
 
+def by_cuts(costs: Callable[[list[list[int]]], list[np.ndarray]], prefixes: list[np.ndarray]) -> Callable[[list[np.ndarray]], list[np.ndarray]]:
+    """Costs of places by way of their cuts; cuts that came before, as most do near the end of a descent, aren't evaluated again."""
+    known: dict[tuple[tuple[int, ...], ...], list[np.ndarray]] = {}
+
+    def at(places: list[np.ndarray]) -> list[np.ndarray]:
+        cuts = [decode(x, y) for x, y in zip(prefixes, places, strict=True)]
+        key = tuple(map(tuple, cuts))
+        if key not in known:
+            known[key] = costs(cuts)
+        return known[key]
+
+    return at
+
+
 def sgo(matrices: list[SparseMatrix], objective: str, parts: list[int], seed: int = 1, max_iter: int = 0, init: str = "random") -> list[list[int]]:
     """Cut vectors of an objective. parts: of each cut vector, in the order of its first letter. Nonnegative loads only.
 
-    Nonzeros are summed up by coordinate and cached once; each step is a job over them that returns a row for each part.
+    Nonzeros are summed up by coordinate and cached once; each step with new cuts is a job over them that returns a row for each part.
     """
     o = parse(objective)
     for a in matrices:
@@ -136,14 +155,15 @@ def sgo(matrices: list[SparseMatrix], objective: str, parts: list[int], seed: in
         else:
             places = [x[-1] * np.arange(1, p) / p for x, p in zip(prefixes, parts, strict=True)]
 
-        def costs(at: list[np.ndarray]) -> list[np.ndarray]:
-            cuts = [decode(x, y) for x, y in zip(prefixes, at, strict=True)]
-            out = [np.zeros(p) for p in parts]
-            for r in evaluate(o, held, cuts).collect():
+        def costs(cuts: list[list[int]]) -> list[np.ndarray]:
+            out, tables = [np.zeros(p) for p in parts], []
+            for r in evaluate(o, held, cuts, tables).collect():
                 out[r.dim][r.part] = r.cost
+            for t in tables:
+                t.unpersist()
             return out
 
-        return [decode(x, y) for x, y in zip(prefixes, descend(places, costs, max_iter=max_iter), strict=True)]
+        return [decode(x, y) for x, y in zip(prefixes, descend(places, by_cuts(costs, prefixes), max_iter=max_iter), strict=True)]
     finally:
         for a in held:
             a.df.unpersist()
@@ -164,12 +184,12 @@ def sgo_spmv(a: SparseMatrix, parts: int, alpha: float, beta: float, seed: int =
         prefix = marginal([held], [(0, 0), (0, 1)], a.size) + (alpha + beta) * np.arange(a.size + 1)
         places = np.sort(np.random.Generator(np.random.PCG64(seed)).uniform(0, prefix[-1], parts - 1))
 
-        def costs(at: list[np.ndarray]) -> list[np.ndarray]:
+        def costs(cuts: list[list[int]]) -> list[np.ndarray]:
             out = np.zeros(parts)
-            for r in spmv_loads(held, decode(prefix, at[0]), alpha, beta).collect():
+            for r in spmv_loads(held, cuts[0], alpha, beta).collect():
                 out[r.u], out[r.v] = max(out[r.u], r.load), max(out[r.v], r.load)
             return [out]
 
-        return decode(prefix, descend([places], costs, max_iter=max_iter)[0])
+        return decode(prefix, descend([places], by_cuts(costs, [prefix]), max_iter=max_iter)[0])
     finally:
         held.df.unpersist()

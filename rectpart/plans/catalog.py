@@ -590,39 +590,34 @@ def spmv_load(spark, sf):
     return S.spmv_loads(a, T.uniform(a.n_rows, 5), 2.0, 0.5)
 
 
-def _sgo_steps() -> int:
-    """Steps of the registered subgradient queries: enough to move, few enough for a quick run (a parameter of the operator)."""
-    return 12
-
-
 @query("sgo_2ds")
 def sgo_2ds(spark, sf):
-    return _result(spark, S.sgo([nn(spark, sf)], "0ij,i=j", [4], max_iter=_sgo_steps())[0])
+    return _result(spark, S.sgo([nn(spark, sf)], "0ij,i=j", [4])[0])
 
 
 @query("sgo_2dr")
 def sgo_2dr(spark, sf):
-    return _result(spark, *S.sgo([nn(spark, sf)], "0ij", [4, 4], max_iter=_sgo_steps()))
+    return _result(spark, *S.sgo([nn(spark, sf)], "0ij", [4, 4]))
 
 
 @query("sgo_2dr_nic")
 def sgo_2dr_nic(spark, sf):
     a = nn(spark, sf)
-    return _result(spark, *T.nic(a, 4, 4, start=S.sgo([a], "0ij", [4, 4], max_iter=_sgo_steps())[0]))
+    return _result(spark, *T.nic(a, 4, 4, start=S.sgo([a], "0ij", [4, 4])[0]))
 
 
 @query("sgo_3ds")
 def sgo_3ds(spark, sf):
-    return _result(spark, S.sgo([nn(spark, sf)], "0ij+0jk+0ik", [4], max_iter=_sgo_steps())[0])
+    return _result(spark, S.sgo([nn(spark, sf)], "0ij+0jk+0ik", [4])[0])
 
 
 @query("sgo_3dr")
 def sgo_3dr(spark, sf):
     a = nn(spark, sf)
-    found = S.sgo([a, a], "0ij+1jk", [3, 3, 3], max_iter=_sgo_steps())
+    found = S.sgo([a, a], "0ij+1jk", [3, 3, 3])
     return spark.createDataFrame([(d, k, int(c)) for d, cuts in enumerate(found) for k, c in enumerate(cuts)], "dim int, k int, spot long")
 
 
 @query("sgo_spmv")
 def sgo_spmv(spark, sf):
-    return _result(spark, S.sgo_spmv(nn(spark, sf), 4, 1.0, 1.0, max_iter=_sgo_steps()))
+    return _result(spark, S.sgo_spmv(nn(spark, sf), 4, 1.0, 1.0))

@@ -1,12 +1,14 @@
 """Sources, sinks, reshaping and loads on small matrices."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 
 from rectpart.functions.parts import part_of
 from rectpart.model import is_cut_vector
 from rectpart.operators import exact, loads, reshape, sample, subgradient, twod
-from rectpart.plans import api, cli, engine, registry
+from rectpart.plans import api, catalog, cli, engine, registry
 from rectpart.sources import matrices, sinks
 
 
@@ -237,3 +239,43 @@ def test_streaming(spark, square, tmp_path):
     running.awaitTermination()
     g = grid(dense(square), cuts, cuts)
     assert {(r.u, r.v): r.load for r in spark.table("tiles").collect()} == {(u, v): g[u, v] for u in range(2) for v in range(2)}
+
+
+def converged(d, kind, parts):
+    """The subgradient loop without a bound on its steps, over a dense matrix."""
+    r, c = d.sum(1), d.sum(0)
+    prefixes = [np.concatenate([[0], np.cumsum(x)]) for x in {"2ds": [r + c], "2dr": [r, c], "3ds": [r + c], "3dr": [r, c + r, c], "spmv": [r + c + 2]}[kind]]
+    rng = np.random.Generator(np.random.PCG64(1))
+    places = [np.sort(rng.uniform(0, x[-1], p - 1)) for x, p in zip(prefixes, parts)]
+
+    def costs(at):
+        cuts = [subgradient.decode(x, y) for x, y in zip(prefixes, at)]
+        g = grid(d, cuts[0], cuts[min(1, len(cuts) - 1)])
+        if kind == "2dr":
+            return [g.max(1), g.max(0)]
+        if kind in ("2ds", "spmv"):
+            g = g + (np.add.outer(np.diff(cuts[0]), np.diff(cuts[0])) if kind == "spmv" else 0)
+            return [np.maximum(g.max(1), g.max(0))]
+        t = g[:, :, None] + g[None] + g[:, None] if kind == "3ds" else g[:, :, None] + grid(d, cuts[1], cuts[2])[None]
+        each = [t.max((1, 2)), t.max((0, 2)), t.max((0, 1))]
+        return each if kind == "3dr" else [np.maximum.reduce(each)]
+
+    return [subgradient.decode(x, y) for x, y in zip(prefixes, subgradient.descend(places, costs))]
+
+
+def test_registered_subgradient_queries_converge(spark):
+    sf = "/root/testdata/sf0.001"
+    d, made = dense(catalog.nn(spark, sf)), catalog.queries()
+
+    def cuts(name):
+        rows = made[name](spark, sf).orderBy("k").collect()
+        if name == "sgo_3dr":
+            return [[r.spot for r in rows if r.dim == k] for k in range(3)]
+        return [[*(r.lo for r in rows if r.dim == x), rows[-1].hi] for x in ("row", "col") if any(r.dim == x for r in rows)]
+
+    for kind, parts in {"2ds": [4], "2dr": [4, 4], "3ds": [4], "3dr": [3, 3, 3], "spmv": [4]}.items():
+        assert cuts(f"sgo_{kind}") == converged(d, kind, parts), kind
+    polished = converged(d, "2dr", [4, 4])
+    assert cuts("sgo_2dr_nic") == list(map(list, twod.nic(catalog.nn(spark, sf), 4, 4, start=polished[0])))
+    best = min(grid(d, c, c).max() for c in ([0, *x, 25] for x in combinations(range(1, 25), 3)))
+    assert grid(d, *cuts("sgo_2ds") * 2).max() <= 1.05 * best
