@@ -80,7 +80,7 @@ def pack_matrices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ids and positions are little-endian uint32 matrices of n_rows x width (padding: pad_id, position 0); positions restart
     at 0 with each segment; cu_seqlens are the cumulative segment lengths of the whole matrix, row by row, a row's
     padding being a segment of its own; segments say which part of which document lies where. A document is its ids and then end_id, null or
-    empty text end_id alone; every id lies in exactly one segment. Repeated rows are packed as often as they come. An empty
+    empty text end_id alone; every id lies in exactly one segment. Repeated rows are packed as often as they come; a null id stays null. An empty
     table gives no rows; other columns aren't read. No shuffle: each task packs its own rows in pools of about POOL_IDS ids.
     """
     path = vocabulary or tokens.vocabulary_path()
@@ -91,7 +91,7 @@ def pack_matrices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number
-            ids, size, doc = np.concatenate(held_ids), np.concatenate(sizes), np.concatenate(doc_ids)
+            ids, size, doc = np.concatenate(held_ids), np.concatenate(sizes), pa.chunked_array(doc_ids, pa.int64()).to_pylist()
             first = np.cumsum(size) - size
             parts = -(-size // width)
             of = np.repeat(np.arange(len(size)), parts)
@@ -108,17 +108,17 @@ def pack_matrices(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 to = np.repeat(here, length[mine]) + inner
                 matrix[to], places[to] = ids[np.repeat(first[of[mine]] + start[mine], length[mine]) + inner], inner
                 bounds = np.unique(np.concatenate([here, here + length[mine], width * np.arange(rows + 1)]))
-                segments = [dict(row=int(row[k] - at), offset=int(offset[k]), doc_id=None if doc[of[k]] is None else int(doc[of[k]]), start=int(start[k]), length=int(length[k]), doc_tokens=int(size[of[k]])) for k in mine]
+                segments = [dict(row=int(row[k] - at), offset=int(offset[k]), doc_id=doc[of[k]], start=int(start[k]), length=int(length[k]), doc_tokens=int(size[of[k]])) for k in mine]
                 yield pa.RecordBatch.from_pylist([{"matrix_id": number, "n_rows": rows, "width": width, "ids": matrix.tobytes(), "positions": places.tobytes(), "cu_seqlens": bounds.tolist(), "segments": segments}], schema)
                 number += 1
 
         for batch in batches:
-            column, doc = batch.column(1), batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            column, doc = batch.column(1), batch.column(0).cast(pa.int64())
             _, offsets = textops.buffers(column)
             for i, j in textops.slices(offsets, SLICE_BYTES):
                 ids, n = coder.encode_many(column.slice(i, j - i).to_pylist())
                 full = np.insert(ids, np.cumsum(n), np.uint32(end_id))
-                doc_ids.append(doc[i:j])
+                doc_ids.append(doc.slice(i, j - i))
                 held_ids.append(full)
                 sizes.append(n + 1)
                 held += len(full)

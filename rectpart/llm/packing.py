@@ -78,7 +78,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Each document is its ids and then end_id; null or empty text is end_id alone. Each id lies in exactly one piece;
     pieces of a window are gapless from offset 0 and keep the rows' order. A window's padding up to `width` isn't
     stored; windows whose length is a power of two need none. Repeated rows are packed as often as they come, also
-    with the same id. An empty table gives no rows. Other columns aren't read. No shuffle: each task packs the rows
+    with the same id; a null id stays null. An empty table gives no rows. Other columns aren't read. No shuffle: each task packs the rows
     that it scans, in runs of about RUN_IDS ids.
     """
     path = vocabulary or tokens.vocabulary_path()
@@ -89,7 +89,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         def flush() -> pa.RecordBatch:
             nonlocal number
-            ids, size, doc = np.concatenate(pieces), np.concatenate(sizes), np.concatenate(doc_ids)
+            ids, size, doc = np.concatenate(pieces), np.concatenate(sizes), pa.chunked_array(doc_ids, pa.int64())
             ends = np.cumsum(size)
             bounds = cut_run(ids, ends, coder.ends[ids], width)
             cuts = np.union1d(bounds, ends)
@@ -100,19 +100,19 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             w = np.searchsorted(bounds, start, "right") - 1
             raw = ids.astype("<u4").tobytes()
             out = pa.RecordBatch.from_arrays(
-                [pa.array(doc[k]), pa.array(start - (ends - size)[k]), pa.array(length), pa.array([raw[a:b] for a, b in zip((4 * start).tolist(), (4 * cuts).tolist(), strict=True)], pa.binary()), pa.array(size[k]), pa.array(base + number + w), pa.array(start - bounds[w])],
+                [doc.take(pa.array(k)).combine_chunks(), pa.array(start - (ends - size)[k]), pa.array(length), pa.array([raw[a:b] for a, b in zip((4 * start).tolist(), (4 * cuts).tolist(), strict=True)], pa.binary()), pa.array(size[k]), pa.array(base + number + w), pa.array(start - bounds[w])],
                 names=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"],
             )
             number += len(bounds)
             return out
 
         for batch in batches:
-            column, doc = batch.column(1), batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            column, doc = batch.column(1), batch.column(0).cast(pa.int64())
             _, offsets = textops.buffers(column)
             for i, j in textops.slices(offsets, SLICE_BYTES):
                 ids, n = coder.encode_many(column.slice(i, j - i).to_pylist())
                 full = np.insert(ids, np.cumsum(n), np.uint32(end_id))
-                doc_ids.append(doc[i:j])
+                doc_ids.append(doc.slice(i, j - i))
                 pieces.append(full)
                 sizes.append(n + 1)
                 held += len(full)

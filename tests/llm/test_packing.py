@@ -78,6 +78,18 @@ def test_empty_tables(spark):
     assert packing.pack_documents(none).count() == 0 and binpack.pack_matrices(none).count() == 0
 
 
+def test_null_ids_stay_null(spark, library):
+    """A null id doesn't turn the others into doubles: ids over 2^53 keep their digits."""
+    rows = [(None, "no id"), (2**53 + 1, "a large id"), (None, "q " * 3000), (-(2**60) - 1, "a small one"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = sorted((str(k), len(library(t)) + 1) for k, t in rows)
+    for pieces in (packing.pack_documents(docs), binpack.segments(binpack.pack_matrices(docs))):
+        assert pieces.schema["doc_id"].dataType.simpleString() == "bigint"
+        got = pieces.collect()
+        assert sorted((str(r.doc_id), r.doc_tokens) for r in got if r.start == 0) == want
+        assert sum(r.length for r in got) == sum(n for _, n in want)
+
+
 def test_write_matrices(spark, tmp_path):
     binpack.write_matrices(binpack.pack_matrices(rows_of(spark)), str(tmp_path / "m"))
     assert spark.read.parquet(str(tmp_path / "m")).count() >= 1

@@ -55,6 +55,17 @@ def test_run_is_the_registered_query(spark, folder):
     assert queries.queries()["pipeline"](spark, folder).count() > 0
 
 
+def test_rows_without_an_id_reach_the_last_stage(spark, folder, tmp_path):
+    """A null id beside others: the document is packed, with its id null, and the other ids are whole."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 20")
+    lone = docs.filter("doc_id = 7").selectExpr("CAST(NULL AS BIGINT) doc_id", "'This text without an id is long enough for all of the rules, since it has more than twenty words, which end with a full stop.' text", "lang", "source", "n_chars")
+    docs.unionByName(lone).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.schema["doc_id"].dataType.simpleString() == "bigint"
+    ids = {r.doc_id for r in out.collect()}  # the mix leaves some documents out
+    assert None in ids and len(ids) > 5 and ids <= {None, *range(20)}
+
+
 def test_every_operator_has_a_query():
     names = queries.queries()
     assert "pipeline" in names and {n[2:].split("_")[0] for n in names if n.startswith("op")} == {str(k) for k in range(1, 11)}
