@@ -46,6 +46,18 @@ def test_quality_verdicts(spark):
     assert quality.judged(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_quality_phrases_in_prose(spark):
+    """A phrase counts at a word's start, and condemns short lines and lines that are mostly phrase, not a long line of prose."""
+    prose = " ".join(f"word{k} and another{k}" + "." * (k % 3 == 0) for k in range(30))
+    long = [prose + f" {x} in the middle of it, " + prose[::-1] + "." for x in ("powered by", "Terms of use", "click here")]
+    inner = [f"The {x} the wind of the sea, as the people say." for x in ("price was lowered by", "town was empowered by", "boy gave a flick here and there to")]
+    gone = ["This site is powered by a thing.", "Powered by X.", "(copyright (c) by us)." , "All rights reserved. Terms of use. Privacy policy. Cookie policy. Click here, Copyright (c) of all that is here and not elsewhere."]
+    texts = [*long, *(prose + ".\n" + x for x in inner + gone)]
+    got = {r.doc_id: r for r in quality.judged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "_q.*").collect()}
+    assert all(got[k].kept for k in range(len(texts)))
+    assert [got[k].clean for k in range(6)] == texts[:6] and all(got[k].clean == prose + "." for k in range(6, len(texts)))
+
+
 def test_quality_filter_stays_outside(spark):
     """A filter on the verdict must not be pushed into the steps."""
     kept = quality.judged(spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")).filter("_q.kept")
