@@ -252,6 +252,12 @@ def geometric_mean(spark, sf):
     return L.geometric_mean(line.filter(F.col("l_orderkey") == first), "l_quantity")
 
 
+@query("geometric_mean_column")
+def geometric_mean_column(spark, sf):
+    """The mean of the whole column; the query above and its SQL are of one order."""
+    return L.geometric_mean(_table(spark, sf, "lineitem"), "l_quantity")
+
+
 @query("user_hour_loads", """WITH x AS (SELECT CAST(user_id AS BIGINT) i, CAST(date_diff('hour', TIMESTAMP '2024-01-01', CAST(ts AS TIMESTAMP)) AS BIGINT) j FROM events), size AS (SELECT (SELECT max(user_id) + 1 FROM events) n, 744 m),
 """ + _tiles("x", 4, 31) + " SELECT u, v, load FROM tiles")
 def user_hour_loads(spark, sf):

@@ -31,6 +31,11 @@ def test_sql(spark, con, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
+def test_geometric_mean_of_the_whole_column(spark, con):
+    got = catalog.queries()["geometric_mean_column"](spark, SF).first().geomean
+    assert got == pytest.approx(con.execute("SELECT exp(avg(ln(l_quantity))) FROM lineitem").df().iloc[0, 0], rel=1e-9)
+
+
 def test_without_the_optional_part(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import sys; sys.path.insert(0, %r); sys.modules['rectpart.llm'] = None\nimport importlib.util as u; u.find_spec = (lambda f: lambda n, *a: None if n == 'rectpart.llm' else f(n, *a))(u.find_spec)\nimport __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
