@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rectpart.operators.loads import running_sum
-from rectpart.operators.scan import checkpointed
+from rectpart.operators.scan import saved
 
 #: Cells (stripes x positions) that may come to the driver; 8 bytes each.
 LOCAL_CELLS = 8_000_000
@@ -57,7 +57,7 @@ class SparkPrefixes:
 
     def __init__(self, sums: DataFrame, n: int, integral: bool = True):
         self.n, self.integral = n, integral
-        self.sums = checkpointed(running_sum(sums, "load", "pos", ["q"], n, "prefix"))
+        self.sums = saved(running_sum(sums, "load", "pos", ["q"], n, "prefix"))
 
     def totals(self) -> tuple[float, float]:
         top = self.sums.agg(F.max("prefix").alias("t"), F.max("load").alias("m")).first()

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rectpart.model import SparseMatrix
 from rectpart.operators.loads import degrees
+from rectpart.operators.scan import Scratch, global_rank
 
 
 def transpose(a: SparseMatrix) -> SparseMatrix:
@@ -23,11 +24,9 @@ def upper_triangle(a: SparseMatrix) -> SparseMatrix:
     return SparseMatrix(a.df.filter("j > i"), a.n_rows, a.n_cols, a.weighted)
 
 
-def ranked(ids: DataFrame, order: list, blocks: int = 256) -> DataFrame:
+def ranked(ids: DataFrame, order: list) -> DataFrame:
     """(old, new): 0-based ranks of `id` in an order. Ranks come from range partitions and their sizes, so no task holds all ids."""
-    from rectpart.operators.scan import global_rank
-
-    return global_rank(ids, order, blocks).select(F.col("id").alias("old"), F.col("rank").alias("new"))
+    return global_rank(ids, order).select(F.col("id").alias("old"), F.col("rank").alias("new"))
 
 
 def degree_order(a: SparseMatrix, descending: bool = False) -> DataFrame:
@@ -48,43 +47,51 @@ def natural_order(spark: SparkSession, n: int) -> DataFrame:
 
 
 def rcm_order(a: SparseMatrix, reverse: bool = True) -> DataFrame:
-    """(old, new) by (reverse) Cuthill-McKee on a symmetric pattern.
+    """(old, new) by (reverse) Cuthill-McKee on a symmetric pattern; of another, on its union with its transpose.
 
-    A breadth-first search from the unvisited row of least degree; each level is one job that orders the new rows by their first parent's place, then degree,
-    then id. There are as many jobs as levels; what the driver sees of a level is its size. Ties go to smaller ids.
+    A breadth-first search from the unvisited row of least degree; each level is one job that orders the new rows by their first parent's place, then degree, then id. A level's
+    neighbours lie in the level before, in it, or in the next, so each job reads two levels and the edges. Rows without neighbours are placed many at once, before the
+    component whose first row they precede. There are as many jobs as levels and components with an edge. Ties go to smaller ids.
     """
     a.require_square()
-    spark = a.df.sparkSession
-    node = degrees(a).cache()
-    edges = a.df.select("i", "j").filter("i != j").distinct().cache()
-    placed = spark.createDataFrame([], "id long, place long")
-    frontier, n, count = None, a.n_rows, 0
-    try:
-        while count < n:
-            if frontier is None:
-                start = node.join(placed, "id", "left_anti").orderBy("degree", "id").first()
-                level = spark.createDataFrame([(start.id, count)], "id long, place long")
-            else:
-                near = edges.join(frontier.withColumnRenamed("id", "i"), "i").groupBy(F.col("j").alias("id")).agg(F.min("place").alias("parent"))
-                near = near.join(placed, "id", "left_anti").join(node, "id")
-                order = ranked(near, [F.asc("parent"), F.asc("degree"), F.asc("id")])
-                level = order.select(F.col("old").alias("id"), (F.col("new") + count).alias("place"))
-            level = _cut(level)
-            size = level.count()
-            if not size:
-                frontier = None
-                continue
-            placed, frontier, count = _cut(placed.unionAll(level)), level, count + size
-    finally:
-        node.unpersist()
-        edges.unpersist()
-    return placed.select(F.col("id").alias("old"), (F.lit(n - 1) - F.col("place") if reverse else F.col("place")).alias("new"))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    from rectpart.operators.scan import checkpointed
-
-    return checkpointed(df)
+    spark, n, schema = a.df.sparkSession, a.n_rows, "id long, place long"
+    scratch = Scratch(spark)
+    edge = a.df.select("i", "j").filter("i != j")
+    edges = scratch.save(edge.unionAll(edge.select("j", "i")).distinct(), "edges")
+    linked = edges.select(F.col("i").alias("id")).distinct().withColumn("linked", F.lit(True))
+    node = scratch.save(degrees(a).join(linked, "id", "left").withColumn("key", F.struct("degree", "id")), "nodes")
+    lone, none = node.filter("linked is null"), spark.createDataFrame([], schema)
+    before = level = none
+    count, last = 0, None
+
+    def add(ranks: DataFrame) -> tuple[DataFrame, int]:
+        new = scratch.save(ranks.select(F.col("old").alias("id"), (F.col("new") + count).alias("place")))
+        return new, new.count()
+
+    def placed() -> DataFrame:
+        paths = [f"{scratch.path}/{k}" for k in range(1, scratch.count + 1)]
+        return spark.read.schema(schema).parquet(*paths) if paths else none
+
+    while count < n:
+        if level is none:
+            start = node.filter("linked").join(placed(), "id", "left_anti").orderBy("key").first()
+            here = F.lit(True) if last is None else F.col("key") > last
+            alone, size = add(ranked(lone.filter(here if start is None else here & (F.col("key") < _key(start))), [F.asc("key")]))
+            count += size
+            if start is None:
+                break
+            last = _key(start)
+            new, size = add(spark.createDataFrame([(start.id, 0)], "old long, new long"))
+        else:
+            reached = edges.join(level.withColumnRenamed("id", "i"), "i").groupBy(F.col("j").alias("id")).agg(F.min("place").alias("parent"))
+            reached = reached.join(before.unionAll(level).select("id"), "id", "left_anti").join(node, "id")
+            new, size = add(ranked(reached, [F.asc("parent"), F.asc("degree"), F.asc("id")]))
+        before, level, count = (level, new, count + size) if size else (none, none, count)
+    return placed().select(F.col("id").alias("old"), (F.lit(n - 1) - F.col("place") if reverse else F.col("place")).alias("new"))
+
+
+def _key(row) -> Column:
+    return F.struct(F.lit(row.degree).cast("long").alias("degree"), F.lit(row.id).cast("long").alias("id"))
 
 
 def inverse(perm: DataFrame) -> DataFrame:

@@ -1,24 +1,65 @@
-"""Global ranks and lineage cuts without a task that sees everything."""
+"""Global ranks without a task that sees everything, and tables that cut lineage in the folder that a cluster shares."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
+
+def shared_folder(spark: SparkSession) -> str:
+    """What spark.checkpoint.dir names. Where it's unset, a temporary folder in local mode; on a cluster, where executors wouldn't see that, a ValueError."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    named = tempfile.mkdtemp(prefix="rectpart-")
+    spark.conf.set("spark.checkpoint.dir", named)
+    return named
+
+
+class Scratch:
+    """Tables of one operation. A saved table cuts the lineage, so that a lost executor costs a read and not the steps before; drop() deletes what isn't read any more.
+
+    What is left is deleted when the driver's JVM ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        self.count = 0
+        self._hadoop(self.path, lambda fs, path: (fs.mkdirs(path), fs.deleteOnExit(path)))
+
+    def _hadoop(self, where: str, act) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(where)
+        act(path.getFileSystem(context._jsc.hadoopConfiguration()), path)
+
+    def save(self, frame: DataFrame, name: str | None = None) -> DataFrame:
+        if name is None:
+            self.count += 1
+        path = f"{self.path}/{name or self.count}"
+        frame.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._hadoop(f"{self.path}/{name}", lambda fs, path: fs.delete(path, True))
+
+    def close(self) -> None:
+        self._hadoop(self.path, lambda fs, path: fs.delete(path, True))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes to the folder that spark.checkpoint.dir names (one of our own where it names none) and reads from there."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR)
-    return df.checkpoint()
+def saved(df: DataFrame) -> DataFrame:
+    """One table that stays until the driver's JVM ends."""
+    return Scratch(df.sparkSession).save(df)
 
 
-def global_rank(df: DataFrame, order: list, blocks: int = 256) -> DataFrame:
-    """Adds `rank`, 0-based, in an order without ties: range partitions, their sizes summed up, then places within each."""
-    cut = checkpointed(df.repartitionByRange(blocks, *order).withColumn("_part", F.spark_partition_id()))
+def global_rank(df: DataFrame, order: list) -> DataFrame:
+    """Adds `rank`, 0-based, in an order without ties: range partitions, their sizes summed up, then places within each. Broadcast: a size for each partition."""
+    cut = saved(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = cut.groupBy("_part").agg(F.count("*").alias("_n"))
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

@@ -16,6 +16,7 @@ from rectpart.functions.parts import part_of
 from rectpart.model import Cuts, SparseMatrix
 from rectpart.operators import oned
 from rectpart.operators.loads import degrees, max_load, row_max_sums, stripe_sums
+from rectpart.operators.scan import saved
 
 #: Nonzeros, compacted, up to which diagonal probing runs on the driver.
 LOCAL_NONZEROS = 2_000_000
@@ -167,9 +168,7 @@ class SparkDiagonal:
     """The same over a DataFrame: a job for each cut."""
 
     def __init__(self, form: DataFrame, n: int):
-        from rectpart.operators.scan import checkpointed
-
-        self.form, self.n = checkpointed(form), n
+        self.form, self.n = saved(form), n
 
     def reach(self, cuts: list[int], bound: float) -> int:
         last = cuts[-1]
