@@ -3,54 +3,36 @@
 from __future__ import annotations
 
 import gc
-import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints"
+from rectpart.operators.scan import Scratch
 
 
-def _folder(frame: DataFrame) -> str:
-    return frame.sparkSession.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR
-
-
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that spark.checkpoint.dir names; one of our own where it names none. For small tables."""
-    context = frame.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(_folder(frame))
-    return frame.checkpoint()
-
-
-def saved(frame: DataFrame) -> DataFrame:
-    """Cuts the lineage by a Parquet table in the same folder, which is smaller than a checkpoint; deleted when the driver's JVM ends."""
-    spark, path = frame.sparkSession, f"{_folder(frame)}/{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
-def tidy(frame: DataFrame) -> None:
-    """Lets Spark's cleaner drop the shuffle files of steps that nothing refers to any more."""
+def release(frame: DataFrame) -> None:
+    """Lets Spark's cleaner drop the shuffle files of steps before a saved table, which nothing reads any more. Spark does so by itself when the driver collects its garbage."""
     gc.collect()
     frame.sparkSession.sparkContext._jvm.System.gc()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node, component: the smallest node reachable, for every node of the links. Repeated links and loops do no harm; no links give no rows."""
+def components(links: DataFrame, scratch: Scratch, name: str, a: str = "a", b: str = "b") -> DataFrame:
+    """node, component: the smallest node reachable, for every node of the links; a table of `scratch`. Repeated links and loops do no harm; no links give no rows.
+
+    Each round is a join on edges and one on labels, both without an aggregate above them in their stage, so that Spark may split a hub's rows.
+    """
     edges = links.select(F.col(a).alias("x"), F.col(b).alias("y"))
-    edges = checkpointed(edges.unionAll(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    label = edges.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("component")).withColumnRenamed("x", "node")
+    edges = scratch.save(edges.unionAll(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct(), f"{name}_edges")
+    label, turn = scratch.save(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.col("x")).alias("component")), f"{name}_0"), 0
     while True:
-        label = checkpointed(label)
         of = label.select(F.col("node").alias("y"), F.col("component").alias("c"))
-        near = edges.join(of, "y").groupBy("x").agg(F.min("c").alias("near"))
-        step = label.join(near.withColumnRenamed("x", "node"), "node").select("node", "component", F.least("component", "near").alias("low"))
+        near = edges.join(of, "y").groupBy(F.col("x").alias("node")).agg(F.min("c").alias("near"))
+        step = label.join(near, "node").select("node", "component", F.least("component", "near").alias("low"))
         jump = label.select(F.col("node").alias("low"), F.col("component").alias("lower"))
-        step = checkpointed(step.join(jump, "low").select("node", "component", F.least("low", "lower").alias("next")))
-        if step.filter("next < component").isEmpty():
-            return step.select("node", F.col("next").alias("component"))
+        turn += 1
+        step = scratch.save(step.join(jump, "low").select("node", "component", F.least("low", "lower").alias("next")), f"{name}_{turn}")
+        scratch.drop(f"{name}_{turn - 1}")
         label = step.select("node", F.col("next").alias("component"))
-
+        if step.filter("next < component").isEmpty():
+            scratch.drop(f"{name}_edges")
+            return label

@@ -5,14 +5,16 @@
 2. Two sets that link share one of their first n - ceil(0.8 n) + 1 shingles (the prefix). Classes with the same size and prefix are one group.
 3. Groups that share a prefix shingle are candidates if their sizes allow the similarity, the shingle stands early enough in both to be the first common one of
    linked sets, and the parity bitmaps of two single classes differ in no more places than linked sets can.
-4. Candidate pairs are expanded to classes and verified on their whole sets.
+4. Candidate pairs are expanded to classes, filtered by size and bitmap, and verified on their whole sets.
 
 Links only matter for components. So each shingle's list of groups is first linked along its order and to its first group; pairs in one component by then need no
-test. All other pairs are then tested, without exception: only pairs that are already connected are left out.
+test. All other pairs are then tested, without exception: only pairs that are already connected are left out. Texts move once for each of the two rounds, and only those of
+candidates that pass the bitmaps go into pairs.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -23,13 +25,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rectpart.llm import graph, textops
+from rectpart.operators.scan import Scratch
 
 WORDS = 5
 #: Similarity as a fraction.
 PART, WHOLE = 4, 5
-#: Counters of the sketch: 4 bytes each, the same for every corpus; sent to the executors.
-SKETCH_BITS, SKETCH_BLOCKS = 20, 32
+#: Cells of the sketch by the corpus' bytes, and their bounds (bits). A rank of one byte for each is sent to the executors: 4 MB at most.
+BYTES_PER_CELL, LEAST_BITS, MOST_BITS, SKETCH_BLOCKS = 256, 12, 22, 32
 SLICE_BYTES = 1 << 20
+#: Groups in a token's list for which one more salt is used.
+ROWS_PER_SALT = 100_000
 #: 64-bit words of a set's parity bitmap.
 BITMAP_WORDS = 8
 BITMAP = [f"bits{i}" for i in range(BITMAP_WORDS)]
@@ -55,13 +60,13 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return h, upto
 
 
-def cell_of(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def cell_of(h: np.ndarray, bits: int) -> np.ndarray:
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def ordered_tokens(h: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """Shingles as numbers whose order is the join's order: the rank of the sketch's cell, then 56 bits of hash."""
-    return ranks[cell_of(h)] << np.uint64(56) | (h & np.uint64((1 << 56) - 1))
+    return ranks[cell_of(h, len(ranks).bit_length() - 1)].astype(np.uint64) << np.uint64(56) | (h & np.uint64((1 << 56) - 1))
 
 
 def set_key(tokens: np.ndarray) -> bytes:
@@ -76,43 +81,50 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
-    """Counts of all shingles of the corpus by cell, as ranks 0..255 (log scale)."""
+    """Counts of all shingles of the corpus by cell, as ranks 0..255 (log scale). There is a cell for every BYTES_PER_CELL bytes of text, within bounds.
+
+    The ranks only order shingles; whatever the number of cells, the join's results are the same.
+    """
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_PER_CELL).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            data, offsets = textops.buffers(batch.column(1))
+            data, offsets = textops.buffers(batch.column(0))
             for i, j in textops.slices(offsets, SLICE_BYTES):
                 h, _ = shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                np.add.at(total, cell_of(h), 1)
+                np.add.at(total, cell_of(h, bits), 1)
         if total.any():
-            parts = [x.astype("<i8").tobytes() for x in np.split(total, SKETCH_BLOCKS)]
+            # a task's counts are small numbers: by planes of bytes, most of which are zeros
+            parts = [zlib.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T), 1) for x in np.split(total, SKETCH_BLOCKS)]
             yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=["block", "counts"])
 
     def total_of(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, "<i8") for x in table["counts"].to_pylist())
-        return pa.table({"block": table["block"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros((1 << bits) // SKETCH_BLOCKS)
+        for x in table["counts"]:
+            total += np.ascontiguousarray(np.frombuffer(zlib.decompress(x.as_py()), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+        return pa.table({"block": table["block"][:1], "counts": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
-    rows = docs.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(total_of, "block int, counts binary").collect()
-    counts = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS))
+    rows = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(total_of, "block int, counts binary").collect()
+    counts = np.zeros((SKETCH_BLOCKS, (1 << bits) // SKETCH_BLOCKS), np.float32)
     for r in rows:
-        counts[r.block] = np.frombuffer(r.counts, "<i8")
+        counts[r.block] = np.frombuffer(r.counts, "<f4")
     typical = max(1.0, float(np.median(counts)))
-    return np.clip(8 * np.log2(np.maximum(1.0, counts.ravel() / typical)), 0, 255).astype(np.uint64)
+    return np.clip(8 * np.log2(np.maximum(1.0, counts.ravel() / typical)), 0, 255).astype(np.uint8)
 
 
 def document_sets(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
-    """doc_id, n, key (16 bytes, the same for equal sets only), group_key (the same for prefixes), prefix (tokens, ascending, 8 bytes each), bitmap words of every row."""
-    sent = docs.sparkSession.sparkContext.broadcast(ranks.astype(np.uint8))
+    """doc_id, th (both as in docs), n, key (16 bytes, the same for equal sets only), group_key (the same for prefixes), prefix (tokens, ascending, 8 bytes each), bitmap words of every row."""
+    sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local = sent.value.astype(np.uint64)
         for batch in batches:
-            data, offsets = textops.buffers(batch.column(1))
+            data, offsets = textops.buffers(batch.column(2))
             sizes, keys, group_keys, prefixes, maps = [], [], [], [], [np.zeros((0, BITMAP_WORDS), np.int64)]
             for i, j in textops.slices(offsets, SLICE_BYTES):
                 h, upto = shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                tokens = ordered_tokens(h, local)
+                tokens = ordered_tokens(h, sent.value)
                 for a, b in zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True):
                     own = np.unique(tokens[a:b])
                     n = len(own)
@@ -122,10 +134,10 @@ def document_sets(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
                     group_keys.append(set_key(prefix))
                     prefixes.append(prefix.tobytes())
                     maps.append(bitmap(own)[None])
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, group_keys, prefixes)), *map(pa.array, np.concatenate(maps).T.copy())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "key", "group_key", "prefix", *BITMAP])
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, group_keys, prefixes)), *map(pa.array, np.concatenate(maps).T.copy())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n", "key", "group_key", "prefix", *BITMAP])
 
-    return docs.mapInArrow(run, "doc_id long, n long, key binary, group_key binary, prefix binary, " + ", ".join(f"{b} long" for b in BITMAP))
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id long, th long, n long, key binary, group_key binary, prefix binary, " + ", ".join(f"{b} long" for b in BITMAP))
 
 
 def postings_of(groups: DataFrame) -> DataFrame:
@@ -147,21 +159,26 @@ def postings_of(groups: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that link. texts: cid, text of each class that stands in a pair."""
+    """a, b, linked of the pairs (a, b) of classes, by their whole sets. texts: cid, text of each class that stands in a pair.
+
+    A few pairs at a time, by the bytes of both texts, so that memory depends on the longest two texts alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for k in (2, 3):
-                data, offsets = textops.buffers(batch.column(k))
-                h, upto = shingle_hashes(data, offsets)
-                sets.append([np.unique(h[a:b]) for a, b in zip(upto[:-1], upto[1:], strict=True)])
-            ok = [WHOLE * (c := len(np.intersect1d(x, y, True))) >= PART * (len(x) + len(y) - c) for x, y in zip(*sets, strict=True)]
+            sides = [textops.buffers(batch.column(k)) for k in (2, 3)]
+            ok: list[bool] = []
+            for i, j in textops.slices(sides[0][1] + sides[1][1], SLICE_BYTES):
+                sets = []
+                for data, offsets in sides:
+                    h, upto = shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                    sets.append([np.unique(h[a:b]) for a, b in zip(upto[:-1], upto[1:], strict=True)])
+                ok += [WHOLE * (c := len(np.intersect1d(x, y, True))) >= PART * (len(x) + len(y) - c) for x, y in zip(*sets, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
     one = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
-    each = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
+    each = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
     return each.mapInArrow(run, "a long, b long, linked boolean")
 
 
@@ -173,73 +190,125 @@ def _sizes_fit(x: Column, y: Column) -> Column:
     return F.least(x, y) * WHOLE >= F.greatest(x, y) * PART
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row: the smallest id reachable by links of similarity 0.8 or more.
+def _near(n: Column, m: Column, other: str) -> Column:
+    """Whether two bitmaps let the sets link: n + m - 2 * common <= (WHOLE - PART) / (WHOLE + PART) * (n + m) for linked sets."""
+    apart = reduce(add, (F.bit_count(F.col(b).bitwiseXOR(F.col(b + other))) for b in BITMAP))
+    return apart * (WHOLE + PART) <= (n + m) * (WHOLE - PART)
 
-    Null text and texts without words have an empty set, link with nothing and are their own component. Equal sets always link. Rows that repeat each give a row; of
-    rows with one id and different texts, the join looks at one text, and each keeps its own set's size. A null id links with nothing and its component is null.
-    An empty table gives no rows; other columns aren't read.
+
+def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_duplicates with th (xxhash64 of the text) and stays: whether the row has the id and text that represent its component; the smallest id, then the smallest th.
+
+    So each component has one text with stays, which repeated rows all have, and rows with one id and unlike texts are told apart.
     """
+    spark = docs.sparkSession
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    sets = graph.saved(document_sets(base, sketch(base)))
+    base = base.withColumn("th", F.xxhash64("text"))
+    scratch = Scratch(spark)
+    sets = scratch.save(document_sets(base, sketch(base)), "sets")
+    rows = scratch.save(sets.select("doc_id", "th", "n", "key"), "rows")
     full = sets.filter("n > 0 and doc_id is not null")
-    classes = full.groupBy("n", "key").agg(F.min("doc_id").alias("cid"), F.first("group_key").alias("group_key"))
+    # ids of the classes are made once, in the table that is written
+    classes = full.groupBy("n", "key", "group_key").agg(F.min("doc_id").alias("low"), F.min_by("th", F.struct("doc_id", "th")).alias("th"), *(F.first(b).alias(b) for b in BITMAP))
+    classes = scratch.save(classes.select(F.monotonically_increasing_id().alias("cid"), "*"), "classes")
     # classes of one size and one prefix are a group, named by its smallest class
     groups = classes.groupBy("n", "group_key").agg(F.min("cid").alias("gid"), F.count("*").alias("members"))
-    joint = groups.filter("members > 1").select("n", "group_key", "gid")
-    members = graph.checkpointed(classes.join(joint, ["n", "group_key"]).select("gid", "cid"))
-    by_token = Window.partitionBy("token")
-    chosen = full.join(groups.select("gid"), F.col("doc_id") == F.col("gid"), "left_semi").select(F.col("doc_id").alias("gid"), "n", "prefix")
-    shared = graph.saved(postings_of(chosen).withColumn("times", F.count("*").over(by_token)).filter("times > 1").drop("times"))
-    graph.tidy(shared)
-    # texts of all classes that can be in a candidate pair
-    wanted = shared.select("gid").distinct()
-    wanted = graph.checkpointed(wanted.withColumnRenamed("gid", "cid").unionAll(members.select("cid")).unionAll(members.join(wanted, "gid").select("cid")).distinct())
-    texts = graph.saved(base.join(wanted, base.doc_id == wanted.cid, "left_semi").groupBy(F.col("doc_id").alias("cid")).agg(F.first("text").alias("text")))
-    graph.tidy(texts)
-
-    # first links: along each token's list and to its first group, and within groups
-    order = Window.partitionBy("token").orderBy("n", "gid")
-    chained = shared.select("gid", "n", F.lag("gid").over(order).alias("g1"), F.lag("n").over(order).alias("n1"), F.first("gid").over(order).alias("g2"), F.first("n").over(order).alias("n2"))
-    chained = chained.select("gid", "n", F.explode(F.array(F.struct(F.col("g1").alias("g"), F.col("n1").alias("m")), F.struct(F.col("g2").alias("g"), F.col("n2").alias("m")))).alias("o"))
-    chained = chained.filter((F.col("o.g") != F.col("gid")) & _sizes_fit(F.col("n"), F.col("o.m"))).select(*_ordered(F.col("gid"), F.col("o.g")))
-    inner = members.filter("gid != cid").select(*_ordered(F.col("gid"), F.col("cid")))
-    tested = graph.checkpointed(verified(chained.unionAll(inner).distinct(), texts))
-    graph.tidy(tested)
+    members = scratch.save(classes.join(groups.filter("members > 1"), ["n", "group_key"]).select("gid", "cid"), "members")
+    prefixes = full.groupBy("n", "group_key").agg(F.first("prefix").alias("prefix"))
+    postings = postings_of(prefixes.join(groups, ["n", "group_key"]))
+    several = postings.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1")
+    shared = scratch.save(postings.join(several, "token"), "shared")
+    scratch.drop("sets")
+    graph.release(docs)
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        """cid, text of the classes in pairs: one read of the documents, of which only those texts go on."""
+        wanted = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select("b")).distinct().join(classes.select("cid", F.col("low").alias("doc_id"), "th"), "cid")
+        each = base.filter("doc_id is not null").dropDuplicates(["doc_id", "th"])
+        return each.join(wanted, ["doc_id", "th"]).select("cid", "text")
+
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.save(pairs, f"{name}_pairs")
+        texts = scratch.save(texts_of(pairs), f"{name}_texts")
+        graph.release(docs)
+        found = scratch.save(verified(pairs, texts), f"{name}_tested")
+        scratch.drop(f"{name}_texts")
+        graph.release(docs)
+        return found
+
+    # first links: within groups, along each token's list, and to its first group; a long list is dealt over salts, each with a list of its own
+    salt = F.pmod(F.xxhash64("gid"), F.floor(F.col("times") / ROWS_PER_SALT) + 1)
+    order = Window.partitionBy("token", "salt").orderBy("n", "gid")
+    along = shared.withColumn("salt", salt).select("gid", "n", F.lag("gid").over(order).alias("g"), F.lag("n").over(order).alias("m")).filter("g is not null")
+    firsts = shared.groupBy("token").agg(F.min("gid").alias("g"), F.min_by("n", "gid").alias("m"))
+    chained = along.unionAll(shared.join(firsts, "token").select("gid", "n", "g", "m")).filter((F.col("g") != F.col("gid")) & _sizes_fit(F.col("n"), F.col("m")))
+    chained = chained.select(*_ordered(F.col("gid"), F.col("g"))).unionAll(members.filter("gid != cid").select(*_ordered(F.col("gid"), F.col("cid")))).distinct()
+    one = classes.select(F.col("cid").alias("a"), "n", *BITMAP)
+    two = classes.select(F.col("cid").alias("b"), F.col("n").alias("m"), *(F.col(b).alias(f"{b}_") for b in BITMAP))
+    tested = linked(chained.join(one, "a").join(two, "b").filter(_near(F.col("n"), F.col("m"), "_")).select("a", "b"), "first")
     links = tested.filter("linked").select("a", "b")
-    parts = graph.components(links)
+    parts = graph.components(links, scratch, "first")
 
     # all candidate pairs that aren't connected yet; a group has the components of its members
     label = lambda c: F.coalesce("component", c)
-    member_parts = members.join(parts, F.col("cid") == F.col("node"), "left").select("gid", "cid", label("cid").alias("part"))
+    member_parts = scratch.save(members.join(parts, F.col("cid") == F.col("node"), "left").select("gid", "cid", label("cid").alias("part")), "member_parts")
     several = member_parts.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    groups_part = shared.join(parts, F.col("gid") == F.col("node"), "left").select("token", "gid", "n", "pos", label("gid").alias("part")).join(several, "gid", "left")
-    rest = groups_part.withColumns({"single": F.col("low").isNull(), "low": F.coalesce("low", "part"), "high": F.coalesce("high", "part")}).drop("part")
-    rest = rest.withColumns({"lowest": F.min("low").over(by_token), "highest": F.max("high").over(by_token)}).filter("lowest < highest").drop("lowest", "highest")
-    bitmaps = full.select(F.col("doc_id").alias("gid"), *BITMAP).dropDuplicates(["gid"])
-    rest = graph.saved(rest.join(bitmaps, "gid"))
-    other = rest.select("token", *(F.col(c).alias(f"{c}_") for c in rest.columns if c != "token"))
+    lists = shared.drop("times").join(parts, F.col("gid") == F.col("node"), "left").withColumn("part", label("gid")).join(several, "gid", "left")
+    lists = lists.select("token", "gid", "n", "pos", F.col("low").isNull().alias("single"), F.coalesce("low", "part").alias("low"), F.coalesce("high", "part").alias("high"))
+    lists = scratch.save(lists, "lists")
+    scratch.drop("shared")
+    mixed = lists.groupBy("token").agg(F.min("low").alias("lowest"), F.max("high").alias("highest")).filter("lowest < highest").select("token")
+    rest = lists.join(mixed, "token").join(classes.select(F.col("cid").alias("gid"), *BITMAP), "gid")
+    rest = scratch.save(rest, "rest")
+    scratch.drop("lists")
+    other = rest.select(F.col("token"), *(F.col(c).alias(f"{c}_") for c in rest.columns if c != "token"))
     # if this is the first common token, at most so many can be common; a linked pair passes at its first one
     most = F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_"))
     needed = (F.col("n") + F.col("n_")) * PART <= most * (PART + WHOLE)
-    # n + n_ - 2 * common <= (WHOLE - PART) / (WHOLE + PART) * (n + n_) for linked sets; a group of several classes has no bitmap of its own
-    apart = reduce(add, (F.bit_count(F.col(b).bitwiseXOR(F.col(f"{b}_"))) for b in BITMAP))
-    near = ~F.col("single") | ~F.col("single_") | (apart * (WHOLE + PART) <= (F.col("n") + F.col("n_")) * (WHOLE - PART))
+    # a group of several classes has no bitmap of its own
+    near = ~F.col("single") | ~F.col("single_") | _near(F.col("n"), F.col("n_"), "_")
     open_ = ~((F.col("low") == F.col("high")) & (F.col("low_") == F.col("high_")) & (F.col("low") == F.col("low_")))
     crossing = rest.join(other, (rest.token == other.token) & (F.col("gid") < F.col("gid_")) & _sizes_fit(F.col("n"), F.col("n_")) & needed & open_ & near).select("gid", "gid_").distinct()
-    one = members.select(F.col("gid").alias("m1"), F.col("cid").alias("c1"))
-    two = members.select(F.col("gid").alias("m2"), F.col("cid").alias("c2"))
-    expanded = crossing.join(one, F.col("gid") == F.col("m1"), "left").join(two, F.col("gid_") == F.col("m2"), "left").select(*_ordered(F.coalesce("c1", "gid"), F.coalesce("c2", "gid_")))
-    within = member_parts.join(several.filter("low < high").select("gid"), "gid")
-    twin = within.select("gid", F.col("cid").alias("cid_"), F.col("part").alias("part_"))
-    within = within.join(twin, "gid").filter("cid < cid_ and part != part_").select(F.col("cid").alias("a"), F.col("cid_").alias("b"))
-    to_test = expanded.unionAll(within).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = graph.checkpointed(verified(graph.checkpointed(to_test), texts).filter("linked").select("a", "b"))
-    final = graph.components(links.unionAll(more))
-    graph.tidy(final)
-
-    classed = full.select("doc_id", "n", "key").join(classes.select("n", "key", "cid"), ["n", "key"]).join(final, F.col("cid") == F.col("node"), "left")
-    linked = classed.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cid").alias("component_id"))
-    alone = sets.filter("not (n > 0 and doc_id is not null)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone)
+    first, second = members.select(F.col("gid").alias("m1"), F.col("cid").alias("c1")), members.select(F.col("gid").alias("m2"), F.col("cid").alias("c2"))
+    expanded = crossing.join(first, F.col("gid") == F.col("m1"), "left").join(second, F.col("gid_") == F.col("m2"), "left").select(*_ordered(F.coalesce("c1", "gid"), F.coalesce("c2", "gid_")))
+    within = member_parts.join(several.filter("low < high").select("gid"), "gid").join(classes.select("cid", "n", *BITMAP), "cid")
+    twin = within.select("gid", F.col("cid").alias("cid_"), F.col("part").alias("part_"), *(F.col(b).alias(f"{b}_") for b in BITMAP))
+    within = within.join(twin, "gid").filter((F.col("cid") < F.col("cid_")) & (F.col("part") != F.col("part_")) & _near(F.col("n"), F.col("n"), "_"))
+    to_test = expanded.unionAll(within.select(F.col("cid").alias("a"), F.col("cid_").alias("b"))).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    more = linked(to_test, "rest").filter("linked").select("a", "b")
+    final = graph.components(links.unionAll(more), scratch, "final")
+    scratch.drop("rest")
+
+    # of each component, the smallest id and its text
+    ours = classes.select("cid", "low", "th").join(final, F.col("cid") == F.col("node"))
+    heads = ours.groupBy("component").agg(F.min(F.struct("low", "th")).alias("head"))
+    headed = classes.select("cid", "n", "key", "low", "th").join(ours.join(heads, "component").select("cid", "head"), "cid", "left")
+    headed = headed.select("n", "key", F.coalesce("head.low", "low").alias("component_id"), F.coalesce("head.th", "th").alias("head"))
+    headed = scratch.save(headed, "headed")
+    scratch.drop("classes", "members", "member_parts")
+    graph.release(docs)
+    classed = rows.filter("n > 0 and doc_id is not null").join(headed, ["n", "key"])
+    classed = classed.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "th", ((F.col("doc_id") == F.col("component_id")) & (F.col("th") == F.col("head"))).alias("stays"))
+    alone = rows.filter("not (n > 0 and doc_id is not null)").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "th", F.lit(True).alias("stays"))
+    return classed.unionByName(alone)
+
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id of every row: the smallest id reachable by links of similarity 0.8 or more.
+
+    Null text and texts without words have an empty set, link with nothing and are their own component. Equal sets always link. Rows that repeat each give a row; rows
+    with one id and unlike texts each have the links of their own text. A null id links with nothing and its component is null.
+    An empty table gives no rows; other columns aren't read.
+    """
+    return clustered(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows that represent their components, with all their columns; of rows with the same id and text, one. Rows with a null id all stay."""
+    th = "th"
+    while th in docs.columns:
+        th += "_"
+    known = docs.filter(docs[id_col].isNotNull()).withColumn(th, F.xxhash64(F.col(text_col).cast("string")))
+    stay = clustered(docs, id_col, text_col).filter("stays and doc_id is not null").select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("th").alias(th)).distinct()
+    one = known.dropDuplicates([id_col, th]).join(stay, [id_col, th], "left_semi")
+    return one.select(*docs.columns).unionByName(docs.filter(docs[id_col].isNull()))

@@ -22,16 +22,20 @@ _TABLE = np.random.Generator(np.random.PCG64(20240131)).integers(1, 2**63, 256,
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
+#: Powers that a process keeps: two tables of 32 MB at most. Longer texts get tables of their own, which go with them.
+KEPT_POWERS = 1 << 22
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """The first n (or more) powers of the hash multiplier, or of its inverse, mod 2^64; kept per process."""
+    """The first n (or more) powers of the hash multiplier, or of its inverse, mod 2^64; tables of up to KEPT_POWERS are kept by each process."""
     have = _powers.get(inverse)
     if have is None or len(have) < n:
-        base = pow(_MULT, -1, 2**64) if inverse else _MULT
-        have = np.full(max(n, 1 << 16), base, np.uint64)
+        size = 1 << max(16, (n - 1).bit_length()) if n <= KEPT_POWERS else n
+        have = np.full(size, pow(_MULT, -1, 2**64) if inverse else _MULT, np.uint64)
         have[0] = 1
-        _powers[inverse] = have = np.cumprod(have)
+        np.cumprod(have, out=have)
+        if n <= KEPT_POWERS:
+            _powers[inverse] = have
     return have
 
 

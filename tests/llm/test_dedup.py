@@ -175,6 +175,32 @@ def test_near_duplicates_edge_cases(spark):
     assert got == [(3, 1, 3), (3, 1, 3), (7, 1, 3), (8, 0, 8), (9, 0, 9), (99, 1, 99)]
 
 
+def test_near_duplicates_of_one_id_with_unlike_texts(spark):
+    """Each text has its own links, and each component keeps one text; copies of rows are one."""
+    rng = np.random.default_rng(9)
+    one, two = (words_like(rng, 40, 10**6) for _ in range(2))
+    rows = spark.createDataFrame([(5, one, "a"), (5, two, "b"), (5, two, "c"), (6, one + " x", "d"), (7, "y " + two, "e"), (None, one, "f"), (8, None, "g"), (8, "", "h")], "doc_id long, text string, th string")
+    got = sorted((r.doc_id or 99, r.n_shingles, r.component_id or 99) for r in jaccard.near_duplicates(rows).collect())
+    assert got == [(5, 36, 5)] * 3 + [(6, 37, 5), (7, 37, 5), (8, 0, 8), (8, 0, 8), (99, 36, 99)]
+    kept = jaccard.one_of_each(rows)
+    assert kept.columns == rows.columns
+    assert sorted((r.doc_id or 99, r.text or "", r.th in "bc") for r in kept.collect()) == sorted([(5, one, False), (5, two, True), (8, "", False), (8, "", False), (99, one, False)])
+
+
+def test_one_of_each_of_an_empty_table(spark):
+    assert jaccard.one_of_each(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_the_sketch_only_orders(spark, monkeypatch):
+    """Any number of cells gives the same components, and long lists may be dealt over salts."""
+    docs = corpus(3)
+    for bits, salt in ((5, 3), (22, 100_000)):
+        monkeypatch.setattr(jaccard, "LEAST_BITS", bits)
+        monkeypatch.setattr(jaccard, "ROWS_PER_SALT", salt)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame(spark, docs)).collect()}
+        assert got == components_brute(docs)
+
+
 def test_words_split_at_rows():
     data = np.frombuffer(b"ab cd\tef", np.uint8)
     starts, ends, before = textops.words(data, np.array([0, 1, 1, 8]))
