@@ -25,10 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest id stays; rows without an id all stay."""
-    stay = jaccard.near_duplicates(docs).filter("component_id = doc_id").select(F.col("doc_id").alias("stay")).distinct()
-    one = docs.filter("doc_id is not null").join(stay, F.col("doc_id") == F.col("stay"), "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """Of each component one document stays: that with the smallest id. Texts that are no copies of each other all stay, also under one id; rows without an id all stay."""
+    return jaccard.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
