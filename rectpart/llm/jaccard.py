@@ -32,6 +32,8 @@ WORDS = 5
 PART, WHOLE = 4, 5
 #: Cells of the sketch by the corpus' bytes, and their bounds (bits). A rank of one byte for each is sent to the executors: 4 MB at most.
 BYTES_PER_CELL, LEAST_BITS, MOST_BITS, SKETCH_BLOCKS = 256, 12, 22, 32
+#: Text for a shingle, about; a cell with the corpus' mean count or less has rank 0.
+BYTES_PER_WORD = 7
 SLICE_BYTES = 1 << 20
 #: Groups in a token's list for which one more salt is used.
 ROWS_PER_SALT = 100_000
@@ -87,6 +89,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
     """
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     bits = min(MOST_BITS, max(LEAST_BITS, (size // BYTES_PER_CELL).bit_length()))
+    typical = max(1.0, size / BYTES_PER_WORD / (1 << bits))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << bits, np.uint32)
@@ -104,14 +107,14 @@ def sketch(docs: DataFrame) -> np.ndarray:
         total = np.zeros((1 << bits) // SKETCH_BLOCKS)
         for x in table["counts"]:
             total += np.ascontiguousarray(np.frombuffer(zlib.decompress(x.as_py()), np.uint8).reshape(4, -1).T).view("<u4").ravel()
-        return pa.table({"block": table["block"][:1], "counts": pa.array([total.astype("<f4").tobytes()], pa.binary())})
+        ranks = np.clip(8 * np.log2(np.maximum(1.0, total / typical)), 0, 255).astype(np.uint8)
+        return pa.table({"block": table["block"][:1], "ranks": pa.array([ranks.tobytes()], pa.binary())})
 
-    rows = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(total_of, "block int, counts binary").collect()
-    counts = np.zeros((SKETCH_BLOCKS, (1 << bits) // SKETCH_BLOCKS), np.float32)
+    rows = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(total_of, "block int, ranks binary").collect()
+    ranks = np.zeros((SKETCH_BLOCKS, (1 << bits) // SKETCH_BLOCKS), np.uint8)
     for r in rows:
-        counts[r.block] = np.frombuffer(r.counts, "<f4")
-    typical = max(1.0, float(np.median(counts)))
-    return np.clip(8 * np.log2(np.maximum(1.0, counts.ravel() / typical)), 0, 255).astype(np.uint8)
+        ranks[r.block] = np.frombuffer(r.ranks, np.uint8)
+    return ranks.ravel()
 
 
 def document_sets(docs: DataFrame, ranks: np.ndarray) -> DataFrame:
