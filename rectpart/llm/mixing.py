@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rectpart.llm.textops import SPACE_CLASS
+from rectpart.operators.scan import saved
 
 #: Rows of the whole table for which one more salt is used.
 ROWS_PER_SALT = 500_000
@@ -60,18 +61,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most:
 def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), most: int = 3, carry: bool = False) -> DataFrame:
     """doc_id, source, size, source_size, target, copies of every row: how often the mix takes it; carry: also `row`, a struct of all its columns.
 
-    Null sources are a source of their own, null texts have size 0. Rows that repeat, also with the same id, each take part; ids
-    that tie stand in any order, which changes no total. An empty table gives no rows. A source's size is the words of its documents; no document is taken more
-    than `most` times. A source of empty documents is never taken. Other columns aren't read. The same rows give the same copies again.
+    Null sources are a source of their own, null texts have size 0. Rows that repeat, also with the same id or a null id, each take part; of rows with one size
+    and id, that with the smaller hash of its text comes first, so that the same rows give the same copies again. An empty table gives no rows. A source's size is the words of its
+    documents; no document is taken more than `most` times. A source of empty documents is never taken. Other columns aren't read. Two passes over the texts: one counts
+    the cells, which are saved, one places the rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    if carry:
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    whole = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].alias("source"), n_words(docs[text_col]).alias("size"), F.xxhash64(docs[text_col]).alias("th"), *whole)
     salts = 8 + docs.count() // ROWS_PER_SALT
     bits = F.length(F.bin("size"))
     size_class = F.when(F.col("size") < 16, F.col("size")).otherwise(bits * 8 + F.expr("shiftright(size, cast(length(bin(size)) as int) - 4)") % 8)
-    rows = rows.withColumns({"size_class": size_class.cast("int"), "salt": F.coalesce(_hash(F.col("doc_id").cast("string"), salts), F.lit(0)).cast("int")})
-    cells = rows.groupBy("source", "size_class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    rows = rows.withColumns({"size_class": size_class.cast("int"), "salt": _hash(F.concat_ws(":", "doc_id", "th"), salts).cast("int")})
+    cells = saved(rows.groupBy("source", "size_class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
     targets = source_targets(cells, weights, most)
     before = lambda *order: Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     classes = cells.groupBy("source", "size_class").agg(F.sum("n").alias("n"))
@@ -80,7 +81,7 @@ def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     starts = starts.join(classes, F.col("s1").eqNullSafe(F.col("s2")) & (F.col("c1") == F.col("c2")))
     starts = starts.join(targets.withColumnRenamed("source", "s3"), F.col("s3").eqNullSafe(F.col("s2")))
     starts = starts.select("s2", "c2", "k2", (F.col("class_start") + F.col("salt_start")).alias("start"), "source_size", "target", "rate", "offset")
-    place = F.row_number().over(Window.partitionBy("source", "size_class", "salt").orderBy("size", "doc_id"))
+    place = F.row_number().over(Window.partitionBy("source", "size_class", "salt").orderBy("size", "doc_id", "th"))
     placed = rows.withColumn("place", place).join(starts, F.col("s2").eqNullSafe(F.col("source")) & (F.col("c2") == F.col("size_class")) & (F.col("k2") == F.col("salt")))
     upto = lambda n: F.floor(n * F.col("rate") + F.col("offset"))
     n = F.col("start") + F.col("place")
