@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rectpart.llm import graph, textops
-from rectpart.operators.scan import Scratch
+from rectpart.operators.scan import Scratch, arrow_rows
 
 WORDS = 5
 #: Similarity as a fraction.
@@ -35,6 +35,8 @@ BYTES_PER_CELL, LEAST_BITS, MOST_BITS, SKETCH_BLOCKS = 256, 12, 22, 32
 #: Text for a shingle, about; a cell with the corpus' mean count or less has rank 0.
 BYTES_PER_WORD = 7
 SLICE_BYTES = 1 << 20
+#: Rows with texts that come to a worker at a time.
+BATCH_ROWS = 1_000
 #: Groups in a token's list for which one more salt is used.
 ROWS_PER_SALT = 100_000
 #: 64-bit words of a set's parity bitmap.
@@ -208,7 +210,8 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     base = base.withColumn("th", F.xxhash64("text"))
     scratch = Scratch(spark)
-    sets = scratch.save(document_sets(base, sketch(base)), "sets")
+    with arrow_rows(spark, BATCH_ROWS):
+        sets = scratch.save(document_sets(base, sketch(base)), "sets")
     rows = scratch.save(sets.select("doc_id", "th", "n", "key"), "rows")
     full = sets.filter("n > 0 and doc_id is not null")
     # ids of the classes are made once, in the table that is written
@@ -234,7 +237,8 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         pairs = scratch.save(pairs, f"{name}_pairs")
         texts = scratch.save(texts_of(pairs), f"{name}_texts")
         graph.release(docs)
-        found = scratch.save(verified(pairs, texts), f"{name}_tested")
+        with arrow_rows(spark, BATCH_ROWS):
+            found = scratch.save(verified(pairs, texts), f"{name}_tested")
         scratch.drop(f"{name}_texts")
         graph.release(docs)
         return found

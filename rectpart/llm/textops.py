@@ -63,12 +63,16 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets (length + 1) of a string or binary array; null counts as empty."""
+    """Bytes and offsets (length + 1) of a string or binary array; null counts as empty. Without nulls, the bytes are the array's own and aren't copied."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_binary()).fill_null(b"")
+    if column.null_count or column.type not in (pa.string(), pa.binary(), pa.large_string(), pa.large_binary()):
+        column = column.cast(pa.large_binary()).fill_null(b"")
     _, offsets, data = column.buffers()
-    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    wide = column.type in (pa.large_string(), pa.large_binary())
+    off = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    if not len(off):
+        off = np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw[off[0] : off[-1]], off - off[0]
 
