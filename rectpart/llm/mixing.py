@@ -67,11 +67,11 @@ def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     the cells, which are saved, one places the rows.
     """
     whole = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].alias("source"), n_words(docs[text_col]).alias("size"), F.xxhash64(docs[text_col]).alias("th"), *whole)
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].alias("source"), n_words(docs[text_col]).alias("size"), F.md5(docs[text_col]).alias("th"), *whole)
     salts = 8 + docs.count() // ROWS_PER_SALT
     bits = F.length(F.bin("size"))
     size_class = F.when(F.col("size") < 16, F.col("size")).otherwise(bits * 8 + F.expr("shiftright(size, cast(length(bin(size)) as int) - 4)") % 8)
-    rows = rows.withColumns({"size_class": size_class.cast("int"), "salt": _hash(F.concat_ws(":", "doc_id", "th"), salts).cast("int")})
+    rows = rows.withColumns({"size_class": size_class.cast("int"), "salt": _hash(F.concat_ws(":", F.col("doc_id").cast("string"), "th"), salts).cast("int")})
     cells = saved(rows.groupBy("source", "size_class", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("size")))
     targets = source_targets(cells, weights, most)
     before = lambda *order: Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rectpart.llm import binpack, html, jaccard, langid, maxscore, mixing, packing, quality, substrings, toxicity
+from rectpart.llm import binpack, html, jaccard, langid, maxscore, mixing, oracles, packing, quality, substrings, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +66,8 @@ def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    floored = F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double"))
+    # from 2^52 on, every double is whole
+    floored = F.transform("embedding", lambda x: F.when(F.abs(x) < float(1 << 44), F.floor(x.cast("double") * 256).cast("double")).otherwise(x.cast("double") * 256))
     good = F.when(maxscore.usable(F.col("embedding")), floored)
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", good.alias("vector"))
     return maxscore.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
@@ -87,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

@@ -165,10 +165,10 @@ def top_brute(ids, vectors, k):
     return out
 
 
-@pytest.mark.parametrize(("shard", "block"), [(8192, 2048), (100, 3)])
+@pytest.mark.parametrize(("shard", "block"), [(1 << 22, 1 << 24), (20_000, 600)])
 def test_top_k(spark, monkeypatch, shard, block):
-    monkeypatch.setattr(maxscore, "SHARD_ROWS", shard)
-    monkeypatch.setattr(maxscore, "BLOCK_ROWS", block)
+    monkeypatch.setattr(maxscore, "SHARD_BYTES", shard)
+    monkeypatch.setattr(maxscore, "BLOCK_BYTES", block)
     rng = np.random.default_rng(1)
     vectors = np.floor(rng.normal(0, 60, (700, 24)))
     vectors[100:400] = vectors[100]  # many ties
@@ -187,3 +187,29 @@ def test_top_k_edge_cases(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0]), (2, []), (50, [0.0, 0.0])], "vec_id long, vector array<double>")
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in maxscore.top_k(few, few.filter(F.col("vec_id") % 50 == 0)).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 3), (0, 2, 2, 0), (0, 3, 50, 0), (50, 1, 0, 0), (50, 2, 1, 0), (50, 3, 2, 0)]
+
+
+@pytest.mark.parametrize("kind", ["normal", "skewed", "sparse", "equal"])
+def test_search_of_a_shard(kind):
+    """The k best by definition; where terms differ in weight or vectors are sparse, only a part of the postings is looked at."""
+    rng = np.random.default_rng(2)
+    x = {"normal": rng.normal(0, 60, (1500, 16)), "skewed": rng.normal(0, 60, (1500, 32)) * np.linspace(1, 0.01, 32) ** 3, "sparse": rng.exponential(50, (1500, 40)) * (rng.random((1500, 40)) < 0.05), "equal": np.ones((40, 3))}[kind]
+    x, ids = np.floor(x), rng.permutation(len(x)).astype(np.int64) * 7
+    shard, full = maxscore.Shard(ids, x), 0
+    for q, w in list(zip(ids.tolist(), x))[:60]:
+        score = x @ w
+        best = [i for i in np.lexsort((ids, -score)) if ids[i] != q][:5]
+        got = shard.search(q, w, 5)
+        assert got[0].tolist() == ids[best].tolist() and got[1].tolist() == score[best].tolist()
+        full += x.size
+    assert shard.visited < {"normal": 1.05, "skewed": 0.5, "sparse": 0.02, "equal": 1}[kind] * full
+
+
+def test_top_k_beyond_exact_doubles(spark):
+    big = float(1 << 40)
+    rows = [(0, [big, 1.0]), (1, [big, 3.0]), (2, [big, 2.0]), (3, [2.0**70, 0.0]), (None, [big, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = [(r.vec_id, r.score) for r in maxscore.top_k(df, df.filter("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(k, 2**63 - 1) for k in (1, 2, 3)]  # cut off, and so ties
+    small = spark.createDataFrame([(0, [float(1 << 30), 1.0]), (1, [float(1 << 30), 3.0]), (2, [float(1 << 30), 2.0])], df.schema)
+    assert [(r.vec_id, r.score) for r in maxscore.top_k(small, small.filter("vec_id = 0")).orderBy("rank").collect()] == [(1, (1 << 60) + 3), (2, (1 << 60) + 2)]
