@@ -23,9 +23,8 @@ WINDOW, SURGE = 3, 25
 # Elements of HTML by what they mean here.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed frame hr img input keygen link meta param source track wbr".split())
-RAW = "script|style|noscript|template|iframe|textarea|select|object|canvas|title|desc|metadata|annotation-xml|annotation"
-#: Dropped elements that end a line; the others stand within one.
-SPLITS = ("iframe", "textarea", "select", "object", "canvas")
+#: Dropped with what they hold; those of the first line hold plain text, so that without an end tag they hold the rest of the page; others without one hold nothing.
+RAW, CLOSED = "script|style|textarea|title|iframe", "noscript|template|select|object|canvas|desc|metadata|annotation-xml|annotation"
 ASIDE = frozenset("nav header footer aside menu dialog head".split())
 FORMS = frozenset(("form", "fieldset"))
 MAIN = frozenset(("article", "main"))
@@ -35,7 +34,7 @@ _NAMES = frozenset(
 )
 #: Words that may stand beside a name in a token, as in site-header; any other, as in has-sidebar or entry-header, makes it no aside.
 _BESIDE = frozenset("site global main primary secondary top bottom left right box bar list links section area wrap wrapper container block inner form buttons icons item items posts".split())
-_DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))", re.I | re.S)
+_DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<({CLOSED})(?=[\s/>])[^>]*?(?:/>|>.*?</\2\s*>)", re.I | re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/][^>]*>")
 _NAMED = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _ROLES = re.compile(r"(?:^|\s)(?:navigation|banner|contentinfo|complementary|search|alert|dialog)(?:$|\s)", re.I)
@@ -52,7 +51,7 @@ def names_aside(named: str, main: bool) -> bool:
 
 def lines_of(page: str) -> list[tuple[str, bool, bool, float]]:
     """Text, whether it stands in an aside, whether in the main element, and share of link text of each line that isn't blank."""
-    page = _DROP.sub(lambda m: "<hr>" if (m[1] or "").lower() in SPLITS else " ", page)
+    page = _DROP.sub("", page)
     out: list[tuple[str, bool, bool, bool, int, float]] = []
     # of each open block: whether it's an aside outside of an article, inside of one, whether in the main element, and the number of its form
     stack: list[tuple[str, bool, bool, bool, int]] = []
@@ -125,27 +124,30 @@ def _weighed(lines: list[tuple[str, bool, bool, bool, int, float]]) -> list[tupl
     return [(line, aside or (around and not (freed and main)) or form not in wide, main, share) for line, around, aside, main, form, share in lines]
 
 
-def main_text(page: str | None) -> str:
-    """The main text: its blocks in page order, joined by two line feeds; empty if there is none."""
-    lines = lines_of(page or "")
-    weight = [0 if aside or (share > 0.5 and not main) else len(t) + SURGE * main for t, aside, main, share in lines]
-    n = len(weight)
-    upto = [0]
+def between_surge_and_dive(weight: list[int]) -> list[bool]:
+    """Of each line, whether it has weight and stands between a surge point and a dive point of the window sums."""
+    n, half, upto = len(weight), WINDOW // 2, [0]
     for w in weight:
         upto.append(upto[-1] + w)
-    half = WINDOW // 2
     sums = [upto[min(n, i + half + 1)] - upto[max(0, i - half)] for i in range(n)]
     surge = min(SURGE, max(sums, default=0))
-    kept: list[str] = []
-    i = 0
+    kept, i = [False] * n, 0
     while i < n:
-        j = i
-        while j < n and sums[j]:
-            j += 1  # up to the dive
-        if j > i and max(sums[i:j]) >= surge:
-            kept += [t for (t, *_), w in zip(lines[i:j], weight[i:j], strict=True) if w]
+        j, high = i, 0
+        while j < n and sums[j]:  # from where the sum rises to where it dives
+            high = max(high, sums[j])
+            j += 1
+        if j > i and high >= surge:
+            kept[i:j] = [w > 0 for w in weight[i:j]]
         i = max(j, i + 1)
-    return "\n\n".join(kept)
+    return kept
+
+
+def main_text(page: str | None) -> str:
+    """The main text: its blocks in page order, joined by two line feeds; empty if there is none."""
+    lines = lines_of(page or "")
+    weight = [0 if aside or (share > 0.5 and not main) else len(t) + SURGE * main for t, aside, main, share in lines]
+    return "\n\n".join(t for (t, *_), keep in zip(lines, between_surge_and_dive(weight), strict=True) if keep)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -148,6 +148,37 @@ def test_main_text_keeps_the_story():
         assert got(f"{STORY}<div class='{name}'><p>Something else that is long enough to count as text.</p></div>") == KEPT
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<p>Hello <svg/> world of many words here</p>", "Hello world of many words here"), ("<p>one<!-- c -->two and so on, long enough</p>", "onetwo and so on, long enough"), ("<p>one <b>bold</b><i>er</i> word and others</p>", "one bolder word and others"),
+    *((f"<p>An unclosed <{x}>one</p><p>The rest of the page is here.</p>", "An unclosed one\n\nThe rest of the page is here.") for x in ("button", "select", "svg", "math", "object", "canvas", "template")),
+    ("<p class=tags-of-war>Some words about the wars of tags</p><div class=notice-board>The notice board of the town hall</div>", "Some words about the wars of tags\n\nThe notice board of the town hall"),
+    ("<p>A form's <select><option>1</select> choice isn't text, nor <textarea>this</textarea> is</p>", "A form's choice isn't text, nor is"),
+])
+def test_main_text_of_inline_and_unclosed_elements(page, text):
+    assert html.main_text(page) == text
+
+
+def test_the_sums_alone_decide():
+    """A page of nothing but div: links have no weight, and short lines among them never surge; the story is what stands between the surge and the dive."""
+    menu = "".join(f"<div><a href='/{k}'>Menu entry {k}</a></div>" for k in range(6))
+    story = "".join(f"<div>Paragraph {k} of the story is a line of some length.</div>" for k in range(4)) + "<div>A short line.</div>"
+    page = f"{menu}<div>Welcome!</div>{menu}{story}{menu}<div>(c) us</div>{menu}"
+    assert html.main_text(page).split("\n\n") == [*(f"Paragraph {k} of the story is a line of some length." for k in range(4)), "A short line."]
+
+
+def test_surges_by_definition():
+    """Brute force: a line stays if it has weight and a line, reached over lines whose sums aren't 0, has a sum that surges."""
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        weight = [int(w) for w in rng.integers(0, 40, int(rng.integers(0, 25))) * (rng.random(1) < 0.9) * 1]
+        weight = [w if rng.random() < 0.5 else 0 for w in weight]
+        n = len(weight)
+        sums = [sum(weight[k] for k in range(n) if abs(k - i) <= html.WINDOW // 2) for i in range(n)]
+        surge = min(html.SURGE, max(sums, default=0))
+        want = [weight[i] > 0 and any(sums[j] >= surge and all(sums[min(i, j) : max(i, j) + 1]) for j in range(n)) for i in range(n)]
+        assert html.between_surge_and_dive(weight) == want
+
+
 def test_pages(spark):
     rows = spark.createDataFrame([(1, "u", PAGE, "t"), (1, "u", PAGE, "t"), (2, None, None, "t"), (3, "v", "<p>" + "long " * 50_000, "t")], "page_id long, url string, html string, text string")
     got = html.extract_pages(rows).collect()
