@@ -134,21 +134,19 @@ def windowed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def probabilities(model: Model, data: np.ndarray, offsets: np.ndarray, block: int = 4096) -> np.ndarray:
-    """(rows, languages): the mean over every byte position of a text; zeros for an empty one."""
+    """(rows, languages): the mean over every byte position of a text; zeros for an empty one. A last window is read with zeros behind it, as in training, whatever stands beside it."""
     total = np.zeros((len(offsets) - 1, len(model.langs)))
     x, size, row = windowed(data, offsets)
     h = model.recurrent.shape[1]
     out_f, out_r = np.ascontiguousarray(model.output[:h]), np.ascontiguousarray(model.output[h:])
     for at in range(0, len(x), block):
         part, n = np.ascontiguousarray(x[at : at + block].T), size[at : at + block]
-        longest = int(n.max())
-        part = part[:longest]
         fore, _ = _read(model.inputs[0], model.recurrent[0], part)
         rear, _ = _read(model.inputs[1], model.recurrent[1], part[::-1])
         pooled = np.zeros((len(n), len(model.langs)), np.float32)
-        for t in range(longest):
+        for t in range(WINDOW):
             e = fore[t] @ out_f
-            e += rear[longest - 1 - t] @ out_r
+            e += rear[WINDOW - 1 - t] @ out_r
             e += model.bias
             e = np.exp(np.clip(e, -30, 30, out=e), out=e)
             e *= ((t < n) / e.sum(1))[:, None].astype(np.float32)
@@ -160,16 +158,16 @@ def probabilities(model: Model, data: np.ndarray, offsets: np.ndarray, block: in
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """Fits on SAMPLE_WINDOWS windows, spread evenly, of each of the SAMPLE_ROWS texts with a language whose ids have the smallest hashes.
 
-    Null or empty texts and null languages are left out; without any, no language is learned and every prediction is `und`.
+    Null or empty texts and null languages are left out, and of an id with several texts or languages one, the first in their order, is learned from; without any, no language is learned and every prediction is `und`.
     """
-    known = docs.filter(F.col(lang_col).isNotNull() & (F.octet_length(text_col) > 0))
+    known = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("y")).filter((F.octet_length("t") > 0) & F.col("y").isNotNull())
     # the ids are picked without their texts, and of the texts only the windows move
-    keys = known.select(F.xxhash64(id_col).alias("h"), F.col(id_col).alias("k")).orderBy("h", "k").limit(SAMPLE_ROWS).collect()
-    few = docs.sparkSession.createDataFrame([(k,) for k in {r.k for r in keys}], "k long")
-    n, step = F.octet_length(text_col), F.greatest(F.lit(0), F.octet_length(text_col) - WINDOW)
-    cut = [F.substring(F.col(text_col).cast("binary"), (step * F.lit(i) / F.lit(max(1, SAMPLE_WINDOWS - 1))).cast("int") + 1, F.lit(WINDOW)).alias(f"w{i}") for i in range(SAMPLE_WINDOWS)]
-    rows = known.join(F.broadcast(few), F.col(id_col) == F.col("k")).select("k", F.col(lang_col).alias("y"), n.alias("n"), *cut).collect()
-    rows = sorted(rows, key=lambda r: (r.k, r.y, r.n, bytes(r.w0)))[: 2 * SAMPLE_ROWS]
+    keys = textops.least_hashed(known.select("k"), "k", SAMPLE_ROWS)
+    few = docs.sparkSession.createDataFrame([(r.k,) for r in keys], "k long")
+    n, step = F.octet_length("t"), F.greatest(F.lit(0), F.octet_length("t") - WINDOW)
+    cut = [F.substring(F.col("t").cast("binary"), (step * F.lit(i) / F.lit(max(1, SAMPLE_WINDOWS - 1))).cast("int") + 1, F.lit(WINDOW)).alias(f"w{i}") for i in range(SAMPLE_WINDOWS)]
+    rows = known.join(F.broadcast(few), "k").select("k", F.struct("y", n.alias("n"), *cut).alias("s"))
+    rows = [r.s for r in sorted(rows.groupBy("k").agg(F.min("s").alias("s")).collect(), key=lambda r: r.k)]
     if not rows:
         return Model([], np.zeros((2, 256, 3 * HIDDEN), np.float32), np.zeros((2, HIDDEN, 3 * HIDDEN), np.float32), np.zeros((2 * HIDDEN, 0), np.float32), np.zeros(0, np.float32))
     langs = sorted({r.y for r in rows})

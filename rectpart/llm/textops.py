@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 #: The only white space that separates words in this subpackage: space and \t \n \v \f \r.
 SPACES = np.zeros(256, bool)
@@ -97,3 +99,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts = np.flatnonzero(inside[1:-1] & (~inside[:-2] | edge[:-1]))
     ends = np.flatnonzero(inside[1:-1] & (~inside[2:] | edge[1:])) + 1
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+def least_hashed(frame: DataFrame, key: str, n: int) -> list[Row]:
+    """The n distinct rows with the smallest hashes of a key, and their hashes as `h`.
+
+    Rows above a bound made from the count go before the sort, so that what comes to the driver doesn't grow with the number of tasks; should the bound leave too few, as where
+    most rows repeat, all are sorted.
+    """
+    count = frame.count()
+    hashed = frame.withColumn("h", F.shiftrightunsigned(F.xxhash64(key), 1))
+    least = lambda x: x.distinct().orderBy("h", *frame.columns).limit(n).collect()
+    if count > 4 * n:
+        found = least(hashed.filter(F.col("h") < int((3 * n + 500) / count * 2**63)))
+        if len(found) == n:
+            return found
+    return least(hashed)

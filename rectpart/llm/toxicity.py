@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rectpart.llm import textops
+from rectpart.operators.scan import Scratch
 
 SIZES = (3, 4, 5)
 BITS = 22
@@ -60,7 +61,7 @@ def occurring(texts: list[str | None], step: int = 64) -> Iterator[tuple[np.ndar
 
 
 def fit(texts: list[str | None], labels: np.ndarray, l2: float = 2.0, steps: int = 300) -> Model:
-    """labels: 0 or 1. Without both classes among them the score is the share of ones everywhere."""
+    """labels: 0 or 1. Without both classes among them, or without an n-gram in two texts, the score is the share of ones everywhere."""
     y = np.asarray(labels, float)
     prior = (y.sum() + 0.5) / (len(y) + 1)
     flat = Model(np.zeros(0, np.uint32), np.zeros(0), float(np.log(prior / (1 - prior))))
@@ -75,6 +76,8 @@ def fit(texts: list[str | None], labels: np.ndarray, l2: float = 2.0, steps: int
     ratio = np.log(p / q)
     evidence = np.abs(ratio) / np.sqrt(1 / (with_it[1] + 1) + 1 / (with_it[0] + 1))
     evidence[with_it.sum(0) < 2] = 0
+    if not evidence.any():
+        return flat
     features = np.sort(np.argsort(-evidence, kind="stable")[: min(FEATURES, np.count_nonzero(evidence))]).astype(np.uint32)
     place = np.full(1 << BITS, -1, np.int32)
     place[features] = np.arange(len(features))
@@ -115,21 +118,26 @@ def scores(model: Model, texts: list[str | None], place: np.ndarray) -> np.ndarr
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id") -> Model:
     """Fits on the labelled documents with the smallest hashes of their ids: SAMPLE_ROWS of them, and of these as many whole texts, in that order, as fit SAMPLE_CHARS characters.
 
-    Texts of over LONGEST_CHARS characters aren't learned from. Null labels are left out, null texts count as empty; no labelled rows: a score of 0.5. The ids are
-    picked without their texts, so the texts of the sample alone move.
+    Texts of over LONGEST_CHARS characters aren't learned from; of an id with several texts, the first in their order is. Null labels are left out, null texts count as empty; no
+    labelled rows: a score of 0.5. The ids are picked without their texts, and only the texts that fit come to the driver.
     """
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(label_col).cast("double").alias("y"))
-    picked = known.join(docs.select(F.col(id_col).alias("k")), "k", "left_semi").withColumn("h", F.xxhash64("k")).orderBy("h", "k", "y").limit(SAMPLE_ROWS).collect()
-    few = docs.sparkSession.createDataFrame([(r.k, r.y, r.h) for r in picked], "k long, y double, h long")
+    picked = textops.least_hashed(known.join(docs.select(F.col(id_col).alias("k")), "k", "left_semi"), "k", SAMPLE_ROWS)
+    few = spark.createDataFrame([(r.k, r.y, r.h) for r in picked], "k long, y double, h long")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.filter(F.char_length(text) <= LONGEST_CHARS).join(F.broadcast(few), F.col(id_col) == F.col("k")).select("h", "k", text.alias("t"), "y").collect()
-    texts, ys, chars = [], [], 0
-    for r in sorted(rows, key=lambda r: (r.h, r.k, r.t, r.y)):
-        chars += len(r.t)
-        if chars > SAMPLE_CHARS and texts:
+    found = docs.filter(F.char_length(text) <= LONGEST_CHARS).select(F.col(id_col).alias("k"), text.alias("t")).join(F.broadcast(few), "k")
+    sample = scratch.save(found.groupBy("h", "k", "y").agg(F.min("t").alias("t")))
+    chars, last = 0, None
+    for r in sample.select("h", "k", "y", F.char_length("t").alias("n")).orderBy("h", "k", "y").collect():
+        chars += r.n
+        if chars > SAMPLE_CHARS and last is not None:
             break
-        texts.append(r.t)
-        ys.append(r.y)
+        last = (r.h, r.k, r.y)
+    rows = [] if last is None else sample.filter(F.struct("h", "k", "y") <= F.struct(F.lit(last[0]).cast("long").alias("h"), F.lit(last[1]).cast("long").alias("k"), F.lit(last[2]).alias("y"))).collect()
+    scratch.close()
+    rows.sort(key=lambda r: (r.h, r.k, r.y))
+    texts, ys = [r.t for r in rows], [r.y for r in rows]
     return fit(texts, np.array(ys))
 
 

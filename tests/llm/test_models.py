@@ -97,3 +97,80 @@ def test_windows_cover_every_byte():
     x, size, row = langid.windowed(data, np.array([0, 10, 10, 75, 300]))
     assert size.tolist() == [10, 64, 1, 64, 64, 64, 33] and row.tolist() == [0, 2, 2, 3, 3, 3, 3]
     assert np.concatenate([a[:n] for a, n in zip(x, size)]).tolist() == data.tolist()
+
+
+def squash(x):
+    return x / (1 + abs(x))
+
+
+def test_probabilities_by_plain_loops():
+    """The network by its definition: gate by gate, byte by byte, in both directions over each window, with zeros behind the last; probabilities averaged over all positions."""
+    rng = np.random.default_rng(6)
+    h, langs = 3, ["aa", "bb", "cc"]
+    model = langid.Model(langs, rng.normal(0, 1, (2, 256, 3 * h)).astype(np.float32), rng.normal(0, 1, (2, h, 3 * h)).astype(np.float32), rng.normal(0, 1, (2 * h, 3)).astype(np.float32), rng.normal(0, 1, 3).astype(np.float32))
+
+    def states(side, seq):
+        state, out = [0.0] * h, []
+        for byte in seq:
+            x = model.inputs[side][byte]
+            u = [sum(state[i] * model.recurrent[side][i][k] for i in range(h)) for k in range(3 * h)]
+            reset = [0.5 + 0.5 * squash(x[k] + u[k]) for k in range(h)]
+            keep = [0.5 + 0.5 * squash(x[h + k] + u[h + k]) for k in range(h)]
+            new = [squash(x[2 * h + k] + reset[k] * u[2 * h + k]) for k in range(h)]
+            state = [new[k] + keep[k] * (state[k] - new[k]) for k in range(h)]
+            out.append(state)
+        return out
+
+    texts = [b"", b"a", bytes(rng.integers(0, 256, 150).astype(np.uint8)), "ñandú und so".encode()]
+    got = langid.probabilities(model, np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    for text, row in zip(texts, got):
+        want = np.zeros(3)
+        for at in range(0, len(text), langid.WINDOW):
+            part = text[at : at + langid.WINDOW]
+            rear = states(1, part.ljust(langid.WINDOW, b"\0")[::-1])[::-1]
+            for f, r in zip(states(0, part), rear):
+                e = np.exp([model.bias[c] + sum(v * model.output[k][c] for k, v in enumerate([*f, *r])) for c in range(3)])
+                want += e / e.sum() / len(text)
+        assert np.allclose(row, want, atol=1e-4)
+
+
+def test_language_scores_by_loops_on_a_table(spark, spoken):
+    """The query's predictions are those of each text by itself, whatever the batch; ties and columns of the same names don't matter."""
+    model = langid.train(spoken)
+    few = spoken.filter("doc_id % 40 = 0")
+    for r in langid.predict_languages(few.unionAll(few), model).join(spoken.select("doc_id", "text").distinct(), "doc_id").collect():
+        alone = langid.probabilities(model, np.frombuffer(r.text.encode(), np.uint8), np.array([0, len(r.text.encode())]))[0]
+        assert r.lang_pred == model.langs[int(alone.argmax())] and abs(r.score - alone.max()) < 1e-4
+
+
+def one_hash(gram):
+    """The hash of one n-gram by plain numbers."""
+    x = ord(gram[0])
+    for c in gram[1:]:
+        x = (x * 0x01000193 + ord(c)) % 2**32
+    x ^= x >> 15
+    x = x * 0x2C1B3C6D % 2**32
+    x ^= x >> 13
+    return (x * (0x297A2D39 + 2 * len(gram)) % 2**32) >> (32 - toxicity.BITS)
+
+
+def test_scores_by_a_plain_dictionary(labelled):
+    """Every distinct n-gram of 3 to 5 characters, with padding at both ends, adds its weight once."""
+    docs, labels, y = labelled
+    texts = [r.text for r in docs.orderBy("doc_id").limit(60).collect()] + ["", "a", "É𝄞 Bad", "same same same"]
+    model = toxicity.fit(texts[:60], y[:60].astype(int))
+    weights = dict(zip(model.features.tolist(), model.weights))
+    place = np.full(1 << toxicity.BITS, -1, np.int32)
+    place[model.features] = np.arange(len(model.features))
+    pad = "\0" * 4
+    for text, got in zip(texts, toxicity.scores(model, texts, place)):
+        whole = pad + text.lower() + pad
+        # n-grams begin in the padding before the text or in the text, not in the padding behind it
+        grams = {one_hash(whole[i : i + n]) for n in toxicity.SIZES for i in range(len(pad) + len(text.lower())) if i + n <= len(whole)}
+        assert np.isclose(got, 1 / (1 + np.exp(-(model.bias + sum(weights.get(g, 0) for g in grams)))))
+
+
+def test_toxicity_of_texts_without_common_ngrams():
+    model = toxicity.fit(["hello there", "other words"], np.array([0, 1]))
+    assert len(model.features) == 0 and 0 < model.bias + 1
+    assert len(toxicity.fit([], np.zeros(0)).features) == 0
