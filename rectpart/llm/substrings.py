@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rectpart.llm import suffixes, textops
 
@@ -195,7 +196,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *([F.struct(*others).alias("row")] if others else []))
     total = docs.agg(F.sum(F.octet_length(docs[text_col])).alias("n")).first().n or 0
     batches, buckets = max(1, -(-total // BATCH_BYTES)), max(LEAST_BUCKETS, total // 17 // BUCKET_ANCHORS)
-    base = base.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)))
+    base = base.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
 
     def anchors(table: pa.Table) -> pa.Table:
         batch, x = table["batch"][0].as_py(), Batch(table, buckets)
@@ -238,7 +239,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return _table(_ANSWER, [(b, k, 1, m.astype("<u8").tobytes()) for b, k, m in zip(table["batch"].to_pylist(), table["bucket"].to_pylist(), parts, strict=True)])
 
     plain = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    out_schema = plain + (f", row {base.schema['row'].dataType.simpleString()}" if others else "")
+    # the row's own type, with what isn't nullable in it
+    out_schema = T.StructType.fromDDL(plain).add(base.schema["row"]) if others else plain
     nothing, with_row = _table(plain, []), bool(others)
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
