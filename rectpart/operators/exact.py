@@ -1,32 +1,53 @@
-"""Optimal cuts of tiny matrices by trying all of them, in one job; the search grows as n choose parts."""
+"""Optimal cuts of small matrices by trying all of them; the search grows as n choose parts and is dealt over the executors."""
 
 from __future__ import annotations
 
-from itertools import combinations_with_replacement
-from math import comb
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rectpart.model import SparseMatrix
+from rectpart.operators import oned
 
-MOST_CHOICES = 200_000
+
+def _extended(choices: DataFrame, name: str, size: int, parts: int) -> DataFrame:
+    """Adds every cut vector of a dimension to each choice."""
+    choices = choices.withColumn(name, F.array(F.lit(0)))
+    for k in range(parts - 1):
+        choices = choices.withColumn("_cut", F.explode(F.sequence(F.element_at(name, -1), F.lit(size)))).withColumn(name, F.concat(name, F.array("_cut"))).drop("_cut")
+        choices = choices.repartition(name) if k == 0 else choices
+    return choices.withColumn(name, F.concat(name, F.array(F.lit(size))))
 
 
 def exact(a: SparseMatrix, p_parts: int, q_parts: int = 0, symmetric: bool = True) -> tuple[list[int], list[int]]:
-    """Cuts with the lightest heaviest tile; the first in lexicographic order among equals. ValueError if there are more than MOST_CHOICES choices."""
+    """Cuts with the lightest heaviest tile; the first in lexicographic order among equals.
+
+    Choices are made and tried on the executors, however many there are. Each looks up its tiles in the table of two-dimensional prefix sums, which is broadcast: ValueError for
+    more than oned.LOCAL_CELLS cells, as of 2800 x 2800, where the choices would be far too many.
+    """
     n, m = (a.size, a.size) if symmetric else (a.n_rows, a.n_cols)
     q_parts = p_parts if symmetric else q_parts or p_parts
-    rows = comb(n + p_parts - 1, p_parts - 1)
-    if rows * (1 if symmetric else comb(m + q_parts - 1, q_parts - 1)) > MOST_CHOICES:
-        raise ValueError("too many cuts to try; this search is for tiny matrices")
+    if (n + 1) * (m + 1) > oned.LOCAL_CELLS:
+        raise ValueError("an exact search is for small matrices; this one's prefix sums are too many to broadcast")
     spark = a.df.sparkSession
-    choices = lambda size, parts, name: spark.createDataFrame([([0, *c, size],) for c in combinations_with_replacement(range(size + 1), parts - 1)], f"{name} array<long>")
-    tried = choices(n, p_parts, "p")
-    tried = tried.withColumn("q", F.col("p")) if symmetric else tried.crossJoin(choices(m, q_parts, "q"))
-    part = lambda cuts, x: F.least(F.size(F.filter(cuts, lambda c: c <= x)), F.size(cuts) - 1)
-    cells = a.loads().groupBy("i", "j").agg(F.sum("w").alias("w"))
-    loads = tried.join(F.broadcast(cells)).groupBy("p", "q", part(F.col("p"), F.col("i")).alias("u"), part(F.col("q"), F.col("j")).alias("v")).agg(F.sum("w").alias("load"))
-    best = loads.groupBy("p", "q").agg(F.max("load").alias("load")).orderBy("load", "p", "q").first()
-    if best is None:
-        return [0] + [n] * p_parts, [0] + [m] * q_parts
+    cells = a.loads().groupBy("i", "j").agg(F.sum("w").alias("w")).toPandas()
+    whole = cells["w"].dtype.kind in "iu"
+    table = np.zeros((n + 1, m + 1), np.int64 if whole else np.float64)
+    table[cells["i"].to_numpy(np.int64) + 1, cells["j"].to_numpy(np.int64) + 1] = cells["w"].to_numpy(table.dtype)
+    sent = spark.sparkContext.broadcast(table.cumsum(0).cumsum(1))
+    choices = _extended(spark.range(1).select(), "p", n, p_parts)
+    choices = choices.withColumn("q", F.col("p")) if symmetric else _extended(choices, "q", m, q_parts)
+
+    def heaviest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p, q = (np.asarray(batch.column(k).flatten()).reshape(len(batch), -1) for k in (0, 1))
+            at = sent.value[p[:, :, None], q[:, None, :]]
+            load = np.diff(np.diff(at, axis=1), axis=2).max((1, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(load), batch.column(0), batch.column(1)], names=["load", "p", "q"])
+
+    tried = choices.select("p", "q").mapInArrow(heaviest, f"load {'long' if whole else 'double'}, p array<int>, q array<int>")
+    best = tried.agg(F.min(F.struct("load", "p", "q")).alias("best")).first().best
     return list(best.p), list(best.q)

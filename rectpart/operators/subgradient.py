@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rectpart.model import SparseMatrix
-from rectpart.operators.loads import tile_loads
+from rectpart.operators import oned
+from rectpart.operators.loads import running_sum, tile_loads
+from rectpart.operators.scan import saved
 
 _TERM = re.compile(r"(\d)([a-z])([a-z])")
 
@@ -85,19 +87,33 @@ def evaluate(objective: Objective, matrices: list[SparseMatrix], cuts: list[list
     return task.select("task", touched.alias("t")).groupBy("t.dim", "t.part").agg(F.max("task").alias("cost"))
 
 
-def marginal(matrices: list[SparseMatrix], axes: list[tuple[int, int]], n: int) -> np.ndarray:
-    """Prefix sums (leading 0) of the loads of all axes that one cut vector cuts."""
-    total = np.zeros(n + 1)
-    for m, axis in axes:
-        got = matrices[m].loads().groupBy(F.col("ij"[axis]).alias("pos")).agg(F.sum("w").cast("double").alias("w")).toPandas()
-        np.add.at(total, got["pos"].to_numpy() + 1, got["w"].to_numpy())
-    return np.cumsum(total)
+class Marginal:
+    """Prefix sums (leading 0) of the loads of all axes that one cut vector cuts, plus `each` for every position: an array of up to oned.LOCAL_CELLS numbers, or else a table."""
 
-
-def decode(prefix: np.ndarray, places: np.ndarray) -> list[int]:
-    """Cuts from places in load space: the first position whose prefix reaches the place."""
-    n = len(prefix) - 1
-    return [0, *(int(min(n, x)) for x in np.searchsorted(prefix, places, "left")), n]
+    def __init__(self, matrices: list[SparseMatrix], axes: list[tuple[int, int]], n: int, each: float = 0.0):
+        self.n, parts = n, [matrices[m].loads().select(F.col("ij"[axis]).alias("pos"), F.col("w").cast("double").alias("w")) for m, axis in axes]
+        sums = reduce(DataFrame.unionAll, parts).groupBy("pos").agg(F.sum("w").alias("w"))
+        self.local = n < oned.LOCAL_CELLS
+        if self.local:
+            got, total = sums.toPandas(), np.zeros(n + 1)
+            total[1:] = each
+            np.add.at(total, got["pos"].to_numpy() + 1, got["w"].to_numpy())
+            self.prefix = np.cumsum(total)
+            self.total = float(self.prefix[-1])
+        else:
+            every = matrices[axes[0][0]].df.sparkSession.range(n).withColumnRenamed("id", "pos").join(sums, "pos", "left").select("pos", (F.coalesce("w", F.lit(0.0)) + each).alias("w"))
+            self.table = saved(running_sum(every, "w", "pos", [], n, "prefix").select("pos", "prefix"))
+            self.total = float(self.table.agg(F.max("prefix").alias("t")).first().t or 0)
+
+    def decode(self, places: np.ndarray) -> list[int]:
+        """Cuts from places in load space: the first position whose prefix reaches the place."""
+        if self.local:
+            found = np.searchsorted(self.prefix, places, "left").tolist()
+        else:
+            first = [F.min(F.when(F.col("prefix") >= float(x), F.col("pos") + 1)).alias(f"p{k}") for k, x in enumerate(places)]
+            row = self.table.agg(F.lit(0), *first).first()
+            found = [0 if x <= 0 else self.n if row[k + 1] is None else row[k + 1] for k, x in enumerate(places)]
+        return [0, *(int(min(self.n, x)) for x in found), self.n]
 
 
 def descend(places: list[np.ndarray], costs: Callable[[list[np.ndarray]], list[np.ndarray]], patience: int = 10, eps: float = 0.001, max_iter: int = 0) -> list[np.ndarray]:
@@ -123,12 +139,12 @@ def descend(places: list[np.ndarray], costs: Callable[[list[np.ndarray]], list[n
     return best
 
 
-def by_cuts(costs: Callable[[list[list[int]]], list[np.ndarray]], prefixes: list[np.ndarray]) -> Callable[[list[np.ndarray]], list[np.ndarray]]:
+def by_cuts(costs: Callable[[list[list[int]]], list[np.ndarray]], prefixes: list[Marginal]) -> Callable[[list[np.ndarray]], list[np.ndarray]]:
     """Costs of places by way of their cuts; cuts that came before, as most do near the end of a descent, aren't evaluated again."""
     known: dict[tuple[tuple[int, ...], ...], list[np.ndarray]] = {}
 
     def at(places: list[np.ndarray]) -> list[np.ndarray]:
-        cuts = [decode(x, y) for x, y in zip(prefixes, places, strict=True)]
+        cuts = [x.decode(y) for x, y in zip(prefixes, places, strict=True)]
         key = tuple(map(tuple, cuts))
         if key not in known:
             known[key] = costs(cuts)
@@ -148,12 +164,12 @@ def sgo(matrices: list[SparseMatrix], objective: str, parts: list[int], seed: in
     held = [a.compacted() for a in matrices]
     try:
         sizes = [max((held[m].n_rows, held[m].n_cols)[axis] for m, axis in axes) for axes in o.axes]
-        prefixes = [marginal(held, axes, n) for axes, n in zip(o.axes, sizes, strict=True)]
+        prefixes = [Marginal(held, axes, n) for axes, n in zip(o.axes, sizes, strict=True)]
         rng = np.random.Generator(np.random.PCG64(seed))
         if init == "random":
-            places = [np.sort(rng.uniform(0, x[-1], p - 1)) for x, p in zip(prefixes, parts, strict=True)]
+            places = [np.sort(rng.uniform(0, x.total, p - 1)) for x, p in zip(prefixes, parts, strict=True)]
         else:
-            places = [x[-1] * np.arange(1, p) / p for x, p in zip(prefixes, parts, strict=True)]
+            places = [x.total * np.arange(1, p) / p for x, p in zip(prefixes, parts, strict=True)]
 
         def costs(cuts: list[list[int]]) -> list[np.ndarray]:
             out, tables = [np.zeros(p) for p in parts], []
@@ -163,7 +179,7 @@ def sgo(matrices: list[SparseMatrix], objective: str, parts: list[int], seed: in
                 t.unpersist()
             return out
 
-        return [decode(x, y) for x, y in zip(prefixes, descend(places, by_cuts(costs, prefixes), max_iter=max_iter), strict=True)]
+        return [x.decode(y) for x, y in zip(prefixes, descend(places, by_cuts(costs, prefixes), max_iter=max_iter), strict=True)]
     finally:
         for a in held:
             a.df.unpersist()
@@ -181,8 +197,8 @@ def sgo_spmv(a: SparseMatrix, parts: int, alpha: float, beta: float, seed: int =
     a.require_square()
     held = a.compacted()
     try:
-        prefix = marginal([held], [(0, 0), (0, 1)], a.size) + (alpha + beta) * np.arange(a.size + 1)
-        places = np.sort(np.random.Generator(np.random.PCG64(seed)).uniform(0, prefix[-1], parts - 1))
+        prefix = Marginal([held], [(0, 0), (0, 1)], a.size, alpha + beta)
+        places = np.sort(np.random.Generator(np.random.PCG64(seed)).uniform(0, prefix.total, parts - 1))
 
         def costs(cuts: list[list[int]]) -> list[np.ndarray]:
             out = np.zeros(parts)
@@ -190,6 +206,6 @@ def sgo_spmv(a: SparseMatrix, parts: int, alpha: float, beta: float, seed: int =
                 out[r.u], out[r.v] = max(out[r.u], r.load), max(out[r.v], r.load)
             return [out]
 
-        return decode(prefix, descend([places], by_cuts(costs, [prefix]), max_iter=max_iter)[0])
+        return prefix.decode(descend([places], by_cuts(costs, [prefix]), max_iter=max_iter)[0])
     finally:
         held.df.unpersist()

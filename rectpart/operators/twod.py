@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rectpart.functions.parts import part_of
 from rectpart.model import Cuts, SparseMatrix
 from rectpart.operators import oned
-from rectpart.operators.loads import degrees, max_load, row_max_sums, stripe_sums
+from rectpart.operators.loads import max_load, row_max_sums, stripe_sums
 from rectpart.operators.scan import saved
 
 #: Nonzeros, compacted, up to which diagonal probing runs on the driver.
@@ -50,22 +50,27 @@ def uniform_under(a: SparseMatrix, z: float) -> tuple[list[int], bool]:
 def nic(a: SparseMatrix, p_parts: int, q_parts: int = 0, max_iter: int = 0, by_value: bool = False, start: Cuts | None = None) -> tuple[list[int], list[int]]:
     """Alternates optimal column cuts for given row cuts and the reverse, until one comes out as it was.
 
-    Rows start with the optimal cuts of their nonzero counts (or `start`); columns count as equal to them before the first step.
+    Rows start with the optimal cuts of their nonzero counts (or `start`); columns count as equal to them before the first step. The source is read once: equal coordinates are
+    summed up and cached for the steps.
     """
     q_parts, integral = q_parts or p_parts, _is_integral(a)
     limit = max_iter or max(10, p_parts + q_parts)
-    if start is None:
-        counts = degrees(a, "i", fill=False).select(F.lit(0).alias("q"), F.col("id").alias("pos"), F.col("degree").alias("load"))
-        start = oned.partition(oned.prefixes_of(counts, a.n_rows, 1), p_parts, by_value)
-    cuts = {"i": list(start), "j": list(start)}
-    sizes, parts = {"i": a.n_rows, "j": a.n_cols}, {"i": p_parts, "j": q_parts}
-    for step in range(1, limit + 1):
-        axis, other = ("j", "i") if step % 2 else ("i", "j")
-        sums = stripe_sums(a, cuts[other], axis)
-        new = oned.partition(oned.prefixes_of(sums, sizes[axis], len(cuts[other]) - 1, integral), parts[axis], by_value)
-        same, cuts[axis] = new == cuts[axis], new
-        if same:
-            break
+    held = SparseMatrix(a.loads().groupBy("i", "j").agg(F.sum("w").alias("v"), F.count("*").alias("n")).cache(), a.n_rows, a.n_cols, True)
+    try:
+        if start is None:
+            counts = held.df.groupBy(F.col("i").alias("pos")).agg(F.sum("n").alias("load")).select(F.lit(0).alias("q"), "pos", "load")
+            start = oned.partition(oned.prefixes_of(counts, a.n_rows, 1), p_parts, by_value)
+        cuts = {"i": list(start), "j": list(start)}
+        sizes, parts = {"i": a.n_rows, "j": a.n_cols}, {"i": p_parts, "j": q_parts}
+        for step in range(1, limit + 1):
+            axis, other = ("j", "i") if step % 2 else ("i", "j")
+            sums = stripe_sums(held, cuts[other], axis)
+            new = oned.partition(oned.prefixes_of(sums, sizes[axis], len(cuts[other]) - 1, integral), parts[axis], by_value)
+            same, cuts[axis] = new == cuts[axis], new
+            if same:
+                break
+    finally:
+        held.df.unpersist()
     return cuts["i"], cuts["j"]
 
 

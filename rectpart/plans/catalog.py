@@ -20,6 +20,7 @@ from rectpart.operators import reshape as R
 from rectpart.operators import sample as P
 from rectpart.operators import subgradient as S
 from rectpart.operators import twod as T
+from rectpart.plans import partition_sql as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -245,16 +246,15 @@ def block_local_ids(spark, sf):
     return L.block_coordinates(a, *_uniform(a, 4, 4))
 
 
-@query("geometric_mean", "SELECT exp(avg(ln(l_quantity))) geomean FROM lineitem WHERE l_orderkey = (SELECT min(l_orderkey) FROM lineitem)")
+@query("geometric_mean", "SELECT round(exp(avg(ln(l_quantity))), 6) geomean FROM lineitem")
 def geometric_mean(spark, sf):
-    line = _table(spark, sf, "lineitem")
-    first = line.agg(F.min("l_orderkey").alias("k")).first().k
-    return L.geometric_mean(line.filter(F.col("l_orderkey") == first), "l_quantity")
+    """Of the whole column; rounded, as sums of doubles differ in their last digits with the order."""
+    return L.geometric_mean(_table(spark, sf, "lineitem"), "l_quantity").select(F.round("geomean", 6).alias("geomean"))
 
 
 @query("geometric_mean_column")
 def geometric_mean_column(spark, sf):
-    """The mean of the whole column; the query above and its SQL are of one order."""
+    """The same with all digits."""
     return L.geometric_mean(_table(spark, sf, "lineitem"), "l_quantity")
 
 
@@ -380,7 +380,10 @@ def matrix_check(spark, sf):
     return R.matrix_check(sp(spark, sf))
 
 
-@query("matrix_equality", "SELECT true same_as_itself, false same_as_transposed")
+_TWICE = "(SELECT count(*) FROM (SELECT i, j, v FROM nn EXCEPT ALL SELECT {0}, v FROM nn)) + (SELECT count(*) FROM (SELECT {0}, v FROM nn EXCEPT ALL SELECT i, j, v FROM nn)) = 0"
+
+
+@query("matrix_equality", f"WITH {_NN} SELECT {_TWICE.format('i, j')} same_as_itself, {_TWICE.format('j, i')} same_as_transposed")
 def matrix_equality(spark, sf):
     a = nn(spark, sf)
     return spark.createDataFrame([(R.same_matrix(a, R.transpose(R.transpose(a))), R.same_matrix(a, R.transpose(a)))], "same_as_itself boolean, same_as_transposed boolean")
@@ -469,7 +472,10 @@ def multi_prefix_probe(spark, sf):
     return _cut_rows(spark, D.probe(x, int(x.totals()[0]) // 3, 6))
 
 
-@query("multi_prefix_partition")
+_MULTI_SUMS = "sums AS MATERIALIZED (SELECT q.k q, i pos, CAST(sum(v) AS BIGINT) load FROM nn JOIN q ON j >= lo AND j < hi GROUP BY 1, 2)"
+
+
+@query("multi_prefix_partition", f"WITH RECURSIVE {_NN}, {_parts('q', 'n', 3)}, {_MULTI_SUMS}, {Q.optimal('t', 'sums', 'n', 4)} SELECT CAST(k AS INTEGER) k, spot FROM t")
 def multi_prefix_partition(spark, sf):
     a = nn(spark, sf)
     return _cut_rows(spark, D.partition(D.prefixes_of(L.stripe_sums(a, T.uniform(a.n_cols, 3)), a.n_rows, 3), 4, by_value=True))
@@ -477,6 +483,10 @@ def multi_prefix_partition(spark, sf):
 
 # --- two-dimensional partitioners -------------------------------------------------------------------------------------
 
+_NN_X = f"{_NN}, x AS MATERIALIZED (SELECT i, j, v w FROM nn)"
+_PP_X = f"{_PP}, x AS MATERIALIZED (SELECT i, j, count(*) w FROM pp GROUP BY 1, 2)"
+_SP_X = f"{_SP}, x AS MATERIALIZED (SELECT i, j, sum(v) w FROM sp GROUP BY 1, 2)"
+
 
 def _result(spark: SparkSession, p: list[int], q: list[int] | None = None) -> DataFrame:
     return cuts_frame(spark, p, q)
@@ -491,27 +501,27 @@ def uniform_bound_a_load(spark, sf):
     return spark.createDataFrame([(len(cuts) - 1,)], "parts long")
 
 
-@query("nic")
+@query("nic", Q.nic(_SP_X, "SELECT 0 q, i pos, count(*) load FROM sp GROUP BY i", "n", "m", 8))
 def nic(spark, sf):
     return _result(spark, *T.nic(sp(spark, sf, True), 8, 8))
 
 
-@query("nic_v")
+@query("nic_v", Q.nic(_NN_X, "SELECT 0 q, i pos, count(*) load FROM nn GROUP BY i", "n", "n", 4))
 def nic_v(spark, sf):
     return _result(spark, *T.nic(nn(spark, sf), 4, 4, by_value=True))
 
 
-@query("rac")
+@query("rac", Q.rac(_PP_X, 8))
 def rac(spark, sf):
     return _result(spark, T.rac(pp(spark, sf).compacted(), 8))
 
 
-@query("rac_nic_refinement")
+@query("rac_nic_refinement", Q.rac(_NN_X, 4, full=True))
 def rac_nic_refinement(spark, sf):
     return _result(spark, T.rac(nn(spark, sf).compacted(), 4, nic_ref=True))
 
 
-@query("pbi")
+@query("pbi", Q.pbi(_NN_X, 4))
 def pbi(spark, sf):
     return _result(spark, T.pbi(nn(spark, sf).compacted(), 4))
 
@@ -544,17 +554,17 @@ def pal_probe(spark, sf):
     return _cut_rows(spark, T.pal_under(a, a.total_load() // 20)[0])
 
 
-@query("pal")
+@query("pal", Q.pal(_PP_X, 8, True))
 def pal(spark, sf):
     return _result(spark, T.pal(pp(spark, sf), 8))
 
 
-@query("opal")
+@query("opal", Q.pal(_PP_X, 8, False))
 def opal(spark, sf):
     return _result(spark, T.opal(pp(spark, sf), 8))
 
 
-@query("exact")
+@query("exact", Q.exact(_NN_X))
 def exact(spark, sf):
     return _result(spark, *X.exact(nn(spark, sf), 3))
 

@@ -241,6 +241,20 @@ def test_streaming(spark, square, tmp_path):
     assert {(r.u, r.v): r.load for r in spark.table("tiles").collect()} == {(u, v): g[u, v] for u in range(2) for v in range(2)}
 
 
+def decode(prefix, places):
+    n = len(prefix) - 1
+    return [0, *(int(min(n, x)) for x in np.searchsorted(prefix, places, "left")), n]
+
+
+def test_marginals_on_the_driver_and_in_a_table_agree(square, monkeypatch):
+    near = subgradient.Marginal([square], [(0, 0), (0, 1)], 30, 0.5)
+    monkeypatch.setattr(subgradient.oned, "LOCAL_CELLS", 10)
+    far = subgradient.Marginal([square], [(0, 0), (0, 1)], 30, 0.5)
+    assert near.local and not far.local and near.total == far.total
+    for places in ([-1.0, 0.0, 100.5, near.total, near.total + 9], [3.0], []):
+        assert near.decode(np.array(places)) == far.decode(np.array(places)) == decode(near.prefix, np.array(places))
+
+
 def converged(d, kind, parts):
     """The subgradient loop without a bound on its steps, over a dense matrix."""
     r, c = d.sum(1), d.sum(0)
@@ -249,7 +263,7 @@ def converged(d, kind, parts):
     places = [np.sort(rng.uniform(0, x[-1], p - 1)) for x, p in zip(prefixes, parts)]
 
     def costs(at):
-        cuts = [subgradient.decode(x, y) for x, y in zip(prefixes, at)]
+        cuts = [decode(x, y) for x, y in zip(prefixes, at)]
         g = grid(d, cuts[0], cuts[min(1, len(cuts) - 1)])
         if kind == "2dr":
             return [g.max(1), g.max(0)]
@@ -260,7 +274,7 @@ def converged(d, kind, parts):
         each = [t.max((1, 2)), t.max((0, 2)), t.max((0, 1))]
         return each if kind == "3dr" else [np.maximum.reduce(each)]
 
-    return [subgradient.decode(x, y) for x, y in zip(prefixes, subgradient.descend(places, costs))]
+    return [decode(x, y) for x, y in zip(prefixes, subgradient.descend(places, costs))]
 
 
 def test_registered_subgradient_queries_converge(spark):

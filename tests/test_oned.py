@@ -1,4 +1,4 @@
-"""One-dimensional partitions: expected cuts, and brute force on small arrays."""
+"""One-dimensional partitions: cuts of small arrays, and brute force."""
 
 from itertools import combinations_with_replacement
 
@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from rectpart.operators import oned as D
 
-FIRST = [1, 2, 3, 45, 12, 54, 13, 99, 12]
+LOADS = [4, 9, 1, 1, 30, 2, 7, 16]
 
 
 def prefix(values):
@@ -18,29 +18,29 @@ def prefix(values):
 
 @pytest.mark.parametrize(
     ("values", "parts", "cuts"),
-    [([0, 0, 0, 50], 1, [0, 4]), ([0, 0, 0, 50], 2, [0, 4, 4]), ([0, 0, 0, 0], 2, [0, 4, 4]), (FIRST, 1, [0, 9]), (FIRST, 2, [0, 6, 9]), (FIRST, 3, [0, 5, 7, 9]), (FIRST, 4, [0, 5, 7, 8, 9]),
-     (FIRST, 6, [0, 5, 7, 8, 9, 9, 9]), ([10.0001, 10.0001, 10.0002, 10.0001], 2, [0, 2, 4])],
+    [([0, 0, 7], 1, [0, 3]), ([0, 0, 7], 3, [0, 3, 3, 3]), ([0, 0], 2, [0, 2, 2]), (LOADS, 1, [0, 8]), (LOADS, 2, [0, 5, 8]), (LOADS, 3, [0, 4, 5, 8]), (LOADS, 4, [0, 4, 5, 8, 8]),
+     ([2.5, 2.5, 2.5, 2.75], 2, [0, 2, 4])],
 )
 def test_cuts(values, parts, cuts):
     assert D.partition_values(values, parts) == cuts
 
 
-@pytest.mark.parametrize(("parts", "bound", "ok"), [(4, 98, False), (4, 99, True), (4, 100, True), (2, 124, True), (9, 99, True)])
+@pytest.mark.parametrize(("parts", "bound", "ok"), [(3, 29, False), (3, 30, True), (2, 44, False), (2, 45, True), (9, 29, False)])
 def test_feasible(parts, bound, ok):
-    assert D.feasible(prefix(FIRST), parts, bound) is ok
-
-
-@pytest.mark.parametrize(("parts", "cuts"), [(1, [0, 3]), (2, [0, 2, 3]), (3, [0, 2, 3, 3]), (5, [0, 2, 3, 3, 3, 3])])
-@pytest.mark.parametrize("copies", [1, 2, 50])
-def test_equal_arrays(parts, cuts, copies):
-    assert D.partition(D.as_prefixes([[0, 15, 16, 50]] * copies), parts) == cuts
-
-
-def test_several_arrays():
-    x = D.as_prefixes([[0, 15, 16, 50, 53, 54], [0, 15, 20, 33, 41, 44], [0, 15, 17, 22, 31, 56]])
-    assert [D.partition(x, p) for p in (1, 2, 3, 4)] == [[0, 5], [0, 2, 5], [0, 2, 3, 5], [0, 2, 3, 5, 5]]
-    assert [D.probe(x, b) for b in (55, 56, 34)] == [[0, 4, 5], [0, 5], [0, 2, 3, 5]]
-    assert not D.feasible(x, 1, 34)
+    assert D.feasible(prefix(LOADS), parts, bound) is ok
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 40), min_size=6, max_size=6), min_size=1, max_size=4), st.integers(1, 4), st.integers(1, 3))
+def test_several_arrays(rows, parts, copies):
+    """Several arrays at once, and some of them more than once: the least bound by trying all cuts, and greedy cuts under it."""
+    upto = np.concatenate([np.zeros((len(rows), 1), int), np.cumsum(rows, 1)], 1)
+    load = lambda c: max((upto[:, b] - upto[:, a]).max() for a, b in zip(c, c[1:]))
+    best = min(load([0, *c, 6]) for c in combinations_with_replacement(range(7), parts - 1))
+    x = D.as_prefixes(np.concatenate([upto] * copies))
+    cuts = D.partition(x, parts)
+    assert load(cuts) == best == D.bottleneck(x, parts) and D.feasible(x, parts, best) and (best == 0 or not D.feasible(x, parts, best - 1))
+    assert all(k == 6 or (upto[:, k + 1] - upto[:, a]).max() > best for a, k in zip(cuts, cuts[1:]))
 
 
 @settings(max_examples=60, deadline=None)
