@@ -12,7 +12,9 @@ from rectpart.sources import matrices, sinks
 
 def parser() -> argparse.ArgumentParser:
     x = argparse.ArgumentParser(prog="rectpart", description="Rectilinear partitioning of sparse matrices on Spark.")
-    x.add_argument("--graph", help="matrix file (.mtx, .bin or .parquet)")
+    x.add_argument("--graph", help="matrix file (.mtx, .bin or .parquet), or - for Matrix Market text from standard input")
+    x.add_argument("--bench", help="file of benchmark configurations, or - for standard input: runs them on matrices in --dir; exit code 1 if results are worse than those in the file")
+    x.add_argument("--bench-out", default=".", help="folder for benchmark results")
     x.add_argument("--dir", default=".", help="folder that --list shows")
     x.add_argument("--alg", default="nic", help=", ".join(registry.ALGORITHMS))
     x.add_argument("--order", default="nat", choices=registry.ORDERS)
@@ -34,9 +36,13 @@ def main(args: list[str] | None = None) -> int:
     if o.list:
         print("\n".join(matrices.list_matrices(o.dir)))
         return 0
-    if not o.graph:
+    if not o.graph and not o.bench:
         parser().error("--graph is needed")
     spark = SparkSession.builder.appName("rectpart").getOrCreate()
+    if o.bench:
+        path, worse = engine.bench_file(spark, o.bench, o.dir, o.bench_out)
+        print(path)
+        return int(worse)
     got = engine.run(o.graph, o.alg, o.order, o.p, o.q, o.z, o.sparsify, o.seed, o.use_upper, o.use_data, spark)
     print(got.report(), end="")
     if o.res_file:

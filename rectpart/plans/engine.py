@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import sys
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -74,6 +75,21 @@ def bench(spark: SparkSession, configs: DataFrame, folder: str) -> DataFrame:
     return spark.createDataFrame(out, sinks.BENCH_SCHEMA)
 
 
+def bench_file(spark: SparkSession, configs: str, folder: str, out: str) -> tuple[str, bool]:
+    """Runs the configurations of a tab-separated file ("-": standard input), writes the results to a new file in `out`, named by the time; its path, and whether results are worse."""
+    if configs == "-":
+        fields = [f.split() for f in sinks.BENCH_SCHEMA.split(", ")]
+        kinds = {"string": str, "int": int, "double": float}
+        rows = [tuple(kinds[k](x) for x, (_, k) in zip(line.rstrip("\n").split("\t"), fields, strict=True)) for line in sys.stdin if line.strip() and not line.startswith("#")]
+        config = spark.createDataFrame(rows, sinks.BENCH_SCHEMA)
+    else:
+        config = sinks.read_bench_config(spark, configs)
+    done = bench(spark, config, folder)
+    path = f"{out}/bench-{time.strftime('%Y%m%d-%H%M%S')}"
+    sinks.write_bench_results(done, path)
+    return path, regressed(done)
+
+
 def regressed(results: DataFrame) -> bool:
     """Whether the geometric mean of imbalances against earlier ones is above 1."""
     mean = loads.geometric_mean(results, "norm_imbalance").first().geomean

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -17,7 +18,9 @@ HEADER = b"4 4\n"
 
 
 def load_matrix(spark: SparkSession, path: str, weighted: bool = False) -> SparseMatrix:
-    """By the path's ending: .mtx, .bin, .parquet or .npz-free tables. ValueError for anything else, FileNotFoundError where nothing is there."""
+    """By the path's ending: .mtx, .bin or .parquet; "-" is Matrix Market text from standard input. ValueError for anything else, FileNotFoundError where nothing is there."""
+    if path == "-":  # one stream, which only the driver has
+        return parse_matrix_market(spark.createDataFrame([(x.rstrip("\n"),) for x in sys.stdin], "value string"), "standard input", weighted)
     if path.endswith(".mtx"):
         return read_matrix_market(spark, path, weighted)
     if path.endswith(".bin"):
@@ -38,7 +41,11 @@ def read_matrix_market(spark: SparkSession, path: str, weighted: bool = False) -
     Only the banner and the size line come to the driver; coordinates are split and cast on the executors.
     """
     _exists(spark, path)
-    lines = spark.read.text(path)
+    return parse_matrix_market(spark.read.text(path), path, weighted)
+
+
+def parse_matrix_market(lines: DataFrame, path: str, weighted: bool = False) -> SparseMatrix:
+    """The same of lines (value) in their order."""
     banner = lines.filter(F.col("value").startswith("%%")).first()
     words = (banner.value if banner else "").lower().split()
     if len(words) < 5 or words[0] != "%%matrixmarket" or words[1] != "matrix":

@@ -1,5 +1,6 @@
 """Sources, sinks, reshaping and loads on small matrices."""
 
+import io
 from itertools import combinations
 
 import numpy as np
@@ -229,6 +230,21 @@ def test_bench_loop(spark, tmp_path):
     assert done.count() == 2 and not engine.regressed(done)
 
 
+def test_bench_command_and_standard_input(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "x.mtx").write_text("%%MatrixMarket matrix coordinate pattern general\n3 3 3\n1 1\n2 2\n3 3\n")
+    line = "x.mtx\tnat\tuni\t3\t1.0\t1\t{}\t-1\t-1\t-1\n"
+    for was, code in ((1.0, 1), (100.0, 0)):  # three parts of one load 1 each have imbalance 3
+        monkeypatch.setattr("sys.stdin", io.StringIO("# a comment\n" + line.format(was)))
+        assert cli.main(["--bench", "-", "--dir", str(tmp_path), "--bench-out", str(tmp_path / f"out{code}")]) == code
+    path = capsys.readouterr().out.split()[0]
+    assert spark.read.csv(path, sep="\t", schema=sinks.BENCH_SCHEMA).first().load_imbalance == 3.0
+    monkeypatch.setattr("sys.stdin", io.StringIO((tmp_path / "x.mtx").read_text()))
+    a = matrices.load_matrix(spark, "-")
+    assert (a.n_rows, a.n_cols, a.nnz()) == (3, 3, 3)
+    assert cli.main(["--graph", str(tmp_path / "x.mtx"), "--p", "2", "--serialize", str(tmp_path / "tiles")]) == 0
+    assert spark.read.parquet(str(tmp_path / "tiles")).count() == 3
+
+
 def test_streaming(spark, square, tmp_path):
     from rectpart.streaming.loads import streaming_tile_loads
 
