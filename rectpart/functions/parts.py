@@ -13,19 +13,28 @@ from pyspark.sql import functions as F
 MOST_CASES = 256
 
 
-def part_of(column: Column | str, cuts: Sequence[int]) -> Column:
-    """Part number by a balanced CASE on the inner cuts (log2 comparisons a row); by a pandas UDF beyond MOST_CASES parts."""
-    x = F.col(column) if isinstance(column, str) else column
-    if len(cuts) - 1 > MOST_CASES:
-        return part_udf(cuts)(x)
+def _not_above(x: Column, cuts: Sequence[int]) -> Column:
+    """How many of the rising cuts aren't above x, by a balanced CASE."""
 
     def between(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi + 1) // 2
-        return F.when(x < int(cuts[mid]), between(lo, mid - 1)).otherwise(between(mid, hi))
+        return F.when(x < int(cuts[mid - 1]), between(lo, mid - 1)).otherwise(between(mid, hi))
+
+    return between(0, len(cuts))
 
-    return between(0, len(cuts) - 2)
+
+def part_of(column: Column | str, cuts: Sequence[int]) -> Column:
+    """Part number by a balanced CASE on the inner cuts (log2 comparisons a row); beyond MOST_CASES parts, by one on every so-manieth cut and a count within that run of cuts."""
+    x, inner = F.col(column) if isinstance(column, str) else column, list(cuts[1:-1])
+    width = -(-len(inner) // MOST_CASES)
+    if width <= 1:
+        return _not_above(x, inner)
+    runs = [inner[k : k + width] for k in range(0, len(inner), width)]
+    run = _not_above(x, [r[-1] for r in runs])
+    table = F.array(*(F.array(*(F.lit(int(c)) for c in r)) for r in runs), F.array().cast("array<int>"))
+    return F.least(run * width + F.size(F.filter(F.get(table, run), lambda c: c <= x)), F.lit(len(inner)))  # the last run may be shorter
 
 
 def part_udf(cuts: Sequence[int]):
