@@ -71,5 +71,42 @@ p AS (SELECT q.id query_id, c.id vec_id, CAST(list_inner_product(q.v, c.v) AS BI
 SELECT query_id, CAST(rank AS INTEGER) rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) rank FROM p) WHERE rank <= 5"""
 
 
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: Checksums by a table of 256 entries, over the bytes of distinct words.
+RESAMPLING = f"""WITH d AS (SELECT CAST(doc_id AS BIGINT) doc_id, row_number() OVER () r, {_TERMS} w FROM documents), b AS (SELECT {_TERMS} w FROM benchmark),
+tab AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) t FROM range(256) x(i)),
+word AS (SELECT DISTINCT w FROM (SELECT unnest(w) w FROM d UNION ALL SELECT unnest(w) FROM b)),
+hashed AS (SELECT w, xor(list_reduce(list_transform(range(len(h) // 2), lambda i: CAST('0x' || substring(h, CAST(2 * i + 1 AS BIGINT), 2) AS BIGINT)),
+ lambda c, x: xor(c >> 8, t[xor(c, x) % 256 + 1]), 4294967295::BIGINT), 4294967295) % 10000 bucket FROM (SELECT w, hex(encode(w)) h FROM word), tab),
+f AS (SELECT r, bucket, count(*) n FROM (SELECT r, unnest(w) w FROM d) JOIN hashed USING (w) GROUP BY 1, 2), s AS (SELECT bucket, sum(n) s FROM f GROUP BY 1),
+t AS (SELECT bucket, count(*) t FROM (SELECT unnest(w) w FROM b) JOIN hashed USING (w) GROUP BY 1),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE / ((s + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM t), 0) + 10000)::DOUBLE))) AS BIGINT) gain FROM s LEFT JOIN t USING (bucket)),
+wt AS (SELECT r, CAST(floor(sum(gain * n)::DOUBLE / sum(n)::DOUBLE) AS BIGINT) weight FROM f JOIN gain USING (bucket) GROUP BY 1),
+scored AS (SELECT doc_id, CAST(len(w) AS BIGINT) n_features, coalesce(weight, 0) weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substring(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) score FROM d LEFT JOIN wt USING (r)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= (SELECT count(*) FROM scored WHERE n_features >= 20) * 10 // 100 THEN CAST(place AS BIGINT) END rank FROM placed"""
+
+DECONTAMINATION = f"""WITH d AS (SELECT CAST(doc_id AS BIGINT) doc_id, row_number() OVER () r, {_TERMS} w FROM documents),
+b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') item, {_TERMS} w FROM benchmark), b10 AS (SELECT item, w, least(10, len(w)) n FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') s FROM (SELECT item, w, n, unnest(range(1, len(w) - n + 2)) i FROM b10)),
+long AS (SELECT DISTINCT n FROM b10),
+place AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') s FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) i FROM d, long WHERE len(w) >= n)),
+hit AS (SELECT r, item, i, p.n FROM place p JOIN win USING (n, s)),
+per AS (SELECT r, count(DISTINCT k) n_hit FROM (SELECT r, unnest(range(i, i + n)) k FROM hit) GROUP BY 1),
+named AS (SELECT r, count(*) n_items, string_agg(item, ',' ORDER BY encode(item)) items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 contaminated FROM d LEFT JOIN per USING (r) LEFT JOIN named USING (r)"""
+
+RANKED = f"""WITH d AS (SELECT CAST(doc_id AS BIGINT) doc_id, row_number() OVER () r, {_TERMS} w FROM documents), b AS (SELECT item_id, row_number() OVER () q, {_TERMS} w FROM benchmark),
+tf AS (SELECT r, w, count(*) tf FROM (SELECT r, unnest(w) w FROM d) GROUP BY 1, 2),
+st AS (SELECT count(*) n, CAST(sum(len(w)) AS BIGINT) l FROM d WHERE len(w) > 0),
+m AS (SELECT r, doc_id, 100 - 25 + (25 * len(w) * n) // l m FROM d, st WHERE len(w) > 0),
+wt AS (SELECT w, CAST(floor(1000 * ln((2 * n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) wt FROM (SELECT w, count(*) df FROM tf GROUP BY 1), st),
+asked AS (SELECT q, w, count(*) times FROM (SELECT q, unnest(w) w FROM b) GROUP BY 1, 2),
+scored AS (SELECT q, r, CAST(sum(times * wt * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) score FROM asked JOIN wt USING (w) JOIN tf USING (w) JOIN m USING (r) GROUP BY 1, 2),
+placed AS (SELECT q, doc_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) rank FROM scored JOIN m USING (r) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) rank, doc_id, score FROM placed JOIN b USING (q) WHERE rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substrings": SUBSTRINGS, "op5_jaccard": JACCARD, "op6_quality": QUALITY, "op7_mixing": MIXING, "op10_maxscore": TOP}
+    return {"op4_substrings": SUBSTRINGS, "op5_jaccard": JACCARD, "op6_quality": QUALITY, "op7_mixing": MIXING, "op10_maxscore": TOP, "op11_resampling": RESAMPLING, "op12_decontamination": DECONTAMINATION, "op13_ranked_search": RANKED}

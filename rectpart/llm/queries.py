@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rectpart.llm import binpack, html, jaccard, langid, maxscore, mixing, oracles, packing, quality, substrings, toxicity
+from rectpart.llm import binpack, decontamination, html, jaccard, langid, maxscore, mixing, oracles, packing, quality, resampling, substrings, toxicity, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,19 @@ def op10_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -82,7 +95,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_language": op3_language, "op4_substrings": op4_substrings, "op5_jaccard": op5_jaccard, "op6_quality": op6_quality, "op7_mixing": op7_mixing,
-        "op8_matrices": op8_matrices, "op9_main_text": op9_main_text, "op10_maxscore": op10_maxscore,
+        "op8_matrices": op8_matrices, "op9_main_text": op9_main_text, "op10_maxscore": op10_maxscore, "op11_resampling": op11_resampling, "op12_decontamination": op12_decontamination, "op13_ranked_search": op13_ranked_search,
         "pipeline": pipeline,
     }
 
