@@ -171,6 +171,8 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = TOP, id_col: str = "doc_i
             for batch in batches:
                 for row in range(len(batch)):
                     ids, sizes, here, dfs = (batch.column(c)[row].values for c in range(4))
+                    if not len(here):
+                        continue
                     doc, tf = (np.frombuffer(batch.column(c)[row].as_py(), "<u4").astype(np.int64) for c in (4, 5))
                     order = pc.array_sort_indices(ids, order="ascending", null_placement="at_end").to_numpy()
                     place = np.argsort(order)

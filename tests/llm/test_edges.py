@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rectpart.llm import binpack, html, jaccard, langid, maxscore, mixing, packing, quality, substrings, textops, toxicity
+from rectpart.llm import binpack, decontamination, html, jaccard, langid, maxscore, mixing, packing, quality, resampling, substrings, textops, toxicity, wavelet
 
 PROSE = "The first line of this text says a thing or two, as lines of prose do, and it ends well.\nThe second line is another one with enough words to be kept by all rules, and it ends, too.\n"
 ROWS = [(1, PROSE + "One.", "en", "a", 9), (1, PROSE + "One.", "en", "a", 9), (1, "Wholly unlike words, which are no copy of the others, stand under the same id here, in one long line of prose that ends as it should do.", "en", "a", None),
@@ -12,7 +12,7 @@ ROWS = [(1, PROSE + "One.", "en", "a", 9), (1, PROSE + "One.", "en", "a", 9), (1
         (2**60, "x" * 3000 + " " + " ".join(f"word{k}" for k in range(3000)) + ".", "de", "b", 1), (-7, "Ein Satz mit Wörtern, ähnlich wie die anderen, aber nicht gleich, steht hier für sich allein und endet mit einem Punkt.", "de", "b", 5)]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use or return.
-CLASHING = ["th", "score", "row", "key", "n", "size", "copies", "component_id", "stays", "ids", "start", "kept", "_q", "batch", "salt", "vector", "rank", "cid", "stay", "toxic", "y", "k", "h"]
+CLASHING = ["th", "score", "row", "key", "n", "size", "copies", "component_id", "stays", "ids", "start", "kept", "_q", "batch", "salt", "vector", "rank", "cid", "stay", "toxic", "y", "k", "h", "grams", "bucket", "weight", "segment", "doc", "docs", "sizes", "terms", "items", "item", "first", "id"]
 
 
 def ids_of(frame, name="doc_id"):
@@ -39,6 +39,8 @@ OPERATORS = {
     "mixing": lambda s, d: mixing.copies_of(d),
     "mixing carry": lambda s, d: mixing.copies_of(d, carry=True).select("row.doc_id"),
     "matrices": lambda s, d: binpack.segments(binpack.pack_matrices(d)).filter("start = 0"),
+    "resampling": lambda s, d: resampling.resample(d, d),
+    "decontamination": lambda s, d: decontamination.decontaminate(d, d, item_col="doc_id"),
     "main text": lambda s, d: html.extract_pages(d.withColumnsRenamed({"doc_id": "page_id", "text": "html", "lang": "url"})).select(F.col("page_id").alias("doc_id")),
 }
 
@@ -59,6 +61,12 @@ def test_search_of_awkward_rows(spark):
     assert {x[0] for x in got} == {0, 200} and all((x[2], x[3]) in {(1, 5), (2, 5), (200, 0)} for x in got if x[0] == 0)
 
 
+def test_ranking_of_awkward_rows(spark):
+    """With and without clashing columns, the same rows."""
+    found = [sorted(map(str, wavelet.ranked(d, d, 5, item_col="doc_id").collect())) for d in (docs_of(spark, ROWS, False), docs_of(spark, ROWS, True))]
+    assert found[0] == found[1] and found[0]
+
+
 @pytest.mark.parametrize("clash", [False, True])
 def test_stages(spark, tmp_path, clash):
     """Each stage on the awkward rows: columns stay, clean documents stay, unlike texts under one id stay, rows without an id stay."""
