@@ -1,23 +1,26 @@
 """One-dimensional partitioning: cut positions so that the heaviest part, over one or several load arrays, is as light as possible.
 
-The only question asked of the data is how far a part may reach from a cut under a bound. Prefixes of up to LOCAL_CELLS cells answer it in numpy on the driver; longer
-ones stay distributed and answer it by a job for each cut. The result is the greedy, left-most maximal cuts at the least feasible bound, padded with the end.
+Prefixes of up to LOCAL_CELLS cells are searched in numpy on the driver; longer ones stay in a table, of which the driver has the sums at some positions (TablePrefixes). The result is the greedy, left-most maximal cuts at the least feasible bound, padded with the end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import Protocol
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rectpart.operators.loads import running_sum
-from rectpart.operators.scan import saved
+from rectpart.functions.parts import part_of
+from rectpart.operators.scan import Scratch
 
 #: Cells (stripes x positions) that may come to the driver; 8 bytes each.
 LOCAL_CELLS = 8_000_000
+#: Marks that a round of TablePrefixes sets in a range at least; otherwise as many as make up an eighth of LOCAL_CELLS.
+MARKS = 256
+#: Ranges of a round at most, and cuts that a probe without a number of parts looks for at a time.
+MOST_RANGES, PROBED = 256, 64
 
 
 class Prefixes(Protocol):
@@ -27,11 +30,24 @@ class Prefixes(Protocol):
     def totals(self) -> tuple[float, float]:
         """The largest total of an array and the largest single element."""
 
-    def reach(self, start: int, bound: float) -> int:
-        """The farthest end so that every array gains at most bound from start."""
+    def probe(self, bound: float, parts: int | None) -> list[int]:
+        """Greedy cuts under a bound; see the function of that name."""
 
-    def load(self, start: int, end: int) -> float:
-        """The largest gain of an array between two positions."""
+    def bottleneck(self, parts: int) -> tuple[float, list[int]]:
+        """The least feasible bound, and its cuts."""
+
+    def close(self) -> None:
+        """Frees what is stored."""
+
+
+def _least(low: float, high: float, ok: Callable[[float], bool], integral: bool) -> float:
+    """The least bound from low to high that is ok, down to the last digit of a real one; high if none below is."""
+    while low < high:
+        mid = (low + high) // 2 if integral else low + (high - low) / 2
+        if not integral and not low < mid < high:
+            return low if ok(low) else high
+        low, high = (low, mid) if ok(mid) else (mid + 1 if integral else mid, high)
+    return high
 
 
 class LocalPrefixes:
@@ -51,34 +67,152 @@ class LocalPrefixes:
     def load(self, start: int, end: int) -> float:
         return (self.a[:, end] - self.a[:, start]).max()
 
+    def close(self) -> None:
+        pass
 
-class SparkPrefixes:
-    """The same over a DataFrame (q, pos, load) with positions 0..n-1; prefix sums are written once."""
-
-    def __init__(self, sums: DataFrame, n: int, integral: bool = True):
-        self.n, self.integral = n, integral
-        self.sums = saved(running_sum(sums, "load", "pos", ["q"], n, "prefix"))
+    def probe(self, bound: float, parts: int | None) -> list[int]:
+        cuts = [0]
+        while cuts[-1] < self.n and (parts is None or len(cuts) <= parts):
+            end = max(cuts[-1], self.reach(cuts[-1], bound))
+            cuts.append(end)
+            if end == cuts[-2] and parts is None:
+                break
+        if parts is not None:
+            cuts += [cuts[-1]] * (parts + 1 - len(cuts))
+        return cuts
+
+    def bottleneck(self, parts: int) -> tuple[float, list[int]]:
+        """Whole loads are bisected by value; real ones by realised loads, so that the bound is one that occurs."""
+        total, largest = self.totals()
+        if self.integral:
+            low = _least(max(-(-int(total) // parts), int(largest)), int(total), lambda x: self.probe(x, parts)[-1] >= self.n, True)
+            return low, self.probe(low, parts)
+        lo, hi = 0.0, float(total)
+        while True:
+            mid = lo + (hi - lo) / 2
+            if not lo < mid < hi:
+                return hi, self.probe(hi, parts)
+            cuts = self.probe(mid, parts)
+            if cuts[-1] >= self.n:
+                hi = min(mid, max(self.load(a, b) for a, b in zip(cuts, cuts[1:], strict=False)))
+                if hi <= lo:
+                    return hi, self.probe(hi, parts)
+            else:
+                lo = mid
+
+
+class TablePrefixes:
+    """The same over a DataFrame (q, pos, load) with positions 0..n-1 and loads that aren't negative: a two-level index of prefix sums.
+
+    The lower level is the table, dealt by ranges of positions and sorted, so that a range is read from the files that hold it. The upper level is on the driver: the exact prefix
+    sums of every array at some positions, the marks. Between two neighbouring marks they tell where a part ends; going on from the nearer and from the farther of them gives
+    cuts that lie not after and not before the true ones. So every bound is probed without a job: the least that the farther marks allow and the least that the nearer ones allow
+    enclose the optimum, and their cuts enclose its cuts. One job then sets marks within all of these ranges at once, until both come to the same cuts. A
+    round divides the gaps in a range by MARKS or, where ranges meet, by 4 at least, whatever the number of bounds, so that jobs grow with the logarithm of n. On the driver are
+    at most LOCAL_CELLS numbers, or some 4 x arrays x parts^2 where that is more.
+    """
+
+    def __init__(self, sums: DataFrame, n: int, stripes: int, integral: bool = True):
+        self.n, self.stripes, self.integral, self.scratch = n, stripes, integral, Scratch(sums.sparkSession)
+        kind = "long" if integral else "double"
+        sums = sums.select(F.col("q").cast("int").alias("q"), F.col("pos").cast("long").alias("pos"), F.col("load").cast(kind).alias("load"))
+        self.sums = self.scratch.save(sums.repartitionByRange("pos").sortWithinPartitions("pos"), "sums")
+        self.largest = self.sums.agg(F.max("load").alias("m")).first().m or 0
+        self.marks = self._marked(np.array([0, n]), np.zeros((stripes, 2), np.int64 if integral else np.float64), [(0, 1)] if n else [], [])
+
+    def close(self) -> None:
+        """Deletes the table."""
+        self.scratch.close()
 
     def totals(self) -> tuple[float, float]:
-        top = self.sums.agg(F.max("prefix").alias("t"), F.max("load").alias("m")).first()
-        return top.t or 0, top.m or 0
-
-    def _since(self, start: int) -> DataFrame:
-        base = self.sums.groupBy("q").agg(F.coalesce(F.max(F.when(F.col("pos") < start, F.col("prefix"))), F.lit(0)).alias("base"))
-        return self.sums.filter(F.col("pos") >= start).join(base, "q").withColumn("gain", F.col("prefix") - F.col("base"))
-
-    def reach(self, start: int, bound: float) -> int:
-        first = self._since(start).filter(F.col("gain") > bound).agg(F.min("pos").alias("p")).first().p
-        return self.n if first is None else int(first)
-
-    def load(self, start: int, end: int) -> float:
-        return self._since(start).filter(F.col("pos") < end).agg(F.max("gain").alias("g")).first().g or 0
+        return self.marks[1][:, -1].max(), self.largest
+
+    def _marked(self, at: np.ndarray, prefix: np.ndarray, ranges: list[tuple[int, int]], kept: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Marks, with new ones at even distances in each range (a pair of old marks), by one job; old ones stay at the ends, and from the first of a kept pair to the one behind the second."""
+        if not ranges:
+            return at, prefix
+        room = max(MARKS, LOCAL_CELLS // 8 // max(1, self.stripes) // len(ranges))
+        spans = [(int(at[a]), int(at[b])) for a, b in ranges]
+        # where ranges meet and don't shrink yet, at least their widest gaps do
+        widths = [-(-min((b - a) / room, np.diff(at[i : j + 1]).max() / 4) // 1) for (a, b), (i, j) in zip(spans, ranges, strict=True)]
+        widths = [max(1, int(w)) for w in widths]
+        counts = [-(-(b - a) // w) for (a, b), w in zip(spans, widths, strict=True)]
+        first = np.concatenate([[0], np.cumsum(counts)])
+        edges = [x for span in spans for x in span]  # parts 1, 3, ... of these cuts are the ranges
+        of = lambda values: F.get(F.array(*(F.lit(int(v)) for v in values)), F.floor(F.col("_part") / 2).cast("int"))
+        inside = self.sums.filter(F.col("pos").between(edges[0], edges[-1] - 1)).withColumn("_part", part_of("pos", [0, *edges, self.n])).filter("_part % 2 = 1")
+        block = F.floor((F.col("pos") - of(a for a, _ in spans)) / of(widths)) + of(first[:-1])
+        got = inside.groupBy("q", block.cast("int").alias("block")).agg(F.sum("load").alias("load")).toPandas()
+        loads = np.zeros((self.stripes, int(first[-1])), prefix.dtype)
+        loads[got["q"].to_numpy(int), got["block"].to_numpy(int)] = got["load"].to_numpy(prefix.dtype)
+        stay = np.zeros(len(at), bool)
+        stay[[0, -1]] = True
+        for a, b in kept:
+            stay[a : b + 2] = True
+        places, sums = [at[stay]], [prefix[:, stay]]
+        for k, (a, b) in enumerate(spans):
+            places.append(np.minimum(a + np.arange(1, counts[k] + 1) * widths[k], b))
+            sums.append(prefix[:, [ranges[k][0]]] + np.cumsum(loads[:, first[k] : first[k + 1]], 1))
+        if len(at) == 2:  # the first marks: the end's sum isn't known before
+            places, sums = [at[:1], *places[1:]], [prefix[:, :1], *sums[1:]]
+        at, which = np.unique(np.concatenate(places), return_index=True)
+        return at, np.maximum.accumulate(np.concatenate(sums, 1)[:, which], 1)  # sums of doubles may differ in their last digits
+
+    @staticmethod
+    def _walk(at: np.ndarray, prefix: np.ndarray, bound: float, parts: int, far: bool) -> list[int]:
+        """Numbers of the marks at which greedy parts under a bound end, going on from the mark not after (far: not before) a part's end."""
+        here, out = 0, [0]
+        for _ in range(parts):
+            here = max(here, min(int(np.searchsorted(row, row[here] + bound, "right")) - 1 for row in prefix))
+            if far and here + 1 < len(at) and at[here + 1] - at[here] > 1:
+                here += 1
+            out.append(here)
+        return out
+
+    def search(self, parts: int, low: float, high: float, begin: tuple[int, np.ndarray] | None = None) -> tuple[float, list[int], np.ndarray]:
+        """The least feasible bound from low to high, its cuts and the prefix sums at the last of them; if none below is, high and its cuts. begin: a position to start at and its prefix sums."""
+        at, prefix = self.marks
+        if begin:
+            after = at > begin[0]
+            at, prefix = np.append(begin[0], at[after]), np.concatenate([begin[1][:, None], prefix[:, after]], 1)
+        while True:
+            last = len(at) - 1
+            low = _least(low, high, lambda x: self._walk(at, prefix, x, parts, True)[-1] == last, self.integral)
+            high = _least(low, high, lambda x: self._walk(at, prefix, x, parts, False)[-1] == last, self.integral)
+            near, far = self._walk(at, prefix, low, parts, False), self._walk(at, prefix, high, parts, True)
+            if near == far:
+                return high, at[near].tolist(), prefix[:, near[-1]]
+            ranges: list[tuple[int, int]] = []
+            for a, b in zip(near, far, strict=True):
+                if a < b and (np.diff(at[a : b + 1]) > 1).any():
+                    if ranges and a <= ranges[-1][1]:
+                        ranges[-1] = (ranges[-1][0], max(b, ranges[-1][1]))
+                    else:
+                        ranges.append((a, b))
+            at, prefix = self._marked(at, prefix, ranges[:MOST_RANGES], list(zip(near, far, strict=True)))
+
+    def bottleneck(self, parts: int) -> tuple[float, list[int]]:
+        total = self.totals()[0]
+        return self.search(parts, max(-(-int(total) // parts), int(self.largest)) if self.integral else 0.0, int(total) if self.integral else float(total))[:2]
+
+    def probe(self, bound: float, parts: int | None) -> list[int]:
+        if parts is not None:
+            return self.search(parts, bound, bound)[1]
+        cuts, begin = [0], None
+        while cuts[-1] < self.n:
+            _, found, sums = self.search(PROBED, bound, bound, begin)
+            for x in found[1:]:
+                cuts.append(x)
+                if x in (self.n, cuts[-2]):  # at the end, or stuck
+                    return cuts
+            begin = found[-1], sums
+        return cuts
 
 
 def prefixes_of(sums: DataFrame, n: int, stripes: int, integral: bool = True) -> Prefixes:
     """Sums (q, pos, load) as prefixes, on the driver if they fit."""
     if stripes * (n + 1) > LOCAL_CELLS:
-        return SparkPrefixes(sums, n, integral)
+        return TablePrefixes(sums, n, stripes, integral)
     got = sums.select(F.col("q").cast("long"), F.col("pos").cast("long"), F.col("load").cast("long" if integral else "double")).toPandas()
     a = np.zeros((stripes, n + 1), np.int64 if integral else np.float64)
     np.add.at(a, (got["q"].to_numpy(), got["pos"].to_numpy() + 1), got["load"].to_numpy())
@@ -92,50 +226,36 @@ def as_prefixes(values: Sequence | np.ndarray) -> LocalPrefixes:
 
 def probe(x: Prefixes, bound: float, parts: int | None = None) -> list[int]:
     """Greedy cuts under a bound: with `parts`, just parts + 1 cuts, padded with where it got stuck or the end; without, as many as it takes."""
-    cuts = [0]
-    while cuts[-1] < x.n and (parts is None or len(cuts) <= parts):
-        end = max(cuts[-1], x.reach(cuts[-1], bound))
-        if end == cuts[-1] and parts is None:
-            cuts.append(end)
-            break
-        cuts.append(end)
-    if parts is not None:
-        cuts += [cuts[-1]] * (parts + 1 - len(cuts))
-    return cuts
+    return x.probe(bound, parts)
 
 
 def feasible(x: Prefixes, parts: int, bound: float) -> bool:
     return probe(x, bound, parts)[-1] >= x.n
 
 
-def bottleneck(x: Prefixes, parts: int, by_value: bool = False) -> float:
-    """The least feasible bound. Whole loads are bisected by value; real ones by realised loads, so that the bound is one that occurs."""
-    total, largest = x.totals()
+def _checked(x: Prefixes, by_value: bool) -> Prefixes:
     if by_value and not x.integral:
         raise TypeError("bisection by value is for whole loads")
-    if x.integral:
-        lo, hi = max(-(-int(total) // parts), int(largest)), int(total)
-        while lo < hi:
-            mid = (lo + hi) // 2
-            lo, hi = (lo, mid) if feasible(x, parts, mid) else (mid + 1, hi)
-        return lo
-    lo, hi = 0.0, float(total)
-    while True:
-        mid = lo + (hi - lo) / 2
-        if not lo < mid < hi:
-            return hi
-        cuts = probe(x, mid, parts)
-        if cuts[-1] >= x.n:
-            hi = min(mid, max(x.load(a, b) for a, b in zip(cuts, cuts[1:], strict=False)))
-            if hi <= lo:
-                return hi
-        else:
-            lo = mid
+    return x
+
+
+def bottleneck(x: Prefixes, parts: int, by_value: bool = False) -> float:
+    """The least feasible bound."""
+    return _checked(x, by_value).bottleneck(parts)[0]
 
 
 def partition(x: Prefixes, parts: int, by_value: bool = False) -> list[int]:
     """parts + 1 optimal cuts."""
-    return probe(x, bottleneck(x, parts, by_value), parts)
+    return _checked(x, by_value).bottleneck(parts)[1]
+
+
+def partition_sums(sums: DataFrame, n: int, stripes: int, parts: int, integral: bool = True, by_value: bool = False) -> list[int]:
+    """parts + 1 optimal cuts of sums (q, pos, load); what is stored for them is deleted."""
+    x = prefixes_of(sums, n, stripes, integral)
+    try:
+        return partition(x, parts, by_value)
+    finally:
+        x.close()
 
 
 def partition_values(values: Sequence, parts: int) -> list[int]:

@@ -9,17 +9,19 @@ import math
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rectpart.functions.parts import part_of
 from rectpart.model import Cuts, SparseMatrix
 from rectpart.operators import oned
 from rectpart.operators.loads import max_load, row_max_sums, stripe_sums
-from rectpart.operators.scan import saved
+from rectpart.operators.scan import Scratch
 
 #: Nonzeros, compacted, up to which diagonal probing runs on the driver.
 LOCAL_NONZEROS = 2_000_000
+#: Blocks of positions whose loads the driver has of a larger form, and sums by strip and block that one of its windows brings there at most (or two blocks a strip).
+BLOCKS, STRIP_CELLS = 65_536, 1_000_000
 
 
 def uniform(n: int, parts: int) -> list[int]:
@@ -59,13 +61,13 @@ def nic(a: SparseMatrix, p_parts: int, q_parts: int = 0, max_iter: int = 0, by_v
     try:
         if start is None:
             counts = held.df.groupBy(F.col("i").alias("pos")).agg(F.sum("n").alias("load")).select(F.lit(0).alias("q"), "pos", "load")
-            start = oned.partition(oned.prefixes_of(counts, a.n_rows, 1), p_parts, by_value)
+            start = oned.partition_sums(counts, a.n_rows, 1, p_parts, by_value=by_value)
         cuts = {"i": list(start), "j": list(start)}
         sizes, parts = {"i": a.n_rows, "j": a.n_cols}, {"i": p_parts, "j": q_parts}
         for step in range(1, limit + 1):
             axis, other = ("j", "i") if step % 2 else ("i", "j")
             sums = stripe_sums(held, cuts[other], axis)
-            new = oned.partition(oned.prefixes_of(sums, sizes[axis], len(cuts[other]) - 1, integral), parts[axis], by_value)
+            new = oned.partition_sums(sums, sizes[axis], len(cuts[other]) - 1, parts[axis], integral, by_value)
             same, cuts[axis] = new == cuts[axis], new
             if same:
                 break
@@ -78,7 +80,7 @@ def _refined(a: SparseMatrix, cuts: Cuts, axis: str, full: bool) -> list[int]:
     """One refinement: positions of an axis weighed by their largest load in a part of the other (full: by all loads at once)."""
     n, parts = a.size, len(cuts) - 1
     sums = stripe_sums(a, cuts, axis) if full else row_max_sums(a, cuts, axis).select(F.lit(0).alias("q"), "pos", "load")
-    return oned.partition(oned.prefixes_of(sums, n, parts if full else 1, _is_integral(a)), parts)
+    return oned.partition_sums(sums, n, parts if full else 1, parts, _is_integral(a))
 
 
 def rac(a: SparseMatrix, parts: int, max_iter: int = 0, nic_ref: bool = False, best: bool = False) -> list[int]:
@@ -149,6 +151,9 @@ class LocalDiagonal:
         order = np.argsort(k, kind="stable")
         self.k, self.m, self.upper, self.w, self.n = k[order], m[order], upper[order], w[order], n
 
+    def close(self) -> None:
+        pass
+
     def reach(self, cuts: list[int], bound: float) -> int:
         """The farthest end of a new last part so that no tile of its row and column is above the bound."""
         first, inner = int(np.searchsorted(self.k, cuts[-1])), np.asarray(cuts)
@@ -169,33 +174,72 @@ class LocalDiagonal:
             size *= 8
 
 
-class SparkDiagonal:
-    """The same over a DataFrame: a job for each cut."""
-
-    def __init__(self, form: DataFrame, n: int):
-        self.form, self.n = saved(form), n
+class TableDiagonal:
+    """The same over a table, dealt by ranges of k and sorted, so that a window of k is read from the files that hold it.
 
-    def reach(self, cuts: list[int], bound: float) -> int:
-        last = cuts[-1]
-        strip = F.when(F.col("m") >= last, F.lit(2 * len(cuts))).otherwise(2 * part_of("m", [*cuts, self.n + 1]) + F.col("upper").cast("int"))
-        sums = self.form.filter(F.col("k") >= last).groupBy(strip.alias("s"), "k").agg(F.sum("w").alias("w"))
-        total = sums.withColumn("t", F.sum("w").over(Window.partitionBy("s").orderBy("k")))
-        first = total.filter(F.col("t") > bound).agg(F.min("k").alias("k")).first().k
-        return self.n if first is None else int(first)
+    The driver has the load of even blocks of k. A probe reads windows from the last cut on, each with twice the load of the one before, as sums by strip and block; what every strip has
+    up to a window goes on to the next as a number. Where a strip's sum passes the bound, that block is read again in finer blocks, down to single positions. So a cut takes as
+    many jobs as the strips' share of the load asks windows (a logarithm of the number of strips), and no task gets a strip.
+    """
 
+    def __init__(self, form: DataFrame, n: int, integral: bool = True):
+        self.n, self.scratch, self.kind = n, Scratch(form.sparkSession), "long" if integral else "double"
+        self.form = self.scratch.save(form.withColumn("w", F.col("w").cast(self.kind)).repartitionByRange("k").sortWithinPartitions("k"))
+        self.width = max(1, -(-n // BLOCKS))
+        got = self.form.groupBy(F.floor(F.col("k") / self.width).cast("int").alias("block")).agg(F.sum("w").alias("w")).toPandas()
+        self.block = np.zeros(max(1, -(-n // self.width)), np.int64 if integral else np.float64)
+        self.block[got["block"].to_numpy(int)] = got["w"].to_numpy(self.block.dtype)
+        #: windows read
+        self.windows = 0
+
+    def close(self) -> None:
+        self.scratch.close()
+
+    def _sums(self, cuts: list[int], a: int, b: int, width: int) -> np.ndarray:
+        """Loads by strip and block of k in a window [a, b), given cuts of the parts so far; the last strip is the tile on the diagonal."""
+        self.windows += 1
+        last, k = cuts[-1], F.col("k")
+        strip = F.when(F.col("m") >= last, F.lit(2 * len(cuts) - 2)).otherwise(2 * part_of("m", [*cuts, self.n + 1]) + F.col("upper").cast("int"))
+        got = self.form.filter((k >= a) & (k < b)).groupBy(strip.alias("s"), F.floor((k - a) / width).cast("int").alias("b")).agg(F.sum("w").alias("w")).toPandas()
+        out = np.zeros((2 * len(cuts) - 1, -(-(b - a) // width)), self.block.dtype)
+        out[got["s"].to_numpy(int), got["b"].to_numpy(int)] = got["w"].to_numpy(self.block.dtype)
+        return out
 
-def diagonal(a: SparseMatrix) -> LocalDiagonal | SparkDiagonal:
+    def reach(self, cuts: list[int], bound: float) -> int:
+        room = max(2, STRIP_CELLS // (2 * len(cuts) - 1))
+        carry, at, load = np.zeros(2 * len(cuts) - 1, self.block.dtype), cuts[-1], max(bound, 1)
+        while at < self.n:
+            # up to where twice the load of the window before is sure to be
+            load *= 2
+            first = at // self.width
+            upto = np.cumsum(self.block[first:])
+            end = min(self.n, (first + max(1, int(np.searchsorted(upto, load, "right"))) + 1) * self.width)
+            while True:
+                width = -(-(end - at) // room)
+                total = carry[:, None] + np.cumsum(self._sums(cuts, at, end, width), 1)
+                over = np.flatnonzero((total > bound).any(0))
+                if not len(over):
+                    carry, at = total[:, -1], end
+                    break
+                start = at + int(over[0]) * width
+                if width == 1:
+                    return start
+                carry, at, end = total[:, over[0] - 1] if over[0] else carry, start, min(end, start + width)
+        return self.n
+
+
+def diagonal(a: SparseMatrix) -> LocalDiagonal | TableDiagonal:
     form = diagonal_form(a).cache()
     try:
         if form.count() > LOCAL_NONZEROS:
-            return SparkDiagonal(form, a.size)
+            return TableDiagonal(form, a.size, _is_integral(a))
         got = form.select("k", "m", "upper", F.col("w").cast("long" if _is_integral(a) else "double")).toPandas()
         return LocalDiagonal(got["k"].to_numpy(), got["m"].to_numpy(), got["upper"].to_numpy().astype(int), got["w"].to_numpy(), a.size)
     finally:
         form.unpersist()
 
 
-def diagonal_probe(x: LocalDiagonal | SparkDiagonal, bound: float, upper: list[int] | None = None) -> list[int]:
+def diagonal_probe(x: LocalDiagonal | TableDiagonal, bound: float, upper: list[int] | None = None) -> list[int]:
     """Greedy symmetric cuts under a bound; `upper`: as many cuts as it has, none beyond it, padded with where it got stuck. The end is where no progress is possible or n."""
     cuts = [0]
     while len(cuts) < len(upper) if upper else cuts[-1] < x.n:
@@ -230,8 +274,11 @@ def pal(a: SparseMatrix, parts: int, bounded: bool = True) -> list[int]:
                 high, limit = mid, cuts if bounded else limit
         return diagonal_probe(x, high, limit)
 
-    cuts = search(low, high, limit)
-    return cuts if cuts[-1] >= n else search(high, total, [n] * (parts + 1))
+    try:
+        cuts = search(low, high, limit)
+        return cuts if cuts[-1] >= n else search(high, total, [n] * (parts + 1))
+    finally:
+        x.close()
 
 
 def opal(a: SparseMatrix, parts: int) -> list[int]:
@@ -242,5 +289,9 @@ def opal(a: SparseMatrix, parts: int) -> list[int]:
 def pal_under(a: SparseMatrix, z: float) -> tuple[list[int], bool]:
     """Diagonal cuts with no tile above z, and whether they reach the end."""
     a.require_non_negative()
-    cuts = diagonal_probe(diagonal(a), z)
+    x = diagonal(a)
+    try:
+        cuts = diagonal_probe(x, z)
+    finally:
+        x.close()
     return cuts, cuts[-1] >= a.size

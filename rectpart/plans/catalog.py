@@ -478,7 +478,7 @@ _MULTI_SUMS = "sums AS MATERIALIZED (SELECT q.k q, i pos, CAST(sum(v) AS BIGINT)
 @query("multi_prefix_partition", f"WITH RECURSIVE {_NN}, {_parts('q', 'n', 3)}, {_MULTI_SUMS}, {Q.optimal('t', 'sums', 'n', 4)} SELECT CAST(k AS INTEGER) k, spot FROM t")
 def multi_prefix_partition(spark, sf):
     a = nn(spark, sf)
-    return _cut_rows(spark, D.partition(D.prefixes_of(L.stripe_sums(a, T.uniform(a.n_cols, 3)), a.n_rows, 3), 4, by_value=True))
+    return _cut_rows(spark, D.partition_sums(L.stripe_sums(a, T.uniform(a.n_cols, 3)), a.n_rows, 3, 4, by_value=True))
 
 
 # --- two-dimensional partitioners -------------------------------------------------------------------------------------

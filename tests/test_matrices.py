@@ -176,10 +176,27 @@ def test_bounded_loads(square):
     assert twod.pal_under(square, 0.5)[1] is False
 
 
-def test_diagonal_backends_agree(square):
-    near, far = twod.diagonal(square), twod.SparkDiagonal(twod.diagonal_form(square), 30)
-    for bound in (60, 150):
-        assert twod.diagonal_probe(near, bound) == twod.diagonal_probe(far, bound)
+@pytest.mark.parametrize(("blocks", "cells"), [(65_536, 1_000_000), (7, 20), (1, 1)])
+def test_diagonal_backends_agree(spark, square, blocks, cells, monkeypatch):
+    monkeypatch.setattr(twod, "BLOCKS", blocks)
+    monkeypatch.setattr(twod, "STRIP_CELLS", cells)
+    large = matrices.from_points(spark, random_points(400, 400, 1500, 8), [int(x) for x in np.random.default_rng(8).integers(0, 9, 1500)], weighted=True)
+    for a, n, bounds in ((square, 30, (45, 150)), (large, large.size, (3, 900, 10**6) if blocks > 7 else (900,))):
+        near, far = twod.diagonal(a), twod.TableDiagonal(twod.diagonal_form(a), n)
+        for bound in bounds:
+            far.windows, cuts = 0, twod.diagonal_probe(near, bound)
+            assert cuts == twod.diagonal_probe(far, bound)
+            if blocks > n:  # a window a cut, and as many more as double the bound to the strips' share
+                assert far.windows <= sum(3 + int(np.log2(2 * k + 1)) for k in range(len(cuts)))
+        far.close()
+
+
+def test_diagonal_searches_on_tables(square, monkeypatch):
+    want = twod.pal(square, 4), twod.opal(square, 3), twod.pal_under(square, 20)
+    monkeypatch.setattr(twod, "LOCAL_NONZEROS", 0)
+    plans = []
+    monkeypatch.setattr(twod.TableDiagonal, "_sums", lambda self, *x, f=twod.TableDiagonal._sums: plans.append(self) or f(self, *x))
+    assert (twod.pal(square, 4), twod.opal(square, 3), twod.pal_under(square, 20)) == want and plans
 
 
 def test_objectives(square):

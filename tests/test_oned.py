@@ -1,8 +1,10 @@
 """One-dimensional partitions: cuts of small arrays, and brute force."""
 
+import uuid
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,11 +56,51 @@ def test_brute_force(values, parts):
         assert max(upto[b] - upto[a] for a, b in zip(cuts, cuts[1:])) == best
 
 
-def test_spark_and_local_agree(spark):
-    rng = np.random.default_rng(3)
-    sums = [(int(q), int(pos), int(rng.integers(0, 30))) for q in range(3) for pos in range(40)]
-    df = spark.createDataFrame(sums, "q int, pos long, load long")
-    far, near = D.SparkPrefixes(df, 40), D.prefixes_of(df, 40, 3)
-    assert far.totals() == tuple(map(int, near.totals()))
-    assert D.probe(far, 120) == D.probe(near, 120)
-    assert far.load(3, 17) == near.load(3, 17)
+def jobs_of(spark, action):
+    """What an action returns, and how many jobs it took."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        return action(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setJobGroup("none", "")
+
+
+def some_sums(seed, stripes, n, kind):
+    rng = np.random.default_rng(seed)
+    loads = {"even": lambda: rng.integers(0, 30, (stripes, n)), "sparse": lambda: rng.integers(0, 9, (stripes, n)) * (rng.random((stripes, n)) < 0.02), "one heavy": lambda: rng.integers(0, 3, (stripes, n)) + 5000 * (np.arange(n) == n // 3),
+             "real": lambda: rng.random((stripes, n)).round(3), "falling": lambda: (10_000 / (1 + np.arange(n))).astype(int)[None, :].repeat(stripes, 0)}[kind]()
+    return loads, pd.DataFrame([(q, int(k), loads[q, k].item()) for q in range(stripes) for k in np.flatnonzero(loads[q])], columns=["q", "pos", "load"])
+
+
+@pytest.mark.parametrize("kind", ["even", "sparse", "one heavy", "real", "falling"])
+@pytest.mark.parametrize(("stripes", "parts"), [(1, 3), (3, 7)])
+def test_table_and_driver_agree(spark, kind, stripes, parts, monkeypatch):
+    """With only 8 marks a range and no cells on the driver: the same cuts, bottleneck and probes."""
+    loads, sums = some_sums(3, stripes, 700, kind)
+    monkeypatch.setattr(D, "MARKS", 8)
+    monkeypatch.setattr(D, "PROBED", 6)
+    df, integral = spark.createDataFrame(sums), kind != "real"
+    near = D.prefixes_of(df, 700, stripes, integral)
+    monkeypatch.setattr(D, "LOCAL_CELLS", 0)
+    far = D.prefixes_of(df, 700, stripes, integral)
+    assert isinstance(far, D.TablePrefixes) and np.allclose(far.totals(), near.totals())
+    assert D.partition(far, parts) == D.partition(near, parts)
+    assert np.isclose(D.bottleneck(far, parts), D.bottleneck(near, parts))
+    for bound in (float(near.totals()[0]) / 5 + 0.0001, near.totals()[1] - 1, 0):
+        assert D.probe(far, bound, 9) == D.probe(near, bound, 9) and D.feasible(far, parts, bound) == D.feasible(near, parts, bound)
+    for bound in (near.totals()[0] / 20 + 0.0001, 0) if stripes == 3 else ():
+        assert D.probe(far, bound) == D.probe(near, bound)
+    far.close()
+    assert D.partition_sums(df.limit(0), 0, stripes, 2) == [0, 0, 0] and D.partition_sums(df.limit(0), 5, stripes, 2) == [0, 5, 5]
+
+
+def test_jobs_of_a_long_table(spark, monkeypatch):
+    """A million positions under a bound of 0 cells: few jobs, whatever the length; and no array of prefix sums by window."""
+    monkeypatch.setattr(D, "LOCAL_CELLS", 0)
+    monkeypatch.setattr(D, "MARKS", 64)
+    for n in (25, 1_000_000):
+        df = spark.range(n).selectExpr("0 q", "id pos", "(id * 7919) % 101 load")
+        cuts, jobs = jobs_of(spark, lambda df=df, n=n: D.partition_sums(df, n, 1, 8))
+        values = (np.arange(n) * 7919) % 101
+        assert cuts == D.partition_values(values, 8) and jobs <= 40
