@@ -6,7 +6,8 @@ weighted is fixed when it is made. Ids are 0-based 64-bit integers.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -42,6 +43,15 @@ class SparseMatrix:
         """One row for each coordinate with the sum of its loads, so that later steps read less. Cached: call unpersist() on df when done."""
         return SparseMatrix(self.loads().groupBy("i", "j").agg(F.sum("w").alias("v")).cache(), self.n_rows, self.n_cols, True)
 
+    @contextmanager
+    def held(self) -> Iterator[SparseMatrix]:
+        """compacted() for the steps of one operator, freed at their end."""
+        a = self.compacted()
+        try:
+            yield a
+        finally:
+            a.df.unpersist()
+
     def with_data(self, weighted: bool) -> SparseMatrix:
         return replace(self, weighted=weighted)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,10 @@ from rectpart.functions.parts import part_of
 from rectpart.model import Cuts, SparseMatrix
 
 
+#: Candidates up to which each nonzero is counted for each candidate.
+FEW = 4
+
+
 def tile_loads(a: SparseMatrix, p: Cuts, q: Cuts, fill: bool = True) -> DataFrame:
     """(u, v, load) of all tiles; fill: tiles without nonzeros have load 0. One partial aggregation and a shuffle of at most P x Q rows a task."""
     some = a.loads().select(part_of("i", p).alias("u"), part_of("j", q).alias("v"), "w").groupBy("u", "v").agg(F.sum("w").alias("load"))
@@ -23,6 +30,42 @@ def max_load(a: SparseMatrix, p: Cuts, q: Cuts) -> int | float:
     return tile_loads(a, p, q, fill=False).agg(F.max("load").alias("m")).first().m or 0
 
 
+def many_tile_loads(a: SparseMatrix, candidates: Sequence[tuple[Cuts, Cuts]]) -> DataFrame:
+    """(c, u, v, load) of the tiles with nonzeros of many pairs of cut vectors, c the number of the pair, in one pass over the nonzeros.
+
+    Up to FEW candidates, each nonzero is counted for each. The cuts of more candidates together make a fine grid. Nonzeros are summed up by its cells first, before anything moves, whatever the number of candidates; a cell's sum then goes to
+    the tile of each candidate that it lies in. Broadcast: a part of each candidate for each line of the grid.
+    """
+    if len(candidates) <= FEW:
+        each = F.array(*(F.struct(F.lit(c).alias("c"), part_of("i", p).alias("u"), part_of("j", q).alias("v")) for c, (p, q) in enumerate(candidates)))
+        return a.loads().select("w", F.explode(each).alias("x")).groupBy("x.c", "x.u", "x.v").agg(F.sum("w").alias("load"))
+    spark = a.df.sparkSession
+    grid, step = [], a.loads()
+    for k, axis in enumerate("ij"):
+        n = a.n_rows if k == 0 else a.n_cols
+        edges = sorted({0, n, *(int(x) for pair in candidates for x in pair[k] if 0 < x < n)})
+        lines = np.asarray(edges[:-1], np.int64)
+        parts = np.stack([np.minimum(np.searchsorted(np.asarray(pair[k][1:-1], np.int64), lines, "right"), len(pair[k]) - 2) for pair in candidates], 1)
+        grid.append(spark.createDataFrame([(x, row) for x, row in enumerate(parts.tolist())], f"_g{axis} int, _p{axis} array<int>"))
+        step = step.withColumn(f"_g{axis}", part_of(axis, edges))
+    cells = step.groupBy("_gi", "_gj").agg(F.sum("w").alias("w")).join(F.broadcast(grid[0]), "_gi").join(F.broadcast(grid[1]), "_gj")
+    each = cells.select("w", F.posexplode(F.arrays_zip("_pi", "_pj")).alias("c", "p"))
+    return each.groupBy("c", F.col("p._pi").alias("u"), F.col("p._pj").alias("v")).agg(F.sum("w").alias("load"))
+
+
+def max_loads(a: SparseMatrix, candidates: Sequence[tuple[Cuts, Cuts]]) -> list[int | float]:
+    """The heaviest tile under each pair of cut vectors, all in one pass over the nonzeros."""
+    found = {r.c: r.m for r in many_tile_loads(a, candidates).groupBy("c").agg(F.max("load").alias("m")).collect()}
+    return [found.get(c) or 0 for c in range(len(candidates))]
+
+
+def many_stripe_sums(a: SparseMatrix, candidates: Sequence[tuple[str, Cuts]], full: bool = True) -> DataFrame:
+    """(c, q, pos, load) of stripe_sums for many (axis, cuts of the other axis) in one pass over the nonzeros; not `full`: the largest load of each position alone, with q = 0."""
+    parts = F.array(*(F.struct(F.lit(c).alias("c"), part_of("j" if axis == "i" else "i", cuts).alias("q"), F.col(axis).alias("pos")) for c, (axis, cuts) in enumerate(candidates)))
+    sums = a.loads().select("w", F.explode(parts).alias("x")).groupBy("x.c", "x.q", "x.pos").agg(F.sum("w").alias("load"))
+    return sums if full else sums.groupBy("c", "pos").agg(F.max("load").alias("load")).select("c", F.lit(0).alias("q"), "pos", "load")
+
+
 def max_load_of_strip(loads: DataFrame, index: int, column: bool = False) -> DataFrame:
     """max_load of one tile row, or of one tile column."""
     return loads.filter(F.col("v" if column else "u") == index).agg(F.max("load").alias("max_load"))

@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 
 from rectpart.functions.parts import part_of
 from rectpart.model import Cuts, SparseMatrix
+from rectpart.operators import loads as L
 from rectpart.operators import oned
-from rectpart.operators.loads import max_load, row_max_sums, stripe_sums
+from rectpart.operators.loads import stripe_sums
 from rectpart.operators.scan import Scratch
 
 #: Nonzeros, compacted, up to which diagonal probing runs on the driver.
 LOCAL_NONZEROS = 2_000_000
+#: Rounds in which a search for the fewest parts ends.
+ROUNDS = 3
 #: Blocks of positions whose loads the driver has of a larger form, and sums by strip and block that one of its windows brings there at most (or two blocks a strip).
 BLOCKS, STRIP_CELLS = 65_536, 1_000_000
 
@@ -32,21 +35,32 @@ def _is_integral(a: SparseMatrix) -> bool:
     return not a.weighted or dict(a.df.dtypes)["v"] in ("tinyint", "smallint", "int", "bigint") or dict(a.df.dtypes)["v"].startswith("decimal")
 
 
-def _least_parts(low: int, high: int, ok: Callable[[int], bool]) -> int:
+def _fewest(low: int, high: int, ok: Callable[[list[int]], list[bool]]) -> int:
+    """The fewest parts from low to high that are ok, in ROUNDS rounds at most: each tries several numbers at even distances at once. As in a bisection, more parts count as no worse."""
+    step = max(1, math.ceil((high - low + 1) ** (1 / ROUNDS)))
     while low < high:
-        mid = (low + high) // 2
-        low, high = (low, mid) if ok(mid) else (mid + 1, high)
-    return low
+        tried = sorted({low + (high - low) * k // (step + 1) for k in range(1, step + 1)} | {low}) if high - low > step else list(range(low, high))
+        good = dict(zip(tried, ok(tried), strict=True))
+        first = next((k for k in tried if good[k]), high)
+        low, high = max((k + 1 for k in tried if k < first), default=low), first
+    return high
 
 
 def uniform_under(a: SparseMatrix, z: float) -> tuple[list[int], bool]:
-    """Uniform symmetric cuts with the fewest parts whose heaviest tile is at most z, and whether they keep to z."""
+    """Uniform symmetric cuts with the fewest parts whose heaviest tile is at most z, and whether they keep to z. Nonzeros are summed up by coordinate once; a round tries many numbers."""
+    with a.held() as held:
+        return _uniform_under(held, z)
+
+
+def _uniform_under(a: SparseMatrix, z: float) -> tuple[list[int], bool]:
     n = a.size
-    ok = lambda k: max_load(a, uniform(n, k), uniform(n, k)) <= z
-    most = min(max(1, n), int(n / math.sqrt(z)) + 1)  # enough if every cell counts at most 1
-    parts = _least_parts(1, most if ok(most) else max(1, n), ok)
-    cuts = uniform(n, parts)
-    return cuts, max_load(a, cuts, cuts) <= z
+    load = lambda ks: L.max_loads(a, [(uniform(n, k), uniform(n, k)) for k in ks])
+    top = max(1, n)
+    most = min(top, int(n / math.sqrt(z)) + 1)  # enough if every cell counts at most 1
+    if most < top and load([most])[0] > z:
+        most = top
+    parts = _fewest(1, most, lambda ks: [x <= z for x in load(ks)])
+    return uniform(n, parts), load([parts])[0] <= z
 
 
 def nic(a: SparseMatrix, p_parts: int, q_parts: int = 0, max_iter: int = 0, by_value: bool = False, start: Cuts | None = None) -> tuple[list[int], list[int]]:
@@ -76,68 +90,100 @@ def nic(a: SparseMatrix, p_parts: int, q_parts: int = 0, max_iter: int = 0, by_v
     return cuts["i"], cuts["j"]
 
 
-def _refined(a: SparseMatrix, cuts: Cuts, axis: str, full: bool) -> list[int]:
-    """One refinement: positions of an axis weighed by their largest load in a part of the other (full: by all loads at once)."""
-    n, parts = a.size, len(cuts) - 1
-    sums = stripe_sums(a, cuts, axis) if full else row_max_sums(a, cuts, axis).select(F.lit(0).alias("q"), "pos", "load")
-    return oned.partition_sums(sums, n, parts if full else 1, parts, _is_integral(a))
+def _refined(a: SparseMatrix, tries: list[tuple[str, Cuts, int]], full: bool) -> list[list[int]]:
+    """One refinement of each (axis, cuts, parts): positions of the axis weighed by their largest load in a part of the other (full: by all loads at once). One pass over the nonzeros."""
+    n, integral = a.size, _is_integral(a)
+    sums = L.many_stripe_sums(a, [(axis, cuts) for axis, cuts, _ in tries], full)
+    stripes = [len(cuts) - 1 if full else 1 for _, cuts, _ in tries]
+    if sum(stripes) * (n + 1) > oned.LOCAL_CELLS:
+        return [oned.partition_sums(sums.filter(F.col("c") == c), n, stripes[c], parts, integral) for c, (*_, parts) in enumerate(tries)]
+    got = sums.select("c", "q", F.col("pos").cast("long"), F.col("load").cast("long" if integral else "double")).toPandas()
+    out = []
+    for c, (*_, parts) in enumerate(tries):
+        own, grid = got[got["c"] == c], np.zeros((stripes[c], n + 1), np.int64 if integral else np.float64)
+        grid[own["q"].to_numpy(int), own["pos"].to_numpy(int) + 1] = own["load"].to_numpy(grid.dtype)
+        out.append(oned.partition(oned.LocalPrefixes(np.cumsum(grid, 1)), parts))
+    return out
+
+
+def _square(cuts: list[int]) -> tuple[list[int], list[int]]:
+    return cuts, cuts
+
+
+def _rac(a: SparseMatrix, tries: list[int], max_iter: int, nic_ref: bool, best: bool) -> list[list[int]]:
+    """rac for several numbers of parts, step by step together: a job for the refinements of a step, whatever their number."""
+    n = a.size
+    first = _refined(a, [(axis, [0] + [n] * k, k) for k in tries for axis in "ij"], nic_ref)
+    loads = L.max_loads(a, [_square(c) for c in first])
+    axes = ["i" if loads[2 * t] <= loads[2 * t + 1] else "j" for t in range(len(tries))]
+    cuts = [first[2 * t + (axis == "j")] for t, axis in enumerate(axes)]
+    seen = [(loads[2 * t + (axis == "j")], cuts[t]) for t, axis in enumerate(axes)]
+    left = [max_iter or max(10, k) for k in tries]
+    going = list(range(len(tries)))
+    while going := [t for t in going if left[t] > 1]:
+        new = _refined(a, [(axes[t], cuts[t], tries[t]) for t in going], nic_ref)
+        moved = [(t, c) for t, c in zip(going, new, strict=True) if c != cuts[t]]
+        for t, c in moved:
+            cuts[t], left[t] = c, left[t] - 1
+        going = [t for t, _ in moved]
+        if best and moved:
+            for (t, c), x in zip(moved, L.max_loads(a, [_square(c) for _, c in moved]), strict=True):
+                seen[t] = min(seen[t], (x, c), key=lambda y: y[0])
+    return [c for _, c in seen] if best else cuts
 
 
 def rac(a: SparseMatrix, parts: int, max_iter: int = 0, nic_ref: bool = False, best: bool = False) -> list[int]:
     """Refine a cut, direction first: the direction whose first refinement is lighter (rows on a tie) is refined until nothing moves.
 
-    Returns the last cuts, or with `best` the lightest ones seen.
+    Returns the last cuts, or with `best` the lightest ones seen. Nonzeros are summed up by coordinate once and held for the steps.
     """
-    n, limit = a.size, max_iter or max(10, parts)
-    first = [0] + [n] * parts
-    trial = {axis: _refined(a, first, axis, nic_ref) for axis in "ij"}
-    load = {axis: max_load(a, c, c) for axis, c in trial.items()}
-    axis = "i" if load["i"] <= load["j"] else "j"
-    cuts, seen = trial[axis], (load[axis], trial[axis])
-    for _ in range(limit - 1):
-        new = _refined(a, cuts, axis, nic_ref)
-        if new == cuts:
-            break
-        cuts = new
-        if best:
-            seen = min(seen, (max_load(a, cuts, cuts), cuts), key=lambda x: x[0])
-    return seen[1] if best else cuts
+    with a.held() as held:
+        return _rac(held, [parts], max_iter, nic_ref, best)[0]
 
 
 def pbi(a: SparseMatrix, parts: int, max_iter: int = 0, nic_ref: bool = False) -> list[int]:
-    """Refine a cut, both directions each time: the lighter one goes on, and the lightest of all is returned."""
+    """Refine a cut, both directions each time: the lighter one goes on, and the lightest of all is returned. Nonzeros are summed up by coordinate once; both directions are one job."""
     n, limit = a.size, max_iter or max(10, parts)
     start = [0] + [n] * parts
-    first = {axis: _refined(a, start, axis, nic_ref) for axis in "ij"}
-    load = {axis: max_load(a, c, c) for axis, c in first.items()}
-    # the direction that is refined first is the lighter one; a tie afterwards goes to the second
-    order = ("i", "j") if load["i"] <= load["j"] else ("j", "i")
-    current = {axis: first[axis] for axis in "ij"}
-    seen: tuple[float, list[int]] = (math.inf, start)
-    for k in range(limit):
-        new = first if k == 0 else {axis: _refined(a, current[axis], axis, nic_ref) for axis in "ij"}
-        loads = {axis: max_load(a, c, c) for axis, c in new.items()}
-        pick = order[0] if loads[order[0]] < loads[order[1]] else order[1]
-        before, current = current, {axis: new[pick] for axis in "ij"}
-        if loads[pick] < seen[0]:
-            seen = (loads[pick], new[pick])
-        if k and before == current:
-            break
+    with a.held() as held:
+
+        def both(current: list[list[int]]) -> tuple[list[list[int]], list[float]]:
+            new = _refined(held, [(axis, c, parts) for axis, c in zip("ij", current, strict=True)], nic_ref)
+            return new, L.max_loads(held, [_square(c) for c in new])
+
+        current, load = both([start, start])
+        # the direction that is refined first is the lighter one; a tie afterwards goes to the second
+        order = (0, 1) if load[0] <= load[1] else (1, 0)
+        seen: tuple[float, list[int]] = (math.inf, start)
+        new = current
+        for k in range(limit):
+            if k:
+                new, load = both(current)
+            pick = order[0] if load[order[0]] < load[order[1]] else order[1]
+            before, current = current, [new[pick]] * 2
+            if load[pick] < seen[0]:
+                seen = (load[pick], new[pick])
+            if k and before == current:
+                break
     return seen[1]
 
 
 def rac_under(a: SparseMatrix, z: float) -> tuple[list[int], bool]:
-    """Refined cuts with the fewest parts whose heaviest tile is at most z, and whether they keep to z."""
-    most = len(uniform_under(a, z)[0]) - 1
-    made: dict[int, list[int]] = {}
-
-    def load(k: int) -> float:
-        made[k] = made.get(k) or rac(a, k)
-        return max_load(a, made[k], made[k])
-
-    parts = _least_parts(1, most, lambda k: load(k) <= z)
-    ok = load(parts) <= z
-    return made[parts], ok
+    """Refined cuts with the fewest parts whose heaviest tile is at most z, and whether they keep to z. Each of at most ROUNDS rounds refines several numbers of parts together."""
+    with a.held() as held:
+        most = len(_uniform_under(held, z)[0]) - 1
+        made: dict[int, tuple[float, list[int]]] = {}
+
+        def ok(ks: list[int]) -> list[bool]:
+            fresh = [k for k in ks if k not in made]
+            if fresh:
+                cuts = _rac(held, fresh, 0, False, False)
+                made.update(zip(fresh, zip(L.max_loads(held, [_square(c) for c in cuts]), cuts, strict=True), strict=True))
+            return [made[k][0] <= z for k in ks]
+
+        parts = _fewest(1, most, ok)
+        good = ok([parts])[0]
+        return made[parts][1], good
 
 
 def diagonal_form(a: SparseMatrix) -> DataFrame:

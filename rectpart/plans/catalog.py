@@ -496,7 +496,7 @@ def _result(spark: SparkSession, p: list[int], q: list[int] | None = None) -> Da
 tiles AS (SELECT p, list_position(list_transform(range(p), lambda k: ((k + 1) * n // p > i)::INT), 1) u, list_position(list_transform(range(p), lambda k: ((k + 1) * n // p > j)::INT), 1) w, sum(v) load FROM nn, size, c GROUP BY 1, 2, 3)
 SELECT min(p) parts FROM (SELECT p, max(load) load FROM tiles GROUP BY 1), z WHERE load <= z""")
 def uniform_bound_a_load(spark, sf):
-    a = nn(spark, sf).compacted()
+    a = nn(spark, sf)
     cuts, _ = T.uniform_under(a, a.total_load() // 30)
     return spark.createDataFrame([(len(cuts) - 1,)], "parts long")
 
@@ -513,22 +513,22 @@ def nic_v(spark, sf):
 
 @query("rac", Q.rac(_PP_X, 8))
 def rac(spark, sf):
-    return _result(spark, T.rac(pp(spark, sf).compacted(), 8))
+    return _result(spark, T.rac(pp(spark, sf), 8))
 
 
 @query("rac_nic_refinement", Q.rac(_NN_X, 4, full=True))
 def rac_nic_refinement(spark, sf):
-    return _result(spark, T.rac(nn(spark, sf).compacted(), 4, nic_ref=True))
+    return _result(spark, T.rac(nn(spark, sf), 4, nic_ref=True))
 
 
 @query("pbi", Q.pbi(_NN_X, 4))
 def pbi(spark, sf):
-    return _result(spark, T.pbi(nn(spark, sf).compacted(), 4))
+    return _result(spark, T.pbi(nn(spark, sf), 4))
 
 
-@query("rac_bound_a_load")
+@query("rac_bound_a_load", Q.rac_under(_NN_X, "sum(w) // 10", 8))
 def rac_bound_a_load(spark, sf):
-    a = nn(spark, sf).compacted()
+    a = nn(spark, sf)
     return _result(spark, T.rac_under(a, a.total_load() // 10)[0])
 
 
@@ -550,7 +550,7 @@ SELECT CAST(len(cs) - 1 AS INTEGER) k, spot FROM cut"""
 
 @query("pal_probe", _PAL_PROBE)
 def pal_probe(spark, sf):
-    a = nn(spark, sf).compacted()
+    a = nn(spark, sf)
     return _cut_rows(spark, T.pal_under(a, a.total_load() // 20)[0])
 
 

@@ -74,6 +74,14 @@ def rac(head: str, parts: int, full: bool = False) -> str:
     return f"WITH RECURSIVE {head}, " + ",\n".join(ctes) + " " + rows(f"t{turns}")
 
 
+def rac_under(head: str, z: str, most: int) -> str:
+    """rac's cuts with the fewest parts whose heaviest tile is at most z (an expression over x), tried up to `most` parts."""
+    each = [f"r{k} AS MATERIALIZED ({rac('none AS (SELECT 1)', k)}), c{k} AS MATERIALIZED (SELECT k, lo spot FROM r{k} UNION ALL SELECT max(k) + 1, max(hi) FROM r{k})" for k in range(1, most + 1)]
+    loads = " UNION ALL ".join(f"SELECT {k} parts, {_load('x', f'c{k}')} load" for k in range(1, most + 1))
+    tried = " UNION ALL ".join(f"SELECT {k} parts, * FROM r{k}" for k in range(1, most + 1))
+    return f"WITH RECURSIVE {head}, {', '.join(each)}, fewest AS (SELECT min(parts) parts FROM ({loads}) WHERE load <= (SELECT {z} FROM x)) SELECT dim, k, lo, hi FROM ({tried}) JOIN fewest USING (parts)"
+
+
 def pbi(head: str, parts: int) -> str:
     ctes, turns = _first(parts), max(10, parts)
     pick = "CASE WHEN rows_first THEN (CASE WHEN li < lj THEN 'i' ELSE 'j' END) ELSE (CASE WHEN lj < li THEN 'j' ELSE 'i' END) END"

@@ -11,6 +11,7 @@ from rectpart.model import is_cut_vector
 from rectpart.operators import exact, loads, reshape, sample, subgradient, twod
 from rectpart.plans import api, catalog, cli, engine, registry
 from rectpart.sources import matrices, sinks
+from tests.test_oned import jobs_of
 
 
 def random_points(n, m, k, seed):
@@ -307,7 +308,69 @@ def converged(d, kind, parts):
         each = [t.max((1, 2)), t.max((0, 2)), t.max((0, 1))]
         return each if kind == "3dr" else [np.maximum.reduce(each)]
 
-    return [decode(x, y) for x, y in zip(prefixes, subgradient.descend(places, costs))]
+    # the loop by its definition: cuts move against the running sum of the excess over the mean, by steps that shrink as 1 / sqrt(100 + turns of all cuts)
+    turn, best, found, checked, before = 0, np.inf, None, 1, np.inf
+    while True:
+        turn += 1
+        cost = costs(places)
+        top, low = max(c.max() for c in cost), min(c.min() for c in cost)
+        if top < best:
+            best, found = top, [decode(x, y) for x, y in zip(prefixes, places)]
+        moved = []
+        for x, c in zip(places, cost):
+            excess = np.array([sum(c[: k + 1] - c.mean()) for k in range(len(x))])
+            moved.append(np.sort(x - excess / (100 + turn // (len(x) + 2)) ** 0.5))
+        places = moved
+        if low > 0 and top - low < 0.001 * low:
+            return found
+        if turn - checked > 10 * sum(p + 1 for p in parts):
+            if before - best <= 0.001 * best:
+                return found
+            checked, before = turn, best
+
+
+def test_starts_share_their_jobs(spark, square):
+    """Three starts: no worse than the first alone, in fewer jobs than three times its own; a candidate's costs are those that it has alone."""
+    cost = lambda c: loads.max_load(square, c, c)
+    one, jobs = jobs_of(spark, lambda: subgradient.sgo([square], "0ij,i=j", [4], max_iter=12)[0])
+    three, more = jobs_of(spark, lambda: subgradient.sgo([square], "0ij,i=j", [4], max_iter=12, starts=3)[0])
+    assert cost(three) <= cost(one) and more < 2 * jobs
+    assert cost(subgradient.sgo_spmv(square, 3, 1.0, 1.0, max_iter=5, starts=2)) > 0
+    o, candidates = subgradient.parse("0ij+1jk"), [[[0, 10, 30], [0, 5, 6, 30], [0, 30]], [[0, 30], [0, 15, 30], [0, 1, 2, 30]]]
+    for text, tried in (("0ij+1jk", candidates), ("0ij+0jk+0ik", [[[0, 3, 11, 30]], [[0, 0, 9, 30]]]), ("0ji,i=j", [[[0, 3, 11, 30]]]), ("0ii+1ji", [[[0, 12, 30], [0, 3, 30]]])):
+        o = subgradient.parse(text)
+        near = subgradient._costs_of_tiles(o, [square, square], tried)
+        for r in subgradient.evaluate_many(o, [square, square], tried).collect():
+            assert near[r.c][r.dim][r.part] == r.cost
+    o = subgradient.parse("0ij+1jk")
+    together = sorted((r.c, r.dim, r.part, r.cost) for r in subgradient.evaluate_many(o, [square, square], candidates).collect())
+    assert together == sorted((c, r.dim, r.part, r.cost) for c, cuts in enumerate(candidates) for r in subgradient.evaluate(o, [square, square], cuts).collect())
+
+
+@pytest.mark.parametrize("few", [0, 99])
+def test_many_cuts_in_one_pass(square, few, monkeypatch):
+    monkeypatch.setattr(loads, "FEW", few)
+    rng = np.random.default_rng(5)
+    candidates = [([0, *sorted(rng.integers(0, 31, 3).tolist()), 30], [0, *sorted(rng.integers(0, 31, 2).tolist()), 30]) for _ in range(6)] + [([0, 30], [0, 0, 30, 30])]
+    d, got = dense(square), {(r.c, r.u, r.v): r.load for r in loads.many_tile_loads(square, candidates).collect()}
+    for c, (p, q) in enumerate(candidates):
+        assert all(got.get((c, u, v), 0) == x for (u, v), x in np.ndenumerate(grid(d, p, q)))
+    assert loads.max_loads(square, candidates) == [grid(d, p, q).max() for p, q in candidates]
+
+
+def test_fewest_parts_in_few_rounds_and_rac_in_few_jobs(spark, square):
+    for best, high in ((1, 1), (1, 40), (7, 9), (333, 1000), (1000, 1000)):
+        rounds = []
+        assert twod._fewest(1, high, lambda ks, rounds=rounds, best=best: rounds.append(ks) or [k >= best for k in ks]) == best and len(rounds) <= twod.ROUNDS
+    (cuts, ok), jobs = jobs_of(spark, lambda: twod.rac_under(square, 200))
+    plain = next(k for k in range(1, 31) if loads.max_load(square, twod.rac(square, k), twod.rac(square, k)) <= 200)
+    assert ok and len(cuts) - 1 == plain
+    d = dense(square)
+    plain = next(k for k in range(1, 31) if grid(d, twod.uniform(30, k), twod.uniform(30, k)).max() <= 200)
+    assert twod.uniform_under(square, 200) == (twod.uniform(30, plain), True)
+    assert twod.rac_under(square, 0.5)[1] is False
+    _, jobs = jobs_of(spark, lambda: twod.rac(square, 8))
+    assert jobs <= 40
 
 
 def test_registered_subgradient_queries_converge(spark):
