@@ -1,11 +1,11 @@
 """Main text of web pages by the distribution of text over lines.
 
-Markup is stripped and every block element starts a line. Lines of menus, headers, footers, sidebars, notices, adverts, forms and comments,
-known by their elements or by their classes and ids as whole tokens, and lines outside an article that are mostly links have no weight. A form with most of the page's text, and
-an aside around an article with more text than the rest of the page, don't count. Over a sliding window of
-WINDOW lines the weights (characters) are summed: a stretch begins where the sum rises from nothing and ends where it dives to nothing again, and
-it is text if the sum surges to SURGE in between, or to the page's peak if that is less. Lines with weight in such a stretch are kept. Lines in an article or main element weigh SURGE
-more, so that they always surge; text elsewhere on the page is chosen in the same way.
+Markup is stripped and every block element starts a line. A line's weight is its characters without those of links; a line that ends as a sentence does weighs PROSE more. Menus,
+headers, footers, sidebars, notices and forms, known by their elements or by their classes and ids as whole tokens, only weigh a part, DISCOUNT, of that; adverts, reader comments and
+cookie notices weigh nothing. Over a sliding window of WINDOW lines the weights are summed: a stretch begins where the sum rises from nothing and ends where it dives to nothing and
+stays there, and it is text if the sum surges in between. The page itself says how high that is: the lines of the page's body have to reach SURGE, or the page's peak if that is less; lines that
+are discounted have to surge above the body's peak, so that they are text only where they hold most of the page's. Both are distributions of their own: a menu between two
+paragraphs doesn't part them. Links within an article or main element count as text.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Lines in a window, and the window sum (characters) that makes a surge.
-WINDOW, SURGE = 3, 25
+#: Lines in a window, the window sum (characters) that makes a surge, what a sentence's end counts, and the share that lines of asides weigh.
+WINDOW, SURGE, PROSE, DISCOUNT = 3, 25, 15, 1 / 8
 
 # Elements of HTML by what they mean here.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -34,6 +34,9 @@ _NAMES = frozenset(
 )
 #: Words that may stand beside a name in a token, as in site-header; any other, as in has-sidebar or entry-header, makes it no aside.
 _BESIDE = frozenset("site global main primary secondary top bottom left right box bar list links section area wrap wrapper container block inner form buttons icons item items posts".split())
+#: Words that make a token name an advert, a reader's comment or a cookie notice, whatever stands beside them but a negation.
+_CONDEMNED = frozenset("comment comments commentlist disqus replies reply respond ad ads adv advert adverts advertisement advertising sponsored cookie cookies consent gdpr".split())
+_NEGATED = frozenset("no non not has with without free hide".split())
 _DROP = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})(?=[\s/>])[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<({CLOSED})(?=[\s/>])[^>]*?(?:/>|>.*?</\2\s*>)", re.I | re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/][^>]*>")
 _NAMED = re.compile(r"(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -49,12 +52,18 @@ def names_aside(named: str, main: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, bool, bool, float]]:
-    """Text, whether it stands in an aside, whether in the main element, and share of link text of each line that isn't blank."""
+def names_condemned(named: str) -> bool:
+    """Whether a token of classes and ids has a word for adverts, comments or cookie notices, and no negation."""
+    tokens = (set(re.split(r"[-_\d]+", x)) for x in named.lower().split())
+    return any(not _CONDEMNED.isdisjoint(words) and _NEGATED.isdisjoint(words) for words in tokens)
+
+
+def lines_of(page: str) -> list[tuple[str, bool, bool, bool, float]]:
+    """Text, whether it's condemned, whether it stands in an aside, whether in the main element, and share of link text of each line that isn't blank."""
     page = _DROP.sub("", page)
-    out: list[tuple[str, bool, bool, bool, int, float]] = []
-    # of each open block: whether it's an aside outside of an article, inside of one, whether in the main element, and the number of its form
-    stack: list[tuple[str, bool, bool, bool, int]] = []
+    out: list[tuple[str, bool, bool, bool, bool, int, float]] = []
+    # of each open block: whether it's condemned, whether an aside outside of an article, inside of one, whether in the main element, and the number of its form
+    stack: list[tuple[str, bool, bool, bool, bool, int]] = []
     text: list[str] = []
     linked = at = forms = 0
     in_link = False
@@ -63,8 +72,7 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, float]]:
         nonlocal linked
         line = " ".join(entities.unescape("".join(text)).split())
         if line:
-            around, aside, main, form = stack[-1][1:] if stack else (False, False, False, 0)
-            out.append((line, around, aside, main, form, min(1.0, linked / len(line))))
+            out.append((line, *(stack[-1][1:] if stack else (False, False, False, False, 0)), min(1.0, linked / len(line))))
         text.clear()
         linked = 0
 
@@ -91,29 +99,30 @@ def lines_of(page: str) -> list[tuple[str, bool, bool, float]]:
         else:
             if name in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
                 stack.pop()  # their end tags may be left out
-            around, aside, main, form = stack[-1][1:] if stack else (False, False, False, 0)
+            gone, around, aside, main, form = stack[-1][1:] if stack else (False, False, False, False, 0)
             named = " ".join(a or b or c for a, b, c in _NAMED.findall(m[3] or ""))
             if name in MAIN and not main:
                 # the page's main element lies in no aside; a form around an article holds more than controls
-                main, around, form = True, around and name != "main", 0
+                main, around, gone, form = True, around and name != "main", gone and name != "main", 0
+            gone = gone or bool(named and name not in ("body", "html", "main") and names_condemned(named))
             inner = name in ("header", "footer") and main  # an article's own heading
             if (name in ASIDE and not inner) or bool(named and name not in ("body", "html", "article", "main") and (names_aside(named, main) or _ROLES.search(named))):
                 around, aside = around or not main, aside or main
             if name in FORMS and not form:
                 forms += 1
                 form = forms
-            stack.append((name, around, aside, main, form))
+            stack.append((name, gone, around, aside, main, form))
     text.append(page[at:])
     end_line()
     return _weighed(out)
 
 
-def _weighed(lines: list[tuple[str, bool, bool, bool, int, float]]) -> list[tuple[str, bool, bool, float]]:
+def _weighed(lines: list[tuple[str, bool, bool, bool, bool, int, float]]) -> list[tuple[str, bool, bool, bool, float]]:
     """Settles which forms and which asides around an article count as asides."""
     held: dict[int, int] = {}
     swallowed = 0
-    for line, around, aside, main, form, _ in lines:
-        if not aside:
+    for line, gone, around, aside, main, form, _ in lines:
+        if not aside and not gone:
             if around:
                 swallowed += len(line) * main
             else:
@@ -121,19 +130,22 @@ def _weighed(lines: list[tuple[str, bool, bool, bool, int, float]]) -> list[tupl
     most = sum(held.values()) / 2
     wide = {0, *(f for f, n in held.items() if n > most)}
     freed = swallowed > sum(n for f, n in held.items() if f in wide)
-    return [(line, aside or (around and not (freed and main)) or form not in wide, main, share) for line, around, aside, main, form, share in lines]
+    return [(line, gone, aside or (around and not (freed and main)) or form not in wide, main, share) for line, gone, around, aside, main, form, share in lines]
 
 
-def between_surge_and_dive(weight: list[int]) -> list[bool]:
-    """Of each line, whether it has weight and stands between a surge point and a dive point of the window sums."""
-    n, half, upto = len(weight), WINDOW // 2, [0]
+def window_sums(weight: list[float]) -> list[float]:
+    n, half, upto = len(weight), WINDOW // 2, [0.0]
     for w in weight:
         upto.append(upto[-1] + w)
-    sums = [upto[min(n, i + half + 1)] - upto[max(0, i - half)] for i in range(n)]
-    surge = min(SURGE, max(sums, default=0))
+    return [upto[min(n, i + half + 1)] - upto[max(0, i - half)] for i in range(n)]
+
+
+def between_surge_and_dive(weight: list[float], surge: float) -> list[bool]:
+    """Of each line, whether it has weight and stands between a surge point and a dive point of the window sums."""
+    n, sums = len(weight), window_sums(weight)
     kept, i = [False] * n, 0
     while i < n:
-        j, high = i, 0
+        j, high = i, 0.0
         while j < n and sums[j]:  # from where the sum rises to where it dives
             high = max(high, sums[j])
             j += 1
@@ -143,11 +155,30 @@ def between_surge_and_dive(weight: list[int]) -> list[bool]:
     return kept
 
 
+def ends_sentence(text: str) -> bool:
+    """Whether a line ends in a sentence's punctuation, quotes and brackets aside, after something else."""
+    end = text.rstrip("\"')]\u201d\u00bb")
+    return len(end) > 1 and end[-1] in ".!?:;\u2026\u3002"
+
+
+def weight_of(text: str, gone: bool, aside: bool, main: bool, share: float) -> float:
+    """What a line weighs, in eighths so that sums are exact: nothing if it's condemned or, outside an article, mostly links."""
+    if gone or (share > 0.5 and not main):
+        return 0.0
+    own = len(text) - (0 if main else round(share * len(text))) + PROSE * ends_sentence(text)
+    return own * DISCOUNT if aside else float(own)
+
+
 def main_text(page: str | None) -> str:
     """The main text: its blocks in page order, joined by two line feeds; empty if there is none."""
     lines = lines_of(page or "")
-    weight = [0 if aside or (share > 0.5 and not main) else len(t) + SURGE * main for t, aside, main, share in lines]
-    return "\n\n".join(t for (t, *_), keep in zip(lines, between_surge_and_dive(weight), strict=True) if keep)
+    weight = [weight_of(*line) for line in lines]
+    body, asides = ([k for k, line in enumerate(lines) if line[2] is kind] for kind in (False, True))
+    peak = max(window_sums([weight[k] for k in body]), default=0.0)
+    chosen = []
+    for own, surge in ((body, min(float(SURGE), peak)), (asides, max(SURGE * DISCOUNT, peak))):
+        chosen += [k for k, keep in zip(own, between_surge_and_dive([weight[k] for k in own], surge), strict=True) if keep]
+    return "\n\n".join(lines[k][0] for k in sorted(chosen))
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

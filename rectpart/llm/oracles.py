@@ -35,8 +35,10 @@ def _count(text: str, pattern: str) -> str:
     return f"len(regexp_extract_all({text}, '{pattern}'))"
 
 
-_PHRASES = "|".join(f"[{p[0].upper()}{p[0]}]" + "".join(f"\\{c}" if c in "()" else c for c in p[1:]) for p in quality.BOILERPLATE)
-_PROSE = f"""{_count('x', '(?:^|[^\\p{L}\\p{N}_])(?:' + _PHRASES + ')')} * {quality.CHARS_PER_PHRASE} < greatest(length(x), 1)
+#: The phrases, written out here on their own. Each character that is no letter or digit is doubled in the line and here, so that neighbours of two phrases can belong to both.
+_PHRASES = "all  rights  reserved|licensed  under|terms  of  use|terms  of  service|privacy  policy|cookie  policy|accept  cookies|enable  javascript|powered  by|click  here|subscribe  to  our|sign  up  for  our|lorem  ipsum|copyright  \\(\\(c\\)\\)"
+_DOUBLED = "regexp_replace(lower(x), '([^\\p{L}\\p{N}_])', '\\1\\1', 'g')"
+_PROSE = f"""{_count(_DOUBLED, '(?:^|[^\\p{L}\\p{N}_])(?:' + _PHRASES + ')(?:$|[^\\p{L}\\p{N}_])')} * {quality.CHARS_PER_PHRASE} < greatest(length(x), 1)
  AND {_count('x', quality.SEPARATOR_CLASS.replace('\\u00BB', '»').replace('\\u2022', '•').replace('\\u00B7', '·'))} * {quality.CHARS_PER_SEPARATOR} < length(x)
  AND {_count('x', quality.SYMBOL_CLASS)} * {quality.CHARS_PER_SYMBOL} < length(x)
  AND (regexp_matches(right(x, 8), '[.!?:;…。][\\s\\x0b"''\\)\\]”»]*$') OR {_count('x', WORD_CLASS + '+')} >= {quality.LONG_LINE})"""

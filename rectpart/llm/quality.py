@@ -18,14 +18,14 @@ SYMBOL_CLASS = "[#*$%&|<>]"
 LONG_LINE = 12
 #: A line with a separator (| » > • ·) for so few characters is a row of a menu or table; one with a symbol for so few is junk.
 SEPARATOR_CLASS, CHARS_PER_SEPARATOR, CHARS_PER_SYMBOL = "[|\\u00BB>\\u2022\\u00B7]", 30, 12
-#: Phrases of boilerplate lines; the first letter may be upper case, or is.
+#: Phrases of boilerplate lines, compared in lower case; a free choice.
 BOILERPLATE = (
-    "all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript", "enable JavaScript",
-    "powered by", "click here", "subscribe to our", "sign up for our", "lorem ipsum", "copyright (c)", "copyright (C)",
+    "all rights reserved", "licensed under", "terms of use", "terms of service", "privacy policy", "cookie policy", "accept cookies", "enable javascript",
+    "powered by", "click here", "subscribe to our", "sign up for our", "lorem ipsum", "copyright (c)",
 )
-#: A phrase counts at a word's start. A line with one for so few characters is boilerplate; a longer line is prose that mentions it.
+#: A phrase counts where no letter or digit stands before or behind it. A line with one for so few characters is boilerplate; a longer line is prose that mentions it.
 CHARS_PER_PHRASE = 100
-PHRASE = "(?<![\\p{L}\\p{N}_])(?:" + "|".join(f"[{p[0].upper()}{p[0]}]" + "".join(f"\\{c}" if c in "()" else c for c in p[1:]) for p in BOILERPLATE) + ")"
+PHRASE = "(?<![\\p{L}\\p{N}_])(?:" + "|".join(p.replace("(", "\\(").replace(")", "\\)") for p in BOILERPLATE) + ")(?![\\p{L}\\p{N}_])"
 #: A document goes if less than this share of its word characters is left.
 LEAST_LEFT = 0.5
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -62,8 +62,8 @@ def with_repeated_words(docs: DataFrame, words: str, out: str) -> DataFrame:
 
 def is_prose(line: Column) -> Column:
     """Whether a line with a word stays: no or little boilerplate, few separators and symbols for its length, and punctuation at its end or many words. Cheap tests come first."""
-    some = reduce(lambda some, phrase: some | line.contains(phrase[1:]), BOILERPLATE, F.lit(False))
-    clean = ~some | (count_of(line, PHRASE) * CHARS_PER_PHRASE < F.length(line))
+    # the line in lower case is the variable of a lambda, so that it's made once
+    clean = F.get(F.transform(F.array(F.lower(line)), lambda low: ~reduce(lambda some, phrase: some | low.contains(phrase), BOILERPLATE, F.lit(False)) | (count_of(low, PHRASE) * CHARS_PER_PHRASE < F.length(line))), F.lit(0))
     few = (count_of(line, SEPARATOR_CLASS) * CHARS_PER_SEPARATOR < F.length(line)) & (count_of(line, SYMBOL_CLASS) * CHARS_PER_SYMBOL < F.length(line))
     ends = F.right(line, F.lit(8)).rlike("[.!?:;…。][\\s\"')\\]”»]*$")
     return clean & few & (ends | (F.size(word_list(line)) >= LONG_LINE))
