@@ -311,11 +311,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that represent their components, with all their columns; of rows with the same id and text, one. Rows with a null id all stay."""
+    """The rows that represent their components, with all their columns; of rows with the same id and text, that with the least hash of its columns. Rows with a null id all stay."""
     th = "th"
     while th in docs.columns:
         th += "_"
     known = docs.filter(docs[id_col].isNotNull()).withColumn(th, F.xxhash64(F.col(text_col).cast("string")))
     stay = clustered(docs, id_col, text_col).filter("stays and doc_id is not null").select(F.col("doc_id").cast(docs.schema[id_col].dataType).alias(id_col), F.col("th").alias(th)).distinct()
-    one = known.dropDuplicates([id_col, th]).join(stay, [id_col, th], "left_semi")
-    return one.select(*docs.columns).unionByName(docs.filter(docs[id_col].isNull()))
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias(f"{th}_row")
+    one = known.join(stay, [id_col, th], "left_semi").groupBy(id_col, th).agg(row)
+    return one.select(f"{th}_row.*").unionByName(docs.filter(docs[id_col].isNull()))

@@ -62,11 +62,13 @@ def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """doc_id, source, size, source_size, target, copies of every row: how often the mix takes it; carry: also `row`, a struct of all its columns.
 
     Null sources are a source of their own, null texts have size 0. Rows that repeat, also with the same id or a null id, each take part; of rows with one size
-    and id, that with the smaller hash of its text comes first, so that the same rows give the same copies again. An empty table gives no rows. A source's size is the words of its
+    and id, that with the smaller hash of its text (then, with carry, of its columns) comes first, so that the same rows give the same copies again. An empty table gives no rows. A source's size is the words of its
     documents; no document is taken more than `most` times. A source of empty documents is never taken. Other columns aren't read. Two passes over the texts: one counts
     the cells, which are saved, one places the rows.
     """
-    whole = [F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []
+    # rows of one id and text that are carried are told apart by their other columns
+    plain = [docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
+    whole = [F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(*plain).alias("tie")] if carry else []
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[source_col].alias("source"), n_words(docs[text_col]).alias("size"), F.md5(docs[text_col]).alias("th"), *whole)
     salts = 8 + docs.count() // ROWS_PER_SALT
     bits = F.length(F.bin("size"))
@@ -81,7 +83,7 @@ def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     starts = starts.join(classes, F.col("s1").eqNullSafe(F.col("s2")) & (F.col("c1") == F.col("c2")))
     starts = starts.join(targets.withColumnRenamed("source", "s3"), F.col("s3").eqNullSafe(F.col("s2")))
     starts = starts.select("s2", "c2", "k2", (F.col("class_start") + F.col("salt_start")).alias("start"), "source_size", "target", "rate", "offset")
-    place = F.row_number().over(Window.partitionBy("source", "size_class", "salt").orderBy("size", "doc_id", "th"))
+    place = F.row_number().over(Window.partitionBy("source", "size_class", "salt").orderBy("size", "doc_id", "th", *(["tie"] if carry else [])))
     placed = rows.withColumn("place", place).join(starts, F.col("s2").eqNullSafe(F.col("source")) & (F.col("c2") == F.col("size_class")) & (F.col("k2") == F.col("salt")))
     upto = lambda n: F.floor(n * F.col("rate") + F.col("offset"))
     n = F.col("start") + F.col("place")

@@ -85,6 +85,15 @@ def test_stages(spark, tmp_path, clash):
                 assert out.count() == len(ROWS)
 
 
+def test_ties_between_rows_that_differ_elsewhere(spark):
+    """Rows with one id and text but other columns: the same one stays, and the same copies are taken, however the rows are dealt."""
+    rows = [(1, PROSE, x, s, k) for k, (x, s) in enumerate([("en", "a"), ("de", "a"), (None, "a"), ("fr", "a"), ("it", "a")])] + [(2, "Other words stand here, and none of them is above.", "en", "a", 1)]
+    kept = [sorted(map(str, jaccard.one_of_each(spark.createDataFrame(part, DOCS).repartition(n)).collect())) for part, n in ((rows, 1), (rows[::-1], 4))]
+    assert kept[0] == kept[1] and len(kept[0]) == 2
+    taken = [sorted((r.copies, *r.row) for r in mixing.copies_of(spark.createDataFrame(part, DOCS).repartition(n).fillna("none"), carry=True).collect()) for part, n in ((rows, 1), (rows[::-1], 4))]
+    assert taken[0] == taken[1]
+
+
 def test_least_hashed_is_the_same_with_and_without_the_bound(spark):
     many = spark.range(5000).selectExpr("id k", "id % 3 y")
     want = sorted(many.withColumn("h", F.shiftrightunsigned(F.xxhash64("k"), 1)).collect(), key=lambda r: r.h)[:40]
