@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+import io
 import os
 import sys
-from collections.abc import Iterator, Sequence
+import uuid
+from collections.abc import Sequence
+from typing import BinaryIO
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rectpart.model import SparseMatrix, from_coordinates
-
-#: The binary layout's header: widths of ids and of weights in bytes.
-HEADER = b"4 4\n"
+from rectpart.operators.scan import shared_folder
+from rectpart.sources import csr
 
 
 def load_matrix(spark: SparkSession, path: str, weighted: bool = False) -> SparseMatrix:
-    """By the path's ending: .mtx, .bin or .parquet; "-" is Matrix Market text from standard input. ValueError for anything else, FileNotFoundError where nothing is there."""
+    """By the path's ending: .mtx, .bin or .parquet; "-" is a binary or Matrix Market file from standard input. ValueError for anything else, FileNotFoundError where nothing is there."""
     if path == "-":  # one stream, which only the driver has
-        return parse_matrix_market(spark.createDataFrame([(x.rstrip("\n"),) for x in sys.stdin], "value string"), "standard input", weighted)
+        return _standard_input(spark, weighted)
     if path.endswith(".mtx"):
         return read_matrix_market(spark, path, weighted)
     if path.endswith(".bin"):
@@ -67,59 +68,40 @@ def parse_matrix_market(lines: DataFrame, path: str, weighted: bool = False) ->
 
 
 def read_binary_csr(spark: SparkSession, path: str, weighted: bool = False) -> SparseMatrix:
-    """Header, rows, columns, indptr, indices and optional weights as little-endian uint32. One file is one task's work, as its layout asks."""
+    """Header, rows, columns, indptr, indices and optional weights, ids and weights of 4 or 8 bytes; read by byte ranges in many tasks."""
     _exists(spark, path)
+    return csr.read_csr(spark, path, weighted)
+
+
+def _binary_input(spark: SparkSession, stream: BinaryIO, first: bytes) -> str:
+    """Copies standard input, chunk by chunk, to a file in the folder that the cluster shares, and returns its path."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}.bin"
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(context._jsc.hadoopConfiguration())
+    out = system.create(where)
+    system.deleteOnExit(where)
+    while first:
+        out.write(bytearray(first))
+        first = stream.read(1 << 20)
+    out.close()
+    return path
+
+
+def _standard_input(spark: SparkSession, weighted: bool) -> SparseMatrix:
+    stream = getattr(sys.stdin, "buffer", None)
+    if stream is None:  # text only
+        return parse_matrix_market(spark.createDataFrame([(x.rstrip("\n"),) for x in sys.stdin], "value string"), "standard input", weighted)
+    first = stream.read(1 << 20)
+    if first[:4] in csr.HEADERS:
+        return csr.read_csr(spark, _binary_input(spark, stream, first), weighted)
+    lines = io.TextIOWrapper(io.BytesIO(first + stream.read()), "utf-8")
+    return parse_matrix_market(spark.createDataFrame([(x.rstrip("\n"),) for x in lines], "value string"), "standard input", weighted)
+
 
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column("content"):
-                n, m, indptr, indices, data = parse_csr(raw.as_buffer())
-                i = np.repeat(np.arange(n, dtype=np.int64), np.diff(indptr))
-                for at in range(0, max(1, len(indices)), 1 << 20):
-                    s = slice(at, at + (1 << 20))
-                    v = np.ones(len(indices[s]), np.int64) if data is None else data[s].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(i[s]), pa.array(indices[s].astype(np.int64)), pa.array(v)], names=["i", "j", "v"])
-
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [parse_csr(raw.as_buffer()) for raw in batch.column("content")]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found]), pa.array([x[1] for x in found]), pa.array([x[4] is not None for x in found])], names=["n", "m", "valued"])
-
-    files = spark.read.format("binaryFile").load(path).select("content")
-    head = files.mapInArrow(sizes, "n long, m long, valued boolean").first()
-    return SparseMatrix(files.mapInArrow(expand, "i long, j long, v long"), head.n, head.m, weighted and head.valued)
-
-
-def parse_csr(raw) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray | None]:
-    """Rows, columns, indptr, indices, weights or None. ValueError for a broken layout."""
-    raw = memoryview(raw)
-    if bytes(raw[: len(HEADER)]) != HEADER:
-        raise ValueError("the header isn't that of 4-byte ids and weights")
-    words = np.frombuffer(raw[len(HEADER) : len(raw) - (len(raw) - len(HEADER)) % 4], "<u4")
-    if len(words) < 3:
-        raise ValueError("the file ends within its sizes")
-    n, m = int(words[0]), int(words[1])
-    indptr = words[2 : n + 3].astype(np.int64)
-    nnz = int(indptr[-1]) if len(indptr) == n + 1 else -1
-    rest = len(words) - (n + 3)
-    if nnz < 0 or rest not in (nnz, 2 * nnz) or (len(raw) - len(HEADER)) % 4:
-        raise ValueError("the file's length doesn't fit its sizes")
-    if indptr[0] or (np.diff(indptr) < 0).any():
-        raise ValueError("indptr doesn't begin with 0 or falls")
-    indices = words[n + 3 : n + 3 + nnz]
-    if nnz and int(indices.max()) >= m:
-        raise ValueError("a column id is outside the matrix")
-    return n, m, indptr, indices, words[n + 3 + nnz :] if nnz and rest == 2 * nnz else None
-
-
-def validate_csr(path: str) -> bool:
-    """Whether a local file keeps to the layout."""
-    try:
-        with open(path, "rb") as f:
-            parse_csr(f.read())
-    except ValueError:
-        return False
-    return True
+def validate_csr(path: str, spark: SparkSession | None = None) -> bool:
+    """Whether a binary file keeps to the layout; parts of it are checked by tasks."""
+    return csr.is_valid(spark or SparkSession.builder.getOrCreate(), path)
 
 
 def from_points(spark: SparkSession, points: Sequence[tuple[int, int]], data: Sequence[float] | None = None, weighted: bool = False) -> SparseMatrix:
@@ -150,6 +132,12 @@ def from_dense_table(df: DataFrame, i: str, cells: str) -> SparseMatrix:
     return from_coordinates(coo, "i", "j", "v", (sizes.n if sizes.n is not None else -1) + 1, sizes.m or 0)
 
 
-def list_matrices(folder: str) -> list[str]:
-    """Names of matrix files, sorted."""
-    return sorted(x for x in os.listdir(folder) if x.endswith((".mtx", ".bin")))
+def list_matrices(folder: str, spark: SparkSession | None = None) -> list[str]:
+    """Names of matrix files, sorted; of a folder in a store, by the cluster's own file systems."""
+    if "://" not in folder:
+        names = os.listdir(folder)
+    else:
+        context = (spark or SparkSession.builder.getOrCreate()).sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(folder)
+        names = [x.getPath().getName() for x in where.getFileSystem(context._jsc.hadoopConfiguration()).listStatus(where)]
+    return sorted(x for x in names if x.endswith((".mtx", ".bin")))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 from itertools import product
 from pathlib import Path
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rectpart.model import Cuts, SparseMatrix
 from rectpart.operators import loads as L
-from rectpart.sources.matrices import HEADER
+from rectpart.sources import csr
 
 BENCH_SCHEMA = "graph string, ordering string, algorithm string, p int, prob double, seed int, load_imbalance double, time double, norm_imbalance double, norm_time double"
 
@@ -36,27 +35,16 @@ def write_coordinates(a: SparseMatrix, path: str) -> None:
     a.df.write.mode("overwrite").parquet(path)
 
 
-def csr_bytes(a: SparseMatrix) -> bytes:
-    """The binary layout of a matrix. The layout is one file in order, so it's put together on the driver: for matrices that fit there."""
-    got = a.df.orderBy("i", "j").toPandas()
-    i, j = got["i"].to_numpy(), got["j"].to_numpy()
-    indptr = np.concatenate([[0], np.cumsum(np.bincount(i.astype(np.int64), minlength=a.n_rows))])
-    out = io.BytesIO()
-    out.write(HEADER)
-    for x in ([a.n_rows, a.n_cols], indptr, j, *([got["v"].to_numpy()] if a.weighted else [])):
-        out.write(np.asarray(x).astype("<u4").tobytes())
-    return out.getvalue()
+def write_binary_csr(a: SparseMatrix, path: str, weight_bytes: int = 4) -> None:
+    csr.write_csr(a, path, weight_bytes)
 
 
-def write_binary_csr(a: SparseMatrix, path: str) -> None:
-    Path(path).write_bytes(csr_bytes(a))
+def write_csr_text(a: SparseMatrix, path: str) -> None:
+    csr.write_csr_text(a, path)
 
 
-def csr_text(a: SparseMatrix) -> str:
-    """N, nonzeros, indptr, indices and weights in decimal, a line each."""
-    got = a.df.orderBy("i", "j").toPandas()
-    indptr = np.concatenate([[0], np.cumsum(np.bincount(got["i"].to_numpy().astype(np.int64), minlength=a.n_rows))])
-    return "\n".join([str(a.n_rows), str(len(got)), *(" ".join(map(str, x)) for x in (indptr, got["j"], got["v"]))]) + "\n"
+def write_dense_text(a: SparseMatrix, path: str) -> None:
+    csr.write_dense_text(a, path)
 
 
 def dense_rows(a: SparseMatrix) -> DataFrame:
@@ -67,12 +55,6 @@ def dense_rows(a: SparseMatrix) -> DataFrame:
     return every.join(cols, "i", "left").select("i", cells.alias("cells"))
 
 
-def dense_text(a: SparseMatrix) -> str:
-    """The sizes and then one cell a line; for small matrices."""
-    rows = dense_rows(a).orderBy("i").collect()
-    return f"{a.n_rows} {a.n_cols}\n" + "".join(f"{c}\n" for r in rows for c in r.cells)
-
-
 def report(a: SparseMatrix, p: Cuts, q: Cuts, seconds: dict[str, float] | None = None) -> str:
     """Cuts, tile loads, largest loads, imbalances and times of a result."""
     tiles = L.tile_loads(a, p, q).cache()

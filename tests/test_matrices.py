@@ -7,10 +7,10 @@ import numpy as np
 import pytest
 
 from rectpart.functions.parts import part_of
-from rectpart.model import is_cut_vector
+from rectpart.model import SparseMatrix, is_cut_vector
 from rectpart.operators import exact, loads, reshape, sample, subgradient, twod
 from rectpart.plans import api, catalog, cli, engine, registry
-from rectpart.sources import matrices, sinks
+from rectpart.sources import csr, matrices, sinks
 from tests.test_oned import jobs_of
 
 
@@ -61,14 +61,60 @@ def test_pattern_is_unweighted(spark, tmp_path):
     assert not a.weighted and sorted((r.i, r.j, r.w) for r in a.loads().collect()) == [(1, 0, 1), (2, 2, 1)]
 
 
+def raw_csr(a, ids=4, weights=4):
+    """The layout put together plainly."""
+    rows = sorted((r.i, r.j, r.v) for r in a.df.collect())
+    indptr = np.cumsum([0, *np.bincount([r[0] for r in rows], minlength=a.n_rows)]) if a.n_rows else [0]
+    parts = [np.asarray(x, f"<u{ids}").tobytes() for x in ([a.n_rows, a.n_cols], indptr, [r[1] for r in rows])]
+    return f"{ids} {weights}\n".encode() + b"".join(parts) + (np.asarray([r[2] for r in rows], f"<u{weights}").tobytes() if a.weighted else b"")
+
+
 def test_binary_round_trip(spark, square, tmp_path):
     path = str(tmp_path / "x.bin")
-    sinks.write_binary_csr(square, path)
-    assert matrices.validate_csr(path)
-    assert reshape.same_matrix(matrices.load_matrix(spark, path, True), square)
-    raw = open(path, "rb").read()
-    open(path, "wb").write(raw[:-2])
-    assert not matrices.validate_csr(path)
+    for a in (square, square.with_data(False), matrices.from_points(spark, []), matrices.from_points(spark, [(0, 1), (0, 1), (7, 0)])):
+        sinks.write_binary_csr(a, path)
+        assert open(path, "rb").read() == raw_csr(a) and matrices.validate_csr(path, spark)
+        assert reshape.same_matrix(matrices.load_matrix(spark, path, True), a) and not (tmp_path / "x.bin.writing").exists()
+    for ids, weights in ((8, 4), (8, 8), (4, 8)):
+        open(path, "wb").write(raw_csr(square, ids, weights))
+        assert reshape.same_matrix(matrices.load_matrix(spark, path, True), square)
+    raw = raw_csr(square)
+    swapped = raw[:16] + raw[20:24] + raw[16:20] + raw[24:]  # two neighbours of indptr
+    for broken in (raw[:-2], raw[:3], raw[:9], b"5 4\n" + raw[4:], raw[:12] + b"\1" + raw[13:], swapped, raw[:8] + b"\2\0\0\0" + raw[12:]):
+        open(path, "wb").write(broken)
+        assert not matrices.validate_csr(path, spark)
+
+
+def test_binary_file_in_many_tasks(spark, square, tmp_path):
+    """Ten parts: hub rows over several tasks, empty rows at their borders; no task reads more than its part."""
+    path, points = str(tmp_path / "x.bin"), [*((3, j) for j in range(500)), *((k, 7) for k in range(100, 400, 3))]
+    a = matrices.from_points(spark, points, list(range(1, len(points) + 1)), weighted=True)
+    sinks.write_binary_csr(a, path)
+    b = csr.read_csr(spark, path, True, partition_bytes=-(-4 * len(points) // 10))
+    assert b.df.rdd.getNumPartitions() == 10 and reshape.same_matrix(a, b)
+    assert max(len(x) for x in b.df.rdd.glom().collect()) <= 61
+    assert csr.is_valid(spark, path, 50)
+
+
+@pytest.mark.parametrize("value", [2.75, -3, 2**33, None])
+def test_weights_that_do_not_fit(spark, tmp_path, value):
+    df = spark.createDataFrame([(0, 0, 1.0), (1, 1, value if value is None else float(value))], "i long, j long, v double")
+    path = tmp_path / "x.bin"
+    with pytest.raises(ValueError):
+        sinks.write_binary_csr(SparseMatrix(df, 2, 2, True), str(path))
+    assert not path.exists()
+    with pytest.raises(ValueError):
+        sinks.write_binary_csr(SparseMatrix(df.fillna(1.0), 1, 2), str(path))
+    if value == 2**33:
+        sinks.write_binary_csr(SparseMatrix(df, 2, 2, True), str(path), weight_bytes=8)
+        assert matrices.load_matrix(spark, str(path), True).total_load() == 2**33 + 1
+
+
+def test_binary_from_standard_input(spark, square, monkeypatch):
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(raw_csr(square))))
+    assert reshape.same_matrix(matrices.load_matrix(spark, "-", True), square)
+    monkeypatch.setattr("sys.stdin", io.TextIOWrapper(io.BytesIO(b"%%MatrixMarket matrix coordinate integer general\n2 2 1\n2 1 5\n")))
+    assert matrices.load_matrix(spark, "-", True).total_load() == 5
 
 
 def test_csr_and_dense_sources(spark):
@@ -80,11 +126,19 @@ def test_csr_and_dense_sources(spark):
     assert (empty.n_rows, empty.total_load()) == (0, 0)
 
 
-def test_text_forms(spark):
+def test_text_forms(spark, square, tmp_path):
     a = matrices.from_points(spark, [(0, 1), (0, 2), (2, 0)])
     assert [r.line for r in reshape.adjacency_lines(a).orderBy("i").collect()] == ["0 : 1 2", "1 :", "2 : 0"]
-    assert sinks.dense_text(a) == "3 3\n0\n1\n1\n0\n0\n0\n1\n0\n0\n"
-    assert sinks.csr_text(a).splitlines()[:4] == ["3", "3", "0 2 2 3", "1 2 0"]
+    path = tmp_path / "x.txt"
+    sinks.write_dense_text(a, str(path))
+    assert path.read_text() == "3 3\n0\n1\n1\n0\n0\n0\n1\n0\n0\n"
+    sinks.write_csr_text(a, str(path))
+    assert path.read_text() == "3\n3\n0 2 2 3\n1 2 0\n1 1 1\n"
+    sinks.write_csr_text(matrices.from_points(spark, []), str(path))
+    assert path.read_text() == "0\n0\n0\n\n\n"
+    sinks.write_csr_text(square, str(path))
+    rows = sorted((r.i, r.j, r.v) for r in square.df.collect())
+    assert path.read_text().splitlines()[3:] == [" ".join(str(r[k]) for r in rows) for k in (1, 2)]
     assert sinks.cuts_text([0, 1, 3], [0, 1, 3]) == "2\n0 1 3\n" and sinks.cuts_text([0, 3], [0, 1, 3]) == "1\n0 3\n2\n0 1 3\n"
 
 
