@@ -68,4 +68,4 @@ def test_rows_without_an_id_reach_the_last_stage(spark, folder, tmp_path):
 
 def test_every_operator_has_a_query():
     names = queries.queries()
-    assert "pipeline" in names and {n[2:].split("_")[0] for n in names if n.startswith("op")} == {str(k) for k in range(1, 11)}
+    assert "pipeline" in names and {n[2:].split("_")[0] for n in names if n.startswith("op")} == {str(k) for k in range(1, 14)}
