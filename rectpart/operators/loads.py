@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rectpart.functions.parts import part_of
 from rectpart.model import Cuts, SparseMatrix
+from rectpart.operators.scan import Scratch
 
 
 #: Candidates up to which each nonzero is counted for each candidate.
@@ -163,6 +164,57 @@ def rectangle_query(a: SparseMatrix, upper_left: tuple[int, int], lower_right: t
     return a.loads().filter(inside).agg(F.coalesce(F.sum("w"), F.lit(0)).alias("load"))
 
 
+#: Columns are counted by digits of so many bits, rows in so many blocks.
+DIGIT_BITS, ROW_BLOCKS = 4, 1024
+
+
+def corner_sums(a: SparseMatrix, corners: DataFrame) -> DataFrame:
+    """id and load, the sum below row r and column c, for corners (id, r, c); none for corners that nothing lies below.
+
+    A column's number has digits; the columns below c are those that share c's leading digits and have a smaller digit next: a few nodes of a tree for each of c's digits. A nonzero lies in
+    one node for each digit. Within a node, the rows below r are whole blocks of rows, of which there are running sums, and the rows of r's own block, where nonzeros and corners are put in
+    one order. All joins are on nodes and blocks; nonzeros only go on in nodes that a corner asks for.
+    """
+    bits, base = DIGIT_BITS, 1 << DIGIT_BITS
+    levels = max(1, -(-a.n_cols.bit_length() // bits))
+    width = max(1, -(-a.n_rows // ROW_BLOCKS))
+    node = lambda x, level: x * 64 + level
+    block = lambda x: F.floor(x / width).cast("long")
+    asked = corners.select("id", F.least("r", F.lit(a.n_rows)).cast("long").alias("r"), F.least("c", F.lit(a.n_cols)).cast("long").alias("c")).filter("r > 0 and c > 0")
+
+    def smaller(level: int) -> Column:
+        """The nodes beside c's digit of a level that have a smaller digit."""
+        digit, above = F.shiftright("c", bits * level) % base, F.shiftright("c", bits * (level + 1)) * base
+        return F.when(digit > 0, F.transform(F.sequence(F.lit(0).cast("long"), digit - 1), lambda d: node(above + d, level))).otherwise(F.array().cast("array<bigint>"))
+
+    asked = asked.select("id", "r", F.explode(F.flatten(F.array(*map(smaller, range(levels))))).alias("node")).withColumn("block", block(F.col("r")))
+    some = a.loads().groupBy("i", "j").agg(F.sum("w").alias("w"))
+    some = some.select("i", "w", F.explode(F.array(*(node(F.shiftright("j", bits * level), level) for level in range(levels)))).alias("node"))
+    some = some.join(asked.select("node").distinct(), "node", "left_semi").withColumn("block", block(F.col("i")))
+    whole = some.groupBy("node", "block").agg(F.sum("w").alias("w"))
+    keys = whole.unionByName(asked.select("node", "block").distinct().withColumn("w", F.lit(0).cast(dict(whole.dtypes)["w"]))).groupBy("node", "block").agg(F.sum("w").alias("w"))
+    before = Window.partitionBy("node").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keys.select("node", "block", F.sum("w").over(before).alias("start"))
+    # a corner comes before the nonzeros of its row, which it doesn't count
+    rows = some.select("node", "block", F.col("i").alias("at"), F.lit(1).alias("kind"), "w", F.lit(None).cast(dict(corners.dtypes)["id"]).alias("id"))
+    rows = rows.unionByName(asked.select("node", "block", F.col("r").alias("at"), F.lit(0).alias("kind"), F.lit(0).cast(dict(some.dtypes)["w"]).alias("w"), "id"))
+    within = Window.partitionBy("node", "block").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    inner = rows.withColumn("inner", F.sum("w").over(within)).filter("kind = 0")
+    return inner.join(starts, ["node", "block"]).groupBy("id").agg(F.sum(F.coalesce("start", F.lit(0)) + F.col("inner")).alias("load"))
+
+
+def rectangle_loads(a: SparseMatrix, rectangles: DataFrame) -> DataFrame:
+    """The rows of a table of rectangles r1, c1, r2, c2 (1-based inclusive corners) with their `load`: 0 for empty rectangles, null where a corner is null. Any number of rectangles."""
+    scratch = Scratch(a.df.sparkSession)
+    known = scratch.save(rectangles.withColumn("_id", F.monotonically_increasing_id()))  # numbered once
+    four = F.array(*(F.struct(F.lit(k).alias("k"), (F.col(r) - x).cast("long").alias("r"), (F.col(c) - y).cast("long").alias("c")) for k, (r, x, c, y) in enumerate((("r2", 0, "c2", 0), ("r1", 1, "c2", 0), ("r2", 0, "c1", 1), ("r1", 1, "c1", 1)))))
+    filled = known.filter("r1 <= r2 and c1 <= c2").select("_id", F.explode(four).alias("x")).select((F.col("_id") * 4 + F.col("x.k")).alias("id"), "x.r", "x.c")
+    sums = corner_sums(a, filled).select(F.floor(F.col("id") / 4).cast("long").alias("_id"), F.when(F.col("id") % 4 % 3 == 0, F.col("load")).otherwise(-F.col("load")).alias("load"))
+    sums = sums.groupBy("_id").agg(F.sum("load").alias("load"))
+    whole = F.col("r1").isNotNull() & F.col("c1").isNotNull() & F.col("r2").isNotNull() & F.col("c2").isNotNull()
+    return known.join(sums, "_id", "left").select(*rectangles.columns, F.when(whole, F.coalesce("load", F.lit(0))).alias("load"))
+
+
 def corner_prefix_loads(loads: DataFrame) -> DataFrame:
     """(u, v, prefix): sums of all tiles up to and with each one, from a table of tile loads."""
     down = Window.partitionBy("v").orderBy("u").rowsBetween(Window.unboundedPreceding, 0)

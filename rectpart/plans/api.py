@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
 from rectpart.model import Cuts, SparseMatrix
 from rectpart.operators import loads as L
 from rectpart.plans import registry
@@ -19,6 +21,10 @@ class Loads:
     def query(self, upper_left: tuple[int, int], lower_right: tuple[int, int]) -> int | float:
         return L.rectangle_query(self.a, upper_left, lower_right).first().load
 
+    def query_table(self, rectangles: DataFrame) -> DataFrame:
+        """The rows of a table (r1, c1, r2, c2) with their load."""
+        return L.rectangle_loads(self.a, rectangles)
+
     def loads(self, p: Cuts, q: Cuts) -> list[list]:
         grid = [[0] * (len(q) - 1) for _ in range(len(p) - 1)]
         for r in L.tile_loads(self.a, p, q, fill=False).collect():

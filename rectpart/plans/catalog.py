@@ -230,6 +230,19 @@ def rectangle_query(spark, sf):
     return L.rectangle_query(sp(spark, sf, True), (2, 10), (8, 150))
 
 
+_BOXES = """SELECT o_custkey, CAST(min(l_suppkey) + 1 AS BIGINT) r1, CAST(min(l_partkey) + 1 AS BIGINT) c1, CAST(max(l_suppkey) + 1 AS BIGINT) r2, CAST(max(l_partkey) + 1 AS BIGINT) c2
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey"""
+
+
+@query("rectangle_table", f"WITH {_SP}, b AS ({_BOXES}) SELECT o_custkey, r1, c1, r2, c2, CAST(sum(v) AS BIGINT) load FROM b JOIN sp ON i BETWEEN r1 - 1 AND r2 - 1 AND j BETWEEN c1 - 1 AND c2 - 1 GROUP BY ALL")
+def rectangle_table(spark, sf):
+    """Of each customer, the load of the suppliers and parts between the first and the last of theirs."""
+    bought = _table(spark, sf, "lineitem").join(_table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    side = lambda f, column: (f(column) + 1).cast("long")
+    boxes = bought.groupBy("o_custkey").agg(side(F.min, "l_suppkey").alias("r1"), side(F.min, "l_partkey").alias("c1"), side(F.max, "l_suppkey").alias("r2"), side(F.max, "l_partkey").alias("c2"))
+    return L.rectangle_loads(sp(spark, sf, True), boxes)
+
+
 @query("prefix_corner_loads", f"{_SP_TILES} SELECT a.u, a.v, CAST(sum(b.load) AS BIGINT) prefix FROM tiles a JOIN tiles b ON b.u <= a.u AND b.v <= a.v GROUP BY 1, 2")
 def prefix_corner_loads(spark, sf):
     return L.corner_prefix_loads(_tile_table(sp(spark, sf), 8, 8))

@@ -177,6 +177,25 @@ def test_rectangles(square):
     assert [r.load for r in loads.prefix_query(square, [(5, 6), (30, 30), (0, 3)]).collect()] == [d[:5, :6].sum(), d.sum(), 0]
 
 
+@pytest.mark.parametrize(("bits", "blocks"), [(4, 1024), (1, 2), (3, 1), (5, 7)])
+def test_table_of_rectangles(spark, square, bits, blocks, monkeypatch):
+    """Against a dense array: repeated and empty rectangles, corners outside of the matrix, nulls; no nested loop in the plan."""
+    monkeypatch.setattr(loads, "DIGIT_BITS", bits)
+    monkeypatch.setattr(loads, "ROW_BLOCKS", blocks)
+    rng, d = np.random.default_rng(4), dense(square).astype(int)
+    rows = [tuple(map(int, x)) for x in np.sort(rng.integers(1, 31, (40, 2, 2)), 1).reshape(40, 4)] + [(1, 1, 30, 30)] * 2 + [(5, 5, 4, 9), (1, 1, 99, 99), (29, 30, 30, 31), (0, 1, 3, 3)]
+    table = spark.createDataFrame([*((k, *x) for k, x in enumerate(rows)), (99, None, 1, 2, 2)], "id int, r1 int, c1 int, r2 int, c2 int")
+    out = loads.rectangle_loads(square, table)
+    got = {r.id: r.load for r in out.collect()}
+    assert got == {**{k: d[max(0, a - 1) : e, max(0, b - 1) : f].sum() for k, (a, b, e, f) in enumerate(rows)}, 99: None}
+    plan = out._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert loads.rectangle_loads(square, table.limit(0)).count() == 0
+    one = api.Loads(square)
+    assert one.query_table(spark.createDataFrame([(2, 3, 9, 9)], "r1 int, c1 int, r2 int, c2 int")).first().load == one.query((2, 3), (9, 9))
+    one.close()
+
+
 def test_transpose_is_an_involution(square):
     t = reshape.transpose(square)
     assert (dense(t) == dense(square).T).all() and reshape.same_matrix(reshape.transpose(t), square)
