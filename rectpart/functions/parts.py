@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Above this many parts a balanced CASE no longer fits one compiled method well.
@@ -37,16 +35,27 @@ def part_of(column: Column | str, cuts: Sequence[int]) -> Column:
     return F.least(run * width + F.size(F.filter(F.get(table, run), lambda c: c <= x)), F.lit(len(inner)))  # the last run may be shorter
 
 
-def part_udf(cuts: Sequence[int]):
-    inner = np.asarray(cuts[1:-1], np.int64)
-
-    @F.pandas_udf("int")
-    def part(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(inner, ids.to_numpy(), "right").astype(np.int32))
-
-    return part
+def part_sql(x: str, cuts: Sequence[int]) -> str:
+    """part_of as an SQL expression of x."""
 
+    def between(inner: Sequence[int], lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi + 1) // 2
+        return f"CASE WHEN {x} < {int(inner[mid - 1])}L THEN {between(inner, lo, mid - 1)} ELSE {between(inner, mid, hi)} END"
 
-def register(spark, name: str, cuts: Sequence[int]) -> None:
-    """A SQL function name(id) for these cuts."""
-    spark.udf.register(name, part_udf(cuts))
+    inner = [int(c) for c in cuts[1:-1]]
+    width = max(1, -(-len(inner) // MOST_CASES))
+    runs = [inner[k : k + width] for k in range(0, len(inner), width)]
+    run = between([r[-1] for r in runs], 0, len(runs))
+    if width == 1:
+        return run
+    table = f"array({', '.join('array(' + ', '.join(f'{c}L' for c in r) + ')' for r in [*runs, []])})"
+    return f"least({width} * ({run}) + size(filter(get({table}, {run}), c -> c <= {x})), {len(inner)})"
+
+
+def register(spark: SparkSession, name: str, cuts: Sequence[int]) -> None:
+    """For SQL, for these cuts: a function name(id), the part of an id, and a table function name_cuts(), the rows (k, lo, hi) of all parts. Both are plain SQL: queries with them run in the JVM."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(id BIGINT) RETURNS INT RETURN {part_sql('id', cuts)}")
+    rows = ", ".join(f"({k}, {int(lo)}L, {int(hi)}L)" for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}_cuts() RETURNS TABLE (k INT, lo BIGINT, hi BIGINT) RETURN SELECT * FROM VALUES {rows} AS t(k, lo, hi)")

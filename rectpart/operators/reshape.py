@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rectpart.model import SparseMatrix
@@ -46,52 +46,52 @@ def natural_order(spark: SparkSession, n: int) -> DataFrame:
     return spark.range(n).select(F.col("id").alias("old"), F.col("id").alias("new"))
 
 
+def components(edges: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(x, c): the smallest number of each node's component, for nodes (x) and edges (x, y) in both directions. Labels take the smallest neighbour's and then that label's own, so
+    that rounds grow with the logarithm of a component's depth where its numbers fall along it, and never beyond the depth."""
+    own = nodes.select("x", F.col("x").alias("c"))
+    label, turn = scratch.save(own, "label0"), 0
+    while True:
+        near = edges.join(label.select(F.col("x").alias("y"), F.col("c").alias("d")), "y").groupBy("x").agg(F.min("d").alias("d"))
+        low = label.join(near, "x", "left").select("x", "c", F.least("c", F.coalesce("d", "c")).alias("low"))
+        jump = label.select(F.col("x").alias("low"), F.col("c").alias("lower"))
+        turn += 1
+        step = scratch.save(low.join(jump, "low").select("x", "c", F.least("low", "lower").alias("next")), f"label{turn}")
+        scratch.drop(f"label{turn - 1}")
+        label = step.select("x", F.col("next").alias("c"))
+        if step.filter("next < c").isEmpty():
+            return label
+
+
 def rcm_order(a: SparseMatrix, reverse: bool = True) -> DataFrame:
     """(old, new) by (reverse) Cuthill-McKee on a symmetric pattern; of another, on its union with its transpose.
 
-    A breadth-first search from the unvisited row of least degree; each level is one job that orders the new rows by their first parent's place, then degree, then id. A level's
-    neighbours lie in the level before, in it, or in the next, so each job reads two levels and the edges. Rows without neighbours are placed many at once, before the
-    component whose first row they precede. There are as many jobs as levels and components with an edge. Ties go to smaller ids.
+    Components come by their row of least degree, from which each is searched breadth first; a level's rows stand by their first parent's place, then degree. Ties go to smaller ids. All
+    components are searched together, a level of each at a time: rows are first numbered by degree and id, so that a component's start is its smallest number, and a level's
+    order needs parent's place and number alone. So there are as many turns as the deepest component has levels; isolated rows are components of one level.
     """
     a.require_square()
-    spark, n, schema = a.df.sparkSession, a.n_rows, "id long, place long"
-    scratch = Scratch(spark)
+    n, scratch = a.n_rows, Scratch(a.df.sparkSession)
+    number = scratch.save(ranked(degrees(a), [F.asc("degree"), F.asc("id")]), "numbers")
     edge = a.df.select("i", "j").filter("i != j")
-    edges = scratch.save(edge.unionAll(edge.select("j", "i")).distinct(), "edges")
-    linked = edges.select(F.col("i").alias("id")).distinct().withColumn("linked", F.lit(True))
-    node = scratch.save(degrees(a).join(linked, "id", "left").withColumn("key", F.struct("degree", "id")), "nodes")
-    lone, none = node.filter("linked is null"), spark.createDataFrame([], schema)
-    before = level = none
-    count, last = 0, None
-
-    def add(ranks: DataFrame) -> tuple[DataFrame, int]:
-        new = scratch.save(ranks.select(F.col("old").alias("id"), (F.col("new") + count).alias("place")))
-        return new, new.count()
-
-    def placed() -> DataFrame:
-        paths = [f"{scratch.path}/{k}" for k in range(1, scratch.count + 1)]
-        return spark.read.schema(schema).parquet(*paths) if paths else none
-
-    while count < n:
-        if level is none:
-            start = node.filter("linked").join(placed(), "id", "left_anti").orderBy("key").first()
-            here = F.lit(True) if last is None else F.col("key") > last
-            alone, size = add(ranked(lone.filter(here if start is None else here & (F.col("key") < _key(start))), [F.asc("key")]))
-            count += size
-            if start is None:
-                break
-            last = _key(start)
-            new, size = add(spark.createDataFrame([(start.id, 0)], "old long, new long"))
-        else:
-            reached = edges.join(level.withColumnRenamed("id", "i"), "i").groupBy(F.col("j").alias("id")).agg(F.min("place").alias("parent"))
-            reached = reached.join(before.unionAll(level).select("id"), "id", "left_anti").join(node, "id")
-            new, size = add(ranked(reached, [F.asc("parent"), F.asc("degree"), F.asc("id")]))
-        before, level, count = (level, new, count + size) if size else (none, none, count)
-    return placed().select(F.col("id").alias("old"), (F.lit(n - 1) - F.col("place") if reverse else F.col("place")).alias("new"))
-
-
-def _key(row) -> Column:
-    return F.struct(F.lit(row.degree).cast("long").alias("degree"), F.lit(row.id).cast("long").alias("id"))
+    one, two = (number.select(F.col("old").alias(old), F.col("new").alias(new)) for old, new in (("i", "x"), ("j", "y")))
+    edges = scratch.save(edge.unionAll(edge.select("j", "i")).distinct().join(one, "i").join(two, "j").select("x", "y"), "edges")
+    part = scratch.save(components(edges, number.select(F.col("new").alias("x")), scratch), "parts")
+    level = scratch.save(part.filter("x = c").select("x", F.col("x").alias("place"), F.lit(0).alias("level")), "level0")
+    before, turn = level.limit(0), 0
+    while True:
+        reached = edges.join(level, "x").groupBy("y").agg(F.min("place").alias("parent")).withColumnRenamed("y", "x")
+        # a level's neighbours lie in the level before, in it, or in the next
+        reached = reached.join(before.unionAll(level).select("x"), "x", "left_anti")
+        turn += 1
+        placed = global_rank(reached, [F.asc("parent"), F.asc("x")]).select("x", F.col("rank").alias("place"), F.lit(turn).alias("level"))
+        before, level = level, scratch.save(placed, f"level{turn}")
+        if level.isEmpty():
+            break
+    paths = [f"{scratch.path}/level{k}" for k in range(turn)]
+    found = a.df.sparkSession.read.schema(level.schema).parquet(*paths).join(part, "x").join(number.withColumnRenamed("new", "x"), "x")
+    order = global_rank(found.select("old", "c", "level", "place"), [F.asc("c"), F.asc("level"), F.asc("place")])
+    return order.select("old", (F.lit(n - 1) - F.col("rank") if reverse else F.col("rank")).alias("new"))
 
 
 def inverse(perm: DataFrame) -> DataFrame:
@@ -105,12 +105,13 @@ def permutation_check(perm: DataFrame, n: int, least: int = 0) -> DataFrame:
 
 
 def permute(a: SparseMatrix, rows: DataFrame | None = None, cols: DataFrame | None = None, rows_new_to_old: bool = False, cols_new_to_old: bool = False) -> SparseMatrix:
-    """Relabels rows and columns by maps (old, new); the flags say that a map is read from new to old instead."""
+    """Relabels rows and columns by maps (old, new); the flags say that a map is read from new to old instead. A job that meets a nonzero whose id a map lacks fails."""
     df = a.df
     for axis, perm, flip in (("i", rows, rows_new_to_old), ("j", cols, cols_new_to_old)):
         if perm is not None:
             perm = inverse(perm) if flip else perm
-            df = df.join(perm.select(F.col("old").alias(axis), F.col("new").alias("_new")), axis).withColumn(axis, F.col("_new")).drop("_new")
+            new = F.coalesce("_new", F.raise_error(F.concat(F.lit("the map lacks id "), F.col(axis).cast("string"))).cast("long"))
+            df = df.join(perm.select(F.col("old").alias(axis), F.col("new").alias("_new")), axis, "left").withColumn(axis, new).drop("_new")
     return SparseMatrix(df.select("i", "j", "v"), a.n_rows, a.n_cols, a.weighted)
 
 

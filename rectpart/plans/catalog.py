@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rectpart.functions.parts import part_of
+from rectpart.functions.parts import part_of, register
 from rectpart.model import SparseMatrix, cuts_frame
 from rectpart.operators import exact as X
 from rectpart.operators import loads as L
@@ -291,6 +291,15 @@ def part_of_id(spark, sf):
     return a.df.groupBy(part_of("j", T.uniform(a.n_cols, 300)).alias("part")).agg(F.count("*").alias("n"))
 
 
+@query("part_of_in_sql", f"WITH {_SP}, {_parts('q', 'm', 300)} SELECT k part, lo, hi, CAST(sum(v) AS BIGINT) load FROM sp JOIN q ON j >= lo AND j < hi GROUP BY ALL")
+def part_of_in_sql(spark, sf):
+    """Loads of 300 parts of the columns in SQL, by the functions that are registered for cuts."""
+    a = sp(spark, sf, True)
+    register(spark, "column_part", T.uniform(a.n_cols, 300))
+    loads = spark.sql("SELECT column_part(j) k, sum(w) load FROM {a} GROUP BY 1", a=a.loads())
+    return spark.sql("SELECT c.k part, lo, hi, load FROM {loads} l JOIN column_part_cuts() c ON c.k = l.k", loads=loads)
+
+
 @query("cut_validity", f"WITH size AS (SELECT max(p_partkey) + 1 n FROM part), {_parts('p', 'n', 7)} SELECT min(lo) = 0 AND max(hi) = (SELECT n FROM size) AND bool_and(lo <= hi) valid FROM p")
 def cut_validity(spark, sf):
     n = _size(_table(spark, sf, "part"), "p_partkey")
@@ -368,9 +377,7 @@ def random_order(spark, sf):
 
 @query("rcm_order")
 def rcm_order(spark, sf):
-    a = nn(spark, sf)
-    both = a.df.select("i", "j", "v").unionAll(a.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"))
-    return R.rcm_order(SparseMatrix(both, a.n_rows, a.n_cols))
+    return R.rcm_order(pp(spark, sf))
 
 
 @query("coordinate_compress", f"WITH {_PP}, u AS (SELECT DISTINCT i AS old FROM (SELECT i FROM pp UNION ALL SELECT 0)) SELECT old, row_number() OVER (ORDER BY old) - 1 AS new FROM u")

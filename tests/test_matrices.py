@@ -6,7 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from rectpart.functions.parts import part_of
+from rectpart.functions.parts import part_of, register
 from rectpart.model import SparseMatrix, is_cut_vector
 from rectpart.operators import exact, loads, reshape, sample, subgradient, twod
 from rectpart.plans import api, catalog, cli, engine, registry
@@ -217,6 +217,60 @@ def test_rcm_of_a_path(spark):
     assert {r.old: r.new for r in reshape.rcm_order(a, reverse=False).collect()} == {0: 0, 2: 1, 4: 2, 1: 3, 3: 4}
 
 
+def cuthill_mckee(n, edges):
+    """By its definition: from the unvisited row of least degree and id, level by level, rows by their first parent, then degree, then id."""
+    degree, near = [0] * n, [set() for _ in range(n)]
+    for i, j in edges:
+        degree[i] += 1
+        if i != j:
+            near[i].add(j)
+            near[j].add(i)
+    order, seen = [], set()
+    for start in sorted(range(n), key=lambda k: (degree[k], k)):
+        level = [] if start in seen else [start]
+        seen.update(level)
+        while level:
+            order += level
+            first = {}
+            for parent in level:
+                for k in near[parent] - seen:
+                    first.setdefault(k, level.index(parent))
+            level = sorted(first, key=lambda k: (first[k], degree[k], k))
+            seen.update(level)
+    return {old: new for new, old in enumerate(order)}
+
+
+def test_rcm_of_many_components(spark):
+    """A disconnected pattern, larger than the test matrix, that isn't symmetric and has loops, hubs and isolated rows."""
+    rng = np.random.default_rng(11)
+    edges = [*((int(a), int(b)) for a, b in rng.integers(0, 60, (70, 2))), *((60 + k, 61 + k) for k in range(9)), *((80, 80 + k) for k in range(1, 15)), (100, 100), (110, 111)]
+    a = matrices.from_points(spark, edges)
+    a = SparseMatrix(a.df, 130, 130)
+    assert {r.old: r.new for r in reshape.rcm_order(a, reverse=False).collect()} == cuthill_mckee(130, edges)
+    paths = lambda many: SparseMatrix(matrices.from_points(spark, [(10 * c + k, 10 * c + k + 1) for c in range(many) for k in range(5)]).df, 10 * many, 10 * many)
+    jobs = [jobs_of(spark, lambda m=m: reshape.rcm_order(paths(m)).count())[1] for m in (1, 12)]
+    assert jobs[1] <= jobs[0] + 6
+
+
+def test_permute_with_a_map_that_lacks_ids(spark, square):
+    part = reshape.natural_order(spark, 30).filter("old != 7")
+    with pytest.raises(Exception, match="lacks id 7"):
+        reshape.permute(square, part).df.collect()
+    assert reshape.permute(square, reshape.natural_order(spark, 40)).nnz() == square.nnz()
+
+
+@pytest.mark.parametrize("parts", [1, 2, 7, 600])
+def test_functions_for_sql(spark, parts):
+    """The same parts as part_of, also of no width; no Python in the plan."""
+    cuts = [0, *sorted(np.random.default_rng(parts).integers(0, 1000, parts - 1).tolist()), 1000]
+    register(spark, "some_part", cuts)
+    got = spark.sql("SELECT id, some_part(id) p, lo, hi FROM range(1000) JOIN some_part_cuts() c ON c.k = some_part(id)")
+    assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
+    want = {r.id: r.p for r in spark.range(1000).select("id", part_of("id", cuts).alias("p")).collect()}
+    rows = got.collect()
+    assert {r.id: r.p for r in rows} == want and all(r.lo <= r.id < r.hi for r in rows) and len(rows) == 1000
+
+
 def test_sample_depends_on_the_seed_alone(square):
     one, two = sample.sparsify(square, 0.4, 1), sample.sparsify(square, 0.4, 1)
     assert reshape.same_matrix(one, two) and 0 < one.nnz() < square.nnz()
