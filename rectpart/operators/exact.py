@@ -1,4 +1,4 @@
-"""Optimal cuts of small matrices by trying all of them; the search grows as n choose parts and is dealt over the executors."""
+"""Optimal cuts of small matrices by trying row cuts; the search grows as n choose parts and is dealt over the executors."""
 
 from __future__ import annotations
 
@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from rectpart.model import SparseMatrix
 from rectpart.operators import oned
+from rectpart.operators.loads import max_load
+from rectpart.operators.twod import nic
+
+#: Rounds of an unsymmetric search, steps of the hash that deals choices to them, and row cuts that a task tries at a time.
+ROUNDS, STEPS, ROWS_AT_A_TIME = 3, 1 << 12, 2000
 
 
 def _extended(choices: DataFrame, name: str, size: int, parts: int) -> DataFrame:
@@ -22,9 +27,76 @@ def _extended(choices: DataFrame, name: str, size: int, parts: int) -> DataFrame
     return choices.withColumn(name, F.concat(name, F.array(F.lit(size))))
 
 
+def columns_under(strips: np.ndarray, bound: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """For many choices of row cuts at once: whether at most `parts` column parts keep all tiles to a bound, and the first such column cuts in lexicographic order.
+
+    strips: (choice, strip, column) prefix sums of each strip's columns, with a leading 0; bound: one for each choice. Parts are taken from the right, each as wide as can be, so that
+    every cut is as far left as can be.
+    """
+    at = np.full(len(strips), strips.shape[2] - 1)
+    cuts = np.zeros((len(strips), parts + 1), np.int64)
+    cuts[:, parts] = at
+    for k in range(parts - 1, -1, -1):
+        end = np.take_along_axis(strips, at[:, None, None], 2)
+        at = np.argmax((end - strips <= bound[:, None, None]).all(1), 1)  # the first column from which on a part is light enough
+        cuts[:, k] = at
+    return at == 0, cuts
+
+
+def _by_rows(a: SparseMatrix, choices: DataFrame, sent, whole: bool, p_parts: int, q_parts: int) -> tuple[list[int], list[int]]:
+    known = max_load(a, *nic(a, p_parts, q_parts))
+    found: list[tuple] = []
+    kind = "long" if whole else "double"
+    share = F.pmod(F.xxhash64("p"), F.lit(STEPS))
+    for k in range(ROUNDS):  # the first rounds are small and bring the bound down
+        low, high = (0 if k == 0 else STEPS >> 3 * (ROUNDS - k)), STEPS >> 3 * (ROUNDS - 1 - k)
+        tried = choices.filter((share >= low) & (share < high)).mapInArrow(_tried(sent, known, whole, q_parts), f"load {kind}, p array<int>, q array<int>")
+        best = tried.agg(F.min(F.struct("load", "p", "q")).alias("best")).first().best
+        if best is not None:
+            found.append((best.load, list(best.p), list(best.q)))
+            known = min(known, best.load)
+    return min(found)[1:]
+
+
+def _tried(sent, known: float, whole: bool, q_parts: int):
+    """Of batches of row cuts, the lightest with its column cuts, if it isn't above what is known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = known
+        for batch in batches:
+            rows = np.asarray(batch.column(0).flatten()).reshape(len(batch), -1)
+            for begin in range(0, len(rows), ROWS_AT_A_TIME):
+                p = rows[begin : begin + ROWS_AT_A_TIME]
+                strips = np.diff(sent.value[p], axis=1)
+                even = strips[:, :, -1].max(1) / q_parts
+                p, strips = p[even <= top], strips[even <= top]
+                ok, _ = columns_under(strips, np.full(len(p), top), q_parts)
+                p, strips = p[ok], strips[ok]
+                if not len(p):
+                    continue
+                low, high = strips[:, :, -1].max(1) / q_parts, np.full(len(p), float(top))
+                low = np.ceil(low) if whole else low
+                while (low < high).any():
+                    mid = np.floor((low + high) / 2) if whole else (low + high) / 2
+                    if not whole and ((mid <= low) | (mid >= high)).all():
+                        break
+                    ok, _ = columns_under(strips, mid, q_parts)
+                    low, high = np.where(ok, low, mid + 1 if whole else mid), np.where(ok, mid, high)
+                _, q = columns_under(strips, high, q_parts)
+                load = np.diff(np.take_along_axis(strips, np.repeat(q[:, None, :], strips.shape[1], 1), 2), axis=2).max((1, 2))
+                first = min(np.flatnonzero(load == load.min()).tolist(), key=lambda i: p[i].tolist())
+                top = min(top, load[first])
+                yield pa.RecordBatch.from_arrays([pa.array(load[[first]]), pa.array([p[first].tolist()], pa.list_(pa.int32())), pa.array([q[first].tolist()], pa.list_(pa.int32()))], names=["load", "p", "q"])
+
+    return run
+
+
 def exact(a: SparseMatrix, p_parts: int, q_parts: int = 0, symmetric: bool = True) -> tuple[list[int], list[int]]:
     """Cuts with the lightest heaviest tile; the first in lexicographic order among equals.
 
+    Symmetric: all choices are tried. Otherwise only row cuts are: their best column cuts are a one-dimensional problem (columns_under). Row cuts go where even an even share of their heaviest
+    strip is above the lightest tile known, or no column cuts keep to it; that load comes from an alternation at first, and from each of ROUNDS rounds on for the next ones.
+
     Choices are made and tried on the executors, however many there are. Each looks up its tiles in the table of two-dimensional prefix sums, which is broadcast: ValueError for
     more than oned.LOCAL_CELLS cells, as of 2800 x 2800, where the choices would be far too many.
     """
@@ -39,7 +111,9 @@ def exact(a: SparseMatrix, p_parts: int, q_parts: int = 0, symmetric: bool = Tru
     table[cells["i"].to_numpy(np.int64) + 1, cells["j"].to_numpy(np.int64) + 1] = cells["w"].to_numpy(table.dtype)
     sent = spark.sparkContext.broadcast(table.cumsum(0).cumsum(1))
     choices = _extended(spark.range(1).select(), "p", n, p_parts)
-    choices = choices.withColumn("q", F.col("p")) if symmetric else _extended(choices, "q", m, q_parts)
+    if not symmetric:
+        return _by_rows(a, choices, sent, whole, p_parts, q_parts)
+    choices = choices.withColumn("q", F.col("p"))
 
     def heaviest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

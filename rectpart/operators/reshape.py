@@ -37,8 +37,8 @@ def degree_order(a: SparseMatrix, descending: bool = False) -> DataFrame:
 
 
 def random_order(spark: SparkSession, n: int, seed: int = 1) -> DataFrame:
-    """(old, new): a permutation that depends on the seed alone."""
-    ids = spark.range(n).withColumn("h", F.xxhash64("id", F.lit(seed)))
+    """(old, new): a permutation that depends on the seed alone, by a hash that any SQL engine has."""
+    ids = spark.range(n).withColumn("h", F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}")).cast("binary")), 1, 15), 16, 10).cast("long"))
     return ranked(ids, [F.asc("h"), F.asc("id")])
 
 

@@ -370,7 +370,7 @@ def natural_order(spark, sf):
     return R.natural_order(spark, _size(_table(spark, sf, "part"), "p_partkey"))
 
 
-@query("random_order")
+@query("random_order", """SELECT r AS old, row_number() OVER (ORDER BY h, r) - 1 AS new FROM (SELECT r, CAST('0x' || substring(md5(r || ':1'), 1, 15) AS BIGINT) h FROM (SELECT max(p_partkey) + 1 n FROM part), range(n) t(r))""")
 def random_order(spark, sf):
     return R.random_order(spark, _size(_table(spark, sf, "part"), "p_partkey"))
 
@@ -501,6 +501,16 @@ def multi_prefix_partition(spark, sf):
     return _cut_rows(spark, D.partition_sums(L.stripe_sums(a, T.uniform(a.n_cols, 3)), a.n_rows, 3, 4, by_value=True))
 
 
+_PRICES = "prices AS MATERIALIZED (SELECT 0 q, CAST(l_suppkey AS BIGINT) pos, CAST(round(sum(l_extendedprice) * 100) AS BIGINT) load FROM lineitem GROUP BY 2), size AS (SELECT max(s_suppkey) + 1 n FROM supplier)"
+
+
+@query("oned_real_loads", f"WITH RECURSIVE {_PRICES}, {Q.optimal('t', 'prices', 'n', 6)} SELECT CAST(k AS INTEGER) k, spot FROM t")
+def oned_real_loads(spark, sf):
+    """Suppliers in 6 parts with even sales: real loads. The SQL counts whole cents."""
+    sums = _table(spark, sf, "lineitem").groupBy(F.lit(0).alias("q"), F.col("l_suppkey").cast("long").alias("pos")).agg(F.sum(F.col("l_extendedprice").cast("double")).alias("load"))
+    return _cut_rows(spark, D.partition_sums(sums, _size(_table(spark, sf, "supplier"), "s_suppkey"), 1, 6, integral=False))
+
+
 # --- two-dimensional partitioners -------------------------------------------------------------------------------------
 
 _NN_X = f"{_NN}, x AS MATERIALIZED (SELECT i, j, v w FROM nn)"

@@ -1,14 +1,14 @@
 """Sources, sinks, reshaping and loads on small matrices."""
 
 import io
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pytest
 
 from rectpart.functions.parts import part_of, register
 from rectpart.model import SparseMatrix, is_cut_vector
-from rectpart.operators import exact, loads, reshape, sample, subgradient, twod
+from rectpart.operators import exact, loads, oned, reshape, sample, subgradient, twod
 from rectpart.plans import api, catalog, cli, engine, registry
 from rectpart.sources import csr, matrices, sinks
 from tests.test_oned import jobs_of
@@ -294,6 +294,32 @@ def test_exact_is_a_lower_bound(spark):
     assert loads.max_load(a, r, c) <= loads.max_load(a, *twod.nic(a, 3, 2))
 
 
+@pytest.mark.parametrize(("n", "m", "p", "q", "real"), [(7, 9, 3, 2, False), (6, 6, 2, 3, False), (9, 5, 3, 3, True), (5, 5, 1, 4, False)])
+def test_exact_rectangular(spark, n, m, p, q, real):
+    """The first of all lightest pairs of cuts, by trying them all."""
+    rng = np.random.default_rng(n * m)
+    d = rng.integers(0, 9, (n, m)) * (rng.random((n, m)) < 0.6) + (0.25 * rng.integers(0, 4, (n, m)) if real else 0)
+    a = matrices.from_dense(spark, d.tolist(), weighted=True)
+    a = SparseMatrix(a.df, n, m, True)
+    cuts = lambda size, parts: ([0, *x, size] for x in combinations_with_replacement(range(size + 1), parts - 1))
+    want = min((grid(d, x, y).max(), x, y) for x in cuts(n, p) for y in cuts(m, q))
+    got = exact.exact(a, p, q, symmetric=False)
+    assert got == tuple(want[1:]) and loads.max_load(a, *got) == want[0]
+
+
+def test_exact_of_sixty_rows(spark):
+    """635,376 row cuts of a 60 x 60 matrix, in 5 x 5 parts: as light as brute force over the rows with optimal columns says for a coarser grid, and no heavier than an alternation."""
+    a = matrices.from_points(spark, random_points(60, 60, 900, 7))
+    a = SparseMatrix(a.df, 60, 60)
+    p, q = exact.exact(a, 5, 5, symmetric=False)
+    assert is_cut_vector(p, 60) and is_cut_vector(q, 60)
+    best, d = loads.max_load(a, p, q), dense(a).astype(int)
+    assert best <= loads.max_load(a, *twod.nic(a, 5, 5))
+    coarse = [[0, *(6 * k for k in x), 60] for x in combinations(range(1, 10), 4)]
+    prefix = lambda x: np.concatenate([np.zeros((5, 1), int), np.cumsum([d[s:e].sum(0) for s, e in zip(x, x[1:])], 1)], 1)
+    assert all(oned.bottleneck(oned.as_prefixes(prefix(x)), 5) >= best for x in coarse) and oned.bottleneck(oned.as_prefixes(prefix(p)), 5) == best
+
+
 def test_bounded_loads(square):
     z = 200
     for f in (twod.uniform_under, twod.rac_under, twod.pal_under):
