@@ -73,8 +73,7 @@ def some_sums(seed, stripes, n, kind):
     return loads, pd.DataFrame([(q, int(k), loads[q, k].item()) for q in range(stripes) for k in np.flatnonzero(loads[q])], columns=["q", "pos", "load"])
 
 
-@pytest.mark.parametrize("kind", ["even", "sparse", "one heavy", "real", "falling"])
-@pytest.mark.parametrize(("stripes", "parts"), [(1, 3), (3, 7)])
+@pytest.mark.parametrize(("kind", "stripes", "parts"), [("even", 1, 3), ("real", 1, 3), *((kind, 3, 7) for kind in ("even", "sparse", "one heavy", "real", "falling"))])
 def test_table_and_driver_agree(spark, kind, stripes, parts, monkeypatch):
     """With only 8 marks a range and no cells on the driver: the same cuts, bottleneck and probes."""
     loads, sums = some_sums(3, stripes, 700, kind)
@@ -89,7 +88,7 @@ def test_table_and_driver_agree(spark, kind, stripes, parts, monkeypatch):
     assert np.isclose(D.bottleneck(far, parts), D.bottleneck(near, parts))
     for bound in (float(near.totals()[0]) / 5 + 0.0001, near.totals()[1] - 1, 0):
         assert D.probe(far, bound, 9) == D.probe(near, bound, 9) and D.feasible(far, parts, bound) == D.feasible(near, parts, bound)
-    for bound in (near.totals()[0] / 20 + 0.0001, 0) if stripes == 3 else ():
+    for bound in (near.totals()[0] / 20 + 0.0001, 0) if stripes == 3 and kind in ("sparse", "real") else ():
         assert D.probe(far, bound) == D.probe(near, bound)
     far.close()
     assert D.partition_sums(df.limit(0), 0, stripes, 2) == [0, 0, 0] and D.partition_sums(df.limit(0), 5, stripes, 2) == [0, 5, 5]
