@@ -1,10 +1,13 @@
 """One-dimensional partitioning: cut positions so that the heaviest part, over one or several load arrays, is as light as possible.
 
 Prefixes of up to LOCAL_CELLS cells are searched in numpy on the driver; longer ones stay in a table, of which the driver has the sums at some positions (TablePrefixes). The result is the greedy, left-most maximal cuts at the least feasible bound, padded with the end.
+
+A load is a difference of two prefix sums, and keeps to a bound if that difference does. Real loads are compared as such, too: a prefix sum plus a bound is rounded, and may lie before the very position that the bound is the load of.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
@@ -50,6 +53,18 @@ def _least(low: float, high: float, ok: Callable[[float], bool], integral: bool)
     return high
 
 
+def _last(row: np.ndarray, start: int, bound: float, integral: bool) -> int:
+    """The last position of a row of prefix sums whose load from start on is within the bound."""
+    base = row[start]
+    top = base + bound
+    if not integral and math.isfinite(top):  # the largest number whose distance from base, as rounded, is within the bound
+        while top - base > bound:
+            top = math.nextafter(top, -math.inf)
+        while (above := math.nextafter(top, math.inf)) - base <= bound:
+            top = above
+    return int(np.searchsorted(row, top, "right")) - 1
+
+
 class LocalPrefixes:
     """Q arrays of prefix sums, each with a leading 0."""
 
@@ -62,7 +77,7 @@ class LocalPrefixes:
         return self.a[:, -1].max(), np.diff(self.a, axis=1).max() if self.n else 0
 
     def reach(self, start: int, bound: float) -> int:
-        return min(int(np.searchsorted(row, row[start] + bound, "right")) - 1 for row in self.a)
+        return min(_last(row, start, bound, self.integral) for row in self.a)
 
     def load(self, start: int, end: int) -> float:
         return (self.a[:, end] - self.a[:, start]).max()
@@ -82,23 +97,25 @@ class LocalPrefixes:
         return cuts
 
     def bottleneck(self, parts: int) -> tuple[float, list[int]]:
-        """Whole loads are bisected by value; real ones by realised loads, so that the bound is one that occurs."""
+        """Whole loads are bisected by value, real ones by realised loads: the range goes down to the heaviest part of feasible cuts, or up to the least load that would lengthen a part of others.
+
+        Both are loads that occur, so that the bound is one, too. A round at least halves a range that begins at the heaviest element: 54 + log2(n) rounds at most.
+        """
         total, largest = self.totals()
         if self.integral:
             low = _least(max(-(-int(total) // parts), int(largest)), int(total), lambda x: self.probe(x, parts)[-1] >= self.n, True)
             return low, self.probe(low, parts)
-        lo, hi = 0.0, float(total)
-        while True:
-            mid = lo + (hi - lo) / 2
-            if not lo < mid < hi:
-                return hi, self.probe(hi, parts)
+        low, high = float(largest), float(total)
+        while low < high:
+            mid = low + (high - low) / 2
+            mid = mid if mid < high else low
             cuts = self.probe(mid, parts)
+            pairs = list(zip(cuts, cuts[1:], strict=False))
             if cuts[-1] >= self.n:
-                hi = min(mid, max(self.load(a, b) for a, b in zip(cuts, cuts[1:], strict=False)))
-                if hi <= lo:
-                    return hi, self.probe(hi, parts)
+                high = float(max(self.load(a, b) for a, b in pairs))
             else:
-                lo = mid
+                low = float(min(self.load(a, b + 1) for a, b in pairs))
+        return high, self.probe(high, parts)
 
 
 class TablePrefixes:
@@ -158,19 +175,18 @@ class TablePrefixes:
         at, which = np.unique(np.concatenate(places), return_index=True)
         return at, np.maximum.accumulate(np.concatenate(sums, 1)[:, which], 1)  # sums of doubles may differ in their last digits
 
-    @staticmethod
-    def _walk(at: np.ndarray, prefix: np.ndarray, bound: float, parts: int, far: bool) -> list[int]:
+    def _walk(self, at: np.ndarray, prefix: np.ndarray, bound: float, parts: int, far: bool) -> list[int]:
         """Numbers of the marks at which greedy parts under a bound end, going on from the mark not after (far: not before) a part's end."""
         here, out = 0, [0]
         for _ in range(parts):
-            here = max(here, min(int(np.searchsorted(row, row[here] + bound, "right")) - 1 for row in prefix))
+            here = max(here, min(_last(row, here, bound, self.integral) for row in prefix))
             if far and here + 1 < len(at) and at[here + 1] - at[here] > 1:
                 here += 1
             out.append(here)
         return out
 
     def search(self, parts: int, low: float, high: float, begin: tuple[int, np.ndarray] | None = None) -> tuple[float, list[int], np.ndarray]:
-        """The least feasible bound from low to high, its cuts and the prefix sums at the last of them; if none below is, high and its cuts. begin: a position to start at and its prefix sums."""
+        """The least feasible bound from low to high, its cuts and the prefix sums at them; if none below is, high and its cuts. begin: a position to start at and its prefix sums."""
         at, prefix = self.marks
         if begin:
             after = at > begin[0]
@@ -181,7 +197,7 @@ class TablePrefixes:
             high = _least(low, high, lambda x: self._walk(at, prefix, x, parts, False)[-1] == last, self.integral)
             near, far = self._walk(at, prefix, low, parts, False), self._walk(at, prefix, high, parts, True)
             if near == far:
-                return high, at[near].tolist(), prefix[:, near[-1]]
+                return high, at[near].tolist(), prefix[:, near]
             ranges: list[tuple[int, int]] = []
             for a, b in zip(near, far, strict=True):
                 if a < b and (np.diff(at[a : b + 1]) > 1).any():
@@ -193,7 +209,10 @@ class TablePrefixes:
 
     def bottleneck(self, parts: int) -> tuple[float, list[int]]:
         total = self.totals()[0]
-        return self.search(parts, max(-(-int(total) // parts), int(self.largest)) if self.integral else 0.0, int(total) if self.integral else float(total))[:2]
+        if self.integral:
+            return self.search(parts, max(-(-int(total) // parts), int(self.largest)), int(total))[:2]
+        _, cuts, sums = self.search(parts, 0.0, float(total))
+        return float(np.diff(sums, axis=1).max()), cuts
 
     def probe(self, bound: float, parts: int | None) -> list[int]:
         if parts is not None:
@@ -205,7 +224,7 @@ class TablePrefixes:
                 cuts.append(x)
                 if x in (self.n, cuts[-2]):  # at the end, or stuck
                     return cuts
-            begin = found[-1], sums
+            begin = found[-1], sums[:, -1]
         return cuts
 
 

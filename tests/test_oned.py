@@ -56,6 +56,31 @@ def test_brute_force(values, parts):
         assert max(upto[b] - upto[a] for a, b in zip(cuts, cuts[1:])) == best
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 99), min_size=9, max_size=9), min_size=1, max_size=2), st.sampled_from([0.01, 0.1, 7.3, 1e6, 1e-9]), st.integers(1, 6))
+def test_real_loads(rows, unit, parts):
+    """Decimals that doubles only come near to: the bound is the heaviest part of the cuts, to the last digit, and the least that any cuts have; few probes."""
+    upto = np.concatenate([np.zeros((len(rows), 1)), np.cumsum(np.array(rows) * unit, 1)], 1)
+    load = lambda c: max((upto[:, b] - upto[:, a]).max() for a, b in zip(c, c[1:]))
+    x = D.as_prefixes(upto)
+    probes, plain = [], x.probe
+    x.probe = lambda bound, parts: probes.append(bound) or plain(bound, parts)
+    bound, cuts = x.bottleneck(parts)
+    assert cuts[-1] == 9 and len(cuts) == parts + 1 and len(probes) <= 54 + np.log2(9)
+    assert bound == load(cuts) == min(load([0, *c, 9]) for c in combinations_with_replacement(range(10), parts - 1))
+
+
+def test_real_loads_at_the_last_digit():
+    """Ranges that shrink to neighbouring doubles end, too."""
+    rng = np.random.default_rng(1)
+    for _ in range(2000):
+        n, parts = (int(x) for x in rng.integers(1, (30, 7)))
+        values = (rng.random(n) * rng.choice([1, 10, 1000])).round(2)
+        x = D.as_prefixes(np.concatenate([[0], np.cumsum(values)]))
+        bound, cuts = x.bottleneck(parts)
+        assert cuts[-1] == n and bound == max(x.load(a, b) for a, b in zip(cuts, cuts[1:])) and not D.feasible(x, parts, np.nextafter(bound, 0))
+
+
 def jobs_of(spark, action):
     """What an action returns, and how many jobs it took."""
     group = uuid.uuid4().hex
@@ -86,6 +111,7 @@ def test_table_and_driver_agree(spark, kind, stripes, parts, monkeypatch):
     assert isinstance(far, D.TablePrefixes) and np.allclose(far.totals(), near.totals())
     assert D.partition(far, parts) == D.partition(near, parts)
     assert np.isclose(D.bottleneck(far, parts), D.bottleneck(near, parts))
+    assert np.isclose(D.bottleneck(far, parts), max(loads[:, a:b].sum(1).max() for a, b in zip(D.partition(far, parts), D.partition(far, parts)[1:])))
     for bound in (float(near.totals()[0]) / 5 + 0.0001, near.totals()[1] - 1, 0):
         assert D.probe(far, bound, 9) == D.probe(near, bound, 9) and D.feasible(far, parts, bound) == D.feasible(near, parts, bound)
     for bound in (near.totals()[0] / 20 + 0.0001, 0) if stripes == 3 and kind in ("sparse", "real") else ():
