@@ -307,6 +307,43 @@ def test_exact_rectangular(spark, n, m, p, q, real):
     assert got == tuple(want[1:]) and loads.max_load(a, *got) == want[0]
 
 
+@pytest.mark.parametrize(("n", "p", "kind"), [(9, 3, "whole"), (7, 4, "real"), (6, 3, "below 0"), (5, 1, "whole"), (4, 6, "whole"), (6, 2, "none")])
+def test_exact_symmetric(spark, n, p, kind):
+    """The first of all lightest cuts, by trying them all; with real loads, loads below 0, no loads, and more parts than rows."""
+    rng = np.random.default_rng(n * p)
+    d = rng.integers(-5 if kind == "below 0" else 0, 9, (n, n)) * (rng.random((n, n)) < (0 if kind == "none" else 0.5)) * (0.25 if kind == "real" else 1)
+    a = matrices.from_dense(spark, d.tolist(), weighted=True)
+    a = SparseMatrix(a.df, n, n, True)
+    cuts = ([0, *x, n] for x in combinations_with_replacement(range(n + 1), p - 1))
+    assert exact.exact(a, p)[0] == min((grid(d, x, x).max(), x) for x in cuts)[1]
+
+
+def test_exact_symmetric_of_sixty_rows(spark, monkeypatch):
+    """Of 60 x 60 in 5 parts, the first of 595,665 cuts; of 150 x 150, with 22 million, few are looked at, in small blocks as well."""
+    a = matrices.from_points(spark, random_points(60, 60, 900, 7))
+    a = SparseMatrix(a.df, 60, 60)
+    table = np.zeros((61, 61), int)
+    table[1:, 1:] = dense(a).astype(int).cumsum(0).cumsum(1)
+    cuts = np.array([[0, *x, 60] for x in combinations_with_replacement(range(61), 4)])
+    load = np.concatenate([exact.tiles(table, x, x) for x in np.array_split(cuts, 20)])
+    assert exact.exact(a, 5) == (cuts[load.argmin()].tolist(),) * 2
+
+    points = np.array(random_points(150, 150, 3000, 8))
+    table = np.zeros((151, 151), int)
+    np.add.at(table, (points[:, 0] + 1, points[:, 1] + 1), 1)
+    table = table.cumsum(0).cumsum(1)
+    a = SparseMatrix(matrices.from_points(spark, [tuple(x) for x in points.tolist()]).df, 150, 150)
+    p, looked = np.zeros((1, 1), int), 0
+    top = loads.max_load(a, twod.pal(a, 5), twod.pal(a, 5))
+    for _ in range(5):
+        p = np.concatenate([exact.continued(table, x, 5, top) for x in np.array_split(p, max(1, len(p) // 500))])
+        looked += len(p)
+    best = exact.tiles(table, p, p)
+    assert looked < 2_200_000 and best.min() <= top
+    monkeypatch.setattr(exact, "AT_A_TIME", 20_000)
+    assert exact.exact(a, 5)[0] == p[best.argmin()].tolist()
+
+
 def test_exact_of_sixty_rows(spark):
     """635,376 row cuts of a 60 x 60 matrix, in 5 x 5 parts: as light as brute force over the rows with optimal columns says for a coarser grid, and no heavier than an alternation."""
     a = matrices.from_points(spark, random_points(60, 60, 900, 7))
