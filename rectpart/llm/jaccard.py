@@ -8,8 +8,9 @@
 4. Candidate pairs are expanded to classes, filtered by size and bitmap, and verified on their whole sets.
 
 Links only matter for components. So each shingle's list of groups is first linked along its order and to its first group; pairs in one component by then need no
-test. All other pairs are then tested, without exception: only pairs that are already connected are left out. Texts move once for each of the two rounds, and only those of
-candidates that pass the bitmaps go into pairs.
+test. All other pairs are then tested, without exception: only pairs that are already connected are left out. In each of the two rounds, texts of candidates that pass the
+bitmaps go to the tasks of hubs: of a pair's two classes, that with more pairs. A hub's text goes once for each of the salts over which its pairs are dealt, other texts once for each pair.
+A shingle's long list is joined with itself in cells of two blocks, so that no task has the list.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ SLICE_BYTES = 1 << 20
 BATCH_ROWS = 1_000
 #: Groups in a token's list for which one more salt is used.
 ROWS_PER_SALT = 100_000
+#: Groups in a token's list for which the list, when it is joined with itself, is split once more.
+ROWS_PER_BLOCK = 2_000
+#: Pairs of a class for which its text is sent once more.
+PAIRS_PER_COPY = 1_000
 #: 64-bit words of a set's parity bitmap.
 BITMAP_WORDS = 8
 BITMAP = [f"bits{i}" for i in range(BITMAP_WORDS)]
@@ -163,28 +168,47 @@ def postings_of(groups: DataFrame) -> DataFrame:
     return groups.select("gid", "n", "prefix").mapInArrow(run, "token long, gid long, n int, pos int")
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, linked of the pairs (a, b) of classes, by their whole sets. texts: cid, text of each class that stands in a pair.
+def oriented(pairs: DataFrame) -> DataFrame:
+    """hub, salt, leaf of the pairs (a, b) of classes: the hub is the class with more pairs, and its pairs are dealt over salts."""
+    ends = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select("b")).groupBy("cid").agg(F.count("*").alias("times"))
+    of = lambda c, times: ends.select(F.col("cid").alias(c), F.col("times").alias(times))
+    both = pairs.join(of("a", "times_a"), "a").join(of("b", "times_b"), "b")
+    turned = F.col("times_a") < F.col("times_b")
+    both = both.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("hub"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("leaf"), F.greatest("times_a", "times_b").alias("times"))
+    return both.select("hub", F.pmod(F.xxhash64("leaf"), F.floor(F.col("times") / PAIRS_PER_COPY) + 1).alias("salt"), "leaf")
 
-    A few pairs at a time, by the bytes of both texts, so that memory depends on the longest two texts alone.
+
+def verified(turned: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b, linked of pairs (hub, salt, leaf) of classes, by their whole sets. texts: cid, text of each class that stands in a pair.
+
+    A task reads each hub's text once for a salt, then the leaves' texts, a few at a time by their bytes: memory depends on the longest two texts alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            sides = [textops.buffers(batch.column(k)) for k in (2, 3)]
-            ok: list[bool] = []
-            for i, j in textops.slices(sides[0][1] + sides[1][1], SLICE_BYTES):
-                sets = []
-                for data, offsets in sides:
-                    h, upto = shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                    sets.append([np.unique(h[a:b]) for a, b in zip(upto[:-1], upto[1:], strict=True)])
-                ok += [WHOLE * (c := len(np.intersect1d(x, y, True))) >= PART * (len(x) + len(y) - c) for x, y in zip(*sets, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
-
-    one = texts.select(F.col("cid").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("cid").alias("b"), F.col("text").alias("text_b"))
-    each = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return each.mapInArrow(run, "a long, b long, linked boolean")
+            hubs, leaves = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            data, offsets = textops.buffers(batch.column(3))
+            found: list[tuple[int, int, bool]] = []
+            for i, j in textops.slices(offsets, SLICE_BYTES):
+                h, upto = shingle_hashes(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                for k, x, y in zip(range(i, j), upto[:-1].tolist(), upto[1:].tolist(), strict=True):
+                    other, hub, leaf = np.unique(h[x:y]), hubs[k], leaves[k]
+                    if leaf is None:
+                        current, own = hub, other
+                        continue
+                    if hub != current:
+                        raise ValueError("a pair came without its hub's text")
+                    common = len(np.intersect1d(own, other, True))
+                    found.append((min(hub, leaf), max(hub, leaf), WHOLE * common >= PART * (len(own) + len(other) - common)))
+            columns = zip(*found, strict=True) if found else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "linked"])
+
+    hubs = turned.select("hub", "salt").distinct().join(texts, F.col("hub") == F.col("cid")).select("hub", "salt", F.lit(None).cast("long").alias("leaf"), "text")
+    leaves = turned.join(texts, F.col("leaf") == F.col("cid")).select("hub", "salt", "leaf", "text")
+    # nulls, the hubs, come first
+    rows = hubs.unionAll(leaves).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "leaf")
+    return rows.mapInArrow(run, "a long, b long, linked boolean")
 
 
 def _ordered(x: Column, y: Column) -> list[Column]:
@@ -235,11 +259,12 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.save(pairs, f"{name}_pairs")
+        turned = scratch.save(oriented(pairs), f"{name}_turned")
         texts = scratch.save(texts_of(pairs), f"{name}_texts")
         graph.release(docs)
         with arrow_rows(spark, BATCH_ROWS):
-            found = scratch.save(verified(pairs, texts), f"{name}_tested")
-        scratch.drop(f"{name}_texts")
+            found = scratch.save(verified(turned, texts), f"{name}_tested")
+        scratch.drop(f"{name}_pairs", f"{name}_turned", f"{name}_texts")
         graph.release(docs)
         return found
 
@@ -264,18 +289,24 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     lists = lists.select("token", "gid", "n", "pos", F.col("low").isNull().alias("single"), F.coalesce("low", "part").alias("low"), F.coalesce("high", "part").alias("high"))
     lists = scratch.save(lists, "lists")
     scratch.drop("shared")
-    mixed = lists.groupBy("token").agg(F.min("low").alias("lowest"), F.max("high").alias("highest")).filter("lowest < highest").select("token")
+    mixed = lists.groupBy("token").agg(F.min("low").alias("lowest"), F.max("high").alias("highest"), F.count("*").alias("times")).filter("lowest < highest").select("token", F.floor(F.col("times") / ROWS_PER_BLOCK).cast("int").alias("last"))
     rest = lists.join(mixed, "token").join(classes.select(F.col("cid").alias("gid"), *BITMAP), "gid")
     rest = scratch.save(rest, "rest")
     scratch.drop("lists")
-    other = rest.select(F.col("token"), *(F.col(c).alias(f"{c}_") for c in rest.columns if c != "token"))
+    # a long list is joined with itself block by block: two groups meet once, in the cell of their two blocks
+    block = F.pmod(F.xxhash64("gid"), F.col("last") + 1).cast("int")
+    rest = rest.withColumn("block", block)
+    left = rest.select(*rest.columns, F.explode(F.sequence("block", "last")).alias("column"))
+    other = rest.select("*", F.explode(F.sequence(F.lit(0), "block")).alias("row"))
+    other = other.select("token", "row", *(F.col(c).alias(f"{c}_") for c in rest.columns if c != "token"))
     # if this is the first common token, at most so many can be common; a linked pair passes at its first one
     most = F.least(F.col("n") - F.col("pos"), F.col("n_") - F.col("pos_"))
     needed = (F.col("n") + F.col("n_")) * PART <= most * (PART + WHOLE)
     # a group of several classes has no bitmap of its own
     near = ~F.col("single") | ~F.col("single_") | _near(F.col("n"), F.col("n_"), "_")
     open_ = ~((F.col("low") == F.col("high")) & (F.col("low_") == F.col("high_")) & (F.col("low") == F.col("low_")))
-    crossing = rest.join(other, (rest.token == other.token) & (F.col("gid") < F.col("gid_")) & _sizes_fit(F.col("n"), F.col("n_")) & needed & open_ & near).select("gid", "gid_").distinct()
+    meet = (left.token == other.token) & (F.col("block") == F.col("row")) & (F.col("column") == F.col("block_")) & ((F.col("block") < F.col("block_")) | (F.col("gid") < F.col("gid_")))
+    crossing = left.join(other, meet & _sizes_fit(F.col("n"), F.col("n_")) & needed & open_ & near).select(F.least("gid", "gid_").alias("gid"), F.greatest("gid", "gid_").alias("gid_")).distinct()
     first, second = members.select(F.col("gid").alias("m1"), F.col("cid").alias("c1")), members.select(F.col("gid").alias("m2"), F.col("cid").alias("c2"))
     expanded = crossing.join(first, F.col("gid") == F.col("m1"), "left").join(second, F.col("gid_") == F.col("m2"), "left").select(*_ordered(F.coalesce("c1", "gid"), F.coalesce("c2", "gid_")))
     within = member_parts.join(several.filter("low < high").select("gid"), "gid").join(classes.select("cid", "n", *BITMAP), "cid")

@@ -159,6 +159,41 @@ def test_near_duplicates_of_many_near_copies(spark):
             assert bits <= len(np.setxor1d(a, b))
 
 
+def near_copies(seed: int, n: int) -> dict[int, str]:
+    rng = np.random.default_rng(seed)
+    base, docs = words_like(rng, 150, 10**6).split(), {}
+    for k in range(n):
+        own = list(base)
+        for at in rng.integers(0, len(own), int(rng.integers(1, 9))):
+            own[int(at)] = f"z{int(rng.integers(0, 3))}"
+        docs[k] = " ".join(own)
+    return docs
+
+
+def test_blocks_of_lists_and_copies_of_hubs_only_place_work(spark, monkeypatch):
+    docs = near_copies(11, 60) | {k + 100: text for k, text in near_copies(12, 30).items()}
+    monkeypatch.setattr(jaccard, "ROWS_PER_BLOCK", 7)
+    monkeypatch.setattr(jaccard, "PAIRS_PER_COPY", 4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(frame(spark, docs)).collect()}
+    assert got == components_brute(docs)
+
+
+def test_pairs_are_verified_at_their_hub(spark, monkeypatch):
+    """Every pair is tested once, at the class with more pairs; a hub's pairs are dealt over salts."""
+    monkeypatch.setattr(jaccard, "PAIRS_PER_COPY", 10)
+    docs = {k: f"a b c d e f g h i j {'x' if k % 2 else 'k'}" for k in range(40)}
+    pairs = [(0, k) for k in range(1, 40)] + [(38, 39)]
+    turned = jaccard.oriented(spark.createDataFrame(pairs, "a long, b long"))
+    placed = [(r.hub, r.salt, r.leaf) for r in turned.collect()]
+    assert {(min(h, x), max(h, x)) for h, _, x in placed} == set(pairs) and len(placed) == len(pairs)
+    assert sum(h == 0 for h, _, _ in placed) == 39 and {s for h, s, _ in placed if h == 0} <= set(range(4)) and len({s for h, s, _ in placed if h == 0}) > 1
+    texts = spark.createDataFrame(list(docs.items()), "cid long, text string")
+    got = {(r.a, r.b): r.linked for r in jaccard.verified(turned, texts).collect()}
+    # 7 shingles each, 6 in common unless equal: 6 / 8 is below 0.8
+    assert got == {(a, b): docs[a] == docs[b] for a, b in pairs}
+    assert jaccard.verified(turned.limit(0), texts).count() == 0
+
+
 def test_near_duplicates_on_the_border(spark):
     """Sets of 9 with 8 in common link at 0.8 = 8 / 10; of 8 with 7 in common they don't."""
     rng = np.random.default_rng(4)
