@@ -254,12 +254,14 @@ def clustered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     def texts_of(pairs: DataFrame) -> DataFrame:
         """cid, text of the classes in pairs: one read of the documents, of which only those texts go on."""
         wanted = pairs.select(F.col("a").alias("cid")).unionAll(pairs.select("b")).distinct().join(classes.select("cid", F.col("low").alias("doc_id"), "th"), "cid")
-        each = base.filter("doc_id is not null").dropDuplicates(["doc_id", "th"])
-        return each.join(wanted, ["doc_id", "th"]).select("cid", "text")
+        # copies of a row go after the join, which may then leave out the other texts before a shuffle
+        each = base.filter("doc_id is not null").join(wanted, ["doc_id", "th"])
+        return each.groupBy("doc_id", "th").agg(F.first("cid").alias("cid"), F.first("text").alias("text")).select("cid", "text")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.save(pairs, f"{name}_pairs")
         turned = scratch.save(oriented(pairs), f"{name}_turned")
+        graph.release(docs)
         texts = scratch.save(texts_of(pairs), f"{name}_texts")
         graph.release(docs)
         with arrow_rows(spark, BATCH_ROWS):
