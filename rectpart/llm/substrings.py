@@ -4,15 +4,17 @@ Every string of SPAN bytes (a window) that also starts in a document with a smal
 16-byte gram in them with the least hash. A run of windows with one anchor is a stretch of a document; equal windows lie in stretches with equal
 anchors, so suffixes need comparing only within an anchor's group:
 
-1. Documents are dealt into batches of about BATCH_BYTES. Each batch sends its distinct anchors, packed by bucket.
-2. Buckets answer which anchors occur in two documents; all others can't be in a repeated string.
-3. Batches send the distinct stretches of repeated anchors (bytes, least document id).
-4. Buckets order the suffixes of each anchor's stretches by linear grouping over Lyndon prefixes (``suffixes``), take neighbours with the same first SPAN bytes as
-   one group, and answer, for each stretch, which windows start in a smaller document. Beforehand, equal stretches become one, and what lies outside
-   a stretch's first and last window whose fingerprint comes twice is left out: it can't be in a group of two.
-5. Batches add up the covered bytes of each document.
-
-Copies cost one stretch a batch, whatever their number, so that no group grows with a hot passage. The batches' exchange is used three times.
+1. Documents are packed into batches of about BATCH_BYTES where they are read. Each batch sends 32 bits of its distinct anchors' hashes by bucket.
+2. Buckets answer which of them occur in two documents; all others can't be in a repeated string.
+3. Batches send hashes of the distinct stretches of repeated anchors, with the least document id of each.
+4. Buckets answer which stretches stand in a smaller document as a whole, and which of an anchor that has other stretches, too, are the first of their kind: only these can share
+   a window with another one, and only their bytes are sent.
+5. Buckets order the suffixes of each anchor's stretches by linear grouping over Lyndon prefixes (``suffixes``), take neighbours with the same first SPAN bytes as
+   one group, and answer, for each stretch, which windows start in a smaller document. Beforehand, what lies outside a stretch's first and last window whose
+   fingerprint comes twice is left out: it can't be in a group of two.
+6. Batches add up the covered bytes of each document.
+
+Copies cost a hash a batch, whatever their number, so that no group grows with a hot passage. The batches' exchange, compressed, is used four times.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,8 +100,14 @@ class Batch:
         self.entry = np.zeros(len(order), np.int64)
         self.entry[order] = np.cumsum(new) - 1
         self.first = order[new]  # of each distinct stretch, an occurrence in its smallest document
+        self.hashes = x[new]
         self.entry_bucket = self.code[self.first] >> 48
 
+    def entries(self) -> Iterator[tuple[int, int, int]]:
+        """Of each bucket, the range of its distinct stretches."""
+        begin, n = suffixes.runs(self.entry_bucket)
+        yield from zip(self.entry_bucket[begin].tolist(), begin.tolist(), (begin + n).tolist(), strict=True)
+
     def covered(self, masks: np.ndarray) -> np.ndarray:
         """Bytes covered, given for each distinct stretch the windows that start in smaller documents; all bits: every occurrence is covered."""
         whole = (masks[self.entry] == _ALL) | (self.ids[self.doc] > self.ids[self.doc[self.first]][self.entry])
@@ -121,14 +130,13 @@ def resolve(keys: np.ndarray, counts: np.ndarray, docs: np.ndarray, content: np.
     start = np.cumsum(size) - size
     prefix = textops.prefix_hash(content)
     whole = textops.span_hash(prefix, start, start + size)
-    order = np.lexsort((docs, whole, counts, keys))
-    k, c, h = keys[order], counts[order], whole[order]
+    by_kind = np.lexsort((docs, whole, counts, keys))
+    k, c, h = keys[by_kind], counts[by_kind], whole[by_kind]
     new_key = np.concatenate([[True], k[1:] != k[:-1]])
     new = new_key | np.concatenate([[True], (c[1:] != c[:-1]) | (h[1:] != h[:-1])])
     distinct = np.cumsum(new) - 1
-    firsts = order[new]
+    firsts = by_kind[new]
     masks = np.zeros(len(keys), np.uint64)
-    masks[order[docs[order] > docs[firsts][distinct]]] = _ALL
     # candidates: of anchors with two different stretches, the runs from the first to the last window whose fingerprint comes twice
     of_key = np.cumsum(new_key)[new] - 1
     several = firsts[(np.bincount(of_key) > 1)[of_key]] if len(firsts) else firsts
@@ -151,9 +159,24 @@ def resolve(keys: np.ndarray, counts: np.ndarray, docs: np.ndarray, content: np.
     np.minimum.at(least, group, docs[stretch])
     hit = least[group] < docs[stretch]
     np.bitwise_or.at(masks, stretch[hit], np.uint64(1) << (order[hit] - start[stretch[hit]]).astype(np.uint64))
+    # equal stretches: those of the smallest document share its windows
+    masks[by_kind] = np.where(docs[by_kind] > docs[firsts][distinct], _ALL, masks[firsts][distinct])
     return masks
 
 
+def states(keys: np.ndarray, counts: np.ndarray, docs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """What becomes of each stretch (anchor key, number of windows, least document, hash of its bytes)."""
+    order = np.lexsort((docs, hashes, counts, keys))
+    k, c, h = keys[order], counts[order], hashes[order]
+    new_key = np.concatenate([[True], k[1:] != k[:-1]])
+    new = new_key | np.concatenate([[True], (c[1:] != c[:-1]) | (h[1:] != h[:-1])])
+    firsts, of_key = order[new], np.cumsum(new_key) - 1
+    several = np.bincount(of_key[new])[of_key] > 1
+    out = np.zeros(len(keys), np.uint8)
+    out[order] = np.where(docs[order] > docs[firsts][np.cumsum(new) - 1], _WHOLE, np.where(several, _ASKED, _FREE))
+    return out
+
+
 def _differ(content: np.ndarray, at: np.ndarray, block: int = 1 << 16) -> np.ndarray:
     """Of each window, whether its bytes are others than those of the one before it; the first is True."""
     out = np.ones(len(at), bool)
@@ -164,19 +187,39 @@ def _differ(content: np.ndarray, at: np.ndarray, block: int = 1 << 16) -> np.nda
     return out
 
 
-def _six(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray((keys & ((1 << 48) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+def _low(values: np.ndarray, n: int) -> bytes:
+    """The lowest n bytes of each value, all first ones, then all second ones, and so on: bytes that hardly differ stand together and compress."""
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
 
 
-def _from_six(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8").ravel().astype(np.int64)
+def _from_low(raw: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(raw) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(raw, np.uint8).reshape(n, -1).T
+    return out.view("<i8").ravel()
 
 
+def _packed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(table: pa.Table) -> pa.Table:
+    """The rows of a batch."""
+    return pa.ipc.open_stream(table["rows"][0].as_buffer()).read_all()
+
+
+_BATCH = "batch long, rows binary"
 _FROM_BATCH = "batch long, bucket long, keys binary, flags binary"
 _ANSWER = "batch long, bucket long, kind int, bits binary"
-_STRETCHES = "batch long, bucket long, keys binary, counts binary, docs binary, content binary"
+#: hashes: of whole stretches; content: the bytes of those that are asked for
+_STRETCHES = "batch long, bucket long, keys binary, counts binary, docs binary, hashes binary"
+_CONTENT = "batch long, bucket long, keys binary, counts binary, docs binary, content binary"
+#: What buckets answer: anchors that occur in two documents; what becomes of a stretch; its covered windows.
+_MARKS, _STATES, _MASKS = 0, 1, 2
+#: What becomes of a stretch: nothing of it is covered; all is; its bytes are asked for.
+_FREE, _WHOLE, _ASKED = 0, 1, 2
 
 
 def _table(schema: str, rows: list[tuple]) -> pa.Table:
@@ -195,16 +238,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others = [docs[c] for c in docs.columns if c != text_col] if carry else []
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *([F.struct(*others).alias("row")] if others else []))
     total = docs.agg(F.sum(F.octet_length(docs[text_col])).alias("n")).first().n or 0
-    batches, buckets = max(1, -(-total // BATCH_BYTES)), max(LEAST_BUCKETS, total // 17 // BUCKET_ANCHORS)
-    base = base.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)))
+    buckets = max(LEAST_BUCKETS, total // 17 // BUCKET_ANCHORS)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            _, offsets = textops.buffers(batch.column(1))
+            for i, j in textops.slices(offsets, BATCH_BYTES):
+                yield from _table(_BATCH, [(number, _packed(pa.Table.from_batches([batch.slice(i, j - i)])))]).to_batches()
+                number += 1
 
     def anchors(table: pa.Table) -> pa.Table:
-        batch, x = table["batch"][0].as_py(), Batch(table, buckets)
+        batch, x = table["batch"][0].as_py(), Batch(_unpacked(table), buckets)
         several = x.several()
-        return _table(_FROM_BATCH, [(batch, bucket, _six(x.codes[a:b]), np.packbits(several[a:b]).tobytes()) for bucket, a, b in x.by_bucket()])
+        return _table(_FROM_BATCH, [(batch, bucket, _low(x.codes[a:b], 4), np.packbits(several[a:b]).tobytes()) for bucket, a, b in x.by_bucket()])
 
     def mark(table: pa.Table) -> pa.Table:
-        keys = [_from_six(x) for x in table["keys"].to_pylist()]
+        keys = [_from_low(x, 4) for x in table["keys"].to_pylist()]
         flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(table["flags"].to_pylist(), keys, strict=True)]
         _, of, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         some = np.zeros(len(times), bool)
@@ -215,28 +265,58 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch, bucket, k, end in zip(table["batch"].to_pylist(), table["bucket"].to_pylist(), keys, ends, strict=True):
             mine = out[end - len(k) : end]
             if mine.any():
-                rows.append((batch, bucket, 0, np.packbits(mine).tobytes()))
+                rows.append((batch, bucket, _MARKS, np.packbits(mine).tobytes()))
         return _table(_ANSWER, rows)
 
-    def stretches(table: pa.Table, marks: pa.Table) -> pa.Table:
+    def told(table: pa.Table, answers: pa.Table) -> tuple[Batch, list[dict[int, bytes]]]:
+        """A batch with what buckets answered so far, of each kind by bucket."""
+        given: list[dict[int, bytes]] = [{}, {}, {}]
+        for kind, bucket, bits in zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True):
+            given[kind][bucket] = bits
+        x = Batch(table, buckets)
+        x.repeated(given[_MARKS])
+        return x, given
+
+    def stretches(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table(_STRETCHES, [])
-        batch, x = table["batch"][0].as_py(), Batch(table, buckets)
-        x.repeated(dict(zip(marks["bucket"].to_pylist(), marks["bits"].to_pylist(), strict=True)))
+        batch, (x, _) = table["batch"][0].as_py(), told(_unpacked(table), answers)
         rows = []
-        for bucket in np.unique(x.entry_bucket).tolist():
-            a, b = np.searchsorted(x.entry_bucket, [bucket, bucket + 1])
+        for bucket, a, b in x.entries():
             k = x.first[a:b]
-            content = x.data[suffixes.ranges(x.start[k], x.count[k] + SPAN - 1)]
-            rows.append((batch, bucket, _six(x.code[k]), x.count[k].astype(np.uint8).tobytes(), x.ids[x.doc[k]].astype("<i8").tobytes(), content.tobytes()))
+            rows.append((batch, bucket, _low(x.code[k], 6), x.count[k].astype(np.uint8).tobytes(), _low(x.ids[x.doc[k]], 8), x.hashes[a:b].astype("<u8").tobytes()))
         return _table(_STRETCHES, rows)
 
+    joined = lambda table, c, read: np.concatenate([read(x) for x in table[c].to_pylist()])
+
+    def about(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return joined(table, "keys", lambda x: _from_low(x, 6)), joined(table, "counts", lambda x: np.frombuffer(x, np.uint8).astype(np.int64)), joined(table, "docs", lambda x: _from_low(x, 8))
+
+    def answered(table: pa.Table, kind: int, values: np.ndarray) -> pa.Table:
+        """Values of all stretches that were sent, to the batches that sent them."""
+        parts = np.split(values, np.cumsum([len(c) for c in table["counts"].to_pylist()])[:-1])
+        return _table(_ANSWER, [(b, k, kind, v.tobytes()) for b, k, v in zip(table["batch"].to_pylist(), table["bucket"].to_pylist(), parts, strict=True) if v.any()])
+
+    def ask(table: pa.Table) -> pa.Table:
+        return answered(table, _STATES, states(*about(table), joined(table, "hashes", lambda x: np.frombuffer(x, "<u8"))))
+
+    def contents(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _table(_CONTENT, [])
+        batch, (x, given) = table["batch"][0].as_py(), told(_unpacked(table), answers)
+        rows = []
+        for bucket, a, b in x.entries():
+            k = x.first[a:b][np.frombuffer(given[_STATES].get(bucket, bytes(b - a)), np.uint8) == _ASKED]
+            if len(k):
+                content = x.data[suffixes.ranges(x.start[k], x.count[k] + SPAN - 1)]
+                rows.append((batch, bucket, _low(x.code[k], 6), x.count[k].astype(np.uint8).tobytes(), _low(x.ids[x.doc[k]], 8), pa.compress(content.tobytes(), "zstd", asbytes=True)))
+        return _table(_CONTENT, rows)
+
     def decide(table: pa.Table) -> pa.Table:
-        join = lambda c: b"".join(table[c].to_pylist())
-        masks = resolve(_from_six(join("keys")), np.frombuffer(join("counts"), np.uint8).astype(np.int64), np.frombuffer(join("docs"), "<i8"), np.frombuffer(join("content"), np.uint8))
-        ends = np.cumsum([len(c) for c in table["counts"].to_pylist()])
-        parts = np.split(masks, ends[:-1])
-        return _table(_ANSWER, [(b, k, 1, m.astype("<u8").tobytes()) for b, k, m in zip(table["batch"].to_pylist(), table["bucket"].to_pylist(), parts, strict=True)])
+        keys, counts, docs = about(table)
+        sizes = [sum(c) + (SPAN - 1) * len(c) for c in table["counts"].to_pylist()]
+        content = b"".join(pa.decompress(x, n, "zstd", asbytes=True) for x, n in zip(table["content"].to_pylist(), sizes, strict=True))
+        return answered(table, _MASKS, resolve(keys, counts, docs, np.frombuffer(content, np.uint8)).astype("<u8"))
 
     plain = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     # the row's own type, with what isn't nullable in it
@@ -245,17 +325,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def finish(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return nothing.append_column("row", table["row"]) if with_row else nothing
-        x = Batch(table, buckets)
-        kinds = answers["kind"].to_pylist()
-        given = [dict(), dict()]
-        for kind, bucket, bits in zip(kinds, answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True):
-            given[kind][bucket] = bits
-        x.repeated(given[0])
+            return nothing
+        table = _unpacked(table)
+        x, given = told(table, answers)
         masks = np.zeros(len(x.first), np.uint64)
-        for bucket, bits in given[1].items():
-            a, b = np.searchsorted(x.entry_bucket, [bucket, bucket + 1])
-            masks[a:b] = np.frombuffer(bits, "<u8")
+        for bucket, a, b in x.entries():
+            state = np.frombuffer(given[_STATES].get(bucket, bytes(b - a)), np.uint8)
+            masks[a:b][state == _WHOLE] = _ALL
+            if bucket in given[_MASKS]:
+                masks[a:b][state == _ASKED] = np.frombuffer(given[_MASKS][bucket], "<u8")
         gone = x.covered(masks)
         upto = np.concatenate([[0], np.cumsum(gone)])
         begins = gone & ~np.concatenate([[False], gone[:-1]]) if len(gone) else gone
@@ -268,10 +346,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out = pa.table([x.doc_ids, pa.array(hi - lo), pa.array(upto[hi] - upto[lo]), pa.array(spans[hi] - spans[lo]), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
         return out.append_column("row", table["row"]) if with_row else out
 
-    marks = base.groupBy("batch").applyInArrow(anchors, _FROM_BATCH).groupBy("bucket").applyInArrow(mark, _ANSWER)
-    sent = base.groupBy("batch").cogroup(marks.groupBy("batch")).applyInArrow(stretches, _STRETCHES)
-    answers = marks.unionByName(sent.groupBy("bucket").applyInArrow(decide, _ANSWER))
-    return base.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(finish, out_schema)
+    packed = base.mapInArrow(pack, _BATCH)
+    ask_batches = lambda given, f, schema: packed.groupBy("batch").cogroup(given.groupBy("batch")).applyInArrow(f, schema)
+    marks = packed.groupBy("batch").applyInArrow(anchors, _FROM_BATCH).groupBy("bucket").applyInArrow(mark, _ANSWER)
+    asked = ask_batches(marks, stretches, _STRETCHES).groupBy("bucket").applyInArrow(ask, _ANSWER)
+    answers = marks.unionByName(asked)
+    decided = ask_batches(answers, contents, _CONTENT).groupBy("bucket").applyInArrow(decide, _ANSWER)
+    return ask_batches(answers.unionByName(decided), finish, out_schema)
 
 
 def covered_brute(docs: dict[int, bytes], span: int = SPAN) -> dict[int, list[tuple[int, int]]]:

@@ -70,6 +70,23 @@ def test_substrings_carry_and_empty(spark):
     assert got.count() == len(docs) and {r.k for r in got.select("row.kept").withColumnRenamed("kept", "k").collect()} == {"k"}
 
 
+def test_only_stretches_with_others_of_their_anchor_are_sent():
+    """Copies in any number of batches cost a hash; bytes are asked for where an anchor has different stretches."""
+    keys, counts, docs = np.array([5, 5, 5, 6, 6, 6, 7]), np.full(7, 9), np.array([3, 1, 2, 4, 4, 9, 1])
+    hashes = np.array([11, 11, 11, 12, 12, 13, 14], np.uint64)
+    assert substrings.states(keys, counts, docs, hashes).tolist() == [1, 0, 1, 2, 2, 2, 0]
+
+
+def test_substrings_rows_with_one_id_in_many_batches(spark, monkeypatch):
+    """Rows with one id and different texts lose alike what a smaller document covers in a stretch that they share."""
+    monkeypatch.setattr(substrings, "BATCH_BYTES", 300)
+    rng = np.random.default_rng(5)
+    base = "".join(map(chr, rng.integers(97, 123, 400)))
+    docs = [(1, base[:230]), *((7, f"{k}" * 90 + base[100:400]) for k in range(4))]
+    got = substrings.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), *[(7, 130)] * 4]
+
+
 def test_substrings_repeated_rows_and_null_ids(spark):
     text = "z" + "q" * 80
     rows = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text)], "doc_id long, text string")
