@@ -48,7 +48,7 @@ def build_index(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
                 number += 1
 
     with arrow_rows(docs.sparkSession, ROWS):
-        return scratch.save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(index, INDEX), name)
+        return scratch.save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(index, INDEX), name, large_rows=True)
 
 
 class Segment:

@@ -54,7 +54,7 @@ def build_shards(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
                 )
 
     with arrow_rows(docs.sparkSession, ROWS):
-        return scratch.save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(shard, SHARDS), "shards")
+        return scratch.save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(shard, SHARDS), "shards", large_rows=True)
 
 
 def impacts(tf: np.ndarray, size: np.ndarray, n_docs: int, n_terms: int) -> np.ndarray:

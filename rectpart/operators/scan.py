@@ -35,6 +35,10 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+#: How rows of MBs are written.
+LARGE_ROWS = {"parquet.block.row.count.limit": "1", "parquet.column.statistics.enabled": "false", "parquet.enable.dictionary": "false"}
+
+
 class Scratch:
     """Tables of one operation. A saved table cuts the lineage, so that a lost executor costs a read and not the steps before; drop() deletes what isn't read any more.
 
@@ -51,11 +55,13 @@ class Scratch:
         path = context._jvm.org.apache.hadoop.fs.Path(where)
         act(path.getFileSystem(context._jsc.hadoopConfiguration()), path)
 
-    def save(self, frame: DataFrame, name: str | None = None) -> DataFrame:
+    def save(self, frame: DataFrame, name: str | None = None, large_rows: bool = False) -> DataFrame:
+        """large_rows: each of them is MBs, and a row group of its own, without statistics and dictionaries, which hold copies. Otherwise a writer looks at its size after 100 rows
+        first, and a reader takes all rows of a group at once."""
         if name is None:
             self.count += 1
         path = f"{self.path}/{name or self.count}"
-        frame.write.mode("overwrite").parquet(path)
+        frame.write.mode("overwrite").options(**(LARGE_ROWS if large_rows else {})).parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

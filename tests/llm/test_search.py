@@ -6,8 +6,10 @@ import random
 import re
 import zlib
 from collections import Counter
+from urllib.parse import unquote, urlparse
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from rectpart.llm import decontamination, queries, resampling, terms, wavelet
@@ -183,3 +185,14 @@ def test_tree_opens_few_nodes_and_keeps_order(monkeypatch):
 def test_queries_use_the_contracts_values():
     assert (resampling.BUCKETS, resampling.RUN, resampling.LEAST_WORDS, resampling.PERCENT, resampling.SEED, decontamination.WINDOW, wavelet.TOP) == (10_000, 1, 20, 10, 2024, 10, 20)
     assert {"op11_resampling", "op12_decontamination", "op13_ranked_search"} <= set(queries.queries()) & set(queries.oracle_sql())
+
+
+@pytest.mark.parametrize("made", ["index", "shards"])
+def test_segments_have_row_groups_of_their_own(spark, monkeypatch, made):
+    """So that neither writers nor readers hold more than a segment, whatever a partition's size."""
+    monkeypatch.setattr(decontamination, "SEGMENT_BYTES", 500)
+    monkeypatch.setattr(wavelet, "SHARD_BYTES", 500)
+    docs, scratch = spark.createDataFrame([(k, f"some words of {k} " * 20) for k in range(40)], "doc_id long, text string").coalesce(1), Scratch(spark)
+    table = decontamination.build_index(docs, scratch) if made == "index" else wavelet.build_shards(docs, scratch)
+    groups = [pq.ParquetFile(unquote(urlparse(f).path)).metadata for f in table.inputFiles()]
+    assert sum(g.num_rows for g in groups) == sum(g.num_row_groups for g in groups) > 10
