@@ -25,6 +25,8 @@ LOCAL_NONZEROS = 2_000_000
 ROUNDS = 3
 #: Blocks of positions whose loads the driver has of a larger form, and sums by strip and block that one of its windows brings there at most (or two blocks a strip).
 BLOCKS, STRIP_CELLS = 65_536, 1_000_000
+#: Marks of a grid search at even distances, and those that a round adds.
+EVEN_MARKS, NEW_MARKS = 128, 384
 
 
 def uniform(n: int, parts: int) -> list[int]:
@@ -200,6 +202,9 @@ class LocalDiagonal:
     def close(self) -> None:
         pass
 
+    def total(self) -> int:
+        return int(self.w.sum())
+
     def reach(self, cuts: list[int], bound: float) -> int:
         """The farthest end of a new last part so that no tile of its row and column is above the bound."""
         first, inner = int(np.searchsorted(self.k, cuts[-1])), np.asarray(cuts)
@@ -241,6 +246,9 @@ class TableDiagonal:
     def close(self) -> None:
         self.scratch.close()
 
+    def total(self) -> int:
+        return int(self.block.sum())
+
     def _sums(self, cuts: list[int], a: int, b: int, width: int) -> np.ndarray:
         """Loads by strip and block of k in a window [a, b), given cuts of the parts so far; the last strip is the tile on the diagonal."""
         self.windows += 1
@@ -274,6 +282,103 @@ class TableDiagonal:
         return self.n
 
 
+class GridSearch:
+    """Bisection of the bound of diagonal probes over a table of whole loads that aren't negative, without a job for each probe.
+
+    The driver has the sums of the matrix between marks, some positions of both axes. They tell between which positions a cut lies, given between which the cuts before it lie: an end at which
+    a tile of the innermost parts is above the bound is too far, and one at which no tile of the outermost parts is can be reached. Where that leaves open whether a probe comes to the end (or, at last, where its
+    cuts are), one job sums up the matrix between new marks within the ranges left. Ranges shrink by the number of new marks, so that jobs don't grow with the bounds probed.
+    """
+
+    def __init__(self, x: TableDiagonal):
+        self.x, self.n = x, x.n
+        self.even = np.unique(np.linspace(0, x.n, EVEN_MARKS + 1).astype(np.int64))
+        #: jobs so far
+        self.rounds, self.recent = 0, np.zeros(0, np.int64)
+        self._mark(self.even)
+
+    def _mark(self, at: np.ndarray) -> None:
+        self.rounds += 1
+        self.at = at
+        i, j = F.when(F.col("upper"), F.col("m")).otherwise(F.col("k")), F.when(F.col("upper"), F.col("k")).otherwise(F.col("m"))
+        cells = self.x.form.select(i.alias("i"), j.alias("j"), "w").groupBy(part_of("i", at.tolist()).alias("u"), part_of("j", at.tolist()).alias("v"))
+        got = cells.agg(F.sum("w").alias("w")).toPandas()
+        self.sums = np.zeros((len(at), len(at)), np.int64)
+        self.sums[got["u"].to_numpy(int) + 1, got["v"].to_numpy(int) + 1] = got["w"].to_numpy(np.int64)
+        self.sums = self.sums.cumsum(0).cumsum(1)
+
+    def _ends(self, edges: list[tuple[int, int]], start: int, bound: int) -> np.ndarray:
+        """Of each mark, whether the last part may end there: no tile of it with the parts between the edges, or with itself, is above the bound. All are numbers of marks."""
+        p, e = self.sums, np.arange(start, len(self.at))
+        most = p[e, e] - p[start, e] - p[e, start] + p[start, start]
+        for a, b in edges:
+            if a < b:
+                most = np.maximum(most, (p[b, e] - p[a, e]) - (p[b, start] - p[a, start]))
+                most = np.maximum(most, (p[e, b] - p[e, a]) - (p[start, b] - p[start, a]))
+        return most <= bound
+
+    def probe(self, bound: int, upper: list[tuple[int, int]], had: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+        """The first and last position at which each cut of diagonal_probe can lie; had: what other marks told."""
+        cuts = [(0, 0)]
+        for k in range(1, len(upper)):
+            low = [int(np.searchsorted(self.at, a, "right")) - 1 for a, _ in cuts]  # marks around the cuts
+            high = [int(np.searchsorted(self.at, b, "left")) for _, b in cuts]
+            near = low[-1] + int(np.flatnonzero(self._ends(list(zip(low, high[1:], strict=False)), low[-1], bound)).max(initial=0))
+            over = np.flatnonzero(~self._ends(list(zip(high, low[1:], strict=False)), high[-1], bound))
+            far = int(self.at[high[-1] + over[0]]) - 1 if len(over) else self.n
+            a = max(cuts[-1][0], min(int(self.at[near]), upper[k][0]))
+            b = max(a, cuts[-1][1], min(far, upper[k][1]))
+            cuts.append((max(a, had[k][0]), min(b, had[k][1])) if had else (a, b))
+        return cuts
+
+    def _refine(self, some: list[list[tuple[int, int]]]) -> None:
+        # each by itself: within a wide one, the narrow ones of earlier cuts have to shrink, too
+        ranges = sorted({(max(0, a - 1), min(self.n, b + 1)) for cuts in some for a, b in cuts if a < b})
+        room = max(4, NEW_MARKS // max(1, len(ranges)))
+        new = [np.unique(np.linspace(a, b, min(b - a, room) + 1).astype(np.int64)) for a, b in ranges]
+        fixed = np.array([x for cuts in some for pair in cuts for x in pair], np.int64)
+        new = np.unique(np.concatenate([fixed, *new]))
+        old, self.recent = self.recent, new
+        self._mark(np.unique(np.concatenate([self.even, old, new])))
+
+    def search(self, low: int, high: int, parts: int, bounded: bool) -> list[int]:
+        """The cuts of the least feasible bound from low to high, as diagonal_probe has them; if none below is, of high."""
+        bounds = low, high
+        reached: list[bool] = []  # what is known of the probes in their order
+        known: dict[int, list[tuple[int, int]]] = {}  # by bound, where cuts lie as far as all marks so far have told
+
+        def probe(bound: int, limit: list[tuple[int, int]]) -> list[tuple[int, int]]:
+            known[bound] = self.probe(bound, limit, known.get(bound))
+            return known[bound]
+
+        while True:
+            (low, high), limits, step = bounds, [[(self.n, self.n)] * (parts + 1)], 0
+            while low < high:
+                mid = (low + high) // 2
+                # probes that are decided matter for their cuts alone
+                cuts = probe(mid, limits[-1]) if step == len(reached) or bounded and reached[step] else []
+                if step == len(reached):
+                    if cuts[-1][0] < self.n <= cuts[-1][1]:
+                        break
+                    reached.append(cuts[-1][0] == self.n)
+                if reached[step]:
+                    high, limits = mid, [*limits, cuts] if bounded else limits
+                else:
+                    low = mid + 1
+                step += 1
+            else:
+                # of the least feasible bound, cuts are limited by those that its probe came to before
+                cuts = known[-1] = self.probe(high, limits[-1], known.get(-1))
+                if all(a == b for a, b in cuts):
+                    return [a for a, _ in cuts]
+            some = [cuts]
+            for limit in reversed(limits):
+                some.append(limit)
+                if all(a == b for a, b in limit):
+                    break
+            self._refine(some)
+
+
 def diagonal(a: SparseMatrix) -> LocalDiagonal | TableDiagonal:
     form = diagonal_form(a).cache()
     try:
@@ -305,12 +410,14 @@ def pal(a: SparseMatrix, parts: int, bounded: bool = True) -> list[int]:
     If heavy single nonzeros make even the usual upper bound infeasible, the search goes on up to the total load.
     """
     a.require_non_negative()
-    x, n, total = diagonal(a), a.size, a.total_load()
-    integral = _is_integral(a)
+    x, n, integral = diagonal(a), a.size, _is_integral(a)
+    total = x.total() if integral else a.total_load()
     low, high = -(-total // parts**2), min(total, -(-total // parts) + n)
     limit = [n] * (parts + 1)
 
     def search(low, high, limit):
+        if grid:
+            return grid.search(low, high, parts, bounded)
         while low < high if integral else high - low > 1e-9 * max(1.0, total):
             mid = (low + high) // 2 if integral else (low + high) / 2
             cuts = diagonal_probe(x, mid, limit)
@@ -321,6 +428,7 @@ def pal(a: SparseMatrix, parts: int, bounded: bool = True) -> list[int]:
         return diagonal_probe(x, high, limit)
 
     try:
+        grid = GridSearch(x) if integral and isinstance(x, TableDiagonal) else None
         cuts = search(low, high, limit)
         return cuts if cuts[-1] >= n else search(high, total, [n] * (parts + 1))
     finally:

@@ -579,3 +579,18 @@ def test_registered_subgradient_queries_converge(spark):
     assert cuts("sgo_2dr_nic") == list(map(list, twod.nic(catalog.nn(spark, sf), 4, 4, start=polished[0])))
     best = min(grid(d, c, c).max() for c in ([0, *x, 25] for x in combinations(range(1, 25), 3)))
     assert grid(d, *cuts("sgo_2ds") * 2).max() <= 1.05 * best
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_grid_search_takes_few_jobs(spark, monkeypatch, seed):
+    """Cuts as of the probes on the driver, also with few marks and heavy nonzeros; jobs far fewer than probes have cuts."""
+    rng, n = np.random.default_rng(seed), 300
+    cells = [(int(i), int(j), int(w)) for i, j, w in zip(rng.integers(0, n, 6000) ** (1 + seed % 2) % n, rng.integers(0, n, 6000), rng.integers(0, 5, 6000) ** 3, strict=True)]
+    a = SparseMatrix(spark.createDataFrame(cells, "i long, j long, v long").coalesce(2), n, n, True)
+    want = twod.pal(a, 6), twod.opal(a, 5)
+    monkeypatch.setattr(twod, "LOCAL_NONZEROS", 0)
+    monkeypatch.setattr(twod, "EVEN_MARKS", 16)
+    monkeypatch.setattr(twod, "NEW_MARKS", 48)
+    made, mark = [], twod.GridSearch._mark
+    monkeypatch.setattr(twod.GridSearch, "_mark", lambda self, at: made.append(len(at)) or mark(self, at))
+    assert (twod.pal(a, 6), twod.opal(a, 5)) == want and 2 <= len(made) < 80
