@@ -52,6 +52,15 @@ class SparseMatrix:
         finally:
             a.df.unpersist()
 
+    @contextmanager
+    def dealt(self, axis: str) -> Iterator[SparseMatrix]:
+        """The same nonzeros by ranges of (position on the axis, other position) for steps that sum up by position: most positions lie in one task then, and heavy ones in several."""
+        df = self.df.repartitionByRange(axis, "j" if axis == "i" else "i").cache()
+        try:
+            yield replace(self, df=df)
+        finally:
+            df.unpersist()
+
     def with_data(self, weighted: bool) -> SparseMatrix:
         return replace(self, weighted=weighted)
 

@@ -24,6 +24,10 @@ LOCAL_CELLS = 8_000_000
 MARKS = 256
 #: Ranges of a round at most, and cuts that a probe without a number of parts looks for at a time.
 MOST_RANGES, PROBED = 256, 64
+#: Cells above which whole loads are searched in rows that aren't summed up by position first, and the new marks of all arrays together that a round of this sets.
+ROW_CELLS, ROW_MARKS = 262_144, 32_768
+#: Bounds that such a round tells apart where their cuts are far from each other, and old marks between two cuts that are.
+BOUNDS, WIDE = 8, 64
 
 
 class Prefixes(Protocol):
@@ -144,11 +148,14 @@ class TablePrefixes:
     def totals(self) -> tuple[float, float]:
         return self.marks[1][:, -1].max(), self.largest
 
+    def _cells(self) -> int:
+        return LOCAL_CELLS // 8
+
     def _marked(self, at: np.ndarray, prefix: np.ndarray, ranges: list[tuple[int, int]], kept: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         """Marks, with new ones at even distances in each range (a pair of old marks), by one job; old ones stay at the ends, and from the first of a kept pair to the one behind the second."""
         if not ranges:
             return at, prefix
-        room = max(MARKS, LOCAL_CELLS // 8 // max(1, self.stripes) // len(ranges))
+        room = max(MARKS, self._cells() // max(1, self.stripes) // len(ranges))
         spans = [(int(at[a]), int(at[b])) for a, b in ranges]
         # where ranges meet and don't shrink yet, at least their widest gaps do
         widths = [-(-min((b - a) / room, np.diff(at[i : j + 1]).max() / 4) // 1) for (a, b), (i, j) in zip(spans, ranges, strict=True)]
@@ -159,9 +166,9 @@ class TablePrefixes:
         of = lambda values: F.get(F.array(*(F.lit(int(v)) for v in values)), F.floor(F.col("_part") / 2).cast("int"))
         inside = self.sums.filter(F.col("pos").between(edges[0], edges[-1] - 1)).withColumn("_part", part_of("pos", [0, *edges, self.n])).filter("_part % 2 = 1")
         block = F.floor((F.col("pos") - of(a for a, _ in spans)) / of(widths)) + of(first[:-1])
-        got = inside.groupBy("q", block.cast("int").alias("block")).agg(F.sum("load").alias("load")).toPandas()
+        got = inside.groupBy("q", block.cast("int").alias("block")).agg(F.sum("load").alias("load")).toArrow()
         loads = np.zeros((self.stripes, int(first[-1])), prefix.dtype)
-        loads[got["q"].to_numpy(int), got["block"].to_numpy(int)] = got["load"].to_numpy(prefix.dtype)
+        loads[got["q"].to_numpy(), got["block"].to_numpy()] = got["load"].to_numpy().astype(prefix.dtype)
         stay = np.zeros(len(at), bool)
         stay[[0, -1]] = True
         for a, b in kept:
@@ -185,6 +192,10 @@ class TablePrefixes:
             out.append(here)
         return out
 
+    def _unclear(self, at: np.ndarray, prefix: np.ndarray, parts: int, low: float, high: float, near: list[int], far: list[int]) -> list[tuple[int, int]]:
+        """Pairs of marks, rising, between which the next round sets more."""
+        return list(zip(near, far, strict=True))
+
     def search(self, parts: int, low: float, high: float, begin: tuple[int, np.ndarray] | None = None) -> tuple[float, list[int], np.ndarray]:
         """The least feasible bound from low to high, its cuts and the prefix sums at them; if none below is, high and its cuts. begin: a position to start at and its prefix sums."""
         at, prefix = self.marks
@@ -199,7 +210,7 @@ class TablePrefixes:
             if near == far:
                 return high, at[near].tolist(), prefix[:, near]
             ranges: list[tuple[int, int]] = []
-            for a, b in zip(near, far, strict=True):
+            for a, b in self._unclear(at, prefix, parts, low, high, near, far):
                 if a < b and (np.diff(at[a : b + 1]) > 1).any():
                     if ranges and a <= ranges[-1][1]:
                         ranges[-1] = (ranges[-1][0], max(b, ranges[-1][1]))
@@ -228,11 +239,49 @@ class TablePrefixes:
         return cuts
 
 
+class RowPrefixes(TablePrefixes):
+    """The same over rows (q, pos, load) of whole loads of which many may share a position, such as the nonzeros of a held matrix, read again in every round.
+
+    Marks only need sums between them, so that a round moves as many sums as it sets marks, and never a sum for each position. The largest element isn't known before;
+    marks at its both sides tell that no smaller bound is feasible. ROW_MARKS keeps a task's sums few beside its rows; rounds after the first only take rows between some marks.
+    """
+
+    def __init__(self, rows: DataFrame, n: int, stripes: int):
+        self.n, self.stripes, self.integral, self.sums = n, stripes, True, rows
+        self.marks = self._marked(np.array([0, n]), np.zeros((stripes, 2), np.int64), [(0, 1)] if n else [], [])
+
+    def close(self) -> None:
+        pass
+
+    def _cells(self) -> int:
+        return min(ROW_MARKS, super()._cells())
+
+    def _unclear(self, at: np.ndarray, prefix: np.ndarray, parts: int, low: float, high: float, near: list[int], far: list[int]) -> list[tuple[int, int]]:
+        """Where the cuts of all bounds leave wide ranges, those that single bounds leave: marks there tell which of these bounds are feasible."""
+        pairs = super()._unclear(at, prefix, parts, low, high, near, far)
+        if 4 * self.stripes * sum(b - a for a, b in pairs) <= self._cells():
+            return pairs
+        bounds = sorted({low + (high - low) * k // (BOUNDS - 1) for k in range(BOUNDS)})
+        out = set()
+        for x in bounds:  # up to a wide range, which narrower ones before it may resolve
+            own = [pair for pair in zip(self._walk(at, prefix, x, parts, False), self._walk(at, prefix, x, parts, True), strict=True) if pair[0] < pair[1]]
+            out.update(own[: max(1, next((k for k, (a, b) in enumerate(own) if b - a > WIDE), len(own)))])
+        return sorted(out)
+
+    def totals(self) -> tuple[float, float]:
+        largest = self.sums.groupBy("q", "pos").agg(F.sum("load").alias("load")).agg(F.max("load").alias("m")).first().m
+        return self.marks[1][:, -1].max(), largest or 0
+
+    def bottleneck(self, parts: int) -> tuple[float, list[int]]:
+        total = int(self.marks[1][:, -1].max())
+        return self.search(parts, -(-total // parts), total)[:2]
+
+
 def prefixes_of(sums: DataFrame, n: int, stripes: int, integral: bool = True) -> Prefixes:
     """Sums (q, pos, load) as prefixes, on the driver if they fit."""
     if stripes * (n + 1) > LOCAL_CELLS:
         return TablePrefixes(sums, n, stripes, integral)
-    got = sums.select(F.col("q").cast("long"), F.col("pos").cast("long"), F.col("load").cast("long" if integral else "double")).toPandas()
+    got = sums.select(F.col("q").cast("long"), F.col("pos").cast("long"), F.col("load").cast("long" if integral else "double")).toArrow()
     a = np.zeros((stripes, n + 1), np.int64 if integral else np.float64)
     np.add.at(a, (got["q"].to_numpy(), got["pos"].to_numpy() + 1), got["load"].to_numpy())
     return LocalPrefixes(np.cumsum(a, 1))
@@ -277,6 +326,13 @@ def partition_sums(sums: DataFrame, n: int, stripes: int, parts: int, integral:
         x.close()
 
 
+def partition_rows(rows: DataFrame, n: int, stripes: int, parts: int, integral: bool = True, by_value: bool = False) -> list[int]:
+    """partition_sums of rows (q, pos, load) that may share a position. Above ROW_CELLS cells, whole loads aren't summed up by position."""
+    if stripes * (n + 1) > min(ROW_CELLS, LOCAL_CELLS) and dict(rows.dtypes)["load"] in ("tinyint", "smallint", "int", "bigint"):
+        return partition(RowPrefixes(rows, n, stripes), parts, by_value)
+    return partition_sums(rows.groupBy("q", "pos").agg(F.sum("load").alias("load")), n, stripes, parts, integral, by_value)
+
+
 def partition_values(values: Sequence, parts: int) -> list[int]:
     """Optimal cuts of one array of loads."""
     values = np.asarray(values)

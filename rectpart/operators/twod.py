@@ -5,6 +5,7 @@ Every step over the nonzeros is a Spark job that returns sums by position and st
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable
 
@@ -93,17 +94,39 @@ def nic(a: SparseMatrix, p_parts: int, q_parts: int = 0, max_iter: int = 0, by_v
 
 
 def _refined(a: SparseMatrix, tries: list[tuple[str, Cuts, int]], full: bool) -> list[list[int]]:
-    """One refinement of each (axis, cuts, parts): positions of the axis weighed by their largest load in a part of the other (full: by all loads at once). One pass over the nonzeros."""
+    """One refinement of each (axis, cuts, parts): positions of the axis weighed by their largest load in a part of the other (full: by all loads at once).
+
+    One pass over the nonzeros and one job for as many as the driver holds together; beyond L.FEW of them in a job, their loads are told apart by number.
+    """
     n, integral = a.size, _is_integral(a)
-    sums = L.many_stripe_sums(a, [(axis, cuts) for axis, cuts, _ in tries], full)
     stripes = [len(cuts) - 1 if full else 1 for _, cuts, _ in tries]
-    if sum(stripes) * (n + 1) > oned.LOCAL_CELLS:
-        return [oned.partition_sums(sums.filter(F.col("c") == c), n, stripes[c], parts, integral) for c, (*_, parts) in enumerate(tries)]
-    got = sums.select("c", "q", F.col("pos").cast("long"), F.col("load").cast("long" if integral else "double")).toPandas()
+    out: list[list[int]] = []
+    while len(out) < len(tries):
+        fits = [sum(stripes[len(out) : end]) * (n + 1) <= oned.LOCAL_CELLS for end in range(len(out) + 1, len(tries) + 1)]
+        now = tries[len(out) : len(out) + max(1, sum(fits))]
+        axis, cuts, parts = now[0]
+        if full and len(now) == 1:
+            out.append(oned.partition_rows(L.stripe_rows(a, cuts, axis), n, stripes[len(out)], parts, integral))
+        elif not fits[0]:
+            out.append(oned.partition_sums(L.row_max_sums(a, cuts, axis).withColumn("q", F.lit(0)), n, 1, parts, integral))
+        else:
+            out += _refined_locally(a, now, full, integral)
+    return out
+
+
+def _refined_locally(a: SparseMatrix, tries: list[tuple[str, Cuts, int]], full: bool, integral: bool) -> list[list[int]]:
+    n, few = a.size, len(tries) <= L.FEW
+    if few and not full:
+        each = [L.row_max_sums(a, cuts, axis).select(F.lit(c).alias("c"), F.lit(0).alias("q"), "pos", "load") for c, (axis, cuts, _) in enumerate(tries)]
+        sums = functools.reduce(DataFrame.unionAll, each)
+    else:
+        sums = L.many_stripe_sums(a, [(axis, cuts) for axis, cuts, _ in tries], full)
+    got = sums.select("c", "q", F.col("pos").cast("long"), F.col("load").cast("long" if integral else "double")).toArrow()
+    got = {name: got.column(name).to_numpy() for name in got.column_names}
     out = []
-    for c, (*_, parts) in enumerate(tries):
-        own, grid = got[got["c"] == c], np.zeros((stripes[c], n + 1), np.int64 if integral else np.float64)
-        grid[own["q"].to_numpy(int), own["pos"].to_numpy(int) + 1] = own["load"].to_numpy(grid.dtype)
+    for c, (_, cuts, parts) in enumerate(tries):
+        own, grid = got["c"] == c, np.zeros((len(cuts) - 1 if full else 1, n + 1), np.int64 if integral else np.float64)
+        grid[got["q"][own], got["pos"][own] + 1] = got["load"][own]
         out.append(oned.partition(oned.LocalPrefixes(np.cumsum(grid, 1)), parts))
     return out
 
@@ -121,6 +144,13 @@ def _rac(a: SparseMatrix, tries: list[int], max_iter: int, nic_ref: bool, best:
     cuts = [first[2 * t + (axis == "j")] for t, axis in enumerate(axes)]
     seen = [(loads[2 * t + (axis == "j")], cuts[t]) for t, axis in enumerate(axes)]
     left = [max_iter or max(10, k) for k in tries]
+    if len(set(axes)) > 1 or nic_ref:
+        return _rac_steps(a, tries, axes, cuts, seen, left, nic_ref, best)
+    with a.dealt(axes[0]) as dealt:
+        return _rac_steps(dealt, tries, axes, cuts, seen, left, nic_ref, best)
+
+
+def _rac_steps(a: SparseMatrix, tries: list[int], axes: list[str], cuts: list[list[int]], seen: list[tuple[float, list[int]]], left: list[int], nic_ref: bool, best: bool) -> list[list[int]]:
     going = list(range(len(tries)))
     while going := [t for t in going if left[t] > 1]:
         new = _refined(a, [(axes[t], cuts[t], tries[t]) for t in going], nic_ref)

@@ -5,6 +5,7 @@ from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rectpart.functions.parts import part_of, register
 from rectpart.model import SparseMatrix, is_cut_vector
@@ -563,6 +564,20 @@ def test_fewest_parts_in_few_rounds_and_rac_in_few_jobs(spark, square):
     assert jobs <= 40
 
 
+def test_refinements_hold_their_nonzeros_by_axis(spark, square, monkeypatch):
+    """rac: no saved table where each direction fits on the driver, if not both together; the steps read nonzeros dealt by ranges of the axis, and positions' loads are columns of one row."""
+    want = [twod.rac(square, 4), twod.rac(square, 4, nic_ref=True), twod.pbi(square, 4)]
+    dealt, old = [], SparseMatrix.dealt
+    monkeypatch.setattr(SparseMatrix, "dealt", lambda self, axis: dealt.append(axis) or old(self, axis))
+    monkeypatch.setattr(oned, "LOCAL_CELLS", 40)
+    monkeypatch.setattr(oned.TablePrefixes, "__init__", None)
+    assert [twod.rac(square, 4), twod.rac(square, 4, nic_ref=True)] == want[:2] and len(dealt) == 1
+    assert twod.pbi(square, 4) == want[2]
+    one = {r.pos: r.load for r in loads.row_max_sums(square, [0, 4, 4, 9, 30, 30]).collect()}
+    monkeypatch.setattr(loads, "MOST_SUMS", 0)
+    assert one == {r.pos: r.load for r in loads.row_max_sums(square, [0, 4, 4, 9, 30, 30]).collect()}
+
+
 def test_registered_subgradient_queries_converge(spark):
     sf = "/root/testdata/sf0.001"
     d, made = dense(catalog.nn(spark, sf)), catalog.queries()
