@@ -17,7 +17,6 @@ from rectpart.functions.parts import part_of
 from rectpart.model import Cuts, SparseMatrix
 from rectpart.operators import loads as L
 from rectpart.operators import oned
-from rectpart.operators.loads import stripe_sums
 from rectpart.operators.scan import Scratch
 
 #: Nonzeros, compacted, up to which diagonal probing runs on the driver.
@@ -77,14 +76,14 @@ def nic(a: SparseMatrix, p_parts: int, q_parts: int = 0, max_iter: int = 0, by_v
     held = SparseMatrix(a.loads().groupBy("i", "j").agg(F.sum("w").alias("v"), F.count("*").alias("n")).cache(), a.n_rows, a.n_cols, True)
     try:
         if start is None:
-            counts = held.df.groupBy(F.col("i").alias("pos")).agg(F.sum("n").alias("load")).select(F.lit(0).alias("q"), "pos", "load")
-            start = oned.partition_sums(counts, a.n_rows, 1, p_parts, by_value=by_value)
+            counts = held.df.select(F.lit(0).alias("q"), F.col("i").alias("pos"), F.col("n").alias("load"))
+            start = oned.partition_rows(counts, a.n_rows, 1, p_parts, by_value=by_value)
         cuts = {"i": list(start), "j": list(start)}
         sizes, parts = {"i": a.n_rows, "j": a.n_cols}, {"i": p_parts, "j": q_parts}
         for step in range(1, limit + 1):
             axis, other = ("j", "i") if step % 2 else ("i", "j")
-            sums = stripe_sums(held, cuts[other], axis)
-            new = oned.partition_sums(sums, sizes[axis], len(cuts[other]) - 1, parts[axis], integral, by_value)
+            rows = L.stripe_rows(held, cuts[other], axis)
+            new = oned.partition_rows(rows, sizes[axis], len(cuts[other]) - 1, parts[axis], integral, by_value)
             same, cuts[axis] = new == cuts[axis], new
             if same:
                 break

@@ -129,3 +129,27 @@ def test_jobs_of_a_long_table(spark, monkeypatch):
         cuts, jobs = jobs_of(spark, lambda df=df, n=n: D.partition_sums(df, n, 1, 8))
         values = (np.arange(n) * 7919) % 101
         assert cuts == D.partition_values(values, 8) and jobs <= 40
+
+
+@pytest.mark.parametrize("kind", ["even", "sparse", "one heavy", "falling", "blocks"])
+def test_rows_that_share_positions(spark, kind, monkeypatch):
+    """Loads in pieces are searched by few marks a round: no sum for each position, no table, and the cuts of the driver's search."""
+    loads, sums = some_sums(5, 3, 3000, "even" if kind == "blocks" else kind)
+    if kind == "blocks":
+        sums = sums[sums["pos"] // 1000 == sums["q"]]
+    near = D.partition_sums(spark.createDataFrame(sums), 3000, 3, 5)
+    rows = spark.createDataFrame(pd.concat([sums, sums, sums.assign(load=sums["load"] % 3)]))
+    want = D.partition_sums(rows.groupBy("q", "pos").agg({"load": "sum"}).withColumnRenamed("sum(load)", "load"), 3000, 3, 5)
+    monkeypatch.setattr(D, "MARKS", 8)
+    monkeypatch.setattr(D, "ROW_CELLS", 100)
+    monkeypatch.setattr(D, "ROW_MARKS", 192)
+    monkeypatch.setattr(D, "WIDE", 4)
+
+    def none(*_):
+        raise AssertionError("a sum for each position")
+
+    monkeypatch.setattr(D, "prefixes_of", none)
+    assert D.partition_rows(spark.createDataFrame(sums), 3000, 3, 5) == near
+    cuts, jobs = jobs_of(spark, lambda: D.partition_rows(rows, 3000, 3, 5))
+    assert cuts == want and jobs <= 40
+    assert D.partition_rows(rows.limit(0), 3000, 3, 2) == [0, 3000, 3000]
