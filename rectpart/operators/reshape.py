@@ -72,10 +72,12 @@ def rcm_order(a: SparseMatrix, reverse: bool = True) -> DataFrame:
     """
     a.require_square()
     n, scratch = a.n_rows, Scratch(a.df.sparkSession)
-    number = scratch.save(ranked(degrees(a), [F.asc("degree"), F.asc("id")]), "numbers")
-    edge = a.df.select("i", "j").filter("i != j")
+    pairs = scratch.save(a.df.select("i", "j"), "pairs")  # read twice
+    number = scratch.save(ranked(degrees(SparseMatrix(pairs, n, n)), [F.asc("degree"), F.asc("id")]), "numbers")
+    edge = pairs.filter("i != j")
     one, two = (number.select(F.col("old").alias(old), F.col("new").alias(new)) for old, new in (("i", "x"), ("j", "y")))
     edges = scratch.save(edge.unionAll(edge.select("j", "i")).distinct().join(one, "i").join(two, "j").select("x", "y"), "edges")
+    scratch.drop("pairs")
     part = scratch.save(components(edges, number.select(F.col("new").alias("x")), scratch), "parts")
     level = scratch.save(part.filter("x = c").select("x", F.col("x").alias("place"), F.lit(0).alias("level")), "level0")
     before, turn = level.limit(0), 0

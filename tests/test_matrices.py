@@ -270,6 +270,18 @@ def test_rcm_of_many_components(spark):
     assert jobs[1] <= jobs[0] + 6
 
 
+def test_rcm_reads_its_matrix_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(50).selectExpr("id i", "(id * 7) % 50 j", "1L v").mapInArrow(counted, "i long, j long, v long")
+    assert reshape.rcm_order(SparseMatrix(df, 50, 50)).count() == 50 and rows.value == 50
+
+
 def test_permute_with_a_map_that_lacks_ids(spark, square):
     part = reshape.natural_order(spark, 30).filter("old != 7")
     with pytest.raises(Exception, match="lacks id 7"):
