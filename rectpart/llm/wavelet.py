@@ -4,8 +4,8 @@ A shard's postings stand one list after another, each list by falling impact. A
 at a time, and keeps their order: below any node, which is a range of documents, a list's postings are again a range and again stand by falling impact. So a list can be
 walked by document although it's stored by impact, and the first posting of its range bounds what the list can add to any document of the node. A search takes the
 nodes with the highest sums of bounds first and goes on to their halves, in which all lists are intersected with the node's documents at once; at a single
-document the bound is its score. It ends when no node can reach the k-th best score known. Shards that a task has searched lend their k-th best scores to the next
-ones, and their results are merged.
+document the bound is its score. It ends when no node can reach the k-th best score known. Trees that a task has searched lend their k-th best scores to the next
+ones, and their results are merged. Shards are stored small, and a task plants shards that follow each other as one tree.
 """
 
 from __future__ import annotations
@@ -25,9 +25,12 @@ from rectpart.operators.scan import Scratch, arrow_rows
 #: Fixed values of the score: saturation of a term's occurrences, part of it that goes by a document's length (percent), and the whole numbers in which it's reckoned.
 SATURATION, BY_LENGTH, UNIT = 12, 25, 1_000_000_000
 TOP = 20
-#: Bytes of text in a shard (a longer document is one of its own) and in a block of queries, which each task gets whole.
-SHARD_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
-ROWS = 1000
+#: Bytes of text in a shard (a longer document is one of its own) and in a block of queries, which each task gets whole. The JVM holds a shard as a row, several times over.
+SHARD_BYTES, BLOCK_BYTES = 1 << 18, 1 << 20
+#: Documents that are read at a time, and so the most of a shard.
+ROWS = 256
+#: Documents and postings of a tree, but for its last shard.
+TREE_SIZE = 1 << 17
 #: Nodes that a search takes at a time: few at first, more as it goes on.
 FEWEST, MOST = 16, 512
 #: Groups in which an item's results are merged before the last merge.
@@ -53,7 +56,7 @@ def build_shards(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
                      pa.array([doc.astype("<u4").tobytes()]), pa.array([tf.astype("<u4").tobytes()])], names=["docs", "sizes", "terms", "dfs", "doc", "tf"],
                 )
 
-    with arrow_rows(docs.sparkSession, ROWS):
+    with arrow_rows(docs.sparkSession, ROWS, read=True):
         return scratch.save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(shard, SHARDS), "shards", large_rows=True)
 
 
@@ -70,11 +73,12 @@ def weight(df: int, n_docs: int) -> int:
 
 
 class Tree:
-    """Postings of a shard as a wavelet tree over document numbers, with impacts at every level. Documents are numbered by id, so that of equal scores the smaller number wins."""
+    """Postings of some shards as a wavelet tree over document numbers, with impacts at every level. Documents are numbered by id, so that of equal scores the smaller number wins."""
 
     def __init__(self, ends: np.ndarray, doc: np.ndarray, impact: np.ndarray, n_docs: int):
         """ends: where each term's list ends; doc and impact: the postings, list after list in any order."""
-        term = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        self.sizes = np.diff(ends, prepend=0)
+        term = np.repeat(np.arange(len(ends)), self.sizes)
         order = np.lexsort((doc, -impact, term))
         self.ends, self.n_docs = ends, n_docs
         self.levels = max(1, (n_docs - 1).bit_length())
@@ -134,9 +138,43 @@ class Tree:
             lo, hi = np.concatenate([lo[rest], a[go]]), np.concatenate([hi[rest], b[go]])
 
 
+def plant(batches: Iterator[pa.RecordBatch], known: pa.LargeBinaryArray, asked: np.ndarray, n_docs: int, n_terms: int, most: int) -> Iterator[tuple[Tree, np.ndarray, np.ndarray]]:
+    """Trees of the lists of asked terms, numbered as in `known`, over shards that follow each other; for each, ids of its documents by number, and which of them are null. A tree ends
+    with the shard with which its documents and postings reach `most`."""
+    held: list[tuple] = []
+    docs = size = 0
+
+    def tree() -> tuple[Tree, np.ndarray, np.ndarray]:
+        ids = pa.concat_arrays([x[0] for x in held])
+        term, doc, impact = (np.concatenate([x[c] for x in held]) for c in (1, 2, 3))
+        order = pc.array_sort_indices(ids, order="ascending", null_placement="at_end").to_numpy()
+        by_term = np.argsort(term, kind="stable")
+        ends = np.cumsum(np.bincount(term, minlength=len(known)))
+        return Tree(ends, np.argsort(order)[doc[by_term]], impact[by_term], len(ids)), pc.fill_null(ids, 0).to_numpy()[order], ids.is_null().to_numpy(zero_copy_only=False)[order]
+
+    for batch in batches:
+        for row in range(len(batch)):
+            ids, sizes, here, dfs = (batch.column(c)[row].values for c in range(4))
+            local = pc.fill_null(pc.index_in(known, value_set=here.cast(pa.large_binary())), -1).to_numpy(zero_copy_only=False)
+            use = np.flatnonzero(asked & (local >= 0))
+            if not len(use):
+                continue
+            code = np.full(len(here), -1)
+            code[local[use]] = use
+            term = np.repeat(code, dfs.to_numpy())
+            doc, tf = (np.frombuffer(batch.column(c)[row].as_py(), "<u4").astype(np.int64)[term >= 0] for c in (4, 5))
+            held.append((ids, term[term >= 0], doc + docs, impacts(tf, sizes.to_numpy()[doc], n_docs, n_terms)))
+            docs, size = docs + len(ids), size + len(ids) + len(doc)
+            if size >= most:
+                yield tree()
+                held, docs, size = [], 0, 0
+    if held:
+        yield tree()
+
+
 def _document_counts(shards: DataFrame, some: DataFrame) -> DataFrame:
-    """term, df over all shards, for the terms of a table."""
-    each = shards.select(F.inline(F.arrays_zip("terms", "dfs"))).join(some, F.col("terms") == F.col("term"), "left_semi")
+    """term, df over all shards, for the terms of a table that goes to all tasks."""
+    each = shards.select(F.inline(F.arrays_zip("terms", "dfs"))).join(F.broadcast(some), F.col("terms") == F.col("term"), "left_semi")
     return each.groupBy(F.col("terms").alias("term")).agg(F.sum("dfs").alias("df"))
 
 
@@ -165,34 +203,18 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = TOP, id_col: str = "doc_i
         queries = [np.unique(code[a:b], return_counts=True) for a, b in zip(before, before[1:], strict=False)]
         sent = spark.sparkContext.broadcast((known, weights, queries, n_docs, n_terms))
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, most=TREE_SIZE) -> Iterator[pa.RecordBatch]:
             known, weights, queries, n_docs, n_terms = sent.value
             best: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))] * len(queries)  # ids, whether null, scores
-            for batch in batches:
-                for row in range(len(batch)):
-                    ids, sizes, here, dfs = (batch.column(c)[row].values for c in range(4))
-                    if not len(here):
-                        continue
-                    doc, tf = (np.frombuffer(batch.column(c)[row].as_py(), "<u4").astype(np.int64) for c in (4, 5))
-                    order = pc.array_sort_indices(ids, order="ascending", null_placement="at_end").to_numpy()
-                    place = np.argsort(order)
-                    lone, ids = ids.is_null().to_numpy(zero_copy_only=False)[order], pc.fill_null(ids, 0).to_numpy()[order]
-                    # the tree holds the lists that this block asks for
-                    local = pc.fill_null(pc.index_in(known, value_set=here.cast(pa.large_binary())), -1).to_numpy(zero_copy_only=False)
-                    dfs = dfs.to_numpy()
-                    asked = np.isin(np.arange(len(dfs)), local[weights > 0])
-                    local = np.where(local < 0, -1, (np.cumsum(asked) - 1)[local])
-                    part = np.repeat(asked, dfs)
-                    doc, tf = doc[part], tf[part]
-                    tree = Tree(np.cumsum(dfs[asked]), place[doc], impacts(tf, sizes.to_numpy()[doc], n_docs, n_terms), len(ids))
-                    for q, (term, times) in enumerate(queries):
-                        use = (local[term] >= 0) & (weights[term] > 0)
-                        if use.any():
-                            had = best[q]
-                            found, score = tree.search(local[term][use], (weights[term] * times)[use], k, int(had[2][-1]) if len(had[2]) == k else 1)
-                            merged = [np.concatenate(x) for x in zip(had, (ids[found], lone[found], score), strict=True)]
-                            top = np.lexsort((merged[0], merged[1], -merged[2]))[:k]
-                            best[q] = tuple(x[top] for x in merged)
+            for tree, ids, lone in plant(batches, known, weights > 0, n_docs, n_terms, most):
+                for q, (term, times) in enumerate(queries):
+                    use = tree.sizes[term] > 0
+                    if use.any():
+                        had = best[q]
+                        found, score = tree.search(term[use], (weights[term] * times)[use], k, int(had[2][-1]) if len(had[2]) == k else 1)
+                        merged = [np.concatenate(x) for x in zip(had, (ids[found], lone[found], score), strict=True)]
+                        top = np.lexsort((merged[0], merged[1], -merged[2]))[:k]
+                        best[q] = tuple(x[top] for x in merged)
             for q, (ids, lone, score) in enumerate(best):
                 if len(ids):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), q, np.int32)), pa.array(ids, mask=lone), pa.array(score)], names=["item", "doc_id", "score"])

@@ -24,15 +24,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Rows that Spark sends to a Python worker at a time, for the jobs within: few where each holds whole texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+def arrow_rows(spark: SparkSession, rows: int, read: bool = False) -> Iterator[None]:
+    """Rows that Spark sends to a Python worker at a time, for the jobs within: few where each holds whole texts. read: Parquet's reader, too, decodes no more at a time."""
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", *["spark.sql.parquet.columnarReaderBatchSize"] * read]
+    before = {key: spark.conf.get(key) for key in keys}
+    for key, x in before.items():
+        spark.conf.set(key, str(min(rows, int(x)) if int(x) > 0 else rows))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, x in before.items():
+            spark.conf.set(key, x)
 
 
 #: How rows of MBs are written.
