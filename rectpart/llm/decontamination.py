@@ -1,8 +1,8 @@
 """Exact and near matches of test texts in documents by a distributed positional inverted index.
 
-The index is a table with a row for each segment, some MB of whole documents: their ids and lengths, the distinct terms, and for each term its posting list, the
+The index is a table with a row for each segment, some whole documents: their ids and lengths, the distinct terms, and for each term its posting list, the
 rising positions at which it stands. Positions run through the segment with one left out between documents, so that no match crosses them. Segments are made
-where documents are read and nothing is shuffled. A search sends the test texts to all segments, a bounded block at a time. For a phrase, each term's list is moved by the term's
+where documents are read and nothing is shuffled. A search sends the test texts to all segments, a bounded block at a time; a task joins the lists of segments that follow each other. For a phrase, each term's list is moved by the term's
 offset in the phrase, and the lists are intersected from the segment's rarest term on; phrases with a term that the segment lacks fall out before.
 """
 
@@ -21,9 +21,12 @@ from rectpart.llm import terms, textops
 from rectpart.operators.scan import Scratch, arrow_rows
 
 WINDOW = 10
-#: Bytes of text in a segment (a longer document is one of its own) and in a block of test texts, which each task gets whole.
-SEGMENT_BYTES, BLOCK_BYTES = 8 << 20, 1 << 20
-ROWS = 1000
+#: Bytes of text in a segment (a longer document is one of its own) and in a block of test texts, which each task gets whole. The JVM holds a segment as a row, several times over.
+SEGMENT_BYTES, BLOCK_BYTES = 1 << 18, 1 << 20
+#: Documents that are read at a time, and so the most of a segment.
+ROWS = 256
+#: Documents and positions of asked terms that are searched at a time, but for the last segment of them.
+JOINED = 1 << 19
 INDEX = "segment long, docs array<long>, sizes array<long>, terms array<binary>, counts array<int>, positions binary"
 MATCHES = "segment long, doc int, doc_id long, item_id string, first long, last long"
 
@@ -47,12 +50,12 @@ def build_index(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
                 )
                 number += 1
 
-    with arrow_rows(docs.sparkSession, ROWS):
+    with arrow_rows(docs.sparkSession, ROWS, read=True):
         return scratch.save(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(index, INDEX), name, large_rows=True)
 
 
 class Segment:
-    """The posting lists of a segment. Lists stand one after another by term, so that (term, position) rises through all of them and one search finds any posting."""
+    """The posting lists of a segment, or of several as one. Lists stand one after another by term, so that (term, position) rises through all of them and one search finds any posting."""
 
     def __init__(self, known: pa.Array, counts: np.ndarray, positions: np.ndarray, sizes: np.ndarray):
         self.terms, self.counts = known, counts.astype(np.int64)
@@ -126,6 +129,38 @@ class Segment:
         return sorted(found)
 
 
+def joined(batches: Iterator[pa.RecordBatch], asked: pa.LargeBinaryArray, most: int) -> Iterator[tuple[Segment, pa.Array, np.ndarray, np.ndarray]]:
+    """Segments that follow each other as one, with the lists of asked terms only; and of each of its documents the id, the segment's number and the place there. A join ends with the
+    segment with which its documents and positions reach `most`."""
+    held: list[tuple] = []
+    width = size = 0
+
+    def one() -> tuple[Segment, pa.Array, np.ndarray, np.ndarray]:
+        ids = pa.concat_arrays([x[0] for x in held])
+        number, place, sizes, term, position = (np.concatenate([x[c] for x in held]) for c in range(1, 6))
+        counts = np.bincount(term, minlength=len(asked))
+        return Segment(asked.filter(pa.array(counts > 0)), counts[counts > 0], position[np.argsort(term, kind="stable")], sizes), ids, number, place
+
+    for batch in batches:
+        for k in range(len(batch)):
+            number, docs, sizes, known, counts, positions = (batch.column(c)[k] for c in range(6))
+            local = pc.fill_null(pc.index_in(asked, value_set=known.values.cast(asked.type)), -1).to_numpy(zero_copy_only=False)
+            use = np.flatnonzero(local >= 0)
+            if not len(use):
+                continue
+            code = np.full(len(known.values), -1)
+            code[local[use]] = use
+            term = np.repeat(code, counts.values.to_numpy())
+            sizes, position = sizes.values.to_numpy(), np.frombuffer(positions.as_py(), "<u4").astype(np.int64)[term >= 0]
+            held.append((docs.values, np.full(len(sizes), number.as_py()), np.arange(len(sizes)), sizes, term[term >= 0], position + width))
+            width, size = width + int((sizes + 1).sum()), size + len(sizes) + len(position)
+            if size >= most:
+                yield one()
+                held, width, size = [], 0, 0
+    if held:
+        yield one()
+
+
 class Block:
     """A bounded block of test texts: the windows of `window` words of each item, or one window of a shorter item's words, equal windows once."""
 
@@ -185,18 +220,15 @@ def find(index: DataFrame, items: DataFrame, scratch: Scratch, window: int = WIN
         got = rows.collect()
         sent = spark.sparkContext.broadcast(Block([r.id for r in got], [r.text for r in got], window))
 
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch], sent=sent, most=JOINED) -> Iterator[pa.RecordBatch]:
             block = sent.value
-            for batch in batches:
-                for k in range(len(batch)):
-                    segment, docs, sizes, known, counts, positions = (batch.column(c)[k] for c in range(6))
-                    one = Segment(known.values, counts.values.to_numpy(), np.frombuffer(positions.as_py(), "<u4"), sizes.values.to_numpy())
-                    hits = np.array(list(block.exact(one) if span is None else block.near(one, span)), np.int64).reshape(-1, 3)
-                    doc = np.searchsorted(one.docs, hits[:, 1], "right") - 1
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(hits), segment.as_py())), pa.array(doc.astype(np.int32)), docs.values.take(pa.array(doc)), pa.array([block.ids[i] for i in hits[:, 0].tolist()], pa.string()),
-                         pa.array(hits[:, 1] - one.docs[doc]), pa.array(hits[:, 2] - one.docs[doc])], names=["segment", "doc", "doc_id", "item_id", "first", "last"],
-                    )
+            for one, docs, number, place in joined(batches, block.terms, most):
+                hits = np.array(list(block.exact(one) if span is None else block.near(one, span)), np.int64).reshape(-1, 3)
+                doc = np.searchsorted(one.docs, hits[:, 1], "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(number[doc]), pa.array(place[doc].astype(np.int32)), docs.take(pa.array(doc)), pa.array([block.ids[i] for i in hits[:, 0].tolist()], pa.string()),
+                     pa.array(hits[:, 1] - one.docs[doc]), pa.array(hits[:, 2] - one.docs[doc])], names=["segment", "doc", "doc_id", "item_id", "first", "last"],
+                )
 
         with arrow_rows(spark, 1):
             parts.append(scratch.save(index.mapInArrow(search, MATCHES), f"matches{'' if span is None else span}_{k}"))

@@ -225,16 +225,41 @@ def test_shards_that_follow_each_other_are_one_tree(spark, monkeypatch):
     assert sorted(found.tolist()) in ([0, 1, 3, 4], [0, 2, 3, 4])
 
 
-def test_little_of_a_table_is_in_the_jvm_at_once(spark, monkeypatch):
+@pytest.mark.parametrize("most", [1, 40])
+def test_decontamination_in_many_joins(spark, most, monkeypatch):
+    monkeypatch.setattr(decontamination, "SEGMENT_BYTES", 300)
+    monkeypatch.setattr(decontamination, "JOINED", most)
+    docs = some_texts(9, 60) + ODD
+    got = decontamination.decontaminate(spark.createDataFrame(docs, DOCS).coalesce(1), spark.createDataFrame(ITEMS, "item_id string, text string"), 3)
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items, r.item_ids) for r in got.collect()), key=repr) == contaminated(docs, ITEMS, 3)
+
+
+def test_segments_that_follow_each_other_are_joined(spark, monkeypatch):
+    """With asked terms only; each document keeps its segment's number and its place there, and no phrase crosses from one to the next."""
+    monkeypatch.setattr(decontamination, "SEGMENT_BYTES", 12)
+    docs = [(9, "a b other words"), (None, "b b"), (3, "a"), (8, "none of these"), (3, "b a b"), (1, "b")]
+    table = decontamination.build_index(spark.createDataFrame(docs, DOCS).coalesce(1), Scratch(spark)).toArrow()
+    block = decontamination.Block(["i"], ["a b absent"], 2)
+    joins = lambda most: list(decontamination.joined(iter(table.to_batches(max_chunksize=2)), block.terms, most))
+    assert len(table) == 4 and len(joins(1)) == 3 and len(joins(1 << 20)) == 1
+    one, ids, number, place = joins(1 << 20)[0]
+    assert ids.to_pylist() == [9, None, 3, 3, 1] and place.tolist() == [0, 0, 1, 0, 1] and len(set(number.tolist())) == 3
+    assert sorted(one.terms.to_pylist()) == [b"a", b"b"] and one.counts.sum() == 9
+    hits = sorted(block.exact(one))
+    assert [(int(ids[int(d)].as_py()), first - int(one.docs[d])) for _, first, _ in hits for d in [np.searchsorted(one.docs, first, "right") - 1]] == [(9, 0), (3, 1)]
+
+
+@pytest.mark.parametrize("made", ["index", "shards"])
+def test_little_of_a_table_is_in_the_jvm_at_once(spark, monkeypatch, made):
     """Neither rows of MBs in the index, nor thousands of whole texts in Parquet's reader."""
     reader, seen = "spark.sql.parquet.columnarReaderBatchSize", []
     before, save = spark.conf.get(reader), Scratch.save
     monkeypatch.setattr(Scratch, "save", lambda self, *a, **b: (seen.append(int(spark.conf.get(reader))), save(self, *a, **b))[1])
     docs = spark.range(900, numPartitions=1).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 600), x -> hash(x, id)))").alias("text"))
-    table = wavelet.build_shards(docs, Scratch(spark))
+    table = decontamination.build_index(docs, Scratch(spark)) if made == "index" else wavelet.build_shards(docs, Scratch(spark))
     groups = [g.row_group(k).total_byte_size for f in table.inputFiles() for g in [pq.ParquetFile(unquote(urlparse(f).path)).metadata] for k in range(g.num_row_groups)]
     assert sum(groups) > 4 << 20 and max(groups) < 1 << 20
-    assert seen == [wavelet.ROWS] and wavelet.ROWS < int(before) == int(spark.conf.get(reader))
+    assert seen == [256] and 256 < int(before) == int(spark.conf.get(reader))
 
 
 def test_counts_of_asked_terms_shuffle_no_index(spark):
