@@ -35,12 +35,13 @@ TREE_SIZE = 1 << 17
 FEWEST, MOST = 16, 512
 #: Groups in which an item's results are merged before the last merge.
 SALTS = 64
-SHARDS = "docs array<long>, sizes array<long>, terms array<binary>, dfs array<int>, doc binary, tf binary"
+SHARDS = "docs array<long>, sizes array<long>, terms binary, ends binary, dfs binary, doc binary, tf binary"
 FOUND = "item int, doc_id long, score long"
 
 
 def build_shards(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A saved table with a row for each shard: ids and numbers of terms of its documents, its distinct terms, and for each of these its documents (by place) and occurrences there."""
+    """A saved table with a row for each shard: ids and numbers of terms of its documents, its distinct terms (their bytes and where each ends), and for each of these its documents (by place) and occurrences there. What has an entry a term or posting is bytes, so that the
+    JVM makes no objects of them."""
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -50,10 +51,11 @@ def build_shards(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
                 known, code = terms.coded(words)
                 key, tf = np.unique(code.astype(np.int64) * (j - i) + np.repeat(np.arange(j - i), np.diff(before)), return_counts=True)
                 term, doc = np.divmod(key, j - i)
-                one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(kind))
+                data, ends = textops.buffers(known)
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(pa.int64()))
+                packed = [pa.array([x.astype("<u4").tobytes()]) for x in (ends[1:], np.bincount(term, minlength=len(known)), doc, tf)]
                 yield pa.RecordBatch.from_arrays(
-                    [one(batch.column(0).slice(i, j - i), pa.int64()), one(pa.array(np.diff(before)), pa.int64()), one(known, pa.binary()), one(pa.array(np.bincount(term, minlength=len(known))), pa.int32()),
-                     pa.array([doc.astype("<u4").tobytes()]), pa.array([tf.astype("<u4").tobytes()])], names=["docs", "sizes", "terms", "dfs", "doc", "tf"],
+                    [one(batch.column(0).slice(i, j - i)), one(pa.array(np.diff(before))), pa.array([data.tobytes()], pa.binary()), *packed], names=["docs", "sizes", "terms", "ends", "dfs", "doc", "tf"],
                 )
 
     with arrow_rows(docs.sparkSession, ROWS, read=True):
@@ -138,6 +140,17 @@ class Tree:
             lo, hi = np.concatenate([lo[rest], a[go]]), np.concatenate([hi[rest], b[go]])
 
 
+def _lists(batches: Iterator[pa.RecordBatch], known: pa.LargeBinaryArray) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray, np.ndarray]]:
+    """Each shard's batch and row, the place of each known term among its terms (-1: none), and the number of documents of each of its terms."""
+    for batch in batches:
+        for row in range(len(batch)):
+            data, ends, dfs = (batch.column(c)[row].as_py() for c in (2, 3, 4))
+            offsets = np.zeros(len(ends) // 4 + 1, np.int64)
+            offsets[1:] = np.frombuffer(ends, "<u4")
+            here = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            yield batch, row, pc.fill_null(pc.index_in(known, value_set=here), -1).to_numpy(zero_copy_only=False), np.frombuffer(dfs, "<u4").astype(np.int64)
+
+
 def plant(batches: Iterator[pa.RecordBatch], known: pa.LargeBinaryArray, asked: np.ndarray, n_docs: int, n_terms: int, most: int) -> Iterator[tuple[Tree, np.ndarray, np.ndarray]]:
     """Trees of the lists of asked terms, numbered as in `known`, over shards that follow each other; for each, ids of its documents by number, and which of them are null. A tree ends
     with the shard with which its documents and postings reach `most`."""
@@ -152,30 +165,37 @@ def plant(batches: Iterator[pa.RecordBatch], known: pa.LargeBinaryArray, asked:
         ends = np.cumsum(np.bincount(term, minlength=len(known)))
         return Tree(ends, np.argsort(order)[doc[by_term]], impact[by_term], len(ids)), pc.fill_null(ids, 0).to_numpy()[order], ids.is_null().to_numpy(zero_copy_only=False)[order]
 
-    for batch in batches:
-        for row in range(len(batch)):
-            ids, sizes, here, dfs = (batch.column(c)[row].values for c in range(4))
-            local = pc.fill_null(pc.index_in(known, value_set=here.cast(pa.large_binary())), -1).to_numpy(zero_copy_only=False)
-            use = np.flatnonzero(asked & (local >= 0))
-            if not len(use):
-                continue
-            code = np.full(len(here), -1)
-            code[local[use]] = use
-            term = np.repeat(code, dfs.to_numpy())
-            doc, tf = (np.frombuffer(batch.column(c)[row].as_py(), "<u4").astype(np.int64)[term >= 0] for c in (4, 5))
-            held.append((ids, term[term >= 0], doc + docs, impacts(tf, sizes.to_numpy()[doc], n_docs, n_terms)))
-            docs, size = docs + len(ids), size + len(ids) + len(doc)
-            if size >= most:
-                yield tree()
-                held, docs, size = [], 0, 0
+    for batch, row, local, dfs in _lists(batches, known):
+        use = np.flatnonzero(asked & (local >= 0))
+        if not len(use):
+            continue
+        ids, sizes = (batch.column(c)[row].values for c in (0, 1))
+        code = np.full(len(dfs), -1)
+        code[local[use]] = use
+        term = np.repeat(code, dfs)
+        doc, tf = (np.frombuffer(batch.column(c)[row].as_py(), "<u4").astype(np.int64)[term >= 0] for c in (5, 6))
+        held.append((ids, term[term >= 0], doc + docs, impacts(tf, sizes.to_numpy()[doc], n_docs, n_terms)))
+        docs, size = docs + len(ids), size + len(ids) + len(doc)
+        if size >= most:
+            yield tree()
+            held, docs, size = [], 0, 0
     if held:
         yield tree()
 
 
-def _document_counts(shards: DataFrame, some: DataFrame) -> DataFrame:
-    """term, df over all shards, for the terms of a table that goes to all tasks."""
-    each = shards.select(F.inline(F.arrays_zip("terms", "dfs"))).join(F.broadcast(some), F.col("terms") == F.col("term"), "left_semi")
-    return each.groupBy(F.col("terms").alias("term")).agg(F.sum("dfs").alias("df"))
+def _document_counts(shards: DataFrame, known: pa.LargeBinaryArray) -> DataFrame:
+    """term (place in `known`), df over all shards, for terms that occur. Each task adds its shards up first."""
+    sent = shards.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(sent.value), np.int64)
+        for _, _, local, dfs in _lists(batches, sent.value):
+            use = np.flatnonzero(local >= 0)
+            total[use] += dfs[local[use]]
+        term = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int32)), pa.array(total[term])], names=["term", "n"])
+
+    return shards.mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def ranked(docs: DataFrame, items: DataFrame, k: int = TOP, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -197,9 +217,10 @@ def ranked(docs: DataFrame, items: DataFrame, k: int = TOP, id_col: str = "doc_i
         got = rows.collect()
         words, before = terms.terms_of(pa.array([r.text for r in got], pa.string()))
         known, code = terms.coded(words)
-        some = spark.createDataFrame(pa.table({"term": known.cast(pa.binary())})) if len(known) else spark.createDataFrame([], "term binary")
-        df = {bytes(r.term): r.df for r in _document_counts(shards, some).collect()}
-        weights = np.array([weight(df[x], n_docs) if x in df else 0 for x in known.to_pylist()], np.int64)
+        weights = np.zeros(len(known), np.int64)
+        with arrow_rows(spark, 1):
+            for r in _document_counts(shards, known).collect():
+                weights[r.term] = weight(r.df, n_docs)
         queries = [np.unique(code[a:b], return_counts=True) for a, b in zip(before, before[1:], strict=False)]
         sent = spark.sparkContext.broadcast((known, weights, queries, n_docs, n_terms))
 
