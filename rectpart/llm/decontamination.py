@@ -27,7 +27,7 @@ SEGMENT_BYTES, BLOCK_BYTES = 1 << 18, 1 << 20
 ROWS = 256
 #: Documents and positions of asked terms that are searched at a time, but for the last segment of them.
 JOINED = 1 << 19
-INDEX = "segment long, docs array<long>, sizes array<long>, terms array<binary>, counts array<int>, positions binary"
+INDEX = "segment long, docs array<long>, sizes array<long>, terms binary, ends binary, counts binary, positions binary"
 MATCHES = "segment long, doc int, doc_id long, item_id string, first long, last long"
 
 
@@ -42,11 +42,13 @@ def build_index(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
                 words, before = terms.terms_of(batch.column(1).slice(i, j - i))
                 known, code = terms.coded(words)
                 place = np.arange(len(words)) + np.repeat(np.arange(j - i), np.diff(before))
-                positions = place[np.argsort(code, kind="stable")].astype("<u4")
-                one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(kind))
+                data, ends = textops.buffers(known)
+                # what has an entry a term or position is bytes, so that the JVM makes no objects of them
+                packed = [pa.array([x.astype("<u4").tobytes()]) for x in (ends[1:], np.bincount(code, minlength=len(known)), place[np.argsort(code, kind="stable")])]
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([number]), one(batch.column(0).slice(i, j - i), pa.int64()), one(pa.array(np.diff(before)), pa.int64()), one(known, pa.binary()),
-                     one(pa.array(np.bincount(code, minlength=len(known))), pa.int32()), pa.array([positions.tobytes()])], names=["segment", "docs", "sizes", "terms", "counts", "positions"],
+                    [pa.array([number]), one(batch.column(0).slice(i, j - i)), one(pa.array(np.diff(before))), pa.array([data.tobytes()], pa.binary()), *packed],
+                    names=["segment", "docs", "sizes", "terms", "ends", "counts", "positions"],
                 )
                 number += 1
 
@@ -143,14 +145,15 @@ def joined(batches: Iterator[pa.RecordBatch], asked: pa.LargeBinaryArray, most:
 
     for batch in batches:
         for k in range(len(batch)):
-            number, docs, sizes, known, counts, positions = (batch.column(c)[k] for c in range(6))
-            local = pc.fill_null(pc.index_in(asked, value_set=known.values.cast(asked.type)), -1).to_numpy(zero_copy_only=False)
+            number, docs, sizes, data, ends, counts, positions = (batch.column(c)[k] for c in range(7))
+            local = pc.fill_null(pc.index_in(asked, value_set=terms.unpacked(data.as_py(), ends.as_py())), -1).to_numpy(zero_copy_only=False)
             use = np.flatnonzero(local >= 0)
             if not len(use):
                 continue
-            code = np.full(len(known.values), -1)
+            counts = np.frombuffer(counts.as_py(), "<u4").astype(np.int64)
+            code = np.full(len(counts), -1)
             code[local[use]] = use
-            term = np.repeat(code, counts.values.to_numpy())
+            term = np.repeat(code, counts)
             sizes, position = sizes.values.to_numpy(), np.frombuffer(positions.as_py(), "<u4").astype(np.int64)[term >= 0]
             held.append((docs.values, np.full(len(sizes), number.as_py()), np.arange(len(sizes)), sizes, term[term >= 0], position + width))
             width, size = width + int((sizes + 1).sum()), size + len(sizes) + len(position)

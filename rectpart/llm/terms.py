@@ -52,6 +52,13 @@ def coded(words: pa.LargeBinaryArray) -> tuple[pa.LargeBinaryArray, np.ndarray]:
     return found.dictionary, found.indices.to_numpy(zero_copy_only=False)
 
 
+def unpacked(data: bytes, ends: bytes) -> pa.LargeBinaryArray:
+    """Terms from their bytes and where each ends, as 4-byte numbers."""
+    offsets = np.zeros(len(ends) // 4 + 1, np.int64)
+    offsets[1:] = np.frombuffer(ends, "<u4")
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def blocks(items: DataFrame, text_col: str, most: int) -> Iterator[DataFrame]:
     """The rows of a table of queries in blocks of about `most` bytes of text, dealt by a hash; a table that is smaller is one block, an empty one none."""
     total = items.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + ROW_BYTES).alias("n")).first().n

@@ -145,9 +145,7 @@ def _lists(batches: Iterator[pa.RecordBatch], known: pa.LargeBinaryArray) -> Ite
     for batch in batches:
         for row in range(len(batch)):
             data, ends, dfs = (batch.column(c)[row].as_py() for c in (2, 3, 4))
-            offsets = np.zeros(len(ends) // 4 + 1, np.int64)
-            offsets[1:] = np.frombuffer(ends, "<u4")
-            here = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            here = terms.unpacked(data, ends)
             yield batch, row, pc.fill_null(pc.index_in(known, value_set=here), -1).to_numpy(zero_copy_only=False), np.frombuffer(dfs, "<u4").astype(np.int64)
 
 
