@@ -1,11 +1,14 @@
 """Exact removal of repeated byte strings, the suffix-array kind of deduplication, over all documents.
 
 Every string of SPAN bytes (a window) that also starts in a document with a smaller id is covered. Two equal windows have the same anchor: the
-16-byte gram in them with the least hash. A run of windows with one anchor is a stretch of a document; equal windows lie in stretches with equal
-anchors, so suffixes need comparing only within an anchor's group:
-
-1. Documents are packed into batches of about BATCH_BYTES where they are read. Each batch sends 32 bits of its distinct anchors' hashes by bucket.
-2. Buckets answer which of them occur in two documents; all others can't be in a repeated string.
+gram of GRAM bytes in them with the least hash, together with the HALF bytes before it or, where the window has fewer, behind it. A run of windows with one anchor is a stretch of a
+document; equal windows lie in stretches with equal anchors, so suffixes need comparing only within an anchor's group. The gram alone would recur by chance, and the more so the
+larger the table; an anchor is long enough that this share doesn't grow.
+
+1. Documents are packed into batches of about BATCH_BYTES where they are read. Each batch sends digests of its distinct texts by bucket, and buckets answer which of them stand in a
+   smaller document as a whole. Such copies are covered from end to end, and take no part in what follows.
+2. Each batch sends CODE_BITS bits of its distinct anchors' hashes by bucket. Buckets answer which of them occur in two documents; all others can't be in a repeated string.
+   Anchors that share their bits by chance cost bytes further on, not results.
 3. Batches send hashes of the distinct stretches of repeated anchors, with the least document id of each.
 4. Buckets answer which stretches stand in a smaller document as a whole, and which of an anchor that has other stretches, too, are the first of their kind: only these can share
    a window with another one, and only their bytes are sent.
@@ -14,11 +17,12 @@ anchors, so suffixes need comparing only within an anchor's group:
    fingerprint comes twice is left out: it can't be in a group of two.
 6. Batches add up the covered bytes of each document.
 
-Copies cost a hash a batch, whatever their number, so that no group grows with a hot passage. The batches' exchange, compressed, is used four times.
+Copies cost a hash a batch, whatever their number, so that no group grows with a hot passage. The batches' exchange, compressed, is used five times.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +34,15 @@ from pyspark.sql import types as T
 
 from rectpart.llm import suffixes, textops
 
-SPAN, GRAM = 50, 16
+SPAN, GRAM = 50, 8
+#: Of each window, a gram and so many bytes before it or behind it lie within the window.
+HALF = (SPAN - GRAM) // 2
 #: Bytes of text in a batch, and about how many anchors a bucket should get.
 BATCH_BYTES, BUCKET_ANCHORS, LEAST_BUCKETS = 1_500_000, 2_000_000, 128
+#: Buckets of anchors for each bucket of whole texts.
+TEXT_SHARE = 8
+#: Of an anchor's hash, what is sent besides its bucket: with BUCKET_ANCHORS in a bucket, one in a hundred meets another one by chance.
+CODE_BITS = 28
 _ALL = np.uint64(2**64 - 1)
 
 
@@ -45,12 +55,47 @@ def _least(a: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(out[: len(a) - n + 1], out[n - size : len(a) - size + 1])
 
 
+def _ids(table: pa.Table) -> np.ndarray:
+    return table["doc_id"].fill_null(np.iinfo(np.int64).max).to_numpy()
+
+
+class Texts:
+    """The distinct texts of a batch that have a window, in an order that depends on their contents alone."""
+
+    def __init__(self, table: pa.Table, buckets: int):
+        self.ids, (data, offsets) = _ids(table), textops.buffers(table["text"])
+        self.long = np.flatnonzero(np.diff(offsets) >= SPAN)
+        digests = b"".join(hashlib.blake2b(data[offsets[i] : offsets[i + 1]], digest_size=16).digest() for i in self.long.tolist())
+        keys = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        bucket = (keys[:, 0] % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((self.ids[self.long], keys[:, 1], keys[:, 0], bucket))
+        new = np.concatenate([[True], (keys[order[1:]] != keys[order[:-1]]).any(1)]) if len(order) else np.zeros(0, bool)
+        self.of = np.zeros(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
+        first = order[new]
+        self.keys, self.least, self.bucket = keys[first], self.ids[self.long[first]], bucket[first]
+
+    def by_bucket(self) -> Iterator[tuple[int, int, int]]:
+        """Of each bucket, the range of its distinct texts."""
+        begin, n = suffixes.runs(self.bucket)
+        yield from zip(self.bucket[begin].tolist(), begin.tolist(), (begin + n).tolist(), strict=True)
+
+    def copies(self, marks: dict[int, bytes]) -> np.ndarray:
+        """Of each row, whether a smaller document has its text; marks: of a bucket, a bit for each text that stands in a smaller document of another batch."""
+        flag = np.zeros(len(self.least), bool)
+        for bucket, a, b in self.by_bucket():
+            if bucket in marks:
+                flag[a:b] = np.unpackbits(np.frombuffer(marks[bucket], np.uint8), count=b - a)
+        out = np.zeros(len(self.ids), bool)
+        out[self.long] = flag[self.of] | (self.ids[self.long] > self.least[self.of])
+        return out
+
+
 class Batch:
     """The stretches of a batch of texts, in an order that depends on their contents alone."""
 
     def __init__(self, table: pa.Table, buckets: int):
-        self.doc_ids = table["doc_id"]
-        self.ids = self.doc_ids.fill_null(np.iinfo(np.int64).max).to_numpy()
+        self.ids = _ids(table)
         self.data, self.offsets = textops.buffers(table["text"])
         self.prefix = textops.prefix_hash(self.data)
         n = len(self.data)
@@ -63,14 +108,15 @@ class Batch:
             ends = np.repeat(self.offsets[1:], np.diff(self.offsets))[: len(least)]
             first = np.flatnonzero(np.arange(len(least)) + SPAN <= ends)  # windows within one text
             anchor = (least[first] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+            anchor -= HALF * (anchor - first >= HALF)
             if len(first):
                 new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (first[1:] != first[:-1] + 1)]))
                 self.start, self.count = first[new], np.diff(np.append(new, len(first)))
-                h = hashes[anchor[new]]
-                self.code = (h % np.uint64(buckets)).astype(np.int64) << 48 | (h >> np.uint64(16)).astype(np.int64)
+                h = textops.span_hash(self.prefix, anchor[new], anchor[new] + GRAM + HALF)
+                self.code = (h % np.uint64(buckets)).astype(np.int64) << CODE_BITS | (h >> np.uint64(64 - CODE_BITS)).astype(np.int64)
                 self.doc = np.searchsorted(self.offsets, self.start, "right") - 1
         self.codes, self.of = np.unique(self.code, return_inverse=True)
-        bucket = self.codes >> 48
+        bucket = self.codes >> CODE_BITS
         self.buckets, begin = np.unique(bucket, return_index=True)
         self.bounds = np.append(begin, len(bucket))
 
@@ -101,7 +147,7 @@ class Batch:
         self.entry[order] = np.cumsum(new) - 1
         self.first = order[new]  # of each distinct stretch, an occurrence in its smallest document
         self.hashes = x[new]
-        self.entry_bucket = self.code[self.first] >> 48
+        self.entry_bucket = self.code[self.first] >> CODE_BITS
 
     def entries(self) -> Iterator[tuple[int, int, int]]:
         """Of each bucket, the range of its distinct stretches."""
@@ -198,9 +244,18 @@ def _from_low(raw: bytes, n: int) -> np.ndarray:
     return out.view("<i8").ravel()
 
 
+def _ascending(codes: np.ndarray) -> bytes:
+    """What is sent of ascending codes of one bucket: the steps between them."""
+    return _low(np.diff(codes & ((1 << CODE_BITS) - 1), prepend=0), 4)
+
+
+def _from_ascending(raw: bytes) -> np.ndarray:
+    return np.cumsum(_from_low(raw, 4))
+
+
 def _packed(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
@@ -211,13 +266,14 @@ def _unpacked(table: pa.Table) -> pa.Table:
 
 
 _BATCH = "batch long, rows binary"
+_TEXTS = "batch long, bucket long, keys binary, docs binary"
 _FROM_BATCH = "batch long, bucket long, keys binary, flags binary"
 _ANSWER = "batch long, bucket long, kind int, bits binary"
 #: hashes: of whole stretches; content: the bytes of those that are asked for
 _STRETCHES = "batch long, bucket long, keys binary, counts binary, docs binary, hashes binary"
 _CONTENT = "batch long, bucket long, keys binary, counts binary, docs binary, content binary"
-#: What buckets answer: anchors that occur in two documents; what becomes of a stretch; its covered windows.
-_MARKS, _STATES, _MASKS = 0, 1, 2
+#: What buckets answer: anchors that occur in two documents; what becomes of a stretch; its covered windows; texts that stand in a smaller document.
+_MARKS, _STATES, _MASKS, _COPIES = 0, 1, 2, 3
 #: What becomes of a stretch: nothing of it is covered; all is; its bytes are asked for.
 _FREE, _WHOLE, _ASKED = 0, 1, 2
 
@@ -238,7 +294,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     others = [docs[c] for c in docs.columns if c != text_col] if carry else []
     base = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *([F.struct(*others).alias("row")] if others else []))
     total = docs.agg(F.sum(F.octet_length(docs[text_col])).alias("n")).first().n or 0
-    buckets = max(LEAST_BUCKETS, total // 17 // BUCKET_ANCHORS)
+    buckets = max(LEAST_BUCKETS, total // 16 // BUCKET_ANCHORS)
+    text_buckets = buckets // TEXT_SHARE
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -248,13 +305,36 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield from _table(_BATCH, [(number, _packed(pa.Table.from_batches([batch.slice(i, j - i)])))]).to_batches()
                 number += 1
 
-    def anchors(table: pa.Table) -> pa.Table:
-        batch, x = table["batch"][0].as_py(), Batch(_unpacked(table), buckets)
+    def texts(table: pa.Table) -> pa.Table:
+        batch, x = table["batch"][0].as_py(), Texts(_unpacked(table), text_buckets)
+        return _table(_TEXTS, [(batch, bucket, x.keys[a:b].tobytes(), _low(x.least[a:b], 8)) for bucket, a, b in x.by_bucket()])
+
+    def match(table: pa.Table) -> pa.Table:
+        docs = [_from_low(x, 8) for x in table["docs"].to_pylist()]
+        _, of = np.unique(np.frombuffer(b"".join(table["keys"].to_pylist()), "V16"), return_inverse=True)
+        every = np.concatenate(docs)
+        least = np.full(of.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, of, every)
+        parts = np.split(least[of] < every, np.cumsum([len(x) for x in docs])[:-1])
+        return _table(_ANSWER, [(batch, bucket, _COPIES, np.packbits(x).tobytes()) for batch, bucket, x in zip(table["batch"].to_pylist(), table["bucket"].to_pylist(), parts, strict=True) if x.any()])
+
+    def told(table: pa.Table, answers: pa.Table) -> tuple[Batch, list[dict[int, bytes]], np.ndarray]:
+        """What is left of a batch without copies, what buckets answered so far, of each kind by bucket, and which rows are copies."""
+        given: list[dict[int, bytes]] = [{}, {}, {}, {}]
+        for kind, bucket, bits in zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True):
+            given[kind][bucket] = bits
+        copy = Texts(table, text_buckets).copies(given[_COPIES])
+        return Batch(table.select(["doc_id", "text"]).filter(pa.array(~copy)), buckets), given, copy
+
+    def anchors(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _table(_FROM_BATCH, [])
+        batch, (x, _, _) = table["batch"][0].as_py(), told(_unpacked(table), answers)
         several = x.several()
-        return _table(_FROM_BATCH, [(batch, bucket, _low(x.codes[a:b], 4), np.packbits(several[a:b]).tobytes()) for bucket, a, b in x.by_bucket()])
+        return _table(_FROM_BATCH, [(batch, bucket, _ascending(x.codes[a:b]), np.packbits(several[a:b]).tobytes()) for bucket, a, b in x.by_bucket()])
 
     def mark(table: pa.Table) -> pa.Table:
-        keys = [_from_low(x, 4) for x in table["keys"].to_pylist()]
+        keys = [_from_ascending(x) for x in table["keys"].to_pylist()]
         flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(table["flags"].to_pylist(), keys, strict=True)]
         _, of, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
         some = np.zeros(len(times), bool)
@@ -268,29 +348,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows.append((batch, bucket, _MARKS, np.packbits(mine).tobytes()))
         return _table(_ANSWER, rows)
 
-    def told(table: pa.Table, answers: pa.Table) -> tuple[Batch, list[dict[int, bytes]]]:
-        """A batch with what buckets answered so far, of each kind by bucket."""
-        given: list[dict[int, bytes]] = [{}, {}, {}]
-        for kind, bucket, bits in zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["bits"].to_pylist(), strict=True):
-            given[kind][bucket] = bits
-        x = Batch(table, buckets)
-        x.repeated(given[_MARKS])
-        return x, given
-
     def stretches(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table(_STRETCHES, [])
-        batch, (x, _) = table["batch"][0].as_py(), told(_unpacked(table), answers)
+        batch, (x, given, _) = table["batch"][0].as_py(), told(_unpacked(table), answers)
+        x.repeated(given[_MARKS])
         rows = []
         for bucket, a, b in x.entries():
             k = x.first[a:b]
-            rows.append((batch, bucket, _low(x.code[k], 6), x.count[k].astype(np.uint8).tobytes(), _low(x.ids[x.doc[k]], 8), x.hashes[a:b].astype("<u8").tobytes()))
+            rows.append((batch, bucket, _ascending(x.code[k]), x.count[k].astype(np.uint8).tobytes(), _low(x.ids[x.doc[k]], 8), x.hashes[a:b].astype("<u8").tobytes()))
         return _table(_STRETCHES, rows)
 
     joined = lambda table, c, read: np.concatenate([read(x) for x in table[c].to_pylist()])
 
     def about(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return joined(table, "keys", lambda x: _from_low(x, 6)), joined(table, "counts", lambda x: np.frombuffer(x, np.uint8).astype(np.int64)), joined(table, "docs", lambda x: _from_low(x, 8))
+        return joined(table, "keys", _from_ascending), joined(table, "counts", lambda x: np.frombuffer(x, np.uint8).astype(np.int64)), joined(table, "docs", lambda x: _from_low(x, 8))
 
     def answered(table: pa.Table, kind: int, values: np.ndarray) -> pa.Table:
         """Values of all stretches that were sent, to the batches that sent them."""
@@ -303,13 +375,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def contents(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table(_CONTENT, [])
-        batch, (x, given) = table["batch"][0].as_py(), told(_unpacked(table), answers)
+        batch, (x, given, _) = table["batch"][0].as_py(), told(_unpacked(table), answers)
+        x.repeated(given[_MARKS])
         rows = []
         for bucket, a, b in x.entries():
             k = x.first[a:b][np.frombuffer(given[_STATES].get(bucket, bytes(b - a)), np.uint8) == _ASKED]
             if len(k):
                 content = x.data[suffixes.ranges(x.start[k], x.count[k] + SPAN - 1)]
-                rows.append((batch, bucket, _low(x.code[k], 6), x.count[k].astype(np.uint8).tobytes(), _low(x.ids[x.doc[k]], 8), pa.compress(content.tobytes(), "zstd", asbytes=True)))
+                rows.append((batch, bucket, _ascending(x.code[k]), x.count[k].astype(np.uint8).tobytes(), _low(x.ids[x.doc[k]], 8), pa.compress(content.tobytes(), "zstd", asbytes=True)))
         return _table(_CONTENT, rows)
 
     def decide(table: pa.Table) -> pa.Table:
@@ -327,7 +400,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if not table.num_rows:
             return nothing
         table = _unpacked(table)
-        x, given = told(table, answers)
+        x, given, copy = told(table, answers)
+        x.repeated(given[_MARKS])
         masks = np.zeros(len(x.first), np.uint64)
         for bucket, a, b in x.entries():
             state = np.frombuffer(given[_STATES].get(bucket, bytes(b - a)), np.uint8)
@@ -342,13 +416,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         spans = np.concatenate([[0], np.cumsum(begins)])
         left, rest = x.data[~gone], x.offsets - upto[x.offsets]
         lo, hi = x.offsets[:-1], x.offsets[1:]
-        kept = [left[a:b].tobytes() for a, b in zip(rest[:-1].tolist(), rest[1:].tolist(), strict=True)]
-        out = pa.table([x.doc_ids, pa.array(hi - lo), pa.array(upto[hi] - upto[lo]), pa.array(spans[hi] - spans[lo]), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        n_bytes = np.diff(textops.buffers(table["text"])[1])
+        n_removed, n_spans = n_bytes.copy(), np.ones(len(copy), np.int64)  # a copy goes as one span
+        n_removed[~copy], n_spans[~copy] = upto[hi] - upto[lo], spans[hi] - spans[lo]
+        parts = zip(rest[:-1].tolist(), rest[1:].tolist(), strict=True)
+        kept = [b"" if gone_whole else left[slice(*next(parts))].tobytes() for gone_whole in copy.tolist()]
+        out = pa.table([table["doc_id"], pa.array(n_bytes), pa.array(n_removed), pa.array(n_spans), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
         return out.append_column("row", table["row"]) if with_row else out
 
     packed = base.mapInArrow(pack, _BATCH)
     ask_batches = lambda given, f, schema: packed.groupBy("batch").cogroup(given.groupBy("batch")).applyInArrow(f, schema)
-    marks = packed.groupBy("batch").applyInArrow(anchors, _FROM_BATCH).groupBy("bucket").applyInArrow(mark, _ANSWER)
+    copies = packed.groupBy("batch").applyInArrow(texts, _TEXTS).groupBy("bucket").applyInArrow(match, _ANSWER)
+    marks = copies.unionByName(ask_batches(copies, anchors, _FROM_BATCH).groupBy("bucket").applyInArrow(mark, _ANSWER))
     asked = ask_batches(marks, stretches, _STRETCHES).groupBy("bucket").applyInArrow(ask, _ANSWER)
     answers = marks.unionByName(asked)
     decided = ask_batches(answers, contents, _CONTENT).groupBy("bucket").applyInArrow(decide, _ANSWER)

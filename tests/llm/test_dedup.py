@@ -77,6 +77,33 @@ def test_only_stretches_with_others_of_their_anchor_are_sent():
     assert substrings.states(keys, counts, docs, hashes).tolist() == [1, 0, 1, 2, 2, 2, 0]
 
 
+def test_anchors_do_not_recur_by_chance():
+    """Prose of a few words: its grams recur in other texts, the more so the larger the table, but what is sent of it may not."""
+    rng = np.random.default_rng(7)
+    words = ["".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(2, 9, 150)]
+    texts = [" ".join(words[k] for k in rng.integers(0, 150, 400)) for _ in range(200)]
+    several = substrings.Batch(pa.table({"doc_id": range(200), "text": texts}), 128).several()
+    assert len(several) > 10_000 and several.mean() < 0.001
+
+
+def test_copies_are_told_by_whole_texts():
+    """Of a text, the smallest document of the batch stays, and its repeats; the rest goes, and all go where another batch has a smaller one. Short texts can't be covered."""
+    long, other, short = "a long text " * 9, "another text " * 9, "short"
+    x = substrings.Texts(pa.table({"doc_id": pa.array([5, 3, 3, None, 9, 1, 2]), "text": [long, long, long, long, other, short, short]}), 4)
+    assert len(x.keys) == 2 and sorted(x.least.tolist()) == [3, 9]
+    assert x.copies({}).tolist() == [True, False, False, True, False, False, False]
+    marks = {bucket: np.packbits(x.least[a:b] == 3).tobytes() for bucket, a, b in x.by_bucket()}
+    assert x.copies(marks).tolist() == [True, True, True, True, False, False, False]
+
+
+def test_substrings_batches_of_copies(spark, monkeypatch):
+    """Batches with nothing but copies, beside texts that share a passage with them."""
+    monkeypatch.setattr(substrings, "BATCH_BYTES", 400)
+    docs = corpus(4)
+    docs |= {k + 1000 * j: docs[k] for k in range(40) for j in (1, 2)} | {-7: docs[31], 5000: "before " + docs[5][:90] + " after"}
+    check_substrings(substrings.remove_repeats(frame(spark, docs).repartition(5)).collect(), docs)
+
+
 def test_substrings_rows_with_one_id_in_many_batches(spark, monkeypatch):
     """Rows with one id and different texts lose alike what a smaller document covers in a stretch that they share."""
     monkeypatch.setattr(substrings, "BATCH_BYTES", 300)
