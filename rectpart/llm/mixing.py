@@ -64,8 +64,9 @@ def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     Null sources are a source of their own, null texts have size 0. Rows that repeat, also with the same id or a null id, each take part; of rows with one size
     and id, that with the smaller hash of its text (then, with carry, of its columns) comes first, so that the same rows give the same copies again. An empty table gives no rows. A source's size is the words of its
     documents; no document is taken more than `most` times. A source of empty documents is never taken. Other columns aren't read. Two passes over the texts: one counts
-    the cells, which are saved, one places the rows.
+    the cells, which are saved, one places the rows, which go over the network once: the window and the join have the same keys.
     """
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("")).alias("key")  # null is a source of its own
     # rows of one id and text that are carried are told apart by their other columns
     plain = [docs[c] for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     whole = [F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.xxhash64(*plain).alias("tie")] if carry else []
@@ -79,12 +80,12 @@ def copies_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     before = lambda *order: Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     classes = cells.groupBy("source", "size_class").agg(F.sum("n").alias("n"))
     classes = classes.select(F.col("source").alias("s1"), F.col("size_class").alias("c1"), F.coalesce(F.sum("n").over(before("size_class").partitionBy("source")), F.lit(0)).alias("class_start"))
-    starts = cells.select(F.col("source").alias("s2"), F.col("size_class").alias("c2"), F.col("salt").alias("k2"), F.coalesce(F.sum("n").over(before("salt").partitionBy("source", "size_class")), F.lit(0)).alias("salt_start"))
-    starts = starts.join(classes, F.col("s1").eqNullSafe(F.col("s2")) & (F.col("c1") == F.col("c2")))
+    starts = cells.select(F.col("source").alias("s2"), key, F.col("size_class"), F.col("salt"), F.coalesce(F.sum("n").over(before("salt").partitionBy("source", "size_class")), F.lit(0)).alias("salt_start"))
+    starts = starts.join(classes, F.col("s1").eqNullSafe(F.col("s2")) & (F.col("c1") == F.col("size_class")))
     starts = starts.join(targets.withColumnRenamed("source", "s3"), F.col("s3").eqNullSafe(F.col("s2")))
-    starts = starts.select("s2", "c2", "k2", (F.col("class_start") + F.col("salt_start")).alias("start"), "source_size", "target", "rate", "offset")
-    place = F.row_number().over(Window.partitionBy("source", "size_class", "salt").orderBy("size", "doc_id", "th", *(["tie"] if carry else [])))
-    placed = rows.withColumn("place", place).join(starts, F.col("s2").eqNullSafe(F.col("source")) & (F.col("c2") == F.col("size_class")) & (F.col("k2") == F.col("salt")))
+    starts = starts.select("key", "size_class", "salt", (F.col("class_start") + F.col("salt_start")).alias("start"), "source_size", "target", "rate", "offset")
+    place = F.row_number().over(Window.partitionBy("key", "size_class", "salt").orderBy("size", "doc_id", "th", *(["tie"] if carry else [])))
+    placed = rows.withColumn("key", key).withColumn("place", place).join(starts, ["key", "size_class", "salt"])
     upto = lambda n: F.floor(n * F.col("rate") + F.col("offset"))
     n = F.col("start") + F.col("place")
     return placed.select("doc_id", "source", "size", "source_size", "target", F.least(F.lit(most), upto(n) - upto(n - 1)).cast("int").alias("copies"), *(["row"] if carry else []))

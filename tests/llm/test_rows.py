@@ -96,6 +96,21 @@ def test_mixing(spark):
     assert all(abs(taken[r.source] - r.target) <= 3 * longest for r in got)
 
 
+def test_mixing_moves_carried_rows_once(spark, capsys):
+    """Texts are carried along: the window and the join of a row with its cell share one exchange, null sources included."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([(k, "word " * (k % 30), f"s{k % 3}" if k % 4 else None) for k in range(200)], "doc_id long, text string, source string")
+        mixed = mixing.copies_of(df, carry=True)
+        mixed.explain("formatted")
+        blocks = [x for x in capsys.readouterr().out.split("\n\n") if x.partition("\n")[0].endswith(") Exchange")]
+        assert len(blocks) > 3 and sum("row#" in x for x in blocks) == 1
+        assert mixed.count() == 200
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_mixing_edge_cases(spark):
     schema = "doc_id long, text string, source string"
     assert mixing.copies_of(spark.createDataFrame([], schema)).count() == 0
